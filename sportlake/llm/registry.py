@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sportlake.llm import exact_dedup, mixing
+from sportlake.llm import exact_dedup, mixing, tokens
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
+    "op5_token_files": tokens.query,
     "op7_exact_dedup": exact_dedup.query,
 }
 
