@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from sportlake.llm.common import SPACE, documents, text_of, written
 
 RUN = "slot int, digest binary, second long, n_bytes long, keep_id long, group_size long"
+ENTRY = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("second", pa.int64()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 LAST = np.iinfo(np.int64).max
 
 
@@ -36,7 +37,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries arrive in order; equal neighbours become one, with the smallest id and the sum of rows. Holds one batch."""
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_batches([batch]).cast(ENTRY)
         if held is not None:
             table = pa.concat_tables([held, table]).combine_chunks()
         n = table.num_rows
@@ -49,8 +50,8 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (digest[1:] != digest[:-1]).any(axis=1) | (column("second")[1:] != column("second")[:-1]) | (column("n_bytes")[1:] != column("n_bytes")[:-1])
         first = np.flatnonzero(new)
         merged = table.take(pa.array(first))
-        merged = merged.set_column(4, "keep_id", pa.array(np.minimum.reduceat(column("keep_id"), first)))
-        merged = merged.set_column(5, "group_size", pa.array(np.add.reduceat(column("group_size"), first)))
+        smallest, total = np.minimum.reduceat(column("keep_id"), first), np.add.reduceat(column("group_size"), first)
+        merged = merged.set_column(4, ENTRY.field("keep_id"), pa.array(smallest)).set_column(5, ENTRY.field("group_size"), pa.array(total))
         held = merged.slice(len(first) - 1)
         if len(first) > 1:
             yield from merged.slice(0, len(first) - 1).combine_chunks().to_batches()
