@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sportlake.llm import exact_dedup, language, mixing, quality, tokens, toxicity
+from sportlake.llm import exact_dedup, language, mixing, quality, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op3_quality": quality.query,
     "op5_token_files": tokens.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_toxicity": toxicity.query,
     "op10_language": language.query,
