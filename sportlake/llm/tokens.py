@@ -16,11 +16,11 @@ id follow one another. An empty table gives no rows. A long document makes a lon
 
 from __future__ import annotations
 
-import itertools
+import gc
 import re
 import struct
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,8 @@ from sportlake.llm.common import documents, text_of, written
 
 END = 2
 SHARD_IDS = 2_000_000
-BLOCK_IDS = 65_536
-STEPS = 256
+BLOCK_IDS = 524_288
+STEPS = 512
 SCALE = 20
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
@@ -42,42 +42,64 @@ FILE = "part int, shard int, first_id long, n_ids long, table binary, blocks arr
 
 # --- tokenising -------------------------------------------------------------------------------------------------------
 
-#: A letter followed by a comma or full stop and a space: the pre-tokeniser always cuts between the letter and the mark.
-MARK = re.compile(r"(?<=[a-z])([,.])(?=\s|$)")
+#: A letter, ASCII marks other than an apostrophe, and a space: the pre-tokeniser always cuts between the letter and the marks.
+MARKS = re.compile(rb"(?<=[a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-@\[-^`{-~]+)(?=[ \t\r\x0b\x0c]|$)")
+#: Latin-1 in lower case, and a line feed as a space.
+LOWER = bytes(ord(chr(b).lower()) if b != 10 else 32 for b in range(256))
+#: Latin-1 letters, digits, space, comma, full stop.
+PLAIN = "".join(c for c in map(chr, range(256)) if c.isalpha() or c.isascii() and c.isdigit() or c in " ,.").encode("latin-1")
 
 
 class Pieces(dict):
-    """Ids of text between spaces. At most `most` pieces are remembered; beyond that they are looked up anew each time.
+    """Ids, as bytes, of text between spaces. At most `most` pieces are remembered; beyond that they are looked up anew each time.
 
-    The tokeniser drops white space and never joins what it separates. A lower-case word of Latin letters passes its normaliser
-    and pre-tokeniser unchanged, so the library's model alone gives the same ids for it.
+    The tokeniser drops white space, never joins what it separates, and lower-cases; in Latin-1 text this works byte by byte and nothing
+    is left to compose. A lower-case word of Latin letters passes the normaliser and pre-tokeniser unchanged, so the library's model
+    alone gives the same ids for it. Pieces of Latin-1 text are bytes, others str.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.kind).char
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_level = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x250)) if c.isalpha() and c.islower() and c == c.lower()}
+        self.byte_level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self.plain = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if piece.isascii() and piece.isalpha() and piece.islower():
-            ids = tuple([t.id for t in self.model.tokenize(piece)])
-        elif piece.isalpha() and all("a" <= c <= "z" or c in self.byte_level for c in piece) and unicodedata.is_normalized("NFC", piece):
-            ids = tuple([t.id for t in self.model.tokenize("".join([self.byte_level.get(c, c) for c in piece]))])
+    def __missing__(self, piece: bytes | str) -> bytes:
+        text = piece.decode("latin-1") if isinstance(piece, bytes) else piece
+        if self.plain(text):
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.byte_level))]
         else:
-            ids = tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = array(self.code, ids).tobytes()
         if len(self) < self.most:
-            self[piece] = ids
-        return ids
+            self[piece] = found
+        return found
+
+    @staticmethod
+    def split(text: str) -> list[bytes] | list[str]:
+        """The text in pieces that the tokeniser treats apart; other than in plain Latin-1 text those between spaces."""
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if b"<|" in data:  # a special token, perhaps: these are as they are written
+            return text.split(" ")
+        data = data.translate(LOWER)
+        if data.translate(None, PLAIN) or b".." in data or b",," in data or b".," in data or b",." in data:
+            data = MARKS.sub(rb" \1", data)
+        else:  # every mark stands alone
+            data = data.replace(b". ", b" . ").replace(b", ", b" , ")
+            if data.endswith((b".", b",")):
+                data = data[:-1] + b" " + data[-1:]
+        return data.split(b" ")
 
     def ids(self, text: str, end: int | None = END) -> np.ndarray:
-        pieces = MARK.sub(r" \1", text).replace("\n", " ").split(" ")
-        ids = list(itertools.chain.from_iterable(map(self.__getitem__, pieces)))
-        if end is not None:
-            ids.append(end)
-        return np.array(ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))) + (b"" if end is None else array(self.code, [end]).tobytes()), self.kind)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -101,11 +123,15 @@ class Table:
     def __init__(self, symbols: np.ndarray, freqs: np.ndarray):
         self.symbols, self.freqs = symbols.astype(np.uint32), freqs.astype(np.uint64)
         self.starts = np.cumsum(self.freqs) - self.freqs
+        self.place = np.zeros(int(self.symbols.max(initial=0)) + 1, np.int32)
+        self.place[self.symbols] = np.arange(len(self.symbols))
         self.slots: np.ndarray | None = None
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
         total = 1 << SCALE
         freqs = np.maximum(1, counts * (total - len(counts)) // max(1, counts.sum()))
         freqs[np.argmax(freqs)] += total - freqs.sum()
@@ -125,23 +151,24 @@ def lanes_for(n: int) -> int:
     return max(8, -(-n // STEPS))
 
 
-def encode_block(ids: np.ndarray, table: Table, every: int = 128) -> bytes:
+def encode_block(ids: np.ndarray, table: Table, every: int = 256) -> bytes:
     n, lanes = len(ids), lanes_for(len(ids))
-    place = np.searchsorted(table.symbols, ids)
+    place = table.place[ids]
     freq, start = table.freqs[place], table.starts[place]
+    most, rest = freq << np.uint64(63 - SCALE), np.uint64(1 << SCALE) - freq
     state = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
     written_words, points = 0, []
     for step in range(-(-n // lanes) - 1, -1, -1):
         a, b = step * lanes, min(n, (step + 1) * lanes)
-        f, x = freq[a:b], state[: b - a]
-        full = x >= (f << np.uint64(63 - SCALE))
-        if full.any():
-            words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4")[::-1])
-            written_words += len(words[-1])
-            x[full] >>= WORD_BITS
-        q = x // f
-        x[:] = (q << np.uint64(SCALE)) + (x - q * f) + start[a:b]
+        x = state[: b - a]
+        full = np.flatnonzero(x >= most[a:b])
+        if len(full):
+            y = x[full]
+            words.append(y.astype("<u4")[::-1])
+            written_words += len(full)
+            x[full] = y >> WORD_BITS
+        x += x // freq[a:b] * rest[a:b] + start[a:b]
         if step % every == 0:
             points.append((step, written_words, state.copy()))
     if not points:
@@ -199,13 +226,13 @@ def _shard(part: int, shard: int, first: int, docs: list[tuple[int | None, np.nd
 def _encoded(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pieces(tokenizer)
-        kind = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        gc.disable()  # nothing here makes cycles, and walking the remembered pieces costs a tenth of the time
         docs: list[tuple[int | None, np.ndarray]] = []
         part, shard, first, size = 0, 0, 0, 0
         for batch in batches:
             part = batch.column("part")[0].as_py() if len(batch) else part
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                docs.append((doc_id, encode.ids(text.as_py(), end).astype(kind)))
+                docs.append((doc_id, encode.ids(text.as_py(), end)))
                 size += len(docs[-1][1])
                 if size >= SHARD_IDS:
                     yield _shard(part, shard, first, docs)
