@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sportlake.llm import exact_dedup, language, mixing, quality, suffix_dedup, tokens, toxicity
+from sportlake.llm import decontamination, exact_dedup, jaccard_join, language, mixing, quality, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op3_quality": quality.query,
+    "op4_decontaminate": decontamination.query,
     "op5_token_files": tokens.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_toxicity": toxicity.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_language": language.query,
 }
 

@@ -40,8 +40,8 @@ _LETTER[128:] = True
 
 
 def word_starts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start, byte end and hash of each run of letters (bytes from 128 count as letters), lower-cased for A-Z."""
-    data = text_bytes(text, lower=True)
+    """Byte start, byte end and hash of each run of letters (bytes from 128 count as letters) of the text in lower case."""
+    data = text_bytes((text or "").lower())
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = _LETTER[data]
     edge = np.diff(inside)
