@@ -28,6 +28,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,21 +96,24 @@ def subset_keys(x: np.ndarray, boundary: int, percent: int = PERCENT) -> Iterato
 # --- passes over the texts --------------------------------------------------------------------------------------------
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _each(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for a in range(0, len(batch), 1024):
             part = batch.slice(a, 1024)
-            yield part, [shingle_set(t.as_py()) for t in part.column("text")]
+            yield part, [shingle_set(t.as_py(), words) for t in part.column("text")]
 
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNTERS, np.int64)
-    for _, sets in _each(batches):
-        x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        total += np.bincount((x[x < COUNTED] >> np.uint64(62 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
-    chunks = range(0, 1 << COUNTERS, CHUNK)
-    body = [zlib.compress(total[a : a + CHUNK].astype("<u4").tobytes(), 1) for a in chunks]
-    yield pa.RecordBatch.from_arrays([pa.array([a // CHUNK for a in chunks], pa.int32()), pa.array(body, pa.binary())], ["chunk", "body"])
+def _counters(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for _, sets in _each(batches, words):
+            x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            total += np.bincount((x[x < COUNTED] >> np.uint64(62 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+        chunks = range(0, 1 << COUNTERS, CHUNK)
+        body = [zlib.compress(total[a : a + CHUNK].astype("<u4").tobytes(), 1) for a in chunks]
+        yield pa.RecordBatch.from_arrays([pa.array([a // CHUNK for a in chunks], pa.int32()), pa.array(body, pa.binary())], ["chunk", "body"])
+
+    return run
 
 
 def _sum_counters(rows: pd.DataFrame) -> pd.DataFrame:
@@ -117,8 +121,8 @@ def _sum_counters(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "body": [zlib.compress(total.astype("<u8").tobytes(), 1)]})
 
 
-def counters(docs: DataFrame) -> np.ndarray:
-    rows = docs.select("text").mapInArrow(_counters, "chunk int, body binary").groupBy("chunk").applyInPandas(_sum_counters, "chunk int, body binary").collect()
+def counters(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    rows = docs.select("text").mapInArrow(_counters(words), "chunk int, body binary").groupBy("chunk").applyInPandas(_sum_counters, "chunk int, body binary").collect()
     total = np.zeros(1 << COUNTERS, np.int64)
     for r in rows:
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["body"]), "<u8")
@@ -140,18 +144,21 @@ def boundary_for(total: np.ndarray, percent: int = PERCENT) -> int:
     return n
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _each(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_id(x) for x in sets], pa.int64())], ["doc_id", "n", "node"])
+def _nodes(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _each(batches, words):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_id(x) for x in sets], pa.int64())], ["doc_id", "n", "node"])
+
+    return run
 
 
-def _entries(shared) -> Callable:  # noqa: ANN001
+def _entries(shared: Broadcast, words: int, percent: int) -> Callable:
     """Entries of inverted lists and subset keys (m > 0: the partner's size); of equal sets in a task only the first makes any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last, boundary = shared.value
         seen: set[int] = set()
-        for _, sets in _each(batches):
+        for _, sets in _each(batches, words):
             token, node, size, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x in sets:
                 n = len(x)
@@ -162,15 +169,15 @@ def _entries(shared) -> Callable:  # noqa: ANN001
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(s)
-                if min(partners(n)) <= boundary:
-                    keys = list(subset_keys(x, boundary))
+                if min(partners(n, percent)) <= boundary:
+                    keys = list(subset_keys(x, boundary, percent))
                     token.append(np.array([k - 2**63 for k, _ in keys], np.int64))
                     other.append(np.array([m for _, m in keys], np.int64))
                     node.append(np.full(len(keys), s))
                     size.append(np.full(len(keys), n))
                 if n > boundary:
                     late = rare_last[(x >> np.uint64(62 - COUNTERS)).astype(np.int64)]
-                    p = prefix(n)
+                    p = prefix(n, percent)
                     first = x[~late][:p]
                     if len(first) < p:
                         first = np.concatenate([first, x[late][: p - len(first)]])
@@ -183,10 +190,13 @@ def _entries(shared) -> Callable:  # noqa: ANN001
     return run
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _each(batches):
-        body = [np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes() for x in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
+def _bodies(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _each(batches, words):
+            body = [np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
+
+    return run
 
 
 # --- lists and pairs --------------------------------------------------------------------------------------------------
@@ -266,23 +276,23 @@ def _linked(percent: int) -> Callable:
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))
-    sets = docs.select("text").mapInArrow(_bodies, "node long, body binary").filter(among(ids)("node")).dropDuplicates(["node"])
+    sets = docs.select("text").mapInArrow(_bodies(words), "node long, body binary").filter(among(ids)("node")).dropDuplicates(["node"])
     sets = written(sets, "sets")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
     return written(two.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between different sets that join them as all links would."""
-    total = counters(docs)
-    boundary = boundary_for(total)
+    total = counters(docs, words)
+    boundary = boundary_for(total, percent)
     rare_last = np.concatenate([frequent(total), np.zeros(3 << COUNTERS, bool)])
     shared = docs.sparkSession.sparkContext.broadcast((rare_last, boundary))
-    entries = docs.select("text").mapInArrow(_entries(shared), "token long, node long, n int, m int")
+    entries = docs.select("text").mapInArrow(_entries(shared, words, percent), "token long, node long, n int, m int")
 
     keyed = written(entries.filter("m > 0").select("token", "node", "n", "m").distinct(), "subsets")
     least = keyed.groupBy("token", "n").agg(F.min("node").alias("least"))
@@ -293,22 +303,22 @@ def links(docs: DataFrame) -> DataFrame:
     met = lists.filter("before is not null").groupBy("node", "before").count()
     most = met.groupBy("node").agg(F.max_by("before", F.struct("count", "before")).alias("before"))
     first = written(most.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct(), "pairs")
-    edges = written(small.select("a", "b").unionByName(verified(first, docs)).distinct(), "links")
+    edges = written(small.select("a", "b").unionByName(verified(first, docs, words, percent)).distinct(), "links")
 
     labels = components(edges)
     named = lists.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named, "named-lists")
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     rows = named.join(mixed, "token", "left_semi").select("token", "n", "node", "label").repartition("token").sortWithinPartitions("token", "n", "node")
-    rest = written(rows.mapInArrow(_fitting(PERCENT), "a long, b long").distinct(), "pairs")
-    return edges.unionByName(verified(rest.join(first, ["a", "b"], "left_anti"), docs))
+    rest = written(rows.mapInArrow(_fitting(percent), "a long, b long").distinct(), "pairs")
+    return edges.unionByName(verified(rest.join(first, ["a", "b"], "left_anti"), docs, words, percent))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row. Links need a Jaccard similarity of percent / 100 on shingles of so many words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = written(docs.mapInArrow(_nodes, "doc_id long, n int, node long"), "nodes")
-    labels = components(links(docs))
+    nodes = written(docs.mapInArrow(_nodes(words), "doc_id long, n int, node long"), "nodes")
+    labels = components(links(docs, words, percent))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     some = named.filter("n > 0").join(least, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -316,10 +326,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
-def near_distinct(docs: DataFrame) -> DataFrame:
+def near_distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one with the smallest id; rows with a null id stay."""
-    stay = jaccard_components(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = jaccard_components(docs, words, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sportlake.llm import decontamination, exact_dedup, jaccard_join, language, mixing, quality, suffix_dedup, tokens, toxicity
+from sportlake.llm import decontamination, exact_dedup, jaccard_join, language, licenses, mixing, quality, suffix_dedup, tokens, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.query,
     "op2_mix_sources": mixing.query,
     "op3_quality": quality.query,
     "op4_decontaminate": decontamination.query,
