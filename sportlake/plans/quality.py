@@ -59,7 +59,7 @@ QUERIES = {
     "joi15_map_matches": (lambda a: joi.map_matches(joi.role_teams(a.matches().filter("match_id % 2 = 0"), a.teams()), joi.role_teams(a.matches().filter("match_id % 3 = 0"), a.teams())), "SELECT s.match_id AS source_id, (SELECT min(t.match_id) FROM matches t WHERE t.match_id % 3 = 0 AND t.match_date = s.match_date AND t.home_team_id = s.home_team_id AND t.away_team_id = s.away_team_id) AS target_id FROM matches s WHERE s.match_id % 2 = 0"),
     "joi16_remap_events": (lambda a: joi.remap_events(a.goals().select("goal_id", "match_id", "player_id", "assist_player_id"), {"match_id": id_map(a.matches(), "match_id", 9, 100), "player_id": id_map(a.players(), "player_id", 10, 5)}, {"assist_player_id": id_map(a.players(), "player_id", 4, 7)}), "SELECT goal_id, match_id + 100 AS match_id, player_id + 5 AS player_id, CASE WHEN assist_player_id % 4 <> 0 THEN assist_player_id + 7 END AS assist_player_id FROM goals WHERE match_id % 9 <> 0 AND player_id % 10 <> 0"),
     "joi17_match_surname": (lambda a: joi.match_surname(a.raw("part").select(F.col("p_partkey").cast("string").alias("name")), a.players()).select("name", "player_id"), "SELECT (player_id - 1)::VARCHAR AS name, player_id FROM players"),
-    "joi18_enrich_by_lastname": (lambda a: joi.enrich_by_lastname(a.players().select("player_id", "normalized_name", F.col("normalized_name").alias("name"), "height_cm"), a.players().filter("player_id % 50 = 0").select("player_id", F.col("normalized_name").alias("name"), "height_cm"), ["height_cm"]).select("player_id", "donor_id"), "SELECT p.player_id, CASE WHEN any_value(n) = 1 THEN min(d.player_id) ELSE min(d.player_id) FILTER (d.normalized_name = p.normalized_name) END AS donor_id FROM players p LEFT JOIN (SELECT player_id, normalized_name, count(*) OVER (PARTITION BY split_part(normalized_name, ' ', -1)) AS n FROM players WHERE player_id % 50 = 0) d ON split_part(d.normalized_name, ' ', -1) = split_part(p.normalized_name, ' ', -1) GROUP BY 1"),
+    "joi18_enrich_by_lastname": (lambda a: joi.enrich_by_lastname(a.players().select("player_id", "normalized_name", F.col("normalized_name").alias("name"), "height_cm"), a.players().filter("player_id % 50 = 0").select("player_id", F.col("normalized_name").alias("name"), "height_cm"), ["height_cm"]).select("player_id", "donor_id"), "SELECT p.player_id, CASE WHEN any_value(n) = 1 THEN min(d.player_id) ELSE min(d.player_id) FILTER (contains(d.normalized_name, p.normalized_name) OR contains(p.normalized_name, d.normalized_name)) END AS donor_id FROM players p LEFT JOIN (SELECT player_id, normalized_name, count(*) OVER (PARTITION BY split_part(normalized_name, ' ', -1)) AS n FROM players WHERE player_id % 50 = 0) d ON split_part(d.normalized_name, ' ', -1) = split_part(p.normalized_name, ' ', -1) GROUP BY 1"),
     "cor01_merge_entities": (lambda a: cor.merge_entities(a.matches(), ["home_team_id", "away_team_id"], mapping(a)).select("match_id", "home_team_id", "away_team_id"), MAPPING + "SELECT match_id, coalesce(h.new_id, home_team_id) AS home_team_id, coalesce(w.new_id, away_team_id) AS away_team_id FROM matches LEFT JOIN mp h ON h.old_id = home_team_id LEFT JOIN mp w ON w.old_id = away_team_id"),
     "cor01_merge_counts": (lambda a: cor.merge_counts({"matches": (a.matches(), ["home_team_id", "away_team_id"])}, mapping(a)), "SELECT 'matches' AS table_name, 'home_team_id' AS column_name, count(*) AS rows FROM matches WHERE home_team_id >= 18 UNION ALL SELECT 'matches', 'away_team_id', count(*) FROM matches WHERE away_team_id >= 18"),
     "cor02_drop_duplicate_matches": (lambda a: cor.cascade(a.goals(), cor.drop_duplicate_matches(a.matches(), ["season_competition_id", "match_date", "home_team_id"])[1]).groupBy("match_id").agg(F.count("*").alias("goals")), "SELECT match_id, count(*) AS goals FROM goals WHERE match_id IN (SELECT min(match_id) FROM matches GROUP BY season_competition_id, match_date, home_team_id) GROUP BY 1"),
