@@ -139,3 +139,17 @@ def counts_per_match(m: DataFrame, **events: DataFrame) -> DataFrame:
 
 def latest_match_lineup(lineups: DataFrame) -> DataFrame:
     return cross_one(lineups, lineups.agg(F.max("match_id").alias("last"))).filter("match_id = last").drop("last")
+
+
+def token_join(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Pairs where the name stands in the text: found by a shared token, so nothing is compared with everything, then checked whole."""
+    tokens = lambda df, c: df.withColumn("_token", F.explode(F.array_distinct(F.split(F.lower(c), r"\s+")))).filter("_token <> ''")
+    last = names.withColumn("_token", F.element_at(F.split(F.lower(name), r"\s+"), -1))
+    return tokens(texts, text).join(last, "_token").filter(F.lower(text).contains(F.lower(name))).drop("_token").distinct()
+
+
+def match_profiles(profiles: DataFrame, players: DataFrame) -> DataFrame:
+    """Profiles (profile_id, full_name) to players: the same name, else a player's name within the full name; all hits."""
+    exact = profiles.join(players.select("player_id", F.col("name").alias("full_name")), "full_name").select("profile_id", "player_id")
+    left = profiles.join(exact, "profile_id", "left_anti")
+    return exact.unionByName(token_join(left, "full_name", players.select("player_id", "name"), "name").select("profile_id", "player_id"))

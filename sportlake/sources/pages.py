@@ -119,3 +119,55 @@ def collected_cards(cards: DataFrame, substitutions: DataFrame) -> DataFrame:
     icons = cards.filter("minute IS NULL").select("match_id", "player_id", "card_type", F.lit(None).cast("int").alias("minute"))
     shown = substitutions.filter("minute % 2 = 0").select("match_id", F.col("player_off_id").alias("player_id"), F.lit("yellow").alias("card_type"), "minute")
     return icons.unionByName(shown)
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Pages as season tables, one folder per season, for scan tests and exchange."""
+    pages.write.partitionBy("season").parquet(folder)
+
+
+def parsed_matches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Match headers and the pages that have none: a failed page goes to the second table and stops nothing. pages: match_id, html."""
+    head = tx.parse_header_score(F.regexp_extract("html", r"<b>(.*?)</b>", 1))
+    out = pages.select("match_id", head.alias("x")).select("match_id", "x.*")
+    return out.filter("home IS NOT NULL"), out.filter("home IS NULL").select("match_id", F.lit("no header").alias("error"))
+
+
+def header_pages(m: DataFrame, teams: DataFrame) -> DataFrame:
+    """Detail pages made from matches; those without scores have a broken header."""
+    name = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(side))
+    rows = m.join(name("home"), "home_team_id").join(name("away"), "away_team_id")
+    line = F.concat("home", F.lit(" - "), "away", F.lit(" "), "home_score", F.lit(":"), "away_score", F.lit(" ("), "halftime_home", F.lit(":"), "halftime_away", F.lit(")"))
+    return rows.select("match_id", F.concat(F.lit("<html><b>"), F.coalesce(line, F.lit("?")), F.lit("</b></html>")).alias("html"))
+
+
+def parse_statistics(good: DataFrame, failed: DataFrame) -> DataFrame:
+    return good.agg(F.lit("ok").alias("status"), F.count("*").alias("n")).unionByName(failed.agg(F.lit("failed").alias("status"), F.count("*").alias("n")))
+
+
+def standings_rows(pages: DataFrame, focal: str) -> DataFrame:
+    """Place, goals and points of the focal row per matchday page: 'N. Name a - b points'."""
+    pattern = rf"(\d+)\.\s*{focal}\s+(\d+)\s*-\s*(\d+)\s+(\d+)"
+    number = lambda k: tx.some(F.col("html"), pattern, k).cast("int")
+    return pages.select("season_competition_id", number(1).alias("position"), number(2).alias("goals_for"), number(3).alias("goals_against"), number(4).alias("points")).filter("position IS NOT NULL")
+
+
+def reserve_players(pages: DataFrame) -> DataFrame:
+    """Bench players: the comma-separated names after 'Reserve:'."""
+    names = F.explode(F.split(F.regexp_extract("html", r"Reserve:\s*([^<]*)", 1), r",\s*")).alias("name")
+    return pages.select("match_id", names).filter("name <> ''")
+
+
+def team_block(cells: DataFrame) -> DataFrame:
+    """Line-up cells to players: number, starter flag, profile link; later cells of a name complete earlier ones. cells: match_id, at, cell."""
+    text = tx.normalize_whitespace(F.regexp_replace("cell", "<[^>]*>", " "))
+    rows = cells.select("match_id", "at", F.regexp_replace(text, r"^\d+\s+", "").alias("name"), tx.some(text, r"^(\d+)\s").cast("int").alias("number"), tx.some(F.col("cell"), r'href="([^"]*)"').alias("profile_url"), (~F.col("cell").contains("Reserve")).alias("starter"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    return rows.groupBy("match_id", "name").agg(first("number"), first("profile_url"), F.bool_and("starter").alias("is_starter"))
+
+
+def friendly_blocks(pages: DataFrame, mark: str = "<hr>") -> DataFrame:
+    """Simplified blocks of friendlies: date or month, score, opponent; every block of a page counts."""
+    blocks = explode_blocks(pages, mark)
+    score = r"(\d+):(\d+)"
+    return blocks.select("page_id", "block", F.coalesce(tx.parse_german_date(F.col("html")), tx.parse_approx_month(F.regexp_extract("html", r"(ca\.\s+\p{L}+\s+\d{4})", 1))).alias("match_date"), tx.some(F.col("html"), score, 1).cast("int").alias("home_score"), tx.some(F.col("html"), score, 2).cast("int").alias("away_score"))
