@@ -11,7 +11,7 @@ from sportlake.functions import text as tx
 def scan_pages(spark: SparkSession, path: str, seasons: list[str] | None = None) -> DataFrame:
     """HTML files under season folders (YYYY-YY): url, season, html read as latin-1."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.htm*").load(path)
-    out = files.select(F.col("path").alias("url"), tx.some(F.col("path"), r"/(\d{4}-\d{2})/").alias("season"), F.decode("content", F.lit("ISO-8859-1")).alias("html"))
+    out = files.select(F.col("path").alias("url"), tx.some(F.col("path"), r"/(\d{4}-\d{2})/").alias("season"), F.decode("content", "ISO-8859-1").alias("html"))
     return out.filter(F.col("season").isin(seasons)) if seasons else out.filter("season IS NOT NULL")
 
 
