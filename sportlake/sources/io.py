@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own where the session names none."""
+    """A new folder under the one that the driver and all executors see, or under one of our own where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="sportlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="sportlake-"))
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
