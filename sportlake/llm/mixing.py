@@ -112,7 +112,10 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """The mix itself: documents once for each whole pass, and the first words of those that the last pass cuts. The columns of docs."""
+    """The mix itself: documents once for each whole pass, and the first words of those that the last pass cuts. The columns of docs.
+
+    Rows that share a doc_id are all taken as often as the one of them that is taken most.
+    """
     takes = mixed(docs, block, seed).filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
     words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
     copies = docs.join(takes, "doc_id").withColumn("_pass", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))
