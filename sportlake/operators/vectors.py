@@ -23,11 +23,14 @@ def cosine(a: str = "embedding", b: str = "q_embedding") -> Column:
 
 
 def with_queries(base: DataFrame, queries: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every base vector beside every query. Queries are a stated set of at most `most` rows, and so broadcast; more are refused."""
+    """Every base vector beside every query. At most about `most` queries are broadcast at a time; more go in parts by hash."""
     q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_embedding"), F.col("label").alias("q_label")).filter("q_embedding IS NOT NULL")
-    if q.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; pass them in parts")
-    return base.filter("embedding IS NOT NULL").crossJoin(F.broadcast(q))
+    parts, out = -(-q.count() // most), None
+    for part in range(max(1, parts)):
+        mine = q if parts <= 1 else q.filter(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == part)
+        pairs = base.filter("embedding IS NOT NULL").crossJoin(F.broadcast(mine))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:

@@ -36,7 +36,7 @@ def base(a):  # noqa: ANN001, ANN201
 
 
 def asked(a):  # noqa: ANN001, ANN201
-    return a.raw("embeddings").filter("vec_id < 10")
+    return a.raw("embeddings").filter("vec_id % 20 = 0")
 
 
 QUERIES = {
@@ -64,14 +64,14 @@ QUERIES = {
     "str07_leaderboard": (lambda a: st.run_once(st.leaderboard(st.answer_stream(a)), a, "complete"), POINTS + "SELECT player, sum(points)::BIGINT AS points, count(*) AS questions FROM ap GROUP BY 1"),
     "str08_dedupe_events": (lambda a: st.run_once(st.deduped(st.answer_stream(a), ["player", "round_id", "answer"]), a, "append").groupBy("answer").agg(F.count("*").alias("n")), "SELECT answer, count(*) AS n FROM (SELECT DISTINCT player, round_id, answer FROM answers) GROUP BY 1"),
     "str09_late_answers": (lambda a: st.late_batch(a.answers(), "2 minutes").groupBy("late").agg(F.count("*").alias("n")), "SELECT submitted_at < m - INTERVAL 2 MINUTE AS late, count(*) AS n FROM (SELECT submitted_at, max(submitted_at) OVER (ORDER BY answer_id ROWS UNBOUNDED PRECEDING) AS m FROM answers) GROUP BY 1"),
-    "vec01_cosine_top_k": (lambda a: vec.cosine_top_k(base(a), asked(a), 10).select("q_id", "vec_id", "rank"), f"SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id < 10) WHERE r <= 10"),
-    "vec02_inner_product_top_k": (lambda a: vec.inner_product_top_k(base(a), asked(a), 5).select("q_id", "vec_id", "rank"), "SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id < 10 AND b.label = q.label) WHERE r <= 5"),
-    "vec03_cosine_hints": (lambda a: vec.cosine_hints(base(a), asked(a)).select("q_id", "vec_id"), f"SELECT q_id, vec_id FROM (SELECT q.vec_id AS q_id, b.vec_id, round({COS}, 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id < 10) WHERE r <= 5 AND s >= 0.18"),
-    "vec04_match_band": (lambda a: vec.with_queries(base(a), asked(a)).groupBy(vec.match_band(F.round(vec.cosine(), 9), F.when(F.col("label") % 2 == 0, "player").otherwise("team")).alias("band")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN s >= CASE WHEN label % 2 = 0 THEN 0.85 ELSE 0.70 END THEN 'accept' WHEN s >= CASE WHEN label % 2 = 0 THEN 0.60 ELSE 0.50 END THEN 'review' ELSE 'reject' END AS band, count(*) AS n FROM (SELECT b.label, round({COS}, 9) AS s FROM embeddings b, embeddings q WHERE q.vec_id < 10) GROUP BY 1"),
+    "vec01_cosine_top_k": (lambda a: vec.cosine_top_k(base(a), asked(a), 10).select("q_id", "vec_id", "rank"), f"SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) WHERE r <= 10"),
+    "vec02_inner_product_top_k": (lambda a: vec.inner_product_top_k(base(a), asked(a), 5).select("q_id", "vec_id", "rank"), "SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0 AND b.label = q.label) WHERE r <= 5"),
+    "vec03_cosine_hints": (lambda a: vec.cosine_hints(base(a), asked(a)).select("q_id", "vec_id"), f"SELECT q_id, vec_id FROM (SELECT q.vec_id AS q_id, b.vec_id, round({COS}, 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) WHERE r <= 5 AND s >= 0.18"),
+    "vec04_match_band": (lambda a: vec.with_queries(base(a), asked(a)).groupBy(vec.match_band(F.round(vec.cosine(), 9), F.when(F.col("label") % 2 == 0, "player").otherwise("team")).alias("band")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN s >= CASE WHEN label % 2 = 0 THEN 0.85 ELSE 0.70 END THEN 'accept' WHEN s >= CASE WHEN label % 2 = 0 THEN 0.60 ELSE 0.50 END THEN 'review' ELSE 'reject' END AS band, count(*) AS n FROM (SELECT b.label, round({COS}, 9) AS s FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) GROUP BY 1"),
     "vec05_missing_embeddings": (lambda a: vec.missing_embeddings(a.players().select(F.col("player_id").alias("vec_id")), base(a), "vec_id", 100).select("vec_id"), "SELECT player_id AS vec_id FROM players WHERE player_id NOT IN (SELECT vec_id FROM embeddings)"),
     "vec06_upsert_embeddings": (lambda a: st.upsert_vectors(base(a).select("vec_id", "label"), base(a).filter("vec_id % 5 = 0").select("vec_id", F.lit(99).alias("label")), ["vec_id"]), "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 99 ELSE label END::INT AS label FROM embeddings"),
     "vec07_approx_top_k": (lambda a: vec.approx_top_k(base(a), asked(a), 10), None),
-    "vec08_resolve_mentions": (lambda a: vec.mentions(a.raw("documents").select("doc_id", "text"), "doc_id", a.raw("part").select(F.col("p_partkey").alias("entity_id"), F.concat(F.substring("p_name", 1, 3), F.lit(" the")).alias("name")).filter("entity_id < 5")), "x AS (SELECT DISTINCT doc_id, unnest(string_split(lower(trim(regexp_replace(regexp_replace(translate(text, '" + MARKED + "', '" + PLAIN + r"'), '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))), ' ')) AS token FROM documents)" + "\n--\nSELECT DISTINCT doc_id, p_partkey AS entity_id FROM x, part WHERE p_partkey < 5 AND length(token) >= 3 AND (token = 'the' OR token = trim(substr(p_name, 1, 3)))"),
+    "vec08_resolve_mentions": (lambda a: vec.mentions(a.raw("documents").select("doc_id", "text"), "doc_id", a.raw("region").select(F.col("r_regionkey").alias("entity_id"), F.concat(F.substring(F.lit("the que und con les"), F.col("r_regionkey") * 4 + 1, F.lit(3)), F.lit(" of")).alias("name"))), "x AS (SELECT DISTINCT doc_id, unnest(string_split(lower(trim(regexp_replace(regexp_replace(translate(text, '" + MARKED + "', '" + PLAIN + r"'), '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))), ' ')) AS token FROM documents)" + "\n--\nSELECT DISTINCT doc_id, r_regionkey AS entity_id FROM x JOIN region ON token = substr('the que und con les', r_regionkey * 4 + 1, 3)"),
     "src06_scan_table": (lambda a: io.scan_table(a.spark, a.folder, "supplier", ["s_suppkey", "s_name"]), "SELECT s_suppkey, s_name FROM supplier"),
     "src07_coerce_dates": (lambda a: io.coerce_dates(a.matches().select("match_id", F.when(F.col("match_id") % 3 == 0, F.date_format("match_date", "d.M.yyyy")).when(F.col("match_id") % 3 == 1, F.col("match_date").cast("string")).otherwise("31.09.1972").alias("d")), ["d"]), "SELECT match_id, CASE WHEN match_id % 3 < 2 THEN match_date END AS d FROM matches"),
     "src08_coerce_booleans": (lambda a: io.coerce_booleans(a.lineups().select("match_id", "player_id", F.col("is_starter").cast("int").alias("is_starter")), ["is_starter"]), "SELECT match_id, player_id, is_starter FROM lineups"),
