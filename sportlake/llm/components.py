@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sportlake.llm.common import written
 
 
+#: Edges that one task joins up by itself.
+SHARE = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins up the edges of a partition: an edge from each node to the smallest of its part."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    edges = [(x, top(x)) for x in list(up)]
+    edges = [(x, r) for x, r in edges if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([r for _, r in edges], pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, label (the smallest node it is linked with) for every node of edges (a, b: long).
 
-    Alternates the large-star and small-star steps until every edge joins a node to its label. Each round is written out.
+    Tasks join up shares of the edges first, so that at most an edge for each node and share is left. Then large-star and small-star
+    steps take turns until every edge joins a node to its label. Each round is written out.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = written(now.repartition(1 + now.count() // SHARE).mapInArrow(_forest, "u long, v long").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,4 +56,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
-    return now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
