@@ -9,9 +9,10 @@ lists take over; that boundary comes from the counted frequencies. A pair goes b
 
 The links wanted are those that make components, so lists are read twice. First each set meets its neighbour in the list by
 size; for each set the partner it meets most often is verified on whole sets, and the links merge. Then, in lists that still hold several
-components, all pairs of different components and fitting sizes are verified. Pairs inside a component cannot change it.
+components, all pairs of different components and fitting sizes are counted; those that share enough of their prefixes are
+verified. Pairs inside a component cannot change it.
 
-Shingles and sets are known by 64-bit hashes. Frequencies are counted in 2**20 hashed counters over all
+Shingles and sets are known by 64-bit hashes. Frequencies are counted in 2**24 hashed counters over all
 texts; they only set the order of shingles, so collisions cost time and no link.
 
 Nulls, ties and odd rows: a null or blank text has an empty set and links with nothing; its component is its own id. Repeated rows
@@ -32,17 +33,23 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, mix64, text_bytes, word_hashes, written
+from sportlake.llm.common import arrow_batches, documents, mix64, text_bytes, word_hashes, written
 from sportlake.llm.components import components
 from sportlake.llm.suffix_dedup import among
 
 WORDS = 4
 PERCENT = 85
-COUNTERS = 20
+COUNTERS = 24
 #: Only shingles with hashes below this share of all are counted; prefixes seldom reach beyond.
 COUNTED = np.uint64(1 << 62)
 KEPT_BYTES = 6
-CHUNK = 1 << 15
+#: Bytes of a set's sketch: two to four bits for each shingle, within these bounds.
+SKETCH = (32, 1024)
+#: Rows of an Arrow batch; texts and sets are long.
+ROWS = 2000
+CHUNK = 1 << 16
+#: Work on an entry of a list, its pairs' verification included, in terms of naming a subset.
+ENTRY_COST = 8
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -71,7 +78,8 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     n = min(words, len(h))
     x = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(x)])
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(x)]
+    x = mix64(x)
     x.sort()
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
@@ -93,6 +101,39 @@ def subset_keys(x: np.ndarray, boundary: int, percent: int = PERCENT) -> Iterato
                 yield (total - sum(out) + (min(n, m) << 40) + (max(n, m) << 20)) * 0x9E3779B97F4A7C15 + 2**63 & 2**64 - 1, m
 
 
+def slots(x: np.ndarray) -> np.ndarray:
+    """Counters of counted shingles."""
+    return (x >> np.uint64(62 - COUNTERS)).astype(np.int64)
+
+
+def _add(total: np.ndarray, at: np.ndarray) -> None:
+    at, times = np.unique(at, return_counts=True)
+    total[at] += times.astype(np.uint32)
+
+
+def first_of(x: np.ndarray, flags: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The prefix of a set - in order of hash, frequent shingles last - and how many of it are not frequent."""
+    late, p = is_frequent(x, flags), prefix(len(x), percent)
+    first = x[~late][:p]
+    return (first, p) if len(first) == p else (np.concatenate([first, x[late][: p - len(first)]]), len(first))
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """A bit for each shingle at a hashed place."""
+    size = min(max(SKETCH[0], 1 << (len(x) // 4 - 1).bit_length()), SKETCH[1])
+    bits = np.zeros(8 * size, np.uint8)
+    bits[(x & np.uint64(8 * size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch that the set has at a smaller size."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
 # --- passes over the texts --------------------------------------------------------------------------------------------
 
 
@@ -105,96 +146,124 @@ def _each(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
 
 def _counters(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
+        total, held, size = np.zeros(1 << COUNTERS, np.uint32), [np.zeros(0, np.int64)], 0
         for _, sets in _each(batches, words):
-            x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            total += np.bincount((x[x < COUNTED] >> np.uint64(62 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+            for x in sets:
+                held.append(slots(x[x < COUNTED]))
+                size += len(held[-1])
+            if size > 1 << 20:
+                _add(total, np.concatenate(held))
+                held, size = held[:1], 0
+        _add(total, np.concatenate(held))
         chunks = range(0, 1 << COUNTERS, CHUNK)
-        body = [zlib.compress(total[a : a + CHUNK].astype("<u4").tobytes(), 1) for a in chunks]
+        body = [zlib.compress(total[a : a + CHUNK].tobytes(), 1) for a in chunks]
         yield pa.RecordBatch.from_arrays([pa.array([a // CHUNK for a in chunks], pa.int32()), pa.array(body, pa.binary())], ["chunk", "body"])
 
     return run
 
 
 def _sum_counters(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(b), "<u4").astype(np.uint64) for b in rows["body"])
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "body": [zlib.compress(total.astype("<u8").tobytes(), 1)]})
+    total = np.zeros(CHUNK, np.uint32)
+    for b in rows["body"]:
+        total += np.frombuffer(zlib.decompress(b), np.uint32)
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "body": [zlib.compress(total.tobytes(), 1)]})
 
 
 def counters(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     rows = docs.select("text").mapInArrow(_counters(words), "chunk int, body binary").groupBy("chunk").applyInPandas(_sum_counters, "chunk int, body binary").collect()
-    total = np.zeros(1 << COUNTERS, np.int64)
+    total = np.zeros(1 << COUNTERS, np.uint32)
     for r in rows:
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["body"]), "<u8")
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["body"]), np.uint32)
     return total
 
 
+def usual(total: np.ndarray) -> float:
+    """What chance fills a counter with: the mean below the bulk's end."""
+    mean = float(total[total <= np.quantile(total, 0.95)].mean()) if len(total) else 0.0
+    return mean
+
+
 def frequent(total: np.ndarray) -> np.ndarray:
-    """Counters well above what chance fills them with."""
-    mean = float(np.median(total))
-    return total > max(16.0, mean + 6 * mean**0.5)
+    """Counters well above what chance fills them with, as packed bits."""
+    mean = usual(total)
+    return np.packbits(total > max(6.0, mean + 3 * mean**0.5))
+
+
+def is_frequent(x: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    late, counted = np.zeros(len(x), bool), x < COUNTED
+    at = slots(x[counted])
+    late[counted] = flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    return late
 
 
 def boundary_for(total: np.ndarray, percent: int = PERCENT) -> int:
     """The largest size up to which naming subsets costs no more than scanning the lists of a prefix."""
-    lists = float((total.astype(float) ** 2).sum() / max(1, total.sum()))  # entries of the list of an average shingle
+    rare = total[np.unpackbits(frequent(total), count=len(total)) == 0]
+    others = np.maximum(0, rare - usual(total)).sum() / max(1, rare.sum())  # entries beside the own one that chance does not explain
     n = 1
-    while n < 64 and subsets(n + 1, n + 1, percent) <= prefix(n + 1, percent) * max(2.0, lists):
+    while subsets(n + 1, n + 1, percent) <= prefix(n + 1, percent) * (1 + float(others)) * ENTRY_COST:
         n += 1
     return n
 
 
-def _nodes(words: int) -> Callable:
+def _nodes(shared: Broadcast, words: int, percent: int) -> Callable:
+    """The set of each row: its size and hash, the subset keys of a small one with the partner's size of each, the sketch of a large one whose prefix holds frequent shingles."""
+    key = pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare_last, boundary = shared.value
         for batch, sets in _each(batches, words):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_id(x) for x in sets], pa.int64())], ["doc_id", "n", "node"])
+            sketches = [sketch(x) if len(x) > boundary and first_of(x, rare_last, percent)[1] < prefix(len(x), percent) else None for x in sets]
+            small = [[{"key": k - 2**63, "m": m} for k, m in subset_keys(x, boundary, percent)] if len(x) and min(partners(len(x), percent)) <= boundary else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_id(x) for x in sets], pa.int64()), pa.array(small, key), pa.array(sketches, pa.binary())], ["doc_id", "uid", "n", "node", "keys", "sketch"])
 
     return run
 
 
+class _Once:
+    """True for a set the first time in a task; equal sets then stay out of the shuffle. Remembers a million at most."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, node: int) -> bool:
+        if node in self.seen:
+            return False
+        if len(self.seen) < 1_000_000:
+            self.seen.add(node)
+        return True
+
+
 def _entries(shared: Broadcast, words: int, percent: int) -> Callable:
-    """Entries of inverted lists and subset keys (m > 0: the partner's size); of equal sets in a task only the first makes any."""
+    """Entries of the inverted lists of large sets' prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last, boundary = shared.value
-        seen: set[int] = set()
+        once = _Once()
         for _, sets in _each(batches, words):
-            token, node, size, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            token, late, node, size = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
             for x in sets:
                 n = len(x)
-                if not n:
+                if n <= boundary or not once(s := set_id(x)):
                     continue
-                s = set_id(x)
-                if s in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(s)
-                if min(partners(n, percent)) <= boundary:
-                    keys = list(subset_keys(x, boundary, percent))
-                    token.append(np.array([k - 2**63 for k, _ in keys], np.int64))
-                    other.append(np.array([m for _, m in keys], np.int64))
-                    node.append(np.full(len(keys), s))
-                    size.append(np.full(len(keys), n))
-                if n > boundary:
-                    late = rare_last[(x >> np.uint64(62 - COUNTERS)).astype(np.int64)]
-                    p = prefix(n, percent)
-                    first = x[~late][:p]
-                    if len(first) < p:
-                        first = np.concatenate([first, x[late][: p - len(first)]])
-                    token.append(first.view(np.int64))
-                    other.append(np.zeros(p, np.int64))
-                    node.append(np.full(p, s))
-                    size.append(np.full(p, n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(other).astype(np.int32))], ["token", "node", "n", "m"])
+                first, rare = first_of(x, rare_last, percent)
+                token.append(first.view(np.int64))
+                late.append(np.arange(len(first)) >= rare)
+                node.append(s)
+                size.append(n)
+            times = [len(t) for t in token[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.repeat(np.array(node, np.int64), times)), pa.array(np.repeat(np.array(size, np.int32), times)), pa.array(np.concatenate(late))], ["token", "node", "n", "late"])
 
     return run
 
 
 def _bodies(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
         for _, sets in _each(batches, words):
-            body = [np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
+            kept = [(s, x) for x in sets if len(x) and once(s := set_id(x))]
+            body = [np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes() for _, x in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in kept], pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
 
     return run
 
@@ -205,52 +274,82 @@ def _bodies(words: int) -> Callable:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of token, n, node. Without repeats and lists of one; before: the node that comes before in the list."""
     none = np.zeros(0, np.int64)
-    token, node, n = none, none, none  # up to two rows held back: the last, and the one before it
+    token, node, n, late = none, none, none, none.astype(bool)  # up to two rows held back: the last, and the one before it
     emitted = True
 
-    def rows(token: np.ndarray, node: np.ndarray, n: np.ndarray, first: int, last: int) -> pa.RecordBatch:
+    def rows(token: np.ndarray, node: np.ndarray, n: np.ndarray, late: np.ndarray, first: int, last: int) -> pa.RecordBatch:
         same = np.concatenate([[False], token[1:] == token[:-1], [False]])
         keep = np.flatnonzero(same[:-1] | same[1:])
         keep = keep[(keep >= first) & (keep < last)]
-        return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(n[keep].astype(np.int32)), pa.array(node[np.maximum(keep - 1, 0)], mask=~same[keep])], ["token", "node", "n", "before"])
+        return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(n[keep].astype(np.int32)), pa.array(node[np.maximum(keep - 1, 0)], mask=~same[keep]), pa.array(late[keep])], ["token", "node", "n", "before", "late"])
 
     for batch in batches:
         if not len(batch):
             continue
-        t, s, k = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((token, "token"), (node, "node"), (n, "n")))
+        t, s, k, f = (np.concatenate([old, batch.column(c).to_numpy(zero_copy_only=False)]) for old, c in ((token, "token"), (node, "node"), (n, "n"), (late, "late")))
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
-        t, s, k = t[new], s[new], k[new]
+        t, s, k, f = t[new], s[new], k[new], f[new]
         held = 0 if emitted else max(0, len(token) - 1)
-        yield rows(t, s, k, held, len(t) - 1)
-        token, node, n = t[-2:], s[-2:], k[-2:]
+        yield rows(t, s, k, f, held, len(t) - 1)
+        token, node, n, late = t[-2:], s[-2:], k[-2:], f[-2:]
         emitted = False
     if len(token):
-        yield rows(token, node, n, len(token) - 1, len(token))
+        yield rows(token, node, n, late, len(token) - 1, len(token))
+
+
+def possible(row: np.ndarray, bits: bytes | None, others: np.ndarray, other_bits: list[bytes | None], percent: int) -> np.ndarray:
+    """Which of the others may link with a row (n, node, label), by their sketches; all of those without one.
+
+    A shingle whose bit the other sketch lacks is not in the other set.
+    """
+    fine = np.ones(len(others), bool)
+    if bits is None:
+        return fine
+    mine = np.frombuffer(bits, np.uint8)
+    sizes = np.array([len(b) if b is not None else 0 for b in other_bits])
+    for size in set(sizes[sizes > 0].tolist()):
+        least = min(size, len(mine))
+        at = np.flatnonzero(sizes == size)
+        theirs = folded(np.frombuffer(b"".join(other_bits[k] for k in at), np.uint8).reshape(len(at), size), least).view(np.uint64)
+        own = np.ascontiguousarray(folded(mine, least)).view(np.uint64)
+        n, m = row[0], others[at, 0]
+        common = np.minimum(n - np.bitwise_count(own & ~theirs).sum(axis=1), m - np.bitwise_count(theirs & ~own).sum(axis=1))
+        fine[at] = common >= -(-percent * (n + m) // (100 + percent))
+    return fine
 
 
 def _fitting(percent: int) -> Callable:
-    """Rows in order of token, n. All pairs of a list with different labels and sizes near enough."""
+    """Rows in order of token, n. Pairs of a list with different labels and sizes near enough, unless their sketches rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held = None, np.zeros((0, 3), np.int64)
+        token, held, held_bits = None, np.zeros((0, 3), np.int64), []
         for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [np.zeros((0, 4), np.int64)]
             rows = np.stack([batch.column(c).to_numpy() for c in ("token", "n", "node", "label")], axis=1).astype(np.int64) if len(batch) else np.zeros((0, 4), np.int64)
-            for part in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
-                if not len(part):
+            bits = batch.column("sketch").to_pylist()
+            edges = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
                     continue
-                if part[0, 0] != token:
-                    token, held = part[0, 0], held[:0]
-                every = np.concatenate([held, part[:, 1:]])
+                if rows[a, 0] != token:
+                    token, held, held_bits = rows[a, 0], held[:0], []
+                every, every_bits = np.concatenate([held, rows[a:b, 1:]]), held_bits + bits[a:b]
+                full = -(-percent * every[:, 0] // 100)
                 for k in range(len(held), len(every)):
-                    n, node, label = every[k]
-                    low = int(np.searchsorted(every[:k, 0], -(-percent * n // 100)))
-                    there = every[low:k]
-                    there = there[there[:, 2] != label, 1]
-                    a.append(np.minimum(there, node))
-                    b.append(np.maximum(there, node))
-                held = every[np.searchsorted(every[:, 0], -(-percent * every[-1, 0] // 100)) :]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    low = int(np.searchsorted(every[:k, 0], full[k]))
+                    other = np.flatnonzero(every[low:k, 2] != every[k, 2]) + low
+                    if len(other) and every_bits[k] is not None:
+                        other = other[possible(every[k], every_bits[k], every[other], [every_bits[x] for x in other], percent)]
+                    if len(other):
+                        n, node, _ = every[k]
+                        pair, first = np.empty((len(other), 4), np.int64), every[other, 1] < node
+                        pair[:, 0], pair[:, 1] = np.where(first, every[other, 1], node), np.where(first, node, every[other, 1])
+                        pair[:, 2], pair[:, 3] = np.where(first, every[other, 0], n), np.where(first, n, every[other, 0])
+                        found.append(pair)
+                keep = int(np.searchsorted(every[:, 0], full[-1]))
+                held, held_bits = every[keep:], every_bits[keep:]
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "b", "n_a", "n_b"])
 
     return run
 
@@ -276,56 +375,69 @@ def _linked(percent: int) -> Callable:
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link."""
-    ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))
-    sets = docs.select("text").mapInArrow(_bodies(words), "node long, body binary").filter(among(ids)("node")).dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link. Only texts with one of those sets are read into sets again."""
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = nodes.join(ids, "node", "left_semi").select("uid")
+    sets = docs.filter(among(texts)("uid")).select("text").mapInArrow(_bodies(words), "node long, body binary").dropDuplicates(["node"])
+    sets = written(sets.join(ids, "node", "left_semi"), "sets")
+    one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
     return written(two.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, shared: Broadcast, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between different sets that join them as all links would."""
-    total = counters(docs, words)
-    boundary = boundary_for(total, percent)
-    rare_last = np.concatenate([frequent(total), np.zeros(3 << COUNTERS, bool)])
-    shared = docs.sparkSession.sparkContext.broadcast((rare_last, boundary))
-    entries = docs.select("text").mapInArrow(_entries(shared, words, percent), "token long, node long, n int, m int")
-
-    keyed = written(entries.filter("m > 0").select("token", "node", "n", "m").distinct(), "subsets")
+    keyed = nodes.filter("keys is not null").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("k")).select("node", "n", F.col("k.key").alias("token"), F.col("k.m").alias("m"))
+    keyed = written(keyed, "subsets")
     least = keyed.groupBy("token", "n").agg(F.min("node").alias("least"))
     small = keyed.join(least.select("token", F.col("n").alias("m"), "least"), ["token", "m"]).select(F.col("node").alias("a"), F.col("least").alias("b")).filter("a <> b")
 
-    lists = entries.filter("m = 0").select("token", "node", "n").repartition("token").sortWithinPartitions("token", "n", "node")
-    lists = written(lists.mapInArrow(_neighbours, "token long, node long, n int, before long"), "lists")
-    met = lists.filter("before is not null").groupBy("node", "before").count()
+    entries = docs.select("text").mapInArrow(_entries(shared, words, percent), "token long, node long, n int, late boolean")
+    lists = entries.repartition("token").sortWithinPartitions("token", "n", "node")
+    lists = written(lists.mapInArrow(_neighbours, "token long, node long, n int, before long, late boolean"), "lists")
+    met = lists.filter("before is not null").groupBy("node", "n", "before").count().filter(F.col("count") * 30 >= F.col("n"))  # the others are left to the second reading
     most = met.groupBy("node").agg(F.max_by("before", F.struct("count", "before")).alias("before"))
     first = written(most.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct(), "pairs")
-    edges = written(small.select("a", "b").unionByName(verified(first, docs, words, percent)).distinct(), "links")
+    edges = written(small.select("a", "b").unionByName(verified(first, docs, nodes, words, percent)).distinct(), "links")
 
     labels = components(edges)
-    named = lists.select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = written(named, "named-lists")
+    named = written(lists.select("token", "node", "n", "late").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named-lists")
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    rows = named.join(mixed, "token", "left_semi").select("token", "n", "node", "label").repartition("token").sortWithinPartitions("token", "n", "node")
-    rest = written(rows.mapInArrow(_fitting(percent), "a long, b long").distinct(), "pairs")
-    return edges.unionByName(verified(rest.join(first, ["a", "b"], "left_anti"), docs, words, percent))
+    # Lists of frequent shingles can be long: their entries carry sketches, so that few of the pairs leave the task.
+    sketches = nodes.filter("sketch IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
+    rows = named.join(mixed, "token", "left_semi").select("token", "n", "node", "label", "late")
+    rows = rows.filter("NOT late").withColumn("sketch", F.lit(None).cast("binary")).unionByName(rows.filter("late").join(sketches, "node"))
+    rows = rows.select("token", "n", "node", "label", "sketch").repartition("token").sortWithinPartitions("token", "n", "node")
+    # A shingle of one prefix that stands in both sets stands in both prefixes, unless the other prefix ends before it. So the set whose
+    # prefix ends first shares no more than what it shares of its prefix and all that follows its prefix.
+    after = F.greatest(*(F.ceil(F.col(n) * percent / 100) - 1 for n in ("n_a", "n_b")))
+    least_shared = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    pairs = rows.mapInArrow(_fitting(percent), "a long, b long, n_a long, n_b long").groupBy("a", "b", "n_a", "n_b").count()
+    rest = written(pairs.filter(F.col("count") + after >= least_shared).select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
+    return edges.unionByName(verified(rest, docs, nodes, words, percent))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. Links need a Jaccard similarity of percent / 100 on shingles of so many words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = written(docs.mapInArrow(_nodes(words), "doc_id long, n int, node long"), "nodes")
-    labels = components(links(docs, words, percent))
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("uid"))
+    with arrow_batches(docs.sparkSession, ROWS):
+        nodes, labels = _labelled(docs, words, percent)
+    named = nodes.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     some = named.filter("n > 0").join(least, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = named.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
 
+def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The node of every row and the component of every linked node, both written."""
+    total = counters(docs, words)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent(total), boundary_for(total, percent)))
+    nodes = written(docs.mapInArrow(_nodes(shared, words, percent), "doc_id long, uid long, n int, node long, keys array<struct<key:long,m:int>>, sketch binary"), "nodes")
+    return nodes, components(links(docs, nodes, shared, words, percent))
+
+
 def near_distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one with the smallest id; rows with a null id stay."""
     gone = jaccard_components(docs, words, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
