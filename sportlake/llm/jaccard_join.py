@@ -3,7 +3,7 @@
 A text's set holds its distinct four-word shingles. Equal sets are one node. Two sets of sizes n and m link when they share at
 least need(n, m) shingles. Small sets enumerate: for each size m of a partner, all subsets of need(n, m) shingles, each known
 by the sum of its hashes; two sets of those sizes that name the same subset share it and so link, without more ado. Large sets
-scan inverted lists of the shingles in their prefixes: in a common order of all shingles, frequent ones last, two sets that link
+scan inverted lists of the shingles in their prefixes: in a common order of all shingles, rare ones first, two sets that link
 share one of their first n - need + 1. Where enumerating would name more subsets than the lists hold entries for the size, the
 lists take over; that boundary comes from the counted frequencies. A pair goes by its smaller set.
 
@@ -43,7 +43,7 @@ COUNTERS = 24
 #: Only shingles with hashes below this share of all are counted; prefixes seldom reach beyond.
 COUNTED = np.uint64(1 << 62)
 KEPT_BYTES = 6
-#: Bytes of a set's sketch: two to four bits for each shingle, within these bounds.
+#: Bytes of a set's sketch: one to two bits for each shingle, within these bounds.
 SKETCH = (32, 1024)
 #: Rows of an Arrow batch; texts and sets are long.
 ROWS = 2000
@@ -112,15 +112,16 @@ def _add(total: np.ndarray, at: np.ndarray) -> None:
 
 
 def first_of(x: np.ndarray, flags: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set - in order of hash, frequent shingles last - and how many of it are not frequent."""
-    late, p = is_frequent(x, flags), prefix(len(x), percent)
-    first = x[~late][:p]
-    return (first, p) if len(first) == p else (np.concatenate([first, x[late][: p - len(first)]]), len(first))
+    """The prefix of a set, and how many of it are known to be rare: rare counted shingles, frequent ones, those not counted, each by hash."""
+    p, counted = prefix(len(x), percent), int(np.searchsorted(x, COUNTED))
+    late = is_frequent(x[:counted], flags)
+    rare = x[:counted][~late][:p]
+    return np.concatenate([rare, x[:counted][late], x[counted:]])[:p], len(rare)
 
 
 def sketch(x: np.ndarray) -> bytes:
     """A bit for each shingle at a hashed place."""
-    size = min(max(SKETCH[0], 1 << (len(x) // 4 - 1).bit_length()), SKETCH[1])
+    size = min(max(SKETCH[0], 1 << (len(x) // 8).bit_length()), SKETCH[1])
     bits = np.zeros(8 * size, np.uint8)
     bits[(x & np.uint64(8 * size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -190,10 +191,9 @@ def frequent(total: np.ndarray) -> np.ndarray:
 
 
 def is_frequent(x: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    late, counted = np.zeros(len(x), bool), x < COUNTED
-    at = slots(x[counted])
-    late[counted] = flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-    return late
+    """Of counted shingles."""
+    at = slots(x)
+    return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def boundary_for(total: np.ndarray, percent: int = PERCENT) -> int:
