@@ -239,8 +239,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = found.groupBy("bucket").agg(F.count("*").alias("k"), F.max("several").alias("several")).filter("k > 1 or several").select("bucket")
     kept = written(found.join(shared, "bucket", "left_semi").select("bucket", "segment", "n", "uid", "first"), "kept-segments")
     one = kept.groupBy("bucket", "segment", "n").agg(F.count("*").alias("times"), F.min(F.struct("uid", "first")).alias("at"))
-    counts = one.groupBy("bucket").agg(F.ceil(F.count("*") / SEGMENTS).alias("shares"))
-    one = written(one.join(counts, "bucket").select("bucket", "segment", "n", "times", "shares", "at.uid", "at.first"), "one-of-each")
+    one = written(one.select("bucket", "segment", "n", "times", "at.uid", "at.first"), "one-of-each")
+    large = one.groupBy("bucket").agg(F.ceil(F.count("*") / SEGMENTS).alias("shares")).filter("shares > 1")
+    one = one.join(large, "bucket", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("long")))
     wanted = one.groupBy("uid").agg(F.collect_list(F.struct("bucket", "segment", "n", "times", "shares", "first")).alias("wanted"))
     sources = docs.select("uid", "text").filter(among(one.select("uid"))("uid")).dropDuplicates(["uid"])
     bodies = sources.join(wanted, "uid").select("text", "wanted").mapInArrow(_bodies(length), "bucket long, segment long, n int, times long, shares long, body binary")
