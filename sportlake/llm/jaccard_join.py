@@ -43,8 +43,8 @@ COUNTERS = 24
 #: Only shingles with hashes below this share of all are counted; prefixes seldom reach beyond.
 COUNTED = np.uint64(1 << 62)
 KEPT_BYTES = 6
-#: Bytes of a set's sketch: four to eight bits for each shingle, within these bounds.
-SKETCH = (32, 2048)
+#: Bytes of a set's sketch: eight to sixteen bits for each shingle, within these bounds.
+SKETCH = (32, 4096)
 #: Rows of an Arrow batch; texts and sets are long.
 ROWS = 2000
 CHUNK = 1 << 16
@@ -121,7 +121,7 @@ def first_of(x: np.ndarray, flags: np.ndarray, percent: int) -> tuple[np.ndarray
 
 def sketch(x: np.ndarray) -> bytes:
     """A bit for each shingle at a hashed place."""
-    size = min(max(SKETCH[0], 1 << (len(x) // 2).bit_length()), SKETCH[1])
+    size = min(max(SKETCH[0], 1 << len(x).bit_length()), SKETCH[1])
     bits = np.zeros(8 * size, np.uint8)
     bits[(x & np.uint64(8 * size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
