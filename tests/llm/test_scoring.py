@@ -107,3 +107,14 @@ def test_licenses(spark):
     docs = [(1, f"intro words\n{t['MIT']}\nmore"), (2, "x " * 300 + t["MIT-text"].replace("Software", "SOFTWARE") + " y" * 200 + "\n" + t["Apache-2.0"]), (3, "a licence to print money, some say"), (4, None), (5, ""), (6, f"{t['GPL-3.0']} {t['all-rights-reserved']}"), (7, t["all-rights-reserved"])]
     got = {(r["doc_id"], r["license"]) for r in licenses.license_notices(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT"), (2, "MIT-text"), (2, "Apache-2.0"), (6, "GPL-3.0"), (6, "all-rights-reserved"), (7, "all-rights-reserved")}
+
+
+def test_all_licenses_of_a_block(spark):
+    t = licenses.TEMPLATES
+    held = ["MIT-text", "Apache-2.0-header", "GPL-3.0-header", "CC-BY-NC-4.0", "all-rights-reserved"]
+    text = "\n".join([*(t[k] for k in held), "Copyright (c) 2020 Jane"])
+    again = "\n".join([t["MIT-text"]] * 4 + [t["MPL-2.0"], t["all-rights-reserved"]])
+    got = licenses.license_notices(spark.createDataFrame([(1, text), (2, again)], "doc_id long, text string")).collect()
+    assert {r["block"] for r in got} == {0}
+    assert sorted(r["license"] for r in got if r["doc_id"] == 1) == sorted([*held, "copyright"])
+    assert sorted(r["license"] for r in got if r["doc_id"] == 2) == ["MIT-text"] * 4 + ["MPL-2.0", "all-rights-reserved"]
