@@ -118,3 +118,14 @@ def test_all_licenses_of_a_block(spark):
     assert {r["block"] for r in got} == {0}
     assert sorted(r["license"] for r in got if r["doc_id"] == 1) == sorted([*held, "copyright"])
     assert sorted(r["license"] for r in got if r["doc_id"] == 2) == ["MIT-text"] * 4 + ["MPL-2.0", "all-rights-reserved"]
+
+
+def test_licenses_before_an_exact_copy(spark):
+    exact = licenses.TEMPLATES["BSD-conditions"].split()
+    changed = lambda *places: " ".join("other" if k in places else w for k, w in enumerate(exact))
+    fill = " ".join(["word"] * 20)
+    docs = [(1, f"{fill} {changed(10)} {fill} {changed()} {fill}"), (2, f"{changed(15)} {fill} {changed(3)} {fill} {changed()} {changed(9, 17)}")]
+    got = licenses.license_notices(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {k: sorted((r["start"], r["license"], r["n_missing"], r["n_added"]) for r in got if r["doc_id"] == k) for k in (1, 2)}
+    assert [x[1:] for x in found[1]] == [("BSD-conditions", 1, 1), ("BSD-conditions", 0, 0)]
+    assert [x[1:] for x in found[2]] == [("BSD-conditions", 1, 1), ("BSD-conditions", 1, 1), ("BSD-conditions", 0, 0)]
