@@ -209,9 +209,10 @@ def leaks(docs: DataFrame, items: DataFrame, most_items: int = 50_000) -> DataFr
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    found = leaks(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", "_leaked")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """docs without those that hold an item. Rows are told apart by a hash of id and text, so null and repeated ids are no matter."""
+    key = F.xxhash64("doc_id", "text")
+    found = leaks(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, key == F.col("_leaked"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

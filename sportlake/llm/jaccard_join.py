@@ -439,9 +439,23 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
 
 
 def near_distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id; rows with a null id stay."""
-    gone = jaccard_components(docs, words, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: the one with the smallest id, of several the one with the smallest hash of its text.
+
+    Rows with a null id and rows without shingles stay. Of rows with the same id and text one stays, the first in the order of their columns.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("uid"))
+    with arrow_batches(docs.sparkSession, ROWS):
+        nodes, labels = _labelled(keyed, words, percent)
+    named = nodes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "uid", "node").agg(F.count("*").alias("rows"))
+    named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("own", F.struct("doc_id", "uid"))
+    marked = named.join(named.groupBy("label").agg(F.min("own").alias("kept")), "label").withColumn("gone", F.col("own") > F.col("kept")).filter("gone OR rows > 1")
+    marked = written(marked.select(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"), "gone"), "marked")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_uid"))
+    out, repeated = docs.join(marked.drop("gone"), same, "left_anti"), marked.filter("NOT gone").drop("gone")
+    if not repeated.isEmpty():
+        first = docs.join(repeated, same).groupBy("_id", "_uid").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        out = out.unionByName(first.select("_row.*"))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ Ranks and places in the streams come from sums over small groups (hash prefixes,
 group, so no source has to stand in one task. Only totals come to the driver.
 
 Nulls, ties and odd rows: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in
-order. Rows with the same doc_id are separate rows of the stream, told apart by their place in it. An empty table, or one
-without words, gives targets of 0.
+order. Rows with the same doc_id are separate rows of the stream, told apart by their place in it. In the mixed documents, rows with
+null or repeated ids are taken each for themselves, told apart by a hash of all their columns; wholly equal rows share what they
+take. An empty table, or one without words, gives targets of 0.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BLOCK = 4096
 BITS = 48
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", *more, "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, shares: tuple[int, ...] = SHARES, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -51,15 +52,15 @@ def source_targets(sizes: DataFrame, shares: tuple[int, ...] = SHARES, total: fl
     return by.withColumn("target", F.when(F.col("is_full"), F.col("most")).otherwise(F.col("w") * (left / open_w))).select("place", "source", "source_size", "target")
 
 
-def stream_places(rows: DataFrame, seed: int = 17) -> DataFrame:
-    """Adds `at`: how many words of the same source (`place`) come before the row in its shuffled stream."""
+def stream_places(rows: DataFrame, seed: int = 17, *more: str) -> DataFrame:
+    """Adds `at`: how many words of the same source (`place`) come before the row in its shuffled stream. more: columns that break ties."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = rows.filter("size > 0").withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
     before = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("place", "part").agg(F.sum("size").alias("n")).select("place", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("place", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("place", "part").orderBy("key", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return rows.join(parts, ["place", "part"]).select("doc_id", "place", "size", (F.col("base") + F.col("within")).alias("at"))
+    return rows.join(parts, ["place", "part"]).select("doc_id", *more, "place", "size", (F.col("base") + F.col("within")).alias("at"))
 
 
 def schedule(spark: SparkSession, needs: DataFrame, n: int, chunk: int = 4096) -> DataFrame:
@@ -87,12 +88,17 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
 
     Passes over a document are whole but the last, which takes its first words.
     """
+    return _mixed(docs, block, seed)
+
+
+def _mixed(docs: DataFrame, block: int, seed: int, *more: str) -> DataFrame:
+    """The rows of mixed() with more columns of docs, which break ties in the streams."""
     spark = docs.sparkSession
-    sizes = written(sized(docs), "sizes")
+    sizes = written(sized(docs, *more), "sizes")
     targets = written(source_targets(sizes).withColumn("want", F.floor("target")), "targets")
     named = targets.select("place", F.col("source").alias("of"))
-    rows = written(sizes.join(named, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "place", "size"), "placed")
-    at = written(stream_places(rows, seed), "streams")
+    rows = written(sizes.join(named, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", *more, "place", "size"), "placed")
+    at = written(stream_places(rows, seed, *more), "streams")
 
     needs = targets.filter("want > 0").select("place", F.ceil(F.col("source_size") / block).alias("blocks"), F.expr("want div source_size").alias("passes"), F.expr("want % source_size").alias("rest"))
     needs = needs.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
@@ -106,19 +112,24 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
     pieces = pieces.withColumn("skip", low - F.col("block") * block).withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - low)
     part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("cut") - F.col("skip")))
     taken = pieces.join(takes, ["place", "block"]).groupBy("place", "at").agg(F.sum(F.col("whole") * F.col("words") + part).alias("taken"))
-    some = at.join(taken, ["place", "at"], "left").select("doc_id", "place", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    some = at.join(taken, ["place", "at"], "left").select("doc_id", *more, "place", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     none = rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none).join(targets, "place").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return some.unionByName(none).join(targets, "place").select("doc_id", *more, "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """The mix itself: documents once for each whole pass, and the first words of those that the last pass cuts. The columns of docs.
 
-    Rows that share a doc_id are all taken as often as the one of them that is taken most.
+    Every row is taken for itself, whatever its id; wholly equal rows give together the copies that they take together.
     """
-    takes = mixed(docs, block, seed).filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    takes = _mixed(keyed, block, seed, "_key").filter("taken > 0").groupBy("_key").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    takes = written(takes, "takes")
+    copies, equal = keyed.join(takes.filter("_rows = 1"), "_key"), takes.filter("_rows > 1")
+    if not equal.isEmpty():
+        copies = copies.unionByName(keyed.join(equal, "_key").dropDuplicates(["_key"]))
     words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
-    copies = docs.join(takes, "doc_id").withColumn("_pass", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))
+    copies = copies.withColumn("_pass", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))
     left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
     text = F.when(left >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, left.cast("int")), " "))
     out = copies.withColumn("text", text)

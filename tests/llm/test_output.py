@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sportlake.llm import mixing, registry, tokens
+from sportlake.llm import decontamination, jaccard_join, mixing, registry, tokens
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +118,28 @@ def test_pipeline(spark, small):
     words = kept.selectExpr("sum(size(regexp_extract_all(text, '([^ \\n]+)'))) AS n").first()["n"]
     assert sum(r["n_tokens"] for r in out) > words
     assert re
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    schema = "doc_id long, text string, source string"
+    say = lambda *parts: " ".join(f"{p}{k}" for p in parts for k in "abcdefghijklmnopqrst")
+    rows = [(None, f"n{k} b c", "x") for k in range(40)] + [(7, "a a", "x"), (7, "b b b", "y"), (7, "d d d", "y"), *[(8, "c c c c", "y")] * 5, (None, "e e", None)]
+    df = spark.createDataFrame(rows, schema)
+    for block in (3, 4096):
+        want, got = {}, {}
+        for r in mixing.mixed(df, block=block).collect():
+            want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+        out = mixing.mixed_documents(df, block=block)
+        for r in out.collect():
+            got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+        assert got == want and out.filter("doc_id IS NULL").count()
+        assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed_documents(df.repartition(5), block=block).collect()))
+
+    leaked = say("what", "leaks")
+    docs = [(None, leaked, "x"), (None, say("clean"), "x"), (1, leaked, "x"), (1, say("more"), "x"), (2, None, "x")]
+    kept = decontamination.clean_documents(spark.createDataFrame(docs, schema), spark.createDataFrame([(1, leaked)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [docs[1], docs[3], docs[4]]))
+
+    docs = [(1, say("one", "two"), "x"), (2, say("one", "two"), "x"), (2, say("three"), "x"), (3, say("four"), "z"), (3, say("four"), "y"), (None, say("four"), "x"), (None, None, "x"), (4, say("five"), "x")]
+    kept = jaccard_join.near_distinct(spark.createDataFrame(docs, schema)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [docs[0], docs[2], docs[4], docs[5], docs[6], docs[7]]))
