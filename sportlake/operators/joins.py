@@ -110,14 +110,18 @@ def match_surname(names: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def enrich_by_lastname(players: DataFrame, profiled: DataFrame, fields: list[str]) -> DataFrame:
-    """Fields copied from the only profiled player with the same last name; of several, the first whose name holds or is held."""
+    """Fields copied from the only profiled player with the same last name; of several, the first whose name holds or is held.
+
+    Only different names are compared, so pairs do not grow with the rows of a name.
+    """
     last = lambda df: df.withColumn("_last", F.element_at(F.split("name", " "), -1))
-    donors = last(profiled).select("_last", F.col("player_id").alias("_id"), F.col("name").alias("_name"), *[F.col(f).alias(f"_{f}") for f in fields])
-    n = Window.partitionBy("_last")
-    donors = donors.withColumn("_n", F.count("*").over(n))
-    pairs = last(players).join(donors, "_last").filter((F.col("_n") == 1) | F.col("name").contains(F.col("_name")) | F.col("_name").contains(F.col("name")))
-    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("player_id").orderBy("_id"))).filter("_r = 1")
-    return players.drop(*fields).join(first.select("player_id", F.col("_id").alias("donor_id"), *[F.col(f"_{f}").alias(f) for f in fields]), "player_id", "left")
+    donor = F.struct(F.col("player_id").alias("donor_id"), *fields)
+    donors = last(profiled).groupBy("_last", F.col("name").alias("_name")).agg(F.min(donor).alias("_donor"), F.count("*").alias("_n"))
+    donors = donors.withColumn("_n", F.sum("_n").over(Window.partitionBy("_last")))
+    pairs = last(players.select("name").distinct()).join(donors, "_last").filter((F.col("_n") == 1) | F.col("name").contains(F.col("_name")) | F.col("_name").contains(F.col("name")))
+    found = pairs.groupBy("name").agg(F.min("_donor").alias("_donor"))
+    first = players.select("player_id", "name").join(found, "name").groupBy("player_id").agg(F.min("_donor").alias("_donor"))
+    return players.drop(*fields).join(first.select("player_id", "_donor.*"), "player_id", "left")
 
 
 def source_context(bad: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -118,3 +118,25 @@ def test_timeline_puts_missing_minutes_last(spark):
     subs = spark.createDataFrame([(1, 46, 7)], "match_id int, minute int, player_on_id int")
     assert [r["kind"] for r in win.match_timeline(goals, cards, subs).orderBy("position").collect()] == ["substitution", "goal", "card"]
     assert F is not None
+
+
+def test_lastname_pairs_do_not_grow_with_rows(spark):
+    names = ["Jan Kurz", "Kurz", "Max Kurz", "Jan Lang"]
+    players = spark.createDataFrame([(k, names[k % 3], None) for k in range(300)] + [(300, "Eva Lang", None)], "player_id long, name string, height_cm int")
+    donors = spark.createDataFrame([(1000 - k, names[k % 2], k) for k in range(200)] + [(2000, names[3], 7)], "player_id long, name string, height_cm int")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = joi.enrich_by_lastname(players, donors, ["height_cm"])
+        got = {r["player_id"]: (r["donor_id"], r["height_cm"]) for r in df.collect()}
+        plans, most = [df._jdf.queryExecution().executedPlan()], 0
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(k) for k in range(plan.children().size())]
+            if "Join" in plan.nodeName():
+                most = max(most, plan.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(got) == 301 and got[300] == (2000, 7)
+    assert {got[k] for k in range(0, 300, 3)} == {(801, 199)} and {got[k] for k in range(1, 300, 3)} == {(801, 199)} and {got[k] for k in range(2, 300, 3)} == {(801, 199)}
+    assert most <= 301
