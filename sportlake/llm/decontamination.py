@@ -10,8 +10,9 @@ five-word shingles that the passage holds, and that the answer, where the items
 
 The index of at most `most_items` items is broadcast at a time; more items are split by a hash, each part with its own pass.
 
-Nulls, ties and odd rows: null and empty texts or items match nothing; an item of fewer than five words is one shingle. Repeated
-items are found each, repeated rows get rows each. Empty tables give no rows.
+Words are runs of letters and digits. Nulls, ties and odd rows: null and empty texts or items match nothing; an item of fewer than five
+words is one shingle. A null or blank answer is none; an item whose answer is of marks only cannot be verified and is not reported.
+Repeated items are found each, repeated rows get rows each. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents
-from sportlake.llm.toxicity import word_starts
+from sportlake.llm.common import documents, prefix_hash, span_hash, text_bytes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -35,6 +35,19 @@ BLOCK = 64
 #: Share of an item's weight that its other, commoner terms may have.
 OTHERS = 0.3
 
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_starts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start, byte end and hash of each run of letters and digits (bytes from 128 count as letters) of the text in lower case."""
+    data = text_bytes((text or "").lower())
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return start, end, span_hash(prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
+
 
 def shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of five words in a row; of all words if there are fewer."""
@@ -55,6 +68,7 @@ class Index:
         words = [word_starts(t)[2] for t in texts]
         self.question = [np.unique(shingles(w)) for w in words]
         self.answer = [word_starts(a)[2] for a in answers] if answers else [np.zeros(0, np.uint64)] * len(ids)
+        self.unverified = [bool((a or "").strip()) and not len(w) for a, w in zip(answers or [None] * len(ids), self.answer, strict=True)]
         self.longest = max((len(w) for w in words), default=0)
         length = np.array([len(w) for w in words], float)
         tf = [np.unique(w, return_counts=True) for w in words]
@@ -155,10 +169,12 @@ class Index:
         return self.lists[p]
 
     def overlap(self, k: int, passage: np.ndarray, text: np.ndarray) -> float:
-        """Share of the question's shingles in the passage; 0 if its answer does not stand in the text."""
+        """Share of the question's shingles in the passage; 0 if its answer does not stand in the text or cannot be looked for."""
         wanted, answer = self.question[k], self.answer[k]
         n = min(SHINGLE, int(len(passage)))
         share = float(np.isin(wanted, shingles(passage)).mean()) if len(wanted) and n else 0.0
+        if self.unverified[k]:
+            return 0.0
         if len(answer) and share:
             places = np.flatnonzero(text[: len(text) - len(answer) + 1] == answer[0])
             share *= any((text[p : p + len(answer)] == answer).all() for p in places)
