@@ -36,11 +36,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([r for _, r in edges], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, label (the smallest node it is linked with) for every node of edges (a, b: long).
 
     Tasks join up shares of the edges first, so that at most an edge for each node and share is left. Then large-star and small-star
-    steps take turns until every edge joins a node to its label. Each round is written out.
+    steps take turns until every edge joins a node to its label. Each round is written out. The rounds needed grow with the logarithm
+    of the nodes; should most_rounds not be enough, that is an error and no half-made result.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     now = written(now.repartition(1 + now.count() // SHARE).mapInArrow(_forest, "u long, v long").distinct(), "edges")
@@ -56,4 +57,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"the components are not complete after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

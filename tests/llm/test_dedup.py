@@ -132,3 +132,26 @@ def test_window_minima():
     x = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
     for w in (1, 7, 321, 500):
         assert (sd.window_minima(x, w) == [x[k : k + w].min() for k in range(500 - w + 1)]).all()
+
+
+@pytest.mark.parametrize("rows", [20_000, 7])
+def test_jaccard_join_of_hot_groups(spark, monkeypatch, rows):
+    """Copies around two centres, some of which link with no other, and lists dealt into blocks."""
+    monkeypatch.setattr(jj, "LIST_ROWS", rows)
+    monkeypatch.setattr(jj, "SHORT_LIST", 8)
+    r = random.Random(rows)
+    docs = []
+    for base, n in ((0, 150), (1, 80)):
+        words = [f"b{base}x{k}" for k in range(r.choice([120, 700]))]
+        for k in range(n):
+            w = list(words)
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5, 8])):
+                w[r.randrange(len(w))] = f"new{r.random()}"
+            docs.append((1000 * base + k, " ".join(w)))
+    got = jj.jaccard_components(frame(spark, docs, 5)).collect()
+    assert sorted(map(tuple, got)) == sorted(linked(docs, 4, 85))
+
+
+def test_components_end_or_fail(spark):
+    with pytest.raises(RuntimeError):
+        cc.components(spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long"), most_rounds=1)
