@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,11 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset one of our own for the session."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, as in tests, a folder of our own serves a local session; a cluster needs the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="sportlake-"))
     return folder.rstrip("/")
@@ -53,6 +56,20 @@ def remove_written(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Columns that operators read by name; in operators that keep all columns the others go under names of their own.
+READ = ("doc_id", "text", "source", "n_chars")
+
+
+def keeps_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return the columns of docs: whatever names further columns have, they clash with none used inside."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        return operator(docs.toDF(*[c if c in READ else f"other_{k}" for k, c in enumerate(docs.columns)]), *args, **more).toDF(*docs.columns)
+
+    return run
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of so many rows at most go to Python tasks that start meanwhile."""

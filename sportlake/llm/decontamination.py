@@ -1,18 +1,21 @@
 """Benchmark decontamination: BM25 over an inverted index of test items with block-max WAND.
 
-Every passage of every text is a query: windows of twice the longest item's words, one starting every longest item's words, so
-each occurrence of an item lies whole in a window. A posting's impact is the item's BM25 weight of the term over the sum of its
-weights, so scores run from 0 to 1. Postings stand in blocks with their largest impact, and WAND skips blocks that cannot reach the
-threshold. Before that, one array operation over a whole batch of texts drops the passages in which no item can: an item's
-rarest terms are its essential ones, the others together stay below what an item may miss, and essential terms found in a passage
-plus all others bound the item's score from above. All items above the threshold are then verified: the share of the question's
-five-word shingles that the passage holds, and that the answer, where the items have one, follows in the same text.
+Items are indexed by length, in classes of one to two times as many words. Every passage of every text is a query of each class: windows
+of twice the class's longest possible item, one starting every so many words, so each occurrence of an item lies whole in a window. A
+posting's impact is the item's BM25 weight of the term over the sum of its weights, so scores run from 0 to 1. Postings stand in blocks
+with their largest impact, and WAND skips blocks that cannot reach the threshold. Before that, one array operation over a whole
+batch of texts drops the passages in which no item can: an item's rarest terms are its essential ones, the others together stay below
+what an item may miss, and essential terms found in a passage plus all others bound the item's score from above. All items above
+the threshold are then verified: the share of the question's five-word shingles that the passage holds, and that the answer, where the
+items have one, follows in the same text.
 
-The index of at most `most_items` items is broadcast at a time; more items are split by a hash, each part with its own pass.
+Document frequencies and the mean length are taken over all items. The index of at most `most_items` items and `most_words` words is
+broadcast at a time; more items are split by a hash, each part with its own pass, which changes no score.
 
 Words are runs of letters and digits. Nulls, ties and odd rows: null and empty texts or items match nothing; an item of fewer than five
 words is one shingle. A null or blank answer is none; an item whose answer is of marks only cannot be verified and is not reported.
-Repeated items are found each, repeated rows get rows each. Empty tables give no rows.
+Repeated items are found each, repeated rows get rows each. Empty tables give no rows. Further columns, whatever their names, are ignored
+by leaks() and kept by clean_documents().
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, prefix_hash, span_hash, text_bytes
+from sportlake.llm.common import documents, keeps_columns, prefix_hash, span_hash, text_bytes, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -60,11 +64,24 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
+class Items:
+    """What is known of all items: their number and mean length, and in how many of them terms (sorted hashes) stand."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.terms, self.df = n, max(mean, 1e-9), terms, df
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Items:
+        words = [word_starts(t)[2] for t in texts]
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(w) for w in words]]), return_counts=True)
+        return cls(len(texts), sum(map(len, words)) / max(1, len(words)), terms, df)
+
+
 class Index:
     """Terms (sorted hashes) with postings (item, impact) in blocks, and what each item needs for verification."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], answers: list[str | None] | None = None):
-        self.ids = ids
+    def __init__(self, ids: list[int], texts: list[str | None], answers: list[str | None] | None = None, known: Items | None = None):
+        self.ids, known = ids, known or Items.of(texts)
         words = [word_starts(t)[2] for t in texts]
         self.question = [np.unique(shingles(w)) for w in words]
         self.answer = [word_starts(a)[2] for a in answers] if answers else [np.zeros(0, np.uint64)] * len(ids)
@@ -76,9 +93,9 @@ class Index:
         term = np.concatenate([np.zeros(0, np.int64), *[np.searchsorted(self.terms, t) for t, _ in tf]])
         item = np.repeat(np.arange(len(ids)), [len(t) for t, _ in tf])
         count = np.concatenate([np.zeros(0), *[c for _, c in tf]])
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * (length / max(length.mean(), 1e-9))[item])) if len(item) else count
+        df = known.df[np.searchsorted(known.terms, self.terms)]
+        idf = np.log(1 + (known.n - df + 0.5) / (df + 0.5))
+        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * (length / known.mean)[item])) if len(item) else count
         impact = weight / np.bincount(item, weight, len(ids))[item] if len(item) else weight
 
         order = np.lexsort((impact, item))  # an item's commonest terms, up to OTHERS of its weight, are not essential
@@ -181,9 +198,21 @@ class Index:
         return share
 
 
-def _matches(index: Index, ids: list[str]):
+def by_length(ids: list[int], texts: list[str | None], answers: list[str | None] | None, known: Items) -> list[Index]:
+    """An index for each class of lengths, whose windows are those of the longest possible item; items without words are in none."""
+    classes: dict[int, list[int]] = {}
+    for k, text in enumerate(texts):
+        classes.setdefault(len(word_starts(text)[2]).bit_length(), []).append(k)
+    found = []
+    for size, at in sorted(classes.items()):
+        if size:
+            found.append(Index([ids[k] for k in at], [texts[k] for k in at], [answers[k] for k in at] if answers else None, known))
+            found[-1].longest = (1 << size) - 1
+    return found
+
+
+def _matches(indexes: Broadcast, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
         for batch in batches:
             column = batch.column("text")
             for low in range(0, len(batch), 256):
@@ -191,39 +220,58 @@ def _matches(index: Index, ids: list[str]):
                 n = np.array([len(w) for w in texts])
                 doc = np.repeat(np.arange(len(n)), n)
                 at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                best: dict[tuple[int, int], list] = {}
-                for d, p in x.passages(np.concatenate([np.zeros(0, np.uint64), *texts]), doc, at).tolist():
-                    words = texts[d][p * x.longest : (p + 2) * x.longest]
-                    for item, score in x.wand(words):
-                        share = x.overlap(item, words, texts[d])
-                        if share >= OVERLAP:
-                            seen = best.setdefault((d, item), [0, 0.0, 0.0])
-                            seen[:] = seen[0] + 1, max(seen[1], score), max(seen[2], share)
+                words = np.concatenate([np.zeros(0, np.uint64), *texts])
+                best: dict[tuple[int, int, int], list] = {}
+                for c, x in enumerate(indexes.value):
+                    for d, p in x.passages(words, doc, at).tolist():
+                        passage = texts[d][p * x.longest : (p + 2) * x.longest]
+                        for item, score in x.wand(passage):
+                            share = x.overlap(item, passage, texts[d])
+                            if share >= OVERLAP:
+                                seen = best.setdefault((d, c, item), [0, 0.0, 0.0])
+                                seen[:] = seen[0] + 1, max(seen[1], score), max(seen[2], share)
                 rows = sorted(best)
-                out = [pa.array([batch.column("doc_id")[low + d].as_py() for d, _ in rows], pa.int64()), pa.array([x.ids[k] for _, k in rows], pa.int64())]
+                out = [pa.array([batch.column("doc_id")[low + d].as_py() for d, _, _ in rows], pa.int64()), pa.array([indexes.value[c].ids[k] for _, c, k in rows], pa.int64())]
                 out += [pa.array([best[r][k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(out, ids)
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, most_items: int = 50_000) -> DataFrame:
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [word_starts(t.as_py())[2] for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([len(w) for w in words], pa.int64()), pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))], ["part", "n", "terms"])
+
+
+def leaks(docs: DataFrame, items: DataFrame, most_items: int = 50_000, most_words: int = 5_000_000) -> DataFrame:
     """doc_id, item_id, n_passages, score, overlap of every verified match. items: item_id, text and, if there is one, answer."""
+    spark = docs.sparkSession
     names = ["doc_id", "item_id", "n_passages", "score", "overlap"]
     schema = "doc_id long, item_id long, n_passages long, score double, overlap double"
     items = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", *["answer"] * ("answer" in items.columns))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    parts = -(-items.count() // most_items)
-    out = docs.sparkSession.createDataFrame([], schema)
+    keyed = items.withColumn("part", F.xxhash64("item_id", "text"))
+    terms = written(keyed.select("part", "text").mapInArrow(_item_terms, "part long, n long, terms array<long>"), "item-terms")
+    n, words = terms.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = written(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "item-frequencies")
+    parts = max(-(-n // most_items), -(-words // most_words))
+    out = None
     for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        index = Index([r["item_id"] for r in mine], [r["text"] for r in mine], [r["answer"] for r in mine] if "answer" in items.columns else None)
-        if index.longest:
-            found = rows.mapInArrow(_matches(docs.sparkSession.sparkContext.broadcast(index), names), schema)
-            out = found if part == 0 else out.unionByName(found)
-    return out
+        own = F.pmod("part", F.lit(parts)) == part
+        mine = keyed.filter(own).drop("part").collect()
+        found = df.join(terms.filter(own).select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").toArrow().to_pandas()
+        found["term"] = found["term"].astype("uint64")
+        found = found.sort_values("term")
+        known = Items(n, words / max(1, n), found["term"].to_numpy(), found["df"].to_numpy())
+        indexes = by_length([r["item_id"] for r in mine], [r["text"] for r in mine], [r["answer"] for r in mine] if "answer" in items.columns else None, known)
+        if indexes:
+            found = rows.mapInArrow(_matches(spark.sparkContext.broadcast(indexes), names), schema)
+            out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
+@keeps_columns
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item. Rows are told apart by a hash of id and text, so null and repeated ids are no matter."""
     key = F.xxhash64("doc_id", "text")

@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import arrow_batches, documents, mix64, text_bytes, word_hashes, written
+from sportlake.llm.common import arrow_batches, documents, keeps_columns, mix64, text_bytes, word_hashes, written
 from sportlake.llm.components import components
 from sportlake.llm.suffix_dedup import among
 
@@ -572,8 +572,9 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     return nodes, components(links(docs, nodes, words, percent))
 
 
+@keeps_columns
 def near_distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, of several the one with the smallest hash of its text.
+    """docs, with all its columns, and one row of each component: the one with the smallest id, of several the one with the smallest hash of its text.
 
     Rows with a null id and rows without shingles stay. Of rows with the same id and text one stays, the first in the order of their columns.
     """

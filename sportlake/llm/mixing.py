@@ -4,7 +4,8 @@ The words of each source stand in one shuffled stream, cut into blocks of equall
 each slot, mapped through the cumulative slot counts of the sources, names the slot's source; the rank of a slot among
 those of its source names the block it takes, the stream starting over after its last block. The last slot of a source
 is cut where its target is met, slots beyond are left out, and a source that the schedule leaves a few slots short gets
-them at the end.
+them at the end. Slots joined with the pieces of documents in their blocks are the mix: what it takes from a document is the sum
+over its pieces, and the mixed documents stand in the order of their slots, so that any stretch of them is near the target weights.
 
 Ranks and places in the streams come from sums over small groups (hash prefixes, chunks of slots) and then inside each
 group, so no source has to stand in one task. Only totals come to the driver.
@@ -12,7 +13,8 @@ group, so no source has to stand in one task. Only totals come to the driver.
 Nulls, ties and odd rows: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in
 order. Rows with the same doc_id are separate rows of the stream, told apart by their place in it. In the mixed documents, rows with
 null or repeated ids are taken each for themselves, told apart by a hash of all their columns; wholly equal rows share what they
-take. An empty table, or one without words, gives targets of 0.
+take. An empty table, or one without words, gives targets of 0. Further columns, whatever their names, are ignored by mixed() and kept
+by mixed_documents().
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import WORD, documents, text_of, written
+from sportlake.llm.common import WORD, documents, keeps_columns, text_of, written
 
 SHARES = (3, 1, 2)
 TOTAL = 1.5
@@ -54,7 +56,7 @@ def source_targets(sizes: DataFrame, shares: tuple[int, ...] = SHARES, total: fl
 
 def stream_places(rows: DataFrame, seed: int = 17, *more: str) -> DataFrame:
     """Adds `at`: how many words of the same source (`place`) come before the row in its shuffled stream. more: columns that break ties."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size")))))
     rows = rows.filter("size > 0").withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
     before = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("place", "part").agg(F.sum("size").alias("n")).select("place", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -88,11 +90,21 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
 
     Passes over a document are whole but the last, which takes its first words.
     """
-    return _mixed(docs, block, seed)
+    pieces, at, rows, targets = _pieces(docs, block, seed)
+    taken = pieces.groupBy("place", "at").agg(F.sum("words").alias("taken"))
+    some = at.join(taken, ["place", "at"], "left").select("doc_id", "place", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    none = rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return some.unionByName(none).join(targets, "place").select("doc_id", "source", "size", "source_size", "target", "taken")
+
 
+def mix_pieces(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The mix as slots filled with pieces of documents: slot, doc_id, source, pass, skip (words of the block before the piece), words."""
+    pieces, _, _, targets = _pieces(docs, block, seed)
+    return pieces.join(targets.select("place", "source"), "place").select("slot", "doc_id", "source", "pass", "skip", "words")
 
-def _mixed(docs: DataFrame, block: int, seed: int, *more: str) -> DataFrame:
-    """The rows of mixed() with more columns of docs, which break ties in the streams."""
+
+def _pieces(docs: DataFrame, block: int, seed: int, *more: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pieces of rows in slots, and the tables they come from: places in the streams, all rows, targets. more: columns of docs that break ties in the streams."""
     spark = docs.sparkSession
     sizes = written(sized(docs, *more), "sizes")
     targets = written(source_targets(sizes).withColumn("want", F.floor("target")), "targets")
@@ -103,38 +115,41 @@ def _mixed(docs: DataFrame, block: int, seed: int, *more: str) -> DataFrame:
     needs = targets.filter("want > 0").select("place", F.ceil(F.col("source_size") / block).alias("blocks"), F.expr("want div source_size").alias("passes"), F.expr("want % source_size").alias("rest"))
     needs = needs.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
     n = needs.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
-    slots = schedule(spark, needs.select("place", "slots"), n).join(needs, "place").withColumn("block", F.expr("rank % blocks"))
-    cut = F.when(F.expr("rank div blocks < passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - F.col("block") * block))
-    takes = slots.withColumn("cut", cut).groupBy("place", "block").agg(F.sum((F.col("cut") == block).cast("long")).alias("whole"), F.coalesce(F.max(F.when(F.col("cut") < block, F.col("cut"))), F.lit(0)).alias("cut"))
+    slots = schedule(spark, needs.select("place", "slots"), n).join(needs, "place").withColumn("block", F.expr("rank % blocks")).withColumn("pass", F.expr("rank div blocks"))
+    cut = F.when(F.col("pass") < F.col("passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - F.col("block") * block))
 
-    pieces = at.select("place", "size", "at", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
+    spans = at.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     low = F.greatest(F.col("at"), F.col("block") * block)
-    pieces = pieces.withColumn("skip", low - F.col("block") * block).withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - low)
-    part = F.greatest(F.lit(0), F.least(F.col("words"), F.col("cut") - F.col("skip")))
-    taken = pieces.join(takes, ["place", "block"]).groupBy("place", "at").agg(F.sum(F.col("whole") * F.col("words") + part).alias("taken"))
-    some = at.join(taken, ["place", "at"], "left").select("doc_id", *more, "place", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
-    none = rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return some.unionByName(none).join(targets, "place").select("doc_id", *more, "source", "size", "source_size", "target", "taken")
+    spans = spans.withColumn("skip", low - F.col("block") * block).withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - low)
+    pieces = spans.join(slots.select("place", "block", "slot", "pass", cut.alias("cut")), ["place", "block"])
+    pieces = pieces.withColumn("words", F.least(F.col("words"), F.col("cut") - F.col("skip"))).filter("words > 0")
+    return pieces.select("doc_id", *more, "place", "at", "size", "slot", "pass", "skip", "words"), at, rows, targets
 
 
+@keeps_columns
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """The mix itself: documents once for each whole pass, and the first words of those that the last pass cuts. The columns of docs.
+    """The mix itself, in the order of its slots: documents once for each pass over them, each where its first slot is, and the first words of those that the last pass cuts. The columns of docs.
 
     Every row is taken for itself, whatever its id; wholly equal rows give together the copies that they take together.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    takes = _mixed(keyed, block, seed, "_key").filter("taken > 0").groupBy("_key").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    takes = written(takes, "takes")
-    copies, equal = keyed.join(takes.filter("_rows = 1"), "_key"), takes.filter("_rows > 1")
+    keyed = docs.withColumn("own", F.xxhash64(*docs.columns))
+    pieces = _pieces(keyed, block, seed, "own")[0]
+    takes = pieces.groupBy("own", "pass").agg(F.max("size").alias("size"), F.min(F.struct("slot", "skip")).alias("first"), F.sum("words").alias("taken"), F.countDistinct("at").alias("rows"))
+    takes = written(takes.select("own", "size", "first.slot", "first.skip", "taken", "rows"), "takes")
+    copies, equal = keyed.join(takes.filter("rows = 1"), "own"), takes.filter("rows > 1").select("own").distinct()
     if not equal.isEmpty():
-        copies = copies.unionByName(keyed.join(equal, "_key").dropDuplicates(["_key"]))
+        again = takes.join(equal, "own", "left_semi")
+        copies = keyed.join(takes.join(equal, "own", "left_anti"), "own").unionByName(keyed.join(equal, "own", "left_semi").dropDuplicates(["own"]).join(again, "own"))
     words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
-    copies = copies.withColumn("_pass", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))
-    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, left.cast("int")), " "))
+    copies = copies.withColumn("copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, left.cast("int")), " "))
     out = copies.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
+    # slots are dense, so equal ranges of them are even parts
+    parts, n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), takes.agg(F.max("slot")).first()[0]
+    out = out.repartitionById(parts, F.expr(f"cast(slot * {parts} div {(n or 0) + 1} as int)")).sortWithinPartitions("slot", "skip", "own", "copy")
     return out.select(*docs.columns)
 
 
@@ -151,7 +166,7 @@ f AS (SELECT *, most <= w * ((total - coalesce(sum(most) OVER (ORDER BY most / w
         / sum(w) OVER (ORDER BY most / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS is_full FROM w),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE w * ((total - sum(CASE WHEN is_full THEN most ELSE 0.0 END) OVER ())
         / sum(CASE WHEN is_full THEN 0.0 ELSE w END) OVER ()) END AS target FROM f),
-o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, 'null')), size
+o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || size)), size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d)
 SELECT doc_id, o.source, size, source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE (floor(target)::BIGINT // source_size) * size

@@ -11,7 +11,7 @@ doc_ids, lengths, payload and crc32. Payloads are little-endian: a table is n:u3
 states u64, then the words u32. Checkpoint 0 is at step 0 and so starts the block.
 
 Nulls, ties and odd rows: a null text is empty and gives only the end id; rows with a null id come first; rows that share an
-id follow one another. An empty table gives no rows. A long document makes a long block, held whole in one task.
+id follow one another, in the order of a hash of their texts. Further columns are ignored. An empty table gives no rows. A long document makes a long block, held whole in one task.
 """
 
 from __future__ import annotations
@@ -243,11 +243,15 @@ def _encoded(tokenizer: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
-    """Write the token files of docs, in ascending doc_id order, to the shared folder; returns the rows of the files."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+def write_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END, path: str | None = None) -> DataFrame:
+    """Write the token files of docs, in ascending doc_id order, to path, or without one to the shared folder; returns the rows of the files."""
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     shards = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_encoded(tokenizer, end), FILE)
-    return written(shards, "tokens")
+    if path is None:
+        return written(shards, "tokens")
+    shards.write.parquet(path)
+    return docs.sparkSession.read.schema(FILE).parquet(path)
 
 
 def _decoded(with_ids: bool):

@@ -43,10 +43,73 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def odd_scored(spark):
+    r = random.Random(4)
+    say = lambda n, of: " ".join(r.choice(of) for _ in range(n))
+    good, junk = ["river", "stone", "walks", "under", "early", "light"], ["XXX", "!!!", "99", "win"]
+    texts = [say(60, good) if k % 3 else say(40, junk) + " ugh nasty vile" * 3 for k in range(240)]
+    rows = [(k, t, "s", 0.5, 1) for k, t in enumerate(texts)] + [(300, None, "s", 0.5, 1), (301, "", "s", 0.5, 1), (302, " \n ", None, 0.5, 1), (303, " ".join(texts) * 20, "s", 0.5, 1), (5, texts[5], "s", 0.5, 1), (None, texts[0], None, 0.5, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, _text int")
+    marks = spark.createDataFrame([(k, int(k % 3 > 0), int(k % 3 == 0)) for k in range(240)] + [(7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    return docs, marks, texts
+
+
+def test_quality_of_odd_rows(spark):
+    docs, marks, texts = odd_scored(spark)
+    model = quality.fit(docs, marks)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, model, "doc_id").collect()}
+    assert all(got[k] == 0 for k in (300, 301, 302)) and 0 <= got[303] <= 1 and len(got) == 245
+    assert all((got[k] >= 0.3) == (k % 3 > 0) for k in range(240))
+    kept = quality.good(docs, model)
+    assert kept.columns == docs.columns and kept.filter("doc_id % 3 = 0 AND doc_id < 240").count() == 0 and kept.filter("doc_id = 5").count() == 2
+    assert quality.good(docs.filter("false"), model).count() == 0
+    # neighbours against plain cosines, of equal ones the earlier
+    best, similarity = model.nearest(texts[:30])
+    x = quality.unit(quality.terms(texts[:30], model.idf) @ model.axes)
+    for row, v in enumerate(x):
+        plain = [float(np.dot(v, w)) for w in model.vectors]
+        assert np.allclose(similarity[row], sorted(plain, reverse=True)[: quality.NEIGHBOURS], atol=1e-5)
+        assert len(set(best[row])) == quality.NEIGHBOURS
+    twice = quality.Model(model.idf, model.axes, np.concatenate([model.vectors[:40]] * 2), np.concatenate([model.label[:40]] * 2))
+    first = twice.nearest(texts[:5])[0]
+    assert all(set(k - 40 for k in row if k >= 40) <= set(row) for row in first.tolist())
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs, marks, _ = odd_scored(spark)
+    model = toxicity.fit(docs, marks)
+    rows = toxicity.scored(docs, model).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({got[k]["score"] for k in (300, 301, 302)}) == 1 and got[300]["score"] < 0.3 and not got[300]["passages"]
+    assert all((got[k]["score"] >= 0.3) == (k % 3 == 0) for k in range(240))
+    assert toxicity.scored(docs.filter("false"), model).count() == 0
+
+
+def test_toxicity_without_evidence_is_not_above_the_share(spark):
+    for share in (0.05, 0.4):
+        toxic = np.arange(400) < 400 * share
+        slope, offset = toxicity.curve(np.zeros(400), toxic, share)
+        assert abs(1 / (1 + np.exp(-offset)) - share) < 0.01
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = registry.QUERIES["op8_toxicity"](spark, "/root/testdata/sf0.001").join(marks.filter("toxic IS NOT NULL"), "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in got]) >= np.mean([r["toxic"] == 0 for r in got])
+
+
+def test_language_of_repeats(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").filter("doc_id < 300")
+    model = language.fit(docs)
+    a, b = docs.filter("doc_id = 7"), docs.filter("doc_id < 20")
+    got = language.predicted(a.unionByName(a).unionByName(b), model).collect()
+    assert len([r for r in got if r["doc_id"] == 7]) == 3 and len({(r["lang_pred"], round(r["score"], 6)) for r in got if r["doc_id"] == 7}) == 1
+    same = language.Model(["aa", "bb"], np.zeros((language.PLACES, 2), np.float32))
+    assert {r["lang_pred"] for r in language.predicted(docs.filter("text IS NOT NULL AND text <> ''"), same).collect()} <= {"aa", "und"}
+
+
 def test_scores_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r["score"] for r in quality.scored(docs, quality.fit(docs, marks), "doc_id").collect()} == {0.5}
+    assert {r["doc_id"]: r["score"] for r in quality.scored(docs, quality.fit(docs, marks), "doc_id").collect()} == {1: 0.5, 2: 0.0}
     assert {r["score"] for r in toxicity.scored(docs, toxicity.fit(docs, marks)).collect()} == {0.5}
 
 
@@ -98,6 +161,8 @@ def test_leaks(spark):
     assert {(x["doc_id"], x["item_id"]) for x in whole} == {(k, k) for k in range(20)} | {(92, 0)}
     tested = spark.createDataFrame([*items, (99, None, None)], "item_id long, text string, answer string")
     assert {(x["doc_id"], x["item_id"]) for x in dc.leaks(base, tested, most_items=20).collect()} == {(k, k) for k in range(20)}
+    one = sorted(map(tuple, dc.leaks(base, tested).collect()))
+    assert one == sorted(map(tuple, dc.leaks(base, tested, most_items=7).collect())) == sorted(map(tuple, dc.leaks(base, tested, most_words=100).collect()))
     assert sorted(x["doc_id"] for x in dc.clean_documents(base, tested).collect()) == [*range(20, 60), 90, 91, 92]
     assert dc.leaks(base, tested.filter("false")).count() == 0
 
@@ -136,3 +201,49 @@ def test_leaks_of_numbers(spark):
     docs = [(1, "a what is 17 plus 25 b 42"), (2, "a what is 17 plus 25 b 43"), (3, "see 3, 7, 12, 19, 28, 5 there"), (4, "which mark ends a question ?"), (5, "which word opens the gate"), (6, "what is plus")]
     got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 3), (5, 5)]
+
+
+def fewest(block, wanted):
+    """Fewest missing and added words by plain edit distance over every stretch of the block."""
+    best = len(wanted)
+    for a in range(len(block)):
+        row = list(range(len(wanted) + 1))  # differences of the stretch so far and the first k wanted words
+        for w in block[a : a + 2 * len(wanted)]:
+            new = [row[0] + 1]
+            for k, v in enumerate(wanted):
+                new.append(min(new[k] + 1, row[k + 1] + 1, row[k] if v == w else 10**6))
+            row = new
+            best = min(best, row[-1])
+    return best
+
+
+def test_wording_against_plain_edit_distance():
+    r = random.Random(5)
+    for _ in range(150):
+        wanted = [r.randint(1, 12) for _ in range(r.choice([1, 3, 8, 14, 21]))]
+        copy = [w for w in wanted if r.random() > 0.06]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            copy.insert(r.randrange(len(copy) + 1), r.randint(1, 12))
+        block = [r.randint(0, 12) for _ in range(r.randint(0, 12))] + copy + [r.randint(0, 12) for _ in range(r.randint(0, 12))]
+        got = list(licenses.placed(np.array(block, np.int64), np.array(wanted, np.int64)))
+        least = fewest(block, wanted)
+        assert bool(got) == (least <= int(licenses.DIFFERENT * len(wanted)))
+        for a, b, missing, added in got:
+            assert missing + added >= least and fewest(block[a:b], wanted) == missing + added
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_licenses_of_odd_rows(spark):
+    import time
+
+    t = licenses.TEMPLATES
+    long = " ".join(["license permission the copyright"] * 8000)
+    rows = [(1, None), (2, ""), (3, t["MIT"]), (3, t["MIT"]), (None, t["MIT"]), (4, long + " " + t["MIT-full"]), (5, "\n".join(t.values()))]
+    docs = spark.createDataFrame([(*x, "s", 1) for x in rows], "doc_id long, text string, license string, block int")
+    began = time.time()
+    got = licenses.license_notices(docs).collect()
+    assert time.time() - began < 60
+    assert sorted(map(str, [(r["doc_id"], r["license"]) for r in got if r["doc_id"] in (None, 3)])) == sorted(map(str, [(None, "MIT"), (3, "MIT"), (3, "MIT")]))
+    assert {r["license"] for r in got if r["doc_id"] == 4} == {"MIT-full"}
+    assert {r["license"] for r in got if r["doc_id"] == 5} == set(t)
+    assert licenses.license_notices(docs.filter("false")).count() == 0
