@@ -1,37 +1,39 @@
-"""From raw documents to token files: five stages, each on what the one before kept."""
+"""From raw documents to token files: five stages, each on what the one before kept.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows, empty tables, and further columns of any name,
+which all stages but the last keep.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sportlake.llm import decontamination, jaccard_join, mixing, quality, tokens
 from sportlake.llm.common import documents, labels, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    model = quality.fit(docs, labels(spark, sf_dir))
-    return quality.scored(docs, model, *docs.columns).filter(F.col("score") >= quality.THRESHOLD).drop("score") if model else docs
+    """Documents that the quality classifier does not reject. Null, empty and blank texts are rejected; without labels the others stay."""
+    return quality.good(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that with the smallest id. Rows with a null id stay."""
     return jaccard_join.near_distinct(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows are told apart by id and text, so one of a repeated id can go alone."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights; documents come once for each pass."""
+    """Sources in their target weights and in the order of the schedule; documents come once for each pass. A null source is a source; texts without words are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32 of each document."""
+    """Token files in ascending doc_id order, read back: doc_id, start, n_tokens, ids_crc32 of each document."""
     return tokens.read_tokens(tokens.write_tokens(docs))
 
 
