@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import written
+from sportlake.llm.common import mapped, written
 
 
 #: Edges that one task joins up by itself.
@@ -44,7 +44,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     of the nodes; should most_rounds not be enough, that is an error and no half-made result.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    now = written(now.repartition(1 + now.count() // SHARE).mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    now = written(mapped(now.repartition(1 + now.count() // SHARE), _forest, "u long, v long").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

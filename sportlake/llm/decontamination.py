@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, keeps_columns, prefix_hash, span_hash, text_bytes, written
+from sportlake.llm.common import documents, keeps_columns, mapped, prefix_hash, span_hash, text_bytes, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -252,7 +252,7 @@ def leaks(docs: DataFrame, items: DataFrame, most_items: int = 50_000, most_word
     items = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text", *["answer"] * ("answer" in items.columns))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     keyed = items.withColumn("part", F.xxhash64("item_id", "text"))
-    terms = written(keyed.select("part", "text").mapInArrow(_item_terms, "part long, n long, terms array<long>"), "item-terms")
+    terms = written(mapped(keyed.select("part", "text"), _item_terms, "part long, n long, terms array<long>"), "item-terms")
     n, words = terms.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = written(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "item-frequencies")
     parts = max(-(-n // most_items), -(-words // most_words))
@@ -266,7 +266,7 @@ def leaks(docs: DataFrame, items: DataFrame, most_items: int = 50_000, most_word
         known = Items(n, words / max(1, n), found["term"].to_numpy(), found["df"].to_numpy())
         indexes = by_length([r["item_id"] for r in mine], [r["text"] for r in mine], [r["answer"] for r in mine] if "answer" in items.columns else None, known)
         if indexes:
-            found = rows.mapInArrow(_matches(spark.sparkContext.broadcast(indexes), names), schema)
+            found = mapped(rows, _matches(spark.sparkContext.broadcast(indexes), names), schema)
             out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

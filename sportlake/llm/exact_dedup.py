@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import SPACE, documents, text_of, written
+from sportlake.llm.common import SPACE, documents, mapped, text_of, written
 
 RUN = "slot int, digest binary, second long, n_bytes long, keep_id long, group_size long"
 ENTRY = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("second", pa.int64()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -70,12 +70,12 @@ def merged_runs(keyed: DataFrame, slots: int = 64, radix: int = 8) -> DataFrame:
     home = F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("int") % slots
     runs = keyed.select((F.spark_partition_id() % slots).alias("slot"), "digest", "second", "n_bytes", F.coalesce("doc_id", F.lit(LAST)).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     order = ("digest", "second", "n_bytes")
-    runs = runs.sortWithinPartitions(*order).mapInArrow(merge_runs, RUN)
+    runs = mapped(runs.sortWithinPartitions(*order), merge_runs, RUN)
     for k in range(rounds):
         unit = radix**k
         digit = lambda c: F.floor(c / unit).cast("int") % radix  # noqa: E731, B023
         runs = runs.withColumn("slot", (F.col("slot") + (digit(home) - digit(F.col("slot"))) * unit).cast("int"))
-        runs = runs.repartitionById(slots, "slot").sortWithinPartitions(*order).mapInArrow(merge_runs, RUN)
+        runs = mapped(runs.repartitionById(slots, "slot").sortWithinPartitions(*order), merge_runs, RUN)
     return runs.select("digest", "second", "n_bytes", F.nullif("keep_id", F.lit(LAST)).alias("keep_id"), "group_size")
 
 

@@ -35,9 +35,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import arrow_batches, documents, keeps_columns, mix64, text_bytes, word_hashes, written
+from sportlake.llm.common import arrow_batches, documents, keeps_columns, mapped, mix64, text_bytes, word_hashes, written
 from sportlake.llm.components import components
-from sportlake.llm.suffix_dedup import among
+from sportlake.llm.suffix_dedup import bits_of, holds
 
 WORDS = 4
 PERCENT = 85
@@ -183,7 +183,7 @@ def _sum_counters(rows: pd.DataFrame) -> pd.DataFrame:
 
 def counters(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """chunk, body: the counters over all texts, written."""
-    rows = docs.select("text").mapInArrow(_counters(words), "chunk int, body binary")
+    rows = mapped(docs.select("text"), _counters(words), "chunk int, body binary")
     return written(rows.groupBy("chunk").applyInPandas(_sum_counters, "chunk int, body binary"), "counters")
 
 
@@ -208,7 +208,7 @@ class Usual:
 
     @classmethod
     def of(cls, total: DataFrame) -> "Usual":
-        rows = total.mapInArrow(_histogram, "count long, n long").groupBy("count").agg(F.sum("n").alias("n")).toArrow()
+        rows = mapped(total, _histogram, "count long, n long").groupBy("count").agg(F.sum("n").alias("n")).toArrow()
         return cls(rows.column("count").to_numpy(), rows.column("n").to_numpy())
 
 
@@ -221,7 +221,7 @@ def frequent(total: DataFrame, most: float) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(flags, pa.binary())], ["chunk", "flags"])
 
     out = np.zeros((1 << COUNTERS) // 8, np.uint8)
-    for r in total.mapInArrow(run, "chunk int, flags binary").collect():
+    for r in mapped(total, run, "chunk int, flags binary").collect():
         out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["flags"], np.uint8)
     return out
 
@@ -281,10 +281,13 @@ def _nodes(shared: Broadcast, words: int, percent: int) -> Callable:
     return run
 
 
-def _bodies(words: int) -> Callable:
+def _bodies(words: int, wanted: Broadcast) -> Callable:
+    """Sets of the rows that are wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
-        for _, sets in _each(batches, words):
+        some = (b.filter(pa.array(holds(wanted.value, b.column("uid").to_numpy()))) for b in batches)
+        for _, sets in _each(some, words):
             kept = [(s, x) for x in sets if len(x) and once(s := set_id(x))]
             body = [np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]).tobytes() for _, x in kept]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in kept], pa.int64()), pa.array(body, pa.binary())], ["node", "body"])
@@ -490,11 +493,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int = W
     """The pairs (a, b) of nodes whose whole sets link. Only texts with one of those sets are read into sets again."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = nodes.join(ids, "node", "left_semi").select("uid")
-    sets = docs.filter(among(texts)("uid")).select("text").mapInArrow(_bodies(words), "node long, body binary").dropDuplicates(["node"])
+    sets = mapped(docs.select("uid", "text"), _bodies(words, bits_of(texts)), "node long, body binary").dropDuplicates(["node"])
     sets = written(sets.join(ids, "node", "left_semi"), "sets")
     one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
-    return written(two.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a long, b long"), "links")
+    return written(mapped(two.select("a", "b", "body_a", "body_b"), _linked(percent), "a long, b long"), "links")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -515,7 +518,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int =
 
     entries = nodes.filter("first IS NOT NULL").select("node", "n", "rare", F.posexplode("first").alias("at", "token")).select("token", "node", "n", (F.col("at") - F.col("rare")).alias("late"))
     lists = entries.repartition("token").sortWithinPartitions("token", "n", "node")
-    lists = written(lists.mapInArrow(_neighbours, "token long, node long, n int, before long, late int"), "lists")
+    lists = written(mapped(lists, _neighbours, "token long, node long, n int, before long, late int"), "lists")
     met = lists.filter("before is not null").groupBy("node", "n", "before").count().filter(F.col("count") * 30 >= F.col("n"))  # the others are left to the later readings
     most = met.groupBy("node").agg(F.max_by("before", F.struct("count", "before")).alias("before"))
     first = written(most.select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct(), "pairs")
@@ -532,7 +535,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int =
         return written(named.join(several, "token", "left_semi").select("token", "n", "node", "label", "late"), "mixed-lists")
 
     rows = mixed(lists, edges)
-    centre = dealt(rows.filter(F.col("late").between(0, CENTRES - 1)).join(sketches, "node")).mapInArrow(_alike(percent), "node long, partner long, share double")
+    centre = mapped(dealt(rows.filter(F.col("late").between(0, CENTRES - 1)).join(sketches, "node")), _alike(percent), "node long, partner long, share double")
     centre = centre.groupBy("node").agg(F.max_by("partner", F.struct("share", "partner")).alias("partner"))
     second = centre.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
@@ -544,7 +547,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int =
     # prefix ends first shares no more than what it shares of its prefix and all that follows its prefix.
     after = F.greatest(*(F.ceil(F.col(n) * percent / 100) - 1 for n in ("n_a", "n_b")))
     least_shared = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    pairs = dealt(rows).mapInArrow(_fitting(percent), "a long, b long, n_a long, n_b long").groupBy("a", "b", "n_a", "n_b").count()
+    pairs = mapped(dealt(rows), _fitting(percent), "a long, b long, n_a long, n_b long").groupBy("a", "b", "n_a", "n_b").count()
     rest = pairs.filter(F.col("count") + after >= least_shared).select("a", "b")
     rest = written(rest.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs")
     return edges.unionByName(verified(rest, docs, nodes, words, percent))
@@ -567,7 +570,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     total = counters(docs, words)
     usual = Usual.of(total)
     shared = docs.sparkSession.sparkContext.broadcast((frequent(total, usual.most), boundary_for(usual, percent)))
-    made = docs.mapInArrow(_nodes(shared, words, percent), "doc_id long, uid long, n int, node long, keys array<struct<key:long,m:int>>, first array<long>, rare int, sketch binary")
+    made = mapped(docs, _nodes(shared, words, percent), "doc_id long, uid long, n int, node long, keys array<struct<key:long,m:int>>, first array<long>, rare int, sketch binary")
     nodes = written(made, "nodes")
     return nodes, components(links(docs, nodes, words, percent))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, fold, text_bytes, text_of
+from sportlake.llm.common import documents, fold, mapped, text_bytes, text_of
 
 PLACES = 1 << 16
 GRAMS = 4
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, per_lang: int = 200) -> Model | None:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id")
     ids = train.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang).select("doc_id").distinct()
     texts = train.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.lang", "one.text")
-    rows = texts.mapInArrow(_held, "doc_id long, lang string, held array<int>").toArrow().sort_by("doc_id")
+    rows = mapped(texts, _held, "doc_id long, lang string, held array<int>").toArrow().sort_by("doc_id")
     return fitted([x.values.to_numpy() for x in rows.column("held")], rows.column("lang").to_pylist())
 
 
@@ -132,7 +132,7 @@ def predicted(docs: DataFrame, model: Model | None, batch: int = 32) -> DataFram
                     names[row], scores[row] = m.names[best], float(p[k, best])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(rows, run, "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, fold, keeps_columns, labels, text_bytes, word_hashes
+from sportlake.llm.common import documents, fold, keeps_columns, labels, mapped, text_bytes, word_hashes
 
 PLACES = 1 << 13
 DIMS = 64
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_label: int = 1500) -> Model | Non
     one = [marks.filter(F.col("quality") == k).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_label) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(one[0].unionByName(one[1])), "doc_id")
     texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(_terms_of, "doc_id long, quality int, place array<smallint>, count array<int>, shares array<float>").toArrow().sort_by("doc_id")
+    rows = mapped(texts, _terms_of, "doc_id long, quality int, place array<smallint>, count array<int>, shares array<float>").toArrow().sort_by("doc_id")
     if not len(rows):
         return None
     place, count, shares = (rows.column(k).combine_chunks() for k in ("place", "count", "shares"))
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, model: Model | None, *keep: str, batch: int = 128) -
                 scores[a : a + batch] = m.scores(text.slice(a, batch).to_pylist())
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(scores)], [*rows.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, schema).toDF(*keep, "score")
+    return mapped(rows, run, schema).toDF(*keep, "score")
 
 
 @keeps_columns

@@ -8,8 +8,9 @@ bucket by bucket: multikey quicksort on words of eight bytes to a shallow depth,
 A blind trie compares its members with a leader, splits them by the first differing position and byte alone, and goes on in
 each branch with a new leader, so bytes that all share are never looked at again.
 
-Segments and documents are identified by 64-bit hashes together with bucket and length. Buckets with very many different segments
-are split by a hash of the window's first bytes, so that no task has to hold all of one.
+Segments and documents are identified by 64-bit hashes together with bucket and length. The segments of a bucket with very many
+different ones are cut into runs of windows that have the same smallest hash under a second hash function, and those are buckets of their
+own: each window goes to one of them, equal windows to the same one.
 
 Nulls, ties and odd rows: a null text is empty; texts shorter than the length have no window and stay whole. Repeated rows
 count as separate documents and so remove each other. Ids may be null or repeat. An empty table gives no rows.
@@ -23,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, mix64, prefix_hash, span_hash, text_bytes, text_of, written
+from sportlake.llm.common import documents, mapped, mix64, prefix_hash, span_hash, text_bytes, text_of, written
 
 LENGTH = 400
-#: Different segments of a bucket that one task sorts together.
+#: Different segments of a bucket beyond which it is dealt anew by a second hash.
 SEGMENTS = 20_000
 #: Window starts that are sorted at once.
 BATCH = 200_000
@@ -120,43 +122,41 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: windows of the segment (n in all) from offset on, and their bytes.
+BODY = pa.schema([("bucket", pa.int64()), ("share", pa.int64()), ("segment", pa.int64()), ("n", pa.int32()), ("offset", pa.int32()), ("windows", pa.int32()), ("times", pa.int64()), ("body", pa.binary())])
+
+
 def _sorter(length: int):
     """Rows arrive in order of bucket and share; a bucket is sorted whole, small ones together."""
     out = pa.schema([("bucket", pa.int64()), ("segment", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("end", pa.int32())])
 
     def sort(held: list[tuple]) -> pa.RecordBatch:
-        bucket, segment, n, times, share, shares, body = zip(*held, strict=True)
+        bucket, share, segment, whole, offset, n, times, body = zip(*held, strict=True)
         data = np.frombuffer(b"".join(body) + bytes(8), np.uint8)
-        n, times = np.array(n), np.array(times)
+        n, times, offset = np.array(n), np.array(times), np.array(offset)
         base = np.cumsum([0, *map(len, body)])[:-1]
-        key = np.array(bucket, np.int64)
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (np.diff(share) != 0)]))
+        key, share = np.array(bucket, np.int64), np.array(share, np.int64)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (share[1:] != share[:-1])]))
         row = np.repeat(np.arange(len(n)), n)
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = base[row] + start
-        use = np.ones(len(row), bool)
-        if max(shares) > 1:
-            p, k = prefix_hash(data), min(16, length)
-            use = (span_hash(p, at, at + k) % np.array(shares, np.uint64)[row]).astype(np.int64) == np.array(share)[row]
-        total = np.zeros(len(row), np.int64)
-        total[use] = sort_suffixes(data, at[use], group[row[use]], times[row[use]], length)
+        total = sort_suffixes(data, base[row] + start, group[row], times[row], length)
         repeats = np.zeros(len(row) + len(n), bool)  # a gap after each segment
         repeats[np.arange(len(row)) + row] = total > 1
         a, b = _spans(repeats)
         of = np.searchsorted(np.cumsum(n + 1), a, "right")
-        low = (np.cumsum(n + 1) - n - 1)[of]
-        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(np.array(segment, np.int64)[of]), pa.array(n[of].astype(np.int32)), pa.array((a - low).astype(np.int32)), pa.array((b - low + length - 1).astype(np.int32))], schema=out)
+        low = (np.cumsum(n + 1) - n - 1 - offset)[of]
+        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(np.array(segment, np.int64)[of]), pa.array(np.array(whole, np.int32)[of]), pa.array((a - low).astype(np.int32)), pa.array((b - low + length - 1).astype(np.int32))], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, starts, last = [], 0, None
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("bucket", "segment", "n", "times", "share", "shares", "body")], strict=True):
-                if starts >= BATCH and (r[0], r[4]) != last:
+            for r in zip(*[batch.column(c).to_pylist() for c in BODY.names], strict=True):
+                if starts >= BATCH and r[:2] != last:
                     yield sort(held)
                     held, starts = [], 0
-                last = r[0], r[4]
+                last = r[:2]
                 held.append(r)
-                starts += r[2]
+                starts += r[5]
         if held:
             yield sort(held)
 
@@ -177,18 +177,30 @@ def _segments(length: int, gram: int):
     return run
 
 
-def _bodies(length: int):
-    """Cut the bytes of the wanted segments out of each document."""
+def _bodies(length: int, gram: int):
+    """Cut the bytes of the wanted segments out of each document, those of large buckets by a second smallest hash."""
+
+    def parts(body: bytes, n: int) -> Iterator[tuple[int, int, int]]:
+        data = np.frombuffer(body, np.uint8)
+        q = np.arange(len(data) - gram + 1)
+        low = window_minima(mix64(span_hash(prefix_hash(data), q, q + gram) ^ np.uint64(0xA0761D6478BD642F)), length - gram + 1)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        return zip(low[first].view(np.int64).tolist(), first.tolist(), np.diff(np.append(first, n)).tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("bucket", pa.int64()), ("segment", pa.int64()), ("n", pa.int32()), ("times", pa.int64()), ("shares", pa.int64()), ("body", pa.binary())])
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
                 data = text_bytes(text.as_py()).tobytes()
                 for w in wanted.as_py():
-                    rows.append({k: w[k] for k in ("bucket", "segment", "n", "times", "shares")} | {"body": data[w["first"] : w["first"] + w["n"] + length - 1]})
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+                    body = data[w["first"] : w["first"] + w["n"] + length - 1]
+                    for share, offset, n in parts(body, w["n"]) if w["large"] else [(0, 0, w["n"])]:
+                        rows.append({k: w[k] for k in ("bucket", "segment", "n", "times")} | {"share": share, "offset": offset, "windows": n, "body": body[offset : offset + n + length - 1]})
+                        size += n + length
+                if size >= 1 << 24:
+                    yield pa.RecordBatch.from_pylist(rows, BODY)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, BODY)
 
     return run
 
@@ -214,20 +226,29 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
 
 
-def among(ids: DataFrame):
-    """A test for a uid column that is true for all of ids and seldom for others: a table of 2**BITS hashed bits, whatever the data's size."""
+def bits_of(ids: DataFrame) -> Broadcast:
+    """A table of 2**BITS hashed bits, whatever the data's size, that knows all of ids and seldom others; for holds()."""
     word = F.col("uid").bitwiseAND(F.lit((1 << (BITS - 6)) - 1)).alias("word")
     bit = F.expr(f"shiftleft(1L, cast(shiftright(uid, {BITS - 6}) & 63 as int))")
     words = ids.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def holds(table: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    u = uid.view(np.uint64)
+    at = (u & np.uint64((1 << (BITS - 6)) - 1)).astype(np.int64)
+    return (table[at].view(np.uint64) >> ((u >> np.uint64(BITS - 6)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def among(ids: DataFrame):
+    """A test for a uid column that is true for all of ids and seldom for others."""
+    shared = bits_of(ids)
 
     @F.pandas_udf("boolean")
     def test(uid: pd.Series) -> pd.Series:
-        u = uid.to_numpy().view(np.uint64)
-        at = (u & np.uint64((1 << (BITS - 6)) - 1)).astype(np.int64)
-        return pd.Series((shared.value[at].view(np.uint64) >> ((u >> np.uint64(BITS - 6)) & np.uint64(63)) & np.uint64(1)).astype(bool))
+        return pd.Series(holds(shared.value, uid.to_numpy()))
 
     return test
 
@@ -235,18 +256,19 @@ def among(ids: DataFrame):
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """uid, start, end of byte ranges (they may overlap) made of windows that start anywhere else too. docs: uid, text."""
     gram = max(1, length // 5)
-    found = written(docs.select("uid", "text").mapInArrow(_segments(length, gram), "uid long, bucket long, segment long, first int, n int, several boolean"), "segments")
+    found = written(mapped(docs.select("uid", "text"), _segments(length, gram), "uid long, bucket long, segment long, first int, n int, several boolean"), "segments")
     shared = found.groupBy("bucket").agg(F.count("*").alias("k"), F.max("several").alias("several")).filter("k > 1 or several").select("bucket")
     kept = written(found.join(shared, "bucket", "left_semi").select("bucket", "segment", "n", "uid", "first"), "kept-segments")
     one = kept.groupBy("bucket", "segment", "n").agg(F.count("*").alias("times"), F.min(F.struct("uid", "first")).alias("at"))
     one = written(one.select("bucket", "segment", "n", "times", "at.uid", "at.first"), "one-of-each")
-    large = one.groupBy("bucket").agg(F.ceil(F.count("*") / SEGMENTS).alias("shares")).filter("shares > 1")
-    one = one.join(large, "bucket", "left").withColumn("shares", F.coalesce("shares", F.lit(1).cast("long")))
-    wanted = one.groupBy("uid").agg(F.collect_list(F.struct("bucket", "segment", "n", "times", "shares", "first")).alias("wanted"))
+    large = one.groupBy("bucket").agg(F.count("*").alias("k")).filter(F.col("k") > SEGMENTS).select("bucket", F.lit(True).alias("large"))
+    one = one.join(large, "bucket", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    wanted = one.groupBy("uid").agg(F.collect_list(F.struct("bucket", "segment", "n", "times", "large", "first")).alias("wanted"))
     sources = docs.select("uid", "text").filter(among(one.select("uid"))("uid")).dropDuplicates(["uid"])
-    bodies = sources.join(wanted, "uid").select("text", "wanted").mapInArrow(_bodies(length), "bucket long, segment long, n int, times long, shares long, body binary")
-    bodies = bodies.withColumn("share", F.explode(F.expr("sequence(0L, shares - 1)"))).repartition("bucket", "share").sortWithinPartitions("bucket", "share")
-    marks = written(bodies.mapInArrow(_sorter(length), "bucket long, segment long, n int, first int, end int"), "marks")
+    schema = "bucket long, share long, segment long, n int, offset int, windows int, times long, body binary"
+    bodies = mapped(sources.join(wanted, "uid").select("text", "wanted"), _bodies(length, gram), schema)
+    bodies = bodies.repartition("bucket", "share").sortWithinPartitions("bucket", "share")
+    marks = written(mapped(bodies, _sorter(length), "bucket long, segment long, n int, first int, end int"), "marks")
     marks = marks.withColumnRenamed("first", "from")
     return kept.join(marks, ["bucket", "segment", "n"]).select("uid", (F.col("first") + F.col("from")).cast("long").alias("start"), (F.col("first") + F.col("end")).cast("long").alias("end"))
 
@@ -259,7 +281,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     marked = docs.withColumn("touched", touched)
     whole = marked.filter(~F.col("touched")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    cut = marked.filter("touched").select("doc_id", "uid", "text").join(by, "uid", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = mapped(marked.filter("touched").select("doc_id", "uid", "text").join(by, "uid", "left").select("doc_id", "text", "spans"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return whole.unionByName(cut)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, text_of, written
+from sportlake.llm.common import documents, mapped, text_of, written
 
 END = 2
 SHARD_IDS = 2_000_000
@@ -227,6 +227,12 @@ def _encoded(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pieces(tokenizer)
         gc.disable()  # nothing here makes cycles, and walking the remembered pieces costs a tenth of the time
+        try:
+            yield from shards(encode, batches)
+        finally:
+            gc.enable()
+
+    def shards(encode: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple[int | None, np.ndarray]] = []
         part, shard, first, size = 0, 0, 0, 0
         for batch in batches:
@@ -247,7 +253,7 @@ def write_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int
     """Write the token files of docs, in ascending doc_id order, to path, or without one to the shared folder; returns the rows of the files."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    shards = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_encoded(tokenizer, end), FILE)
+    shards = mapped(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text"), _encoded(tokenizer, end), FILE)
     if path is None:
         return written(shards, "tokens")
     shards.write.parquet(path)
@@ -282,7 +288,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return files.select("part", "table", "blocks").mapInArrow(_decoded(with_ids), schema).join(parts, "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
+    return mapped(files.select("part", "table", "blocks"), _decoded(with_ids), schema).join(parts, "part").withColumn("start", F.col("start") + F.col("before")).drop("part", "before")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import documents, fold, labels, mix64, prefix_hash, span_hash, text_bytes, written
+from sportlake.llm.common import documents, fold, labels, mapped, mix64, prefix_hash, span_hash, text_bytes, written
 
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
@@ -167,7 +167,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_odds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Words (sorted hashes) and their log-odds, without those drawn to 0. sample: doc_id, toxic, text."""
-    words = sample.mapInArrow(_words_of, "doc_id long, toxic int, sketch long, words array<long>")
+    words = mapped(sample, _words_of, "doc_id long, toxic int, sketch long, words array<long>")
     one = words.groupBy("toxic", "sketch").agg(F.min_by("words", "doc_id").alias("words"))  # one of a group of copies
     counts = written(one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("c0"), F.sum("toxic").alias("c1")), "word-counts")
     n0, n1 = counts.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("c1"), F.lit(0))).first()
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_label: int = 3000) -> Model | Non
         share = min(max(share, 0.001), 0.999)
         return Model(np.zeros(0, np.uint64), np.zeros(0), slope=0.0, offset=float(np.log(share / (1 - share))))
     model = Model(*log_odds(sample))
-    scored_clean = sample.filter("toxic = 0").select("text").mapInArrow(_clean_law(spark.sparkContext.broadcast(model)), "best double, length long, bins array<int>, times array<long>")
+    scored_clean = mapped(sample.filter("toxic = 0").select("text"), _clean_law(spark.sparkContext.broadcast(model)), "best double, length long, bins array<int>, times array<long>")
     clean = written(scored_clean, "clean-law")
     bins = clean.select(F.explode(F.arrays_zip("bins", "times")).alias("x")).groupBy("x.bins").agg(F.sum("x.times").alias("times")).toArrow()
     each = clean.filter("length > 0").select("best", "length").toArrow()
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_label: int = 3000) -> Model | Non
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([shared.value.evidence(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "toxic", "evidence"])
 
-    rows = sample.mapInArrow(evidence, "doc_id long, toxic int, evidence double").toArrow().sort_by("doc_id")
+    rows = mapped(sample, evidence, "doc_id long, toxic int, evidence double").toArrow().sort_by("doc_id")
     model.slope, model.offset = curve(rows.column("evidence").to_numpy(), rows.column("toxic").to_numpy() == 1, share)
     return model
 
@@ -246,7 +246,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = [m.probability(sum(e for _, _, e in x)) for x in found]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores, pa.float64()), pa.array([[{"start": a, "end": b, "evidence": e} for a, b, e in x] for x in found], kind)], ["doc_id", "score", "passages"])
 
-    return rows.mapInArrow(run, f"doc_id long, score double, passages {passages}")
+    return mapped(rows, run, f"doc_id long, score double, passages {passages}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
