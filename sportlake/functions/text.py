@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks, and the same without. The sharp s stays.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Characters that decompose to one other (compatibility decomposition, without combining marks), what they become, and the combining
+#: marks, which go. Up to the end of the Latin and Greek extensions; the sharp s stays.
+LETTERS = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in map(chr, range(128, 0x2000))}
+MARKED = "".join(c for c, x in LETTERS.items() if len(x) == 1 and x != c)
+PLAIN = "".join(x for c, x in LETTERS.items() if len(x) == 1 and x != c)
+COMBINING = "".join(c for c, x in LETTERS.items() if not x)
 MONTHS = {"januar": 1, "februar": 2, "märz": 3, "april": 4, "mai": 5, "juni": 6, "juli": 7, "august": 8, "september": 9, "oktober": 10, "november": 11, "dezember": 12}
+#: White space, in a form that all regular expressions read alike.
+BLANK = r"[\t-\r ]"
 CARDS = {"gelbekarte.bmp": "yellow", "gelbrot.bmp": "second_yellow", "rotekarte.bmp": "red"}
 
 
@@ -22,7 +29,7 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, MARKED, PLAIN)
+    return F.translate(c, MARKED + COMBINING, PLAIN)
 
 
 def normalize_name(c: Column) -> Column:
@@ -42,7 +49,7 @@ def digits_or_null(c: Column) -> Column:
 
 def parse_minute(c: Column) -> Column:
     """'45+2.' to minute and stoppage."""
-    pattern = r"^(\d+)(?:\+(\d+))?\."
+    pattern = r"^\s*(\d+)(?:\+(\d+))?\."
     return F.struct(some(c, pattern, 1).cast("int").alias("minute"), some(c, pattern, 2).cast("int").alias("stoppage"))
 
 
@@ -67,36 +74,65 @@ def parse_approx_month(c: Column) -> Column:
     return F.make_date(some(c, r"(\d{4})").cast("int"), month, F.lit(1))
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
+def _without_question_mark(c: Column) -> Column:
+    return stripped(F.regexp_replace(stripped(c), r"^\?", ""))
+
+
+def _without_repeat_mark(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?i)^wdh\.{BLANK}*", "")
+
+
+def _without_goal_mark(c: Column) -> Column:
+    return stripped(F.regexp_replace(c, rf"(?i)^(?:FE|ET|HE),{BLANK}*", ""))
+
+
 def clean_player_name(c: Column) -> Column:
-    """Without a leading question mark, repeat mark or penalty mark."""
-    return normalize_whitespace(F.regexp_replace(c, r"^\s*(?:\?\s*|wdh\.?\s*|(?:FE|ET|HE),\s*)+", ""))
+    """Without one leading question mark, then a repeat mark, then a penalty or own goal mark."""
+    return _without_goal_mark(_without_repeat_mark(_without_question_mark(c)))
+
+
+# Marks of lines that are not players, in lower case.
+TRAINER_MARKS = "trainer:|fsv-trainer|coach:|-trainer"
+REFEREE_MARKS = "schiedsrichter:|schiedsrichterin:|referee:"
 
 
 def player_name_error(c: Column) -> Column:
-    """Why a text is no player's name; NULL if it is one. The first reason in order."""
+    """Why a text is no player's name; NULL if it is one. Each test sees the name as cleaned up to there; the first reason counts."""
+    bare = _without_question_mark(c)
+    name = _without_repeat_mark(bare)
+    low, clean = F.lower(name), _without_goal_mark(name)
     return (
-        F.when(c.isNull() | (F.trim(c) == ""), "empty").when(F.trim(c).rlike(r"^-+$"), "placeholder").when(F.lower(c).contains("trainer"), "trainer").when(F.lower(c).contains("schiedsrichter"), "referee").when(F.lower(c).rlike(r"^tore?\b"), "goal_text")
-        .when(c.contains(" an "), "assist_text").when(~F.trim(c).rlike(r"^\p{L}"), "not_a_letter").when(F.length(F.trim(c)) < 2, "too_short").when(F.length(c) > 100, "too_long")
+        F.when(c.isNull() | (bare == ""), "empty").when(bare == "-", "placeholder").when(low.rlike(TRAINER_MARKS), "trainer").when(low.rlike(REFEREE_MARKS), "referee").when(low.startswith("tore ") | name.rlike(rf"^\d+\.{BLANK}*\d+:\d+"), "goal_text")
+        .when(F.lower(clean).contains(" an "), "assist_text").when(clean.isin("", "-"), "empty").when(~clean.rlike(r"^\p{L}"), "not_a_letter").when(F.length(clean) < 2, "too_short").when(F.length(clean) > 100, "too_long")
     )
 
 
 def legacy_player_name(c: Column) -> Column:
     """Older rule: no shirt number at either end, no accents, only letters, dash and apostrophe."""
-    bare = F.regexp_replace(strip_accents(c), r"^\d+\s+|\s+\d+$", "")
-    return normalize_whitespace(F.regexp_replace(bare, r"[^A-Za-z '\-]", " "))
+    bare = F.regexp_replace(strip_accents(c), rf"^\d+{BLANK}+|{BLANK}+\d+\z", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^A-Za-z '\-]", " "), " +", " "))
+
+
+# Surnames that stand after a comma in lines with two names.
+SECOND_NAMES = "liebers|latza|hazard|klopp"
 
 
 def error_category(c: Column) -> Column:
+    """The category of a wrong name, in order; NULL for a plain or empty one."""
     low = F.lower(c)
     return (
-        F.when(low.contains("trainer"), "trainer_name").when(low.contains("schiedsrichter"), "referee_name").when(low.rlike(r"^tore?\b"), "goal_text").when(low.rlike("wdh|fehler"), "error_text")
-        .when(~F.trim(c).rlike(r"^\p{L}"), "invalid_pattern").when(F.length(c) > 100, "too_long").when(c.contains(","), "contains_comma")
+        F.when(low.rlike("trainer|coach"), "trainer_name").when(low.rlike("schiedsrichter|referee"), "referee_name").when(low.rlike(rf"^tore{BLANK}|^\d+\.{BLANK}*\d+:\d+"), "goal_text").when(low.rlike(rf",{BLANK}*(?:{SECOND_NAMES})"), "error_text")
+        .when(c.rlike(r"^[^a-zA-Z]|^[A-Z]{1,3}\z"), "invalid_pattern").when(F.length(c) > 100, "too_long").when(c.contains(","), "contains_comma")
     )
 
 
 def invalid_player_pattern(c: Column) -> Column:
     return (
-        F.when(c.rlike(r"^\d+$"), "digits").when(c.rlike(r"^[-\s]+$"), "dashes").when(c.rlike(r"^\d+\.\s*\d+:\d+"), "goal_time").when(c.rlike(r"^(?:FE|HE|ET|EL)\b"), "goal_mark").when(c.contains(" an "), "assist_text").when(c.rlike(r"^\([^)]*\)$"), "brackets").when(F.lower(c).contains("freistoß"), "free_kick")
+        F.when(c.rlike(r"^\d+\z"), "digits").when(c.rlike(r"^-+\z"), "dashes").when(c.rlike(rf"^\d+\.{BLANK}+\d+:\d+"), "goal_time").when(c.rlike(rf"^(?:FE|HE|ET|EL),{BLANK}"), "goal_mark").when(c.rlike(rf",{BLANK}+[^\n]+{BLANK}+an{BLANK}"), "assist_text").when(c.rlike(r"^\([^\n]*\)\z"), "brackets").when(c.rlike(rf"dir\.{BLANK}*FS"), "free_kick")
     )
 
 

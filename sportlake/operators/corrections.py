@@ -79,9 +79,9 @@ def reclassify(m: DataFrame, wrong: Column, competition_id: int) -> tuple[DataFr
 
 
 def relink_leagues(season_competitions: DataFrame, leagues: DataFrame) -> DataFrame:
-    """Season-competitions repointed to the league of their season's band. leagues: first, last, new_competition_id."""
-    hit = (F.col("season_id") >= F.col("first")) & (F.col("season_id") <= F.col("last"))
-    return season_competitions.join(F.broadcast(leagues), hit, "left").withColumn("competition_id", F.coalesce("new_competition_id", "competition_id")).drop("first", "last", "new_competition_id")
+    """Season-competitions repointed to the league of their season's band, of several the smallest. leagues: first, last, new_competition_id."""
+    seasons = leagues.select(F.explode(F.sequence("first", "last")).alias("season_id"), "new_competition_id").groupBy("season_id").agg(F.min("new_competition_id").alias("new_competition_id"))
+    return season_competitions.join(seasons, "season_id", "left").withColumn("competition_id", F.coalesce("new_competition_id", "competition_id")).drop("new_competition_id")
 
 
 def clean_leading_marks(df: DataFrame, column: str = "name") -> DataFrame:

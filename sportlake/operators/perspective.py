@@ -135,9 +135,10 @@ def in_bands(df: DataFrame, column: str, bands: list[tuple[int, int, str]], name
 def league_level(name: Column) -> Column:
     """Level of a competition by its name; the order of the tests matters."""
     low = F.lower(name)
+    # Words in the names of leagues, in the order in which they decide.
     return (
-        F.when(low.contains("pokal") & ~low.contains("europa"), "cup").when(low.contains("europa") | low.contains("intertoto"), "international").when(low.contains("2. bundesliga"), "second_division").when(low.contains("bundesliga"), "first_division")
-        .when(low.contains("regionalliga") | low.contains("3. liga"), "third_division").when(low.contains("amateur"), "amateur").when(low.contains("oberliga") | low.contains("bezirksliga"), "historical").otherwise("other")
+        F.when(low.contains("bundesliga") & ~low.contains("2.") & ~low.contains("süd"), "first_division").when(low.rlike(r"2\. ?bundesliga"), "second_division").when(low.contains("regionalliga"), "third_division").when(low.rlike("amateur|oberliga"), "amateur")
+        .when(low.rlike("gauliga|bezirks|kreis|klasse"), "historical").when(low.contains("pokal"), "cup").when(low.rlike("champions league|europa league|uefa"), "international").otherwise("other")
     )
 
 

@@ -151,7 +151,7 @@ def find_name_errors(entities: dict[str, DataFrame], usage: DataFrame | None = N
             category = F.when(category != "contains_comma", category)
         part = df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name", category.alias("category")).filter("category IS NOT NULL")
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("delete", F.col("category").isin("trainer_name", "referee_name", "goal_text"))
+    return out.withColumn("delete", F.col("category").isin("trainer_name", "referee_name", "goal_text", "error_text"))
 
 
 def error_breakdown(errors: DataFrame, columns: list[str]) -> DataFrame:

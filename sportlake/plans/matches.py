@@ -12,7 +12,7 @@ from sportlake.operators import windows as win
 from sportlake.plans.base import RECORD
 from sportlake.sources.archive import COMPETITIONS
 
-LEVELS = "CASE competition_id WHEN 1 THEN 'first_division' WHEN 2 THEN 'second_division' WHEN 3 THEN 'third_division' WHEN 4 THEN 'cup' ELSE 'international' END"
+LEVELS = "CASE competition_id WHEN 1 THEN 'first_division' WHEN 2 THEN 'second_division' WHEN 3 THEN 'third_division' ELSE 'cup' END"
 BUCKET = "CASE WHEN minute > 90 OR (minute = 90 AND coalesce(stoppage, 0) > 0) THEN '90+' WHEN minute <= 15 THEN '0-15' WHEN minute <= 30 THEN '16-30' WHEN minute <= 45 THEN '31-45' WHEN minute <= 60 THEN '46-60' WHEN minute <= 75 THEN '61-75' ELSE '76-90' END"
 
 QUERIES = {
@@ -86,7 +86,7 @@ QUERIES = {
     "set03_with_default": (lambda a: prj.with_default(a.matches().filter("season_id = 1890").select("match_id"), "match_id", -1).unionByName(prj.with_default(a.matches().filter("season_id = 1995").select("match_id"), "match_id", -1)), "SELECT -1 AS match_id UNION ALL SELECT match_id FROM matches WHERE season_id = 1995"),
     "set04_missing_values": (lambda a: win.missing_values(a.matches(), a.matches().filter("source_file = 'profirest'"), "season_competition_id").unionByName(win.missing_values(a.matches().select(F.col("referee_id").alias("season_competition_id")), a.matches(), "season_competition_id")), "SELECT DISTINCT season_competition_id FROM matches WHERE season_competition_id NOT IN (SELECT season_competition_id FROM matches WHERE source_file = 'profirest') UNION ALL SELECT DISTINCT referee_id FROM matches WHERE referee_id IS NULL OR referee_id NOT IN (SELECT season_competition_id FROM matches)"),
     "set06_distinct_seasons": (lambda a: a.matches().filter("competition_id = 5").join(a.seasons(), "season_id").select("label").distinct(), "SELECT DISTINCT label FROM matches JOIN seasons USING (season_id) WHERE competition_id = 5"),
-    "set08_missing_matches": (lambda a: win.missing_matches(a.matches().filter("source_file = 'liga'"), a.matches().filter("match_id % 3 = 0")), "x AS (SELECT season_id, home_team_id, away_team_id, match_date, coalesce(home_score, -1) AS home_score, coalesce(away_score, -1) AS away_score, source_file, match_id FROM matches)\n--\nSELECT DISTINCT season_id, home_team_id, away_team_id, match_date, home_score, away_score FROM x WHERE source_file = 'liga' EXCEPT SELECT season_id, home_team_id, away_team_id, match_date, home_score, away_score FROM x WHERE match_id % 3 = 0"),
+    "set08_missing_matches": (lambda a: win.missing_matches(a.matches().filter("source_file = 'liga'"), a.matches().filter("source_file = 'profirest'")), "x AS (SELECT season_id, home_team_id, away_team_id, match_date, coalesce(home_score, -1) AS home_score, coalesce(away_score, -1) AS away_score, source_file, match_id FROM matches)\n--\nSELECT DISTINCT season_id, home_team_id, away_team_id, match_date, home_score, away_score FROM x WHERE source_file = 'liga' EXCEPT SELECT season_id, home_team_id, away_team_id, match_date, home_score, away_score FROM x WHERE source_file = 'profirest'"),
 }
 
 assert len(COMPETITIONS) == 5

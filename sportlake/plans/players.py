@@ -36,11 +36,11 @@ QUERIES = {
     "prj27_career_stations": (lambda a: prj.career_stations(a.players(), stations(a), "player_id").select("player_id", "name", "team_name", "start_year", "station"), STATIONS + "SELECT player_id, name, team_name, start_year, row_number() OVER (PARTITION BY player_id ORDER BY coalesce(start_year, 0), team_name)::INT AS station FROM st JOIN players USING (player_id)"),
     "joi03_player_facts": (lambda a: agg.per_player(*facts(a)).drop("first_match", "last_match"), PER_PLAYER + "SELECT * FROM pp"),
     "joi07_anti_missing": (lambda a: joi.anti_missing(a.matches(), a.lineups(), ["match_id"]).groupBy("season_id").agg(F.count("*").alias("n")), "SELECT season_id, count(*) AS n FROM matches WHERE match_id NOT IN (SELECT match_id FROM lineups) GROUP BY 1"),
-    "joi08_orphans": (lambda a: joi.orphans(a.goals(), "assist_player_id", a.lineups(), "player_id").select("goal_id", "assist_player_id").unionByName(joi.orphans(a.substitutions().select(F.col("substitution_id").alias("goal_id"), F.col("player_off_id").alias("assist_player_id")), "assist_player_id", a.goals().select("player_id").filter("player_id % 2 = 0"), "player_id")), "SELECT goal_id, assist_player_id FROM goals WHERE assist_player_id IS NOT NULL AND assist_player_id NOT IN (SELECT player_id FROM lineups) UNION ALL SELECT substitution_id, player_off_id FROM substitutions WHERE player_off_id NOT IN (SELECT player_id FROM goals WHERE player_id % 2 = 0)"),
+    "joi08_orphans": (lambda a: joi.orphans(a.goals(), "assist_player_id", a.lineups(), "player_id").select("goal_id", "assist_player_id").unionByName(joi.orphans(a.substitutions().select(F.col("substitution_id").alias("goal_id"), F.col("player_off_id").alias("assist_player_id")), "assist_player_id", a.goals().select("player_id"), "player_id")), "SELECT goal_id, assist_player_id FROM goals WHERE assist_player_id IS NOT NULL AND assist_player_id NOT IN (SELECT player_id FROM lineups) UNION ALL SELECT substitution_id, player_off_id FROM substitutions WHERE player_off_id NOT IN (SELECT player_id FROM goals)"),
     "joi09_without_events": (lambda a: joi.without_events(a.matches(), lineups=a.lineups(), goals=a.goals(), cards=a.cards(), substitutions=a.substitutions()), "SELECT match_id, 'lineups' AS kind FROM matches ANTI JOIN lineups USING (match_id) UNION ALL SELECT match_id, 'goals' FROM matches ANTI JOIN goals USING (match_id) UNION ALL SELECT match_id, 'cards' FROM matches ANTI JOIN cards USING (match_id) UNION ALL SELECT match_id, 'substitutions' FROM matches ANTI JOIN substitutions USING (match_id)"),
     "joi11_goals_with_assists": (lambda a: joi.goals_with_assists(a.goals(), a.players()).groupBy("scorer", "assist").agg(F.count("*").alias("n")), "SELECT p.name AS scorer, s.name AS assist, count(*) AS n FROM goals g JOIN players p ON p.player_id = g.player_id LEFT JOIN players s ON s.player_id = assist_player_id GROUP BY ALL"),
     "joi12_pair_presence": (lambda a: joi.anti_missing(a.goals(), a.lineups().filter("is_starter"), ["match_id", "player_id"]).select("goal_id"), "SELECT goal_id FROM goals ANTI JOIN (SELECT * FROM lineups WHERE is_starter) USING (match_id, player_id)"),
-    "joi21_source_context": (lambda a: joi.source_context(a.players().filter("player_id % 7 = 0"), [("goal", a.goals()), ("card", a.cards()), ("lineup", a.lineups())]), "SELECT player_id, CASE min(r) WHEN 0 THEN 'goal' WHEN 1 THEN 'card' ELSE 'lineup' END AS kind, arg_min(match_id, r * 1000000000 + match_id) AS match_id FROM (SELECT player_id, match_id, 0 AS r FROM goals UNION ALL SELECT player_id, match_id, 1 FROM cards UNION ALL SELECT player_id, match_id, 2 FROM lineups) WHERE player_id % 7 = 0 GROUP BY 1"),
+    "joi21_source_context": (lambda a: joi.source_context(a.players(), [("goal", a.goals()), ("card", a.cards()), ("lineup", a.lineups())]), "SELECT player_id, CASE min(r) WHEN 0 THEN 'goal' WHEN 1 THEN 'card' ELSE 'lineup' END AS kind, arg_min(match_id, r * 1000000000 + match_id) AS match_id FROM (SELECT player_id, match_id, 0 AS r FROM goals UNION ALL SELECT player_id, match_id, 1 FROM cards UNION ALL SELECT player_id, match_id, 2 FROM lineups) GROUP BY 1"),
     "joi24_latest_lineup": (lambda a: joi.latest_match_lineup(a.lineups()).select("match_id", "player_id"), "SELECT match_id, player_id FROM lineups WHERE match_id = (SELECT max(match_id) FROM lineups)"),
     "joi25_career_sources": (lambda a: a.players().select("player_id").join(agg.scorer_span(a.matches(), a.goals()).select("player_id", F.col("first_season").alias("g")), "player_id", "left").join(a.lineups().join(a.matches(), "match_id").groupBy("player_id").agg(F.min("season_id").alias("l")), "player_id", "left").select("player_id", F.coalesce("g", "l").alias("first_season")), "SELECT player_id, coalesce((SELECT min(season_id) FROM goals g JOIN matches USING (match_id) WHERE g.player_id = p.player_id), (SELECT min(season_id) FROM lineups l JOIN matches USING (match_id) WHERE l.player_id = p.player_id)) AS first_season FROM players p"),
     "agg03_player_career_stats": (lambda a: agg.player_career_stats(a.players(), *facts(a)), PER_PLAYER + f"SELECT player_id, name, appearances, starts, appearances - starts AS sub_appearances, goals, penalties, assists, yellow, second_yellow, red, {sql_ratio('goals', 'appearances', 2)} AS goals_per_match FROM pp JOIN players USING (player_id)"),

@@ -10,7 +10,7 @@ from sportlake.operators import joins as joi
 from sportlake.operators import perspective as prj
 from sportlake.operators import quality as dq
 from sportlake.operators import windows as win
-from sportlake.plans.texts import NAMES, names
+from sportlake.plans.texts import CATEGORY, NAMES, REASON, names
 
 MAPPING = "mp(old_id, new_id) AS (VALUES (19, 1), (20, 1), (18, 2))\n--\n"
 
@@ -27,10 +27,10 @@ def id_map(df, key: str, every: int, shift: int):  # noqa: ANN001, ANN201
 
 QUERIES = {
     "dq01_valid_minute": (lambda a: a.goals().groupBy(dq.valid_minute(F.col("minute") + 30, F.col("stoppage")).alias("ok")).agg(F.count("*").alias("n")), "SELECT minute + 30 <= 120 AND coalesce(stoppage, 0) <= 20 AS ok, count(*) AS n FROM goals GROUP BY 1"),
-    "dq02_valid_refs": (lambda a: dq.valid_refs(a.goals(), {"match_id": (a.matches(), "match_id"), "player_id": (a.players().filter("player_id % 10 <> 0"), "player_id"), "assist_player_id": (a.players().filter("player_id % 7 <> 0"), "player_id")}).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN player_id % 10 = 0 THEN 'unknown player_id' WHEN assist_player_id % 7 = 0 THEN 'unknown assist_player_id' END AS reason, count(*) AS n FROM goals GROUP BY 1"),
-    "dq03_ingest_events": (lambda a: dq.ingest_events(a.cards(), ["match_id", "player_id", "minute", "card_type"], "card_id", {"player_id": (a.players().filter("player_id % 10 <> 0"), "player_id")})[1], "SELECT 'unknown player_id' AS reason, count(*) AS rows FROM cards WHERE player_id % 10 = 0 UNION ALL SELECT 'duplicate', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM cards WHERE player_id % 10 <> 0 GROUP BY match_id, player_id, minute, card_type)"),
-    "dq04_sparse_seasons": (lambda a: dq.sparse_seasons(a.seasons(), a.matches().filter("season_id % 2 = 0 AND (match_id % 500 = 0 OR season_id > 1996)"), 10), "SELECT season_id, label, count(match_id) AS matches, count(DISTINCT competition_id) AS competitions, CASE WHEN count(match_id) = 0 THEN 'empty' ELSE 'sparse' END AS kind FROM seasons LEFT JOIN (SELECT * FROM matches WHERE season_id % 2 = 0 AND (match_id % 500 = 0 OR season_id > 1996)) USING (season_id) GROUP BY 1, 2 HAVING count(match_id) < 10"),
-    "dq05_bad_player_names": (lambda a: dq.bad_player_names(names(a).select(F.col("doc_id").alias("player_id"), "name")).groupBy("reason").agg(F.count("*").alias("n")), NAMES + r"SELECT * FROM (SELECT CASE WHEN trim(name) = '' THEN 'empty' WHEN regexp_matches(trim(name), '^-+$') THEN 'placeholder' WHEN lower(name) LIKE '%trainer%' THEN 'trainer' WHEN lower(name) LIKE '%schiedsrichter%' THEN 'referee' WHEN regexp_matches(lower(name), '^tore?\b') THEN 'goal_text' WHEN name LIKE '% an %' THEN 'assist_text' WHEN NOT regexp_matches(trim(name), '^\p{L}') THEN 'not_a_letter' WHEN length(trim(name)) < 2 THEN 'too_short' END AS reason, count(*) AS n FROM n GROUP BY 1) WHERE reason IS NOT NULL"),
+    "dq02_valid_refs": (lambda a: dq.valid_refs(a.goals(), {"match_id": (a.matches(), "match_id"), "player_id": (a.players().filter("height_cm >= 165"), "player_id"), "assist_player_id": (a.players().filter("height_cm < 195"), "player_id")}).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) THEN 'unknown player_id' WHEN assist_player_id NOT IN (SELECT player_id FROM players WHERE height_cm < 195) THEN 'unknown assist_player_id' END AS reason, count(*) AS n FROM goals GROUP BY 1"),
+    "dq03_ingest_events": (lambda a: dq.ingest_events(a.cards(), ["match_id", "player_id", "minute", "card_type"], "card_id", {"player_id": (a.players().filter("height_cm >= 165"), "player_id")})[1], "SELECT 'unknown player_id' AS reason, count(*) AS rows FROM cards WHERE player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) UNION ALL SELECT 'duplicate', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM cards WHERE player_id IN (SELECT player_id FROM players WHERE height_cm >= 165) GROUP BY match_id, player_id, minute, card_type)"),
+    "dq04_sparse_seasons": (lambda a: dq.sparse_seasons(a.seasons(), a.matches(), 2500), "SELECT season_id, label, count(match_id) AS matches, count(DISTINCT competition_id) AS competitions, CASE WHEN count(match_id) = 0 THEN 'empty' ELSE 'sparse' END AS kind FROM seasons LEFT JOIN matches USING (season_id) GROUP BY 1, 2 HAVING count(match_id) < 2500"),
+    "dq05_bad_player_names": (lambda a: dq.bad_player_names(names(a).select(F.col("doc_id").alias("player_id"), "name")).select("player_id", "reason"), NAMES + f"SELECT doc_id AS player_id, {REASON} AS reason FROM n WHERE {REASON} IS NOT NULL"),
     "dq06_record_adds_up": (lambda a: dq.record_adds_up(prj.result_wdl(a.matches()), "season_id"), "SELECT season_id, count(*) AS matches, count(*) FILTER (result IS NULL) AS open FROM f GROUP BY 1 HAVING count(*) FILTER (result IS NULL) <> 0"),
     "dq07_one_focal_team": (lambda a: prj.name_contains(a.teams(), "name", "team 1").agg(F.count("*").alias("names")).join(a.matches().agg(F.count("*").alias("matches")), F.lit(True)), "SELECT (SELECT count(*) FROM teams WHERE name ILIKE '%team 1%') AS names, (SELECT count(*) FROM matches) AS matches"),
     "dq08_bad_team_names": (lambda a: dq.bad_team_names(a.raw("documents").select("doc_id", F.col("text").alias("name"))).select("doc_id"), "SELECT doc_id FROM documents WHERE lower(text) LIKE '%trainer%' OR text LIKE '%,%' OR length(text) > 100"),
@@ -49,17 +49,17 @@ QUERIES = {
     "dq21_unique_values": (lambda a: dq.unique_values(a.goals(), "goal_id"), "SELECT goal_id, count(*) AS n FROM goals GROUP BY 1 HAVING count(*) > 1"),
     "dq22_value_ranges": (lambda a: dq.value_ranges(a.matches(), {"season_id": (1900, 2030), "home_score": (0, 4), "attendance": (0, 20000)}), "SELECT 'season_id' AS column_name, min(season_id)::BIGINT AS low, max(season_id)::BIGINT AS high, count(*) FILTER (season_id NOT BETWEEN 1900 AND 2030) AS outside FROM matches UNION ALL SELECT 'home_score', min(home_score), max(home_score), count(*) FILTER (home_score NOT BETWEEN 0 AND 4) FROM matches UNION ALL SELECT 'attendance', min(attendance), max(attendance), count(*) FILTER (attendance NOT BETWEEN 0 AND 20000) FROM matches"),
     "dq22_domains": (lambda a: dq.domains(a.cards(), "card_type", ["yellow", "red"]), "SELECT card_type, count(*) AS n FROM cards WHERE card_type NOT IN ('yellow', 'red') GROUP BY 1"),
-    "dq23_compare_tables": (lambda a: dq.compare_tables(a.matches().select("match_id", "season_id"), a.matches().filter("match_id % 11 <> 0").select("match_id", (F.col("season_id") + F.when(F.col("match_id") % 13 == 0, 1).otherwise(0)).alias("season_id"))), "SELECT count(*) AS rows_a, count(*) FILTER (match_id % 11 <> 0) AS rows_b, count(*) FILTER (match_id % 11 = 0 OR match_id % 13 = 0) AS only_a, count(*) FILTER (match_id % 11 <> 0 AND match_id % 13 = 0) AS only_b FROM matches"),
+    "dq23_compare_tables": (lambda a: dq.compare_tables(a.matches().select("match_id", "season_id"), a.matches().filter("competition_id <> 4").select("match_id", (F.col("season_id") + F.when(F.col("match_id") % 13 == 0, 1).otherwise(0)).alias("season_id"))), "SELECT count(*) AS rows_a, count(*) FILTER (competition_id <> 4) AS rows_b, count(*) FILTER (competition_id = 4 OR match_id % 13 = 0) AS only_a, count(*) FILTER (competition_id <> 4 AND match_id % 13 = 0) AS only_b FROM matches"),
     "dq24_compare_runs": (lambda a: dq.compare_runs(*[m.groupBy(F.col("competition_id").cast("string").alias("metric")).agg(F.count("*").alias("value")) for m in (a.matches().filter("season_id = 1995"), a.matches().filter("season_id = 1996"))]), "SELECT competition_id::VARCHAR AS metric, count(*) FILTER (season_id = 1995) AS before, count(*) FILTER (season_id = 1996) AS after, count(*) FILTER (season_id = 1996) - count(*) FILTER (season_id = 1995) AS change FROM matches GROUP BY 1"),
-    "dq25_find_name_errors": (lambda a: dq.find_name_errors({"player": names(a).select(F.col("doc_id").alias("id"), "name"), "team": a.teams().select(F.col("team_id").alias("id"), F.concat(F.lit("Trainer "), "name").alias("name"))}).groupBy("kind", "category", "delete").agg(F.count("*").alias("n")), NAMES + r"SELECT kind, category, category IN ('trainer_name', 'referee_name', 'goal_text') AS delete, count(*) AS n FROM (SELECT 'player' AS kind, CASE WHEN lower(name) LIKE '%trainer%' THEN 'trainer_name' WHEN lower(name) LIKE '%schiedsrichter%' THEN 'referee_name' WHEN regexp_matches(lower(name), '^tore?\b') THEN 'goal_text' WHEN regexp_matches(lower(name), 'wdh|fehler') THEN 'error_text' WHEN NOT regexp_matches(trim(name), '^\p{L}') THEN 'invalid_pattern' WHEN name LIKE '%,%' THEN 'contains_comma' END AS category FROM n UNION ALL SELECT 'team', 'trainer_name' FROM teams) WHERE category IS NOT NULL GROUP BY ALL"),
+    "dq25_find_name_errors": (lambda a: dq.find_name_errors({"player": names(a).select(F.col("doc_id").alias("id"), "name"), "team": a.teams().select(F.col("team_id").alias("id"), F.concat(F.lit("Trainer "), "name").alias("name"))}).select("kind", "id", "category", "delete"), NAMES + f"SELECT kind, id::BIGINT AS id, category, category IN ('trainer_name', 'referee_name', 'goal_text', 'error_text') AS delete FROM (SELECT 'player' AS kind, doc_id AS id, {CATEGORY} AS category FROM n UNION ALL SELECT 'team', team_id, 'trainer_name' FROM teams) WHERE category IS NOT NULL"),
     "agg43_error_breakdown": (lambda a: dq.error_breakdown(dq.high_scores(a.matches(), 5, 9).select("level", "source_file"), ["level", "source_file"]), "x AS (SELECT CASE WHEN home_score + away_score >= 9 THEN 'warn' ELSE 'info' END AS level, source_file FROM matches WHERE greatest(home_score, away_score) >= 5)\n--\nSELECT level AS value, count(*) AS n, 'level' AS \"by\" FROM x GROUP BY 1 UNION ALL SELECT source_file, count(*), 'source_file' FROM x GROUP BY 1"),
     "win11_examples_per_category": (lambda a: win.first_n(dq.high_scores(a.matches(), 5, 9).select("match_id", "level"), "level", ["match_id"], 10), "SELECT match_id, level FROM (SELECT match_id, level, row_number() OVER (PARTITION BY level ORDER BY match_id) AS r FROM (SELECT match_id, CASE WHEN home_score + away_score >= 9 THEN 'warn' ELSE 'info' END AS level FROM matches WHERE greatest(home_score, away_score) >= 5)) WHERE r <= 10"),
     "joi13_backfill_fk": (lambda a: joi.backfill_fk(a.raw("nation").select("n_nationkey", F.concat(F.lit(" TEAM "), F.col("n_nationkey") + 1, F.lit(" ")).alias("team_name")), "team_name", a.teams(), "team_id").select("n_nationkey", "team_id"), "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN (n_nationkey + 1)::INT END AS team_id FROM nation"),
     "joi14_map_ids": (lambda a: joi.map_ids(a.players(), a.players().select((F.col("player_id") + 1000).alias("player_id"), F.when(F.col("player_id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("x"), "name")).alias("name"), F.col("name").alias("normalized_name")), "player_id").groupBy("found_by").agg(F.count("*").alias("n"), F.sum("target_id").alias("s")), "SELECT CASE WHEN player_id % 2 = 0 THEN 'name' END AS found_by, count(*) AS n, sum(CASE WHEN player_id % 2 = 0 THEN player_id + 1000 END)::BIGINT AS s FROM players GROUP BY 1"),
-    "joi15_map_matches": (lambda a: joi.map_matches(joi.role_teams(a.matches().filter("match_id % 2 = 0"), a.teams()), joi.role_teams(a.matches().filter("match_id % 3 = 0"), a.teams())), "SELECT s.match_id AS source_id, (SELECT min(t.match_id) FROM matches t WHERE t.match_id % 3 = 0 AND t.match_date = s.match_date AND t.home_team_id = s.home_team_id AND t.away_team_id = s.away_team_id) AS target_id FROM matches s WHERE s.match_id % 2 = 0"),
+    "joi15_map_matches": (lambda a: joi.map_matches(joi.role_teams(a.matches(), a.teams()), joi.role_teams(a.matches(), a.teams())), "SELECT match_id AS source_id, min(match_id) OVER (PARTITION BY match_date, home_team_id, away_team_id) AS target_id FROM matches"),
     "joi16_remap_events": (lambda a: joi.remap_events(a.goals().select("goal_id", "match_id", "player_id", "assist_player_id"), {"match_id": id_map(a.matches(), "match_id", 9, 100), "player_id": id_map(a.players(), "player_id", 10, 5)}, {"assist_player_id": id_map(a.players(), "player_id", 4, 7)}), "SELECT goal_id, match_id + 100 AS match_id, player_id + 5 AS player_id, CASE WHEN assist_player_id % 4 <> 0 THEN assist_player_id + 7 END AS assist_player_id FROM goals WHERE match_id % 9 <> 0 AND player_id % 10 <> 0"),
     "joi17_match_surname": (lambda a: joi.match_surname(a.raw("part").select(F.col("p_partkey").cast("string").alias("name")), a.players()).select("name", "player_id"), "SELECT (player_id - 1)::VARCHAR AS name, player_id FROM players"),
-    "joi18_enrich_by_lastname": (lambda a: joi.enrich_by_lastname(a.players().select("player_id", "normalized_name", F.col("normalized_name").alias("name"), "height_cm"), a.players().filter("player_id % 50 = 0").select("player_id", F.col("normalized_name").alias("name"), "height_cm"), ["height_cm"]).select("player_id", "donor_id"), "SELECT p.player_id, CASE WHEN any_value(n) = 1 THEN min(d.player_id) ELSE min(d.player_id) FILTER (contains(d.normalized_name, p.normalized_name) OR contains(p.normalized_name, d.normalized_name)) END AS donor_id FROM players p LEFT JOIN (SELECT player_id, normalized_name, count(*) OVER (PARTITION BY split_part(normalized_name, ' ', -1)) AS n FROM players WHERE player_id % 50 = 0) d ON split_part(d.normalized_name, ' ', -1) = split_part(p.normalized_name, ' ', -1) GROUP BY 1"),
+    "joi18_enrich_by_lastname": (lambda a: joi.enrich_by_lastname(a.players().select("player_id", "normalized_name", F.col("normalized_name").alias("name"), "height_cm"), a.players().select("player_id", F.col("normalized_name").alias("name"), "height_cm"), ["height_cm"]).select("player_id", "donor_id"), "SELECT p.player_id, CASE WHEN any_value(n) = 1 THEN min(d.player_id) ELSE min(d.player_id) FILTER (contains(d.normalized_name, p.normalized_name) OR contains(p.normalized_name, d.normalized_name)) END AS donor_id FROM players p LEFT JOIN (SELECT player_id, normalized_name, count(*) OVER (PARTITION BY split_part(normalized_name, ' ', -1)) AS n FROM players) d ON split_part(d.normalized_name, ' ', -1) = split_part(p.normalized_name, ' ', -1) GROUP BY 1"),
     "cor01_merge_entities": (lambda a: cor.merge_entities(a.matches(), ["home_team_id", "away_team_id"], mapping(a)).select("match_id", "home_team_id", "away_team_id"), MAPPING + "SELECT match_id, coalesce(h.new_id, home_team_id) AS home_team_id, coalesce(w.new_id, away_team_id) AS away_team_id FROM matches LEFT JOIN mp h ON h.old_id = home_team_id LEFT JOIN mp w ON w.old_id = away_team_id"),
     "cor01_merge_counts": (lambda a: cor.merge_counts({"matches": (a.matches(), ["home_team_id", "away_team_id"])}, mapping(a)), "SELECT 'matches' AS table_name, 'home_team_id' AS column_name, count(*) AS rows FROM matches WHERE home_team_id >= 18 UNION ALL SELECT 'matches', 'away_team_id', count(*) FROM matches WHERE away_team_id >= 18"),
     "cor02_drop_duplicate_matches": (lambda a: cor.cascade(a.goals(), cor.drop_duplicate_matches(a.matches(), ["season_competition_id", "match_date", "home_team_id"])[1]).groupBy("match_id").agg(F.count("*").alias("goals")), "SELECT match_id, count(*) AS goals FROM goals WHERE match_id IN (SELECT min(match_id) FROM matches GROUP BY season_competition_id, match_date, home_team_id) GROUP BY 1"),
@@ -70,18 +70,18 @@ QUERIES = {
     "cor06_relink_leagues": (lambda a: cor.relink_leagues(a.season_competitions(), a.seasons().groupBy(F.lit(1).alias("k")).agg(F.min("season_id").alias("first")).select("first", (F.col("first") + 2).alias("last"), F.lit(9).alias("new_competition_id"))), "SELECT season_competition_id, season_id, CASE WHEN season_id <= (SELECT min(season_id) + 2 FROM seasons) THEN 9 ELSE competition_id END AS competition_id FROM season_competitions"),
     "cor07_clean_leading_marks": (lambda a: cor.clean_leading_marks(names(a)), NAMES + r"SELECT doc_id, coalesce(nullif(regexp_replace(name, '^[?\s]+', ''), ''), name) AS name FROM n"),
     "cor08_purge_invalid_players": (lambda a: cor.purge(a.goals(), ["player_id", "assist_player_id"], a.players().filter("height_cm > 190"), "player_id").select("goal_id"), "SELECT goal_id FROM goals WHERE player_id NOT IN (SELECT player_id FROM players WHERE height_cm > 190) AND coalesce(assist_player_id, -1) NOT IN (SELECT player_id FROM players WHERE height_cm > 190)"),
-    "cor09_decide_cleaning": (lambda a: cor.decide_cleaning(a.players().filter("player_id % 5 = 0").select("player_id", F.when(F.col("player_id") % 2 == 0, F.col("name")).alias("right_name")), win.usage_count(a.lineups(), a.goals(), a.substitutions().filter("false"), a.cards()).filter("player_id % 3 <> 0")).select("player_id", "action"), "SELECT player_id, CASE WHEN player_id % 3 = 0 OR player_id NOT IN (SELECT player_id FROM lineups UNION SELECT assist_player_id FROM goals WHERE assist_player_id IS NOT NULL) THEN 'delete' WHEN player_id % 2 = 0 THEN 'update' ELSE 'needs_review' END AS action FROM players WHERE player_id % 5 = 0"),
+    "cor09_decide_cleaning": (lambda a: cor.decide_cleaning(a.players().select("player_id", F.when(F.col("player_id") % 2 == 0, F.col("name")).alias("right_name")), win.usage_count(a.lineups(), a.goals(), a.substitutions(), a.cards())).select("player_id", "action"), "SELECT player_id, CASE WHEN player_id NOT IN (SELECT player_id FROM lineups UNION SELECT player_id FROM goals UNION SELECT assist_player_id FROM goals WHERE assist_player_id IS NOT NULL UNION SELECT player_on_id FROM substitutions UNION SELECT player_off_id FROM substitutions UNION SELECT player_id FROM cards) THEN 'delete' WHEN player_id % 2 = 0 THEN 'update' ELSE 'needs_review' END AS action FROM players"),
     "cor10_enrich_profiles": (lambda a: cor.enrich_profiles(a.players(), a.raw("part").select((F.col("p_partkey") + 1).alias("player_id"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("height_cm"), F.lit(None).cast("string").alias("nationality")), "player_id", ["height_cm", "nationality"]).select("player_id", "height_cm", "nationality"), "SELECT player_id, CASE WHEN p_size > 25 THEN p_size ELSE height_cm END AS height_cm, nationality FROM players JOIN part ON p_partkey + 1 = player_id"),
     "cor11_rebuild_careers": (lambda a: cor.rebuild_careers(a.lineups().select("player_id", "match_id"), a.goals().filter("minute > 88").select("player_id", "match_id"), "player_id"), "SELECT player_id, match_id FROM lineups WHERE player_id NOT IN (SELECT player_id FROM goals WHERE minute > 88) UNION ALL SELECT player_id, match_id FROM goals WHERE minute > 88"),
-    "cor12_resolve_player_names": (lambda a: cor.resolve_player_names(a.lineups().select("match_id", "player_id", F.col("player_id").cast("string").alias("profile_url"), F.lit("?").alias("name")), a.players().filter("player_id % 2 = 0").select(F.col("player_id").cast("string").alias("profile_url"), F.col("name").alias("full_name"))).select("match_id", "player_id", "name"), "SELECT match_id, player_id, CASE WHEN player_id % 2 = 0 THEN name ELSE '?' END AS name FROM lineups JOIN players USING (player_id)"),
+    "cor12_resolve_player_names": (lambda a: cor.resolve_player_names(a.lineups().select("match_id", "player_id", F.col("player_id").cast("string").alias("profile_url"), F.lit("?").alias("name")), a.players().filter("height_cm >= 180").select(F.col("player_id").cast("string").alias("profile_url"), F.col("name").alias("full_name"))).select("match_id", "player_id", "name"), "SELECT match_id, player_id, CASE WHEN height_cm >= 180 THEN name ELSE '?' END AS name FROM lineups JOIN players USING (player_id)"),
     "cor13_assign_ids": (lambda a: cor.assign_ids(a.raw("part").select(F.col("p_name").alias("normalized_name")), a.players().filter("normalized_name LIKE '%ring%'").select("normalized_name", "player_id"), "player_id").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("ids"), F.max("player_id").alias("top")), "SELECT count(DISTINCT p_name) AS n, count(DISTINCT p_name) AS ids, (SELECT max(player_id) FROM players WHERE normalized_name LIKE '%ring%') + count(DISTINCT p_name) FILTER (p_name NOT LIKE '%ring%') AS top FROM part"),
     "cor14_set_standings": (lambda a: cor.set_standings(a.matches()), "x AS (SELECT season_competition_id, home_team_id AS team_id, home_score AS g, away_score AS c FROM matches WHERE home_score IS NOT NULL UNION ALL SELECT season_competition_id, away_team_id, away_score, home_score FROM matches WHERE home_score IS NOT NULL)\n--\nSELECT *, row_number() OVER (PARTITION BY season_competition_id ORDER BY points DESC, goal_difference DESC, goals_for DESC, team_id)::INT AS place FROM (SELECT season_competition_id, team_id, sum(CASE WHEN g > c THEN 3 WHEN g = c THEN 1 ELSE 0 END)::BIGINT AS points, sum(g)::BIGINT AS goals_for, sum(c)::BIGINT AS goals_against, sum(g - c)::BIGINT AS goal_difference FROM x GROUP BY 1, 2)"),
-    "cor15_rename_if_free": (lambda a: cor.rename_if_free(a.players().select("player_id", "name"), a.players().filter("player_id % 2 = 0").select("player_id", F.when(F.col("player_id") % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("Dr. "), "name")).alias("full_name")), "player_id"), "SELECT player_id, CASE WHEN player_id % 4 = 2 THEN 'Dr. ' || name ELSE name END AS name FROM players"),
-    "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("match_id % 2 = 0"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[1], "SELECT count(*) FILTER (home_team_id % 6 <> 0 AND home_score IS NOT NULL) AS copied, count(*) FILTER (home_team_id % 6 = 0 OR home_score IS NULL) AS skipped FROM matches WHERE match_id % 2 = 1"),
+    "cor15_rename_if_free": (lambda a: cor.rename_if_free(a.players().select("player_id", "name"), a.players().select("player_id", F.when(F.col("player_id") % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("Dr. "), "name")).alias("full_name")), "player_id"), "SELECT player_id, CASE WHEN player_id % 4 <> 0 THEN 'Dr. ' || name ELSE name END AS name FROM players"),
+    "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("source_file = 'liga'"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[1], "SELECT count(*) FILTER (home_team_id % 6 <> 0 AND home_score IS NOT NULL) AS copied, count(*) FILTER (home_team_id % 6 = 0 OR home_score IS NULL) AS skipped FROM matches WHERE source_file <> 'liga'"),
     "cor17_reload_events": (lambda a: cor.reload_events(a.goals(), a.goals().filter("minute > 45"), a.matches().filter("season_id = 1998")).groupBy("match_id").agg(F.count("*").alias("n")), "SELECT match_id, count(*) AS n FROM goals JOIN matches USING (match_id) WHERE season_id <> 1998 OR minute > 45 GROUP BY 1"),
-    "src10_upsert_latest": (lambda a: cor.upsert_latest(a.answers().filter("answer_id % 2 = 0").select("player", "round_id", F.lit("old").alias("v")).distinct(), a.answers().filter("answer_id % 3 = 0").select("player", "round_id", F.lit("new").alias("v")).distinct(), ["player", "round_id"]), "SELECT player, round_id, CASE WHEN bool_or(answer_id % 3 = 0) THEN 'new' ELSE 'old' END AS v FROM answers WHERE answer_id % 2 = 0 OR answer_id % 3 = 0 GROUP BY 1, 2"),
-    "src11_insert_ignore": (lambda a: cor.insert_ignore(a.matches().filter("match_id % 2 = 0").select("match_id", F.lit("old").alias("v")), a.matches().filter("match_id % 3 = 0").select("match_id", F.lit("new").alias("v")), ["match_id"]), "SELECT match_id, CASE WHEN match_id % 2 = 0 THEN 'old' ELSE 'new' END AS v FROM matches WHERE match_id % 2 = 0 OR match_id % 3 = 0"),
-    "src12_upsert_merge": (lambda a: cor.upsert_merge(a.matches().filter("match_id % 2 = 0").select("match_id", "attendance", "referee_id", F.lit(False).alias("seen")), a.matches().filter("match_id % 3 = 0").select("match_id", F.lit(10000).alias("attendance"), F.lit(None).cast("int").alias("referee_id"), F.lit(True).alias("seen")), ["match_id"], {"attendance": "greatest", "referee_id": "fill", "seen": "either"}), "SELECT match_id, CASE WHEN match_id % 3 <> 0 THEN attendance WHEN match_id % 2 <> 0 THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN match_id % 2 = 0 THEN referee_id END AS referee_id, match_id % 3 = 0 AS seen FROM matches WHERE match_id % 2 = 0 OR match_id % 3 = 0"),
+    "src10_upsert_latest": (lambda a: cor.upsert_latest(a.answers().filter("is_correct").select("player", "round_id", F.lit("old").alias("v")).distinct(), a.answers().filter("time_ms > 5000").select("player", "round_id", F.lit("new").alias("v")).distinct(), ["player", "round_id"]), "SELECT player, round_id, CASE WHEN bool_or(time_ms > 5000) THEN 'new' ELSE 'old' END AS v FROM answers WHERE is_correct OR time_ms > 5000 GROUP BY 1, 2"),
+    "src11_insert_ignore": (lambda a: cor.insert_ignore(a.matches().filter("source_file = 'liga'").select("match_id", F.lit("old").alias("v")), a.matches().filter("competition_id >= 3").select("match_id", F.lit("new").alias("v")), ["match_id"]), "SELECT match_id, CASE WHEN source_file = 'liga' THEN 'old' ELSE 'new' END AS v FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
+    "src12_upsert_merge": (lambda a: cor.upsert_merge(a.matches().filter("source_file = 'liga'").select("match_id", "attendance", "referee_id", F.lit(False).alias("seen")), a.matches().filter("competition_id >= 3").select("match_id", F.lit(10000).alias("attendance"), F.lit(None).cast("int").alias("referee_id"), F.lit(True).alias("seen")), ["match_id"], {"attendance": "greatest", "referee_id": "fill", "seen": "either"}), "SELECT match_id, CASE WHEN competition_id < 3 THEN attendance WHEN source_file <> 'liga' THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN source_file = 'liga' THEN referee_id END AS referee_id, competition_id >= 3 AS seen FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
     "src19_append_missing": (lambda a: cor.append_missing(a.matches().filter("season_id < 1998"), a.matches(), "match_id", ["home_score", "referee_id"])[1], "SELECT count(*) FILTER (home_score IS NOT NULL AND referee_id IS NOT NULL) AS copied, count(*) FILTER (home_score IS NULL OR referee_id IS NULL) AS skipped FROM matches WHERE season_id >= 1998"),
     "src21_classify_files": (lambda a: a.matches().groupBy(tx.classify_file(F.concat(F.lit("/x/"), "source_file", F.lit("/profi"), "source_file", F.col("match_id") % 3, F.lit(".html"))).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE source_file WHEN 'liga' THEN 'league_overview' ELSE 'match' END AS kind, count(*) AS n FROM matches GROUP BY 1"),
 }

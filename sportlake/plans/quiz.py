@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sportlake.functions.numbers import points_time, ratio, sql_ratio
-from sportlake.functions.text import MARKED, PLAIN
 from sportlake.operators import aggregates as agg
 from sportlake.operators import perspective as prj
 from sportlake.operators import vectors as vec
@@ -54,30 +53,30 @@ QUERIES = {
     "ord04_sample_questions": (lambda a: win.sample_rows(questions(a).filter("topic = 'PROMO'"), "question_id", 10, 7).select("question_id"), None),
     "ord05_least_used": (lambda a: win.top_k(questions(a).filter("topic = 'ECONOMY'").select("question_id", "times_used"), ["times_used", "question_id"], 100), "SELECT p_partkey AS question_id, p_size % 7 AS times_used FROM part WHERE p_type = 'ECONOMY' ORDER BY 2, 1 LIMIT 100"),
     "ord10_shuffle_options": (lambda a: questions(a).select("question_id", F.array_join(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3), "|").alias("options"), F.size(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3)).alias("n")), None),
-    "str01_player_stats": (lambda a: st.run_once(st.player_stats(st.answer_stream(a)), a, "complete"), "SELECT player, count(*) AS questions, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers GROUP BY 1"),
-    "str02_streaks": (lambda a: st.latest(st.run_once(st.streaks(st.answer_stream(a)), a, "update"), "player", "seen").select("player", "current_streak", "best_streak"), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
-    "str03_question_stats": (lambda a: st.run_once(st.question_stats(st.answer_stream(a), a.rounds()), a, "complete"), "SELECT question_id, count(*) AS used, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers JOIN rounds USING (round_id) GROUP BY 1"),
+    "str01_player_stats": (lambda a: st.run_once(st.player_stats(st.answer_stream(a)), a, "update", ["player"]), "SELECT player, count(*) AS questions, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers GROUP BY 1"),
+    "str02_streaks": (lambda a: st.run_once(st.streaks(st.answer_stream(a)), a, "update", ["player"]).select("player", "current_streak", "best_streak"), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
+    "str03_question_stats": (lambda a: st.run_once(st.question_stats(st.answer_stream(a), a.rounds()), a, "update", ["question_id"]), "SELECT question_id, count(*) AS used, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers JOIN rounds USING (round_id) GROUP BY 1"),
     "str04_chat_sessions": (lambda a: st.run_once(st.sessions(st.answer_stream(a)), a, "complete"), SESSIONS),
     "str04_sessions_batch": (lambda a: st.sessions_batch(a.answers()), SESSIONS),
     "str05_one_answer_per_round": (lambda a: st.run_once(st.first_answers(st.answer_stream(a)), a, "append").groupBy("player").agg(F.count("*").alias("n")), "SELECT player, count(DISTINCT round_id) AS n FROM answers GROUP BY 1"),
     "str06_refresh": (lambda a: st.refreshed(st.answer_stream(a), lambda df: df.groupBy("round_id").agg(F.count("*").alias("n")), a), "SELECT round_id, count(*) AS n FROM answers GROUP BY 1"),
-    "str07_leaderboard": (lambda a: st.run_once(st.leaderboard(st.answer_stream(a)), a, "complete"), POINTS + "SELECT player, sum(points)::BIGINT AS points, count(*) AS questions FROM ap GROUP BY 1"),
+    "str07_leaderboard": (lambda a: st.run_once(st.leaderboard(st.answer_stream(a)), a, "update", ["player"]), POINTS + "SELECT player, sum(points)::BIGINT AS points, count(*) AS questions FROM ap GROUP BY 1"),
     "str08_dedupe_events": (lambda a: st.run_once(st.deduped(st.answer_stream(a), ["player", "round_id", "answer"]), a, "append").groupBy("answer").agg(F.count("*").alias("n")), "SELECT answer, count(*) AS n FROM (SELECT DISTINCT player, round_id, answer FROM answers) GROUP BY 1"),
     "str09_late_answers": (lambda a: st.late_batch(a.answers(), "2 minutes").groupBy("late").agg(F.count("*").alias("n")), "SELECT submitted_at < m - INTERVAL 2 MINUTE AS late, count(*) AS n FROM (SELECT submitted_at, max(submitted_at) OVER (ORDER BY answer_id ROWS UNBOUNDED PRECEDING) AS m FROM answers) GROUP BY 1"),
     "vec01_cosine_top_k": (lambda a: vec.cosine_top_k(base(a), asked(a), 10).select("q_id", "vec_id", "rank"), f"SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) WHERE r <= 10"),
     "vec02_inner_product_top_k": (lambda a: vec.inner_product_top_k(base(a), asked(a), 5).select("q_id", "vec_id", "rank"), "SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0 AND b.label = q.label) WHERE r <= 5"),
     "vec03_cosine_hints": (lambda a: vec.cosine_hints(base(a), asked(a)).select("q_id", "vec_id"), f"SELECT q_id, vec_id FROM (SELECT q.vec_id AS q_id, b.vec_id, round({COS}, 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) WHERE r <= 5 AND s >= 0.18"),
-    "vec04_match_band": (lambda a: vec.with_queries(base(a), asked(a)).groupBy(vec.match_band(F.round(vec.cosine(), 9), F.when(F.col("label") % 2 == 0, "player").otherwise("team")).alias("band")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN s >= CASE WHEN label % 2 = 0 THEN 0.85 ELSE 0.70 END THEN 'accept' WHEN s >= CASE WHEN label % 2 = 0 THEN 0.60 ELSE 0.50 END THEN 'review' ELSE 'reject' END AS band, count(*) AS n FROM (SELECT b.label, round({COS}, 9) AS s FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) GROUP BY 1"),
+    "vec04_match_band": (lambda a: vec.band_counts(base(a), asked(a), lambda label: label % 2 == 0), f"SELECT label::BIGINT AS label, CASE WHEN s >= CASE WHEN label % 2 = 0 THEN 0.85 ELSE 0.70 END THEN 'accept' WHEN s >= CASE WHEN label % 2 = 0 THEN 0.60 ELSE 0.50 END THEN 'review' ELSE 'reject' END AS band, count(*) AS n FROM (SELECT b.label, round({COS}, 9) AS s FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) GROUP BY 1, 2"),
     "vec05_missing_embeddings": (lambda a: vec.missing_embeddings(a.players().select(F.col("player_id").alias("vec_id")), base(a), "vec_id", 100).select("vec_id"), "SELECT player_id AS vec_id FROM players WHERE player_id NOT IN (SELECT vec_id FROM embeddings)"),
-    "vec06_upsert_embeddings": (lambda a: st.upsert_vectors(base(a).select("vec_id", "label"), base(a).filter("vec_id % 5 = 0").select("vec_id", F.lit(99).alias("label")), ["vec_id"]), "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 99 ELSE label END::INT AS label FROM embeddings"),
+    "vec06_upsert_embeddings": (lambda a: st.upsert_vectors(base(a).select("vec_id", "label"), base(a).filter("label = 0").select("vec_id", F.lit(99).alias("label")), ["vec_id"]), "SELECT vec_id, CASE WHEN label = 0 THEN 99 ELSE label END::INT AS label FROM embeddings"),
     "vec07_approx_top_k": (lambda a: vec.approx_top_k(base(a), asked(a), 10), None),
-    "vec08_resolve_mentions": (lambda a: vec.mentions(a.raw("documents").select("doc_id", "text"), "doc_id", a.raw("region").select(F.col("r_regionkey").alias("entity_id"), F.concat(F.substring(F.lit("the que und con les"), F.col("r_regionkey") * 4 + 1, F.lit(3)), F.lit(" of")).alias("name"))), "x AS (SELECT DISTINCT doc_id, unnest(string_split(lower(trim(regexp_replace(regexp_replace(translate(text, '" + MARKED + "', '" + PLAIN + r"'), '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))), ' ')) AS token FROM documents)" + "\n--\nSELECT DISTINCT doc_id, r_regionkey AS entity_id FROM x JOIN region ON token = substr('the que und con les', r_regionkey * 4 + 1, 3)"),
+    "vec08_resolve_mentions": (lambda a: vec.mentions(a.raw("documents").select("doc_id", "text"), "doc_id", a.raw("region").select(F.col("r_regionkey").alias("entity_id"), F.concat(F.substring(F.lit("the que und con les"), F.col("r_regionkey") * 4 + 1, F.lit(3)), F.lit(" of")).alias("name"))), "x AS (SELECT DISTINCT doc_id, unnest(string_split(lower(trim(regexp_replace(regexp_replace(strip_accents(text)" + r", '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))), ' ')) AS token FROM documents)" + "\n--\nSELECT DISTINCT doc_id, r_regionkey AS entity_id FROM x JOIN region ON token = substr('the que und con les', r_regionkey * 4 + 1, 3)"),
     "src06_scan_table": (lambda a: io.scan_table(a.spark, a.folder, "supplier", ["s_suppkey", "s_name"]), "SELECT s_suppkey, s_name FROM supplier"),
     "src07_coerce_dates": (lambda a: io.coerce_dates(a.matches().select("match_id", F.when(F.col("match_id") % 3 == 0, F.date_format("match_date", "d.M.yyyy")).when(F.col("match_id") % 3 == 1, F.col("match_date").cast("string")).otherwise("31.09.1972").alias("d")), ["d"]), "SELECT match_id, CASE WHEN match_id % 3 < 2 THEN match_date END AS d FROM matches"),
     "src08_coerce_booleans": (lambda a: io.coerce_booleans(a.lineups().select("match_id", "player_id", F.col("is_starter").cast("int").alias("is_starter")), ["is_starter"]), "SELECT match_id, player_id, is_starter FROM lineups"),
-    "src09_load_tables": (lambda a: io.load_tables({"region": a.raw("region"), "nation": a.raw("nation")}, "sportlake_copy"), "SELECT 'region' AS table_name, count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation"),
+    "src09_load_tables": (lambda a: io.load_tables({"orders": a.raw("orders"), "lineitem": a.raw("lineitem")}, "sportlake_copy"), "SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem"),
     "src13_write_csv": (lambda a: io.csv_round_trip(a.matches().select("match_id", "match_date", "home_score")), "SELECT match_id, match_date, home_score FROM matches"),
-    "src14_write_json": (lambda a: a.raw("region").select(io.as_json(a.raw("region")).alias("row")), "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS row FROM region"),
+    "src14_write_json": (lambda a: a.raw("part").select("p_partkey", "p_name").select(io.as_json(a.raw("part").select("p_partkey", "p_name")).alias("row")), "SELECT '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\"}' AS row FROM part"),
     "src15_report": (lambda a: io.report_round_trip(a.matches().filter("home_score >= 5").select("match_id", "home_score")), "SELECT match_id, home_score FROM matches WHERE home_score >= 5"),
     "src16_materialize": (lambda a: io.materialize("sportlake_seasons", agg.season_performance(a.matches())).select("view_name", "rows"), "SELECT 'sportlake_seasons' AS view_name, count(*) AS rows FROM (SELECT DISTINCT season_id, competition_id FROM f)"),
     "src17_table_stats": (lambda a: io.table_stats({"region": a.raw("region"), "part": a.raw("part")}), "SELECT 'region' AS table_name, 2 AS columns, count(*) AS rows FROM region UNION ALL SELECT 'part', 6, count(*) FROM part"),

@@ -8,13 +8,13 @@ from sportlake.functions import numbers as num
 from sportlake.functions import text as tx
 from sportlake.operators import perspective as prj
 
-NAMES = "n AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '? ' WHEN 1 THEN 'wdh. ' WHEN 2 THEN 'FE, ' WHEN 3 THEN '12 ' ELSE '' END || coalesce(substr(text, 1, 30), '') AS name FROM documents)\n--\n"
+NAMES = "n AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '? ' WHEN 1 THEN 'wdh. ' WHEN 2 THEN 'FE, ' WHEN 3 THEN '12 ' ELSE '' END || coalesce(text, '') AS name FROM documents)\n--\n"
 
 
 def names(a):  # noqa: ANN001, ANN201
     """Name-like texts with the marks that cleaning removes."""
     mark = F.when(F.col("doc_id") % 8 == 0, "? ").when(F.col("doc_id") % 8 == 1, "wdh. ").when(F.col("doc_id") % 8 == 2, "FE, ").when(F.col("doc_id") % 8 == 3, "12 ").otherwise("")
-    return a.raw("documents").select("doc_id", F.concat(mark, F.substring(F.coalesce("text", F.lit("")), 1, 30)).alias("name"))
+    return a.raw("documents").select("doc_id", F.concat(mark, F.coalesce("text", F.lit(""))).alias("name"))
 
 
 def goal_lines(a):  # noqa: ANN001, ANN201
@@ -24,26 +24,41 @@ def goal_lines(a):  # noqa: ANN001, ANN201
     return g.select("goal_id", "match_id", line.alias("line"))
 
 
+def _trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^{tx.BLANK}+|{tx.BLANK}+\z', '', 'g')"
+
+
+_BARE = _trim(rf"regexp_replace({_trim('name')}, '^\?', '')")
+_NAME = rf"regexp_replace({_BARE}, '(?i)^wdh\.{tx.BLANK}*', '')"
+_CLEAN = _trim(rf"regexp_replace({_NAME}, '(?i)^(?:FE|ET|HE),{tx.BLANK}*', '')")
+#: The reason of player_name_error() and the category of error_category() in SQL, of name.
+REASON = rf"""CASE WHEN {_BARE} = '' THEN 'empty' WHEN {_BARE} = '-' THEN 'placeholder' WHEN regexp_matches(lower({_NAME}), 'trainer:|fsv-trainer|coach:|-trainer') THEN 'trainer'
+  WHEN regexp_matches(lower({_NAME}), 'schiedsrichter:|schiedsrichterin:|referee:') THEN 'referee' WHEN starts_with(lower({_NAME}), 'tore ') OR regexp_matches({_NAME}, '^\d+\.{tx.BLANK}*\d+:\d+') THEN 'goal_text'
+  WHEN contains(lower({_CLEAN}), ' an ') THEN 'assist_text' WHEN {_CLEAN} IN ('', '-') THEN 'empty' WHEN NOT regexp_matches({_CLEAN}, '^\p{{L}}') THEN 'not_a_letter' WHEN length({_CLEAN}) < 2 THEN 'too_short' WHEN length({_CLEAN}) > 100 THEN 'too_long' END"""
+CATEGORY = rf"""CASE WHEN regexp_matches(lower(name), 'trainer|coach') THEN 'trainer_name' WHEN regexp_matches(lower(name), 'schiedsrichter|referee') THEN 'referee_name' WHEN regexp_matches(lower(name), '^tore{tx.BLANK}|^\d+\.{tx.BLANK}*\d+:\d+') THEN 'goal_text'
+  WHEN regexp_matches(lower(name), ',{tx.BLANK}*(?:liebers|latza|hazard|klopp)') THEN 'error_text' WHEN regexp_matches(name, '^[^a-zA-Z]|^[A-Z]{{1,3}}\z') THEN 'invalid_pattern' WHEN length(name) > 100 THEN 'too_long' WHEN contains(name, ',') THEN 'contains_comma' END"""
+
 GOAL_LINES = "gl AS (SELECT goal_id, minute, stoppage, score_home, score_away, 'P' || player_id AS scorer, assist_player_id::VARCHAR AS assist FROM goals)\n--\n"
 
 QUERIES = {
     "fun01_normalize_whitespace": (lambda a: a.raw("documents").select("doc_id", tx.normalize_whitespace(F.col("text")).alias("clean")), r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents"),
-    "fun02_strip_accents": (lambda a: a.raw("documents").select("doc_id", tx.strip_accents(F.col("text")).alias("plain")), f"SELECT doc_id, translate(text, '{tx.MARKED}', '{tx.PLAIN}') AS plain FROM documents"),
-    "fun03_normalize_name": (lambda a: a.raw("documents").select("doc_id", tx.normalize_name(F.col("text")).alias("name")), rf"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(translate(text, '{tx.MARKED}', '{tx.PLAIN}'), '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM documents"),
+    "fun02_strip_accents": (lambda a: a.raw("documents").select("doc_id", tx.strip_accents(F.col("text")).alias("plain")), f"SELECT doc_id, strip_accents(text) AS plain FROM documents"),
+    "fun03_normalize_name": (lambda a: a.raw("documents").select("doc_id", tx.normalize_name(F.col("text")).alias("name")), rf"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM documents"),
     "fun04_parse_int": (lambda a: a.raw("events").select("event_id", tx.parse_int(F.regexp_extract("props", r"(\d+)", 1)).alias("k")), r"SELECT event_id, regexp_extract(props, '(\d+)', 1)::INT AS k FROM events"),
     "fun05_parse_minute": (lambda a: goal_lines(a).select("goal_id", tx.parse_minute(F.col("line")).alias("x")).select("goal_id", "x.minute", "x.stoppage"), "SELECT goal_id, minute, stoppage FROM goals"),
     "fun06_parse_header_score": (lambda a: a.matches().select("match_id", tx.parse_header_score(F.concat(F.lit("Team "), "home_team_id", F.lit(" - Team "), "away_team_id", F.lit(" "), F.coalesce(F.col("home_score").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("away_score").cast("string"), F.lit("-")))).alias("x")).select("match_id", "x.home", "x.away", "x.home_score", "x.away_score"), "SELECT match_id, 'Team ' || home_team_id AS home, 'Team ' || away_team_id AS away, home_score, away_score FROM matches"),
     "fun07_parse_german_date": (lambda a: a.matches().select("match_id", tx.parse_german_date(F.concat(F.lit("am "), F.date_format("match_date", "d.M.yyyy"))).alias("d"), tx.parse_german_date(F.concat(F.lit("31.0"), F.col("matchday") % 9 + 1, F.lit(".1999"))).alias("odd")), "SELECT match_id, match_date AS d, CASE matchday % 9 + 1 WHEN 2 THEN NULL WHEN 4 THEN NULL WHEN 6 THEN NULL WHEN 9 THEN NULL ELSE make_date(1999, (matchday % 9 + 1)::INT, 31) END AS odd FROM matches"),
     "fun08_parse_approx_month": (lambda a: a.matches().select("match_id", tx.parse_approx_month(F.concat(F.when(F.col("matchday") % 2 == 0, "ca. Oktober ").otherwise("ca. Herbst "), "season_id")).alias("d")), "SELECT match_id, make_date(season_id, CASE WHEN matchday % 2 = 0 THEN 10 ELSE 1 END, 1) AS d FROM matches"),
-    "fun09_clean_player_name": (lambda a: names(a).select("doc_id", tx.clean_player_name(F.col("name")).alias("name")), NAMES + r"SELECT doc_id, trim(regexp_replace(regexp_replace(name, '^\s*(?:\?\s*|wdh\.?\s*|(?:FE|ET|HE),\s*)+', ''), '\s+', ' ', 'g')) AS name FROM n"),
-    "fun10_player_name_error": (lambda a: names(a).groupBy(tx.player_name_error(F.col("name")).alias("reason")).agg(F.count("*").alias("n")), NAMES + r"SELECT CASE WHEN trim(name) = '' THEN 'empty' WHEN regexp_matches(trim(name), '^-+$') THEN 'placeholder' WHEN lower(name) LIKE '%trainer%' THEN 'trainer' WHEN lower(name) LIKE '%schiedsrichter%' THEN 'referee' WHEN regexp_matches(lower(name), '^tore?\b') THEN 'goal_text' WHEN name LIKE '% an %' THEN 'assist_text' WHEN NOT regexp_matches(trim(name), '^\p{L}') THEN 'not_a_letter' WHEN length(trim(name)) < 2 THEN 'too_short' END AS reason, count(*) AS n FROM n GROUP BY 1"),
-    "fun11_legacy_player_name": (lambda a: names(a).select("doc_id", tx.legacy_player_name(F.col("name")).alias("name")), NAMES + rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(name, '{tx.MARKED}', '{tx.PLAIN}'), '^\d+\s+|\s+\d+$', '', 'g'), '[^A-Za-z ''\-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM n"),
-    "fun12_error_category": (lambda a: names(a).groupBy(tx.error_category(F.col("name")).alias("category")).agg(F.count("*").alias("n")), NAMES + r"SELECT CASE WHEN lower(name) LIKE '%trainer%' THEN 'trainer_name' WHEN lower(name) LIKE '%schiedsrichter%' THEN 'referee_name' WHEN regexp_matches(lower(name), '^tore?\b') THEN 'goal_text' WHEN regexp_matches(lower(name), 'wdh|fehler') THEN 'error_text' WHEN NOT regexp_matches(trim(name), '^\p{L}') THEN 'invalid_pattern' WHEN length(name) > 100 THEN 'too_long' WHEN name LIKE '%,%' THEN 'contains_comma' END AS category, count(*) AS n FROM n GROUP BY 1"),
-    "fun13_invalid_player_pattern": (lambda a: goal_lines(a).select(F.regexp_replace("line", r"\+\d+", "").alias("name")).unionByName(names(a).select("name")).groupBy(tx.invalid_player_pattern(F.col("name")).alias("pattern")).agg(F.count("*").alias("n")), NAMES.replace("\n--\n", "") + r""", u AS (SELECT 'goal_time' AS p FROM goals UNION ALL SELECT CASE WHEN regexp_matches(name, '^(?:FE|HE|ET|EL)\b') THEN 'goal_mark' WHEN name LIKE '% an %' THEN 'assist_text' END FROM n)
+    "fun09_clean_player_name": (lambda a: names(a).select("doc_id", tx.clean_player_name(F.col("name")).alias("name")), NAMES + f"SELECT doc_id, {_CLEAN} AS name FROM n"),
+    "fun10_player_name_error": (lambda a: names(a).select("doc_id", tx.player_name_error(F.col("name")).alias("reason")), NAMES + f"SELECT doc_id, {REASON} AS reason FROM n"),
+    "fun11_legacy_player_name": (lambda a: names(a).select("doc_id", tx.legacy_player_name(F.col("name")).alias("name")), NAMES + rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(name), '^\d+{tx.BLANK}+|{tx.BLANK}+\d+\z', '', 'g'), '[^A-Za-z ''\-]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM n"),
+    "fun12_error_category": (lambda a: names(a).select("doc_id", tx.error_category(F.col("name")).alias("category")), NAMES + f"SELECT doc_id, {CATEGORY} AS category FROM n"),
+    "fun13_invalid_player_pattern": (lambda a: goal_lines(a).select(F.regexp_replace("line", r"\+\d+", "").alias("name")).unionByName(names(a).select("name")).groupBy(tx.invalid_player_pattern(F.col("name")).alias("pattern")).agg(F.count("*").alias("n")), NAMES.replace("\n--\n", "") + rf""", u AS (SELECT 'goal_time' AS p FROM goals UNION ALL SELECT CASE WHEN regexp_matches(name, '^\d+\z') THEN 'digits' WHEN regexp_matches(name, '^-+\z') THEN 'dashes' WHEN regexp_matches(name, '^\d+\.{tx.BLANK}+\d+:\d+') THEN 'goal_time' WHEN regexp_matches(name, '^(?:FE|HE|ET|EL),{tx.BLANK}') THEN 'goal_mark'
+  WHEN regexp_matches(name, ',{tx.BLANK}+[^\n]+{tx.BLANK}+an{tx.BLANK}') THEN 'assist_text' WHEN regexp_matches(name, '^\([^\n]*\)\z') THEN 'brackets' WHEN regexp_matches(name, 'dir\.{tx.BLANK}*FS') THEN 'free_kick' END FROM n)
 --
 SELECT p AS pattern, count(*) AS n FROM u GROUP BY 1"""),
     "fun14_normalize_href": (lambda a: a.raw("pages").select("page_id", tx.normalize_href(F.concat(F.lit("../../"), "url")).alias("href")), "SELECT page_id, url AS href FROM pages"),
-    "fun15_canonical_team": (lambda a: a.teams().select("team_id", tx.canonical_team(F.col("name"), [r"team 1$", r"team 2$"], "Focal").alias("name")), r"SELECT team_id, CASE WHEN team_id IN (1, 2) THEN 'Focal' ELSE name END AS name FROM teams"),
+    "fun15_canonical_team": (lambda a: a.raw("supplier").select("s_suppkey", tx.canonical_team(F.col("s_name"), [r"#0*1$", r"#0*2$"], "Focal").alias("name")), "SELECT s_suppkey, CASE WHEN s_suppkey IN (1, 2) THEN 'Focal' ELSE s_name END AS name FROM supplier"),
     "fun16_is_focal_text": (lambda a: a.raw("documents").groupBy(tx.is_focal_text(F.col("text"), ["license", "idiot"]).alias("focal")).agg(F.count("*").alias("n")), "SELECT lower(text) LIKE '%license%' OR lower(text) LIKE '%idiot%' AS focal, count(*) AS n FROM documents GROUP BY 1"),
     "fun17_season_years": (lambda a: a.seasons().select("label", tx.season_years(F.col("label")).alias("x"), tx.season_years(F.col("label"), legacy=True).alias("y")).select("label", "x.start_year", "x.end_year", F.col("y.end_year").alias("legacy_end")), "SELECT label, start_year, end_year, end_year AS legacy_end FROM seasons"),
     "fun18_league_from_title": (lambda a: a.matches().select("match_id", tx.league_from_title(F.when(F.col("competition_id") <= 2, F.concat(F.lit("Saison: Liga "), "competition_id")).otherwise("Saison"), F.col("source_file")).alias("league")), "SELECT match_id, CASE WHEN competition_id <= 2 THEN 'Liga ' || competition_id WHEN source_file = 'liga' THEN 'Liga' END AS league FROM matches"),

@@ -14,14 +14,23 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the driver and all executors see, or under one of our own where the session names none."""
+    """A new folder under the one that the driver and all executors see (spark.checkpoint.dir). A local session without one gets one of our own; a cluster needs it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="sportlake-"))
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a shared folder: later reads do not recompute it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 

@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sportlake.functions import text as tx
+from sportlake.sources.io import written
 
 
 def scan_pages(spark: SparkSession, path: str, seasons: list[str] | None = None) -> DataFrame:
-    """HTML files under season folders (YYYY-YY): url, season, html read as latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.htm*").load(path)
-    out = files.select(F.col("path").alias("url"), tx.some(F.col("path"), r"/(\d{4}-\d{2})/").alias("season"), F.decode("content", "ISO-8859-1").alias("html"))
-    return out.filter(F.col("season").isin(seasons)) if seasons else out.filter("season IS NOT NULL")
+    """HTML files under season folders (YYYY-YY): url, season, html read as latin-1. Only the folders of the seasons asked for are listed and read."""
+    folders = f"{{{','.join(seasons)}}}" if seasons else "[0-9][0-9][0-9][0-9]-[0-9][0-9]"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.htm*").load(f"{path}/{folders}")
+    return files.select(F.col("path").alias("url"), tx.some(F.col("path"), r"/(\d{4}-\d{2})/").alias("season"), F.decode("content", "ISO-8859-1").alias("html"))
+
+
+def write_season_files(pages: DataFrame, path: str) -> None:
+    """Pages (season, name, html) as one HTML file each under the folder of their season, on the file system of path. Names are unique in a season."""
+
+    def write(rows):  # noqa: ANN001, ANN202
+        import pyarrow.fs
+
+        from pyspark import TaskContext
+
+        files, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        number = TaskContext.get().attemptNumber()
+        for batch in rows:
+            for season, name, html in zip(*(batch.column(c).to_pylist() for c in ("season", "name", "html")), strict=True):
+                files.create_dir(f"{root}/{season}", recursive=True)
+                part = f"{root}/{season}/.{name}.{number}"  # a repeated task replaces the file as a whole
+                with files.open_output_stream(part) as out:
+                    out.write((html or "").encode())
+                files.move(part, f"{root}/{season}/{name}.html")
+            yield batch.slice(0, 0).select(["name"])
+
+    pages.select("season", "name", "html").mapInArrow(write, "name string").count()
 
 
 def framed(pages: DataFrame) -> DataFrame:
@@ -21,22 +44,34 @@ def framed(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").unionByName(frames)
 
 
-def resolve_frames(pages: DataFrame, preferred: tuple[str, ...] = ("tabelle", "main"), depth: int = 3) -> DataFrame:
-    """url, content_url: framesets followed to the content frame - a preferred name, else a source with a digit, else the first.
+def beside(base: Column, href: Column) -> Column:
+    """The path that a relative href names beside the page at base; a leading slash starts at the root, and a whole address stands as it is."""
+    folder = F.regexp_replace(base, r"[^/]*\z", "")
+    steps = F.filter(F.split(F.when(href.startswith("/"), href).otherwise(F.concat(folder, href)), "/"), lambda x: (x != "") & (x != "."))
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.when(href.rlike(r"^[A-Za-z]+://"), href).otherwise(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/"))
+
+
+def resolve_frames(pages: DataFrame, preferred: tuple[str, ...] = ("tabelle", "table", "main", "inhalt", "content"), most: int = 32) -> DataFrame:
+    """url, content_url: framesets followed to the content frame - the first with a preferred name, else the first whose source has a digit, else the first.
 
-    Missing files and framesets deeper than `depth` (cycles) give NULL.
+    Sources are relative to the page that names them. Where a frame's page is missing, or has been passed already, the last page counts.
+    Framesets inside one another are followed until none is left; more than `most` levels are an error.
     """
     frames = pages.filter(F.lower("html").contains("<frameset")).select("url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)(<frame\s[^>]*>)"), F.lit(1))).alias("at", "tag"))
-    name, src = F.lower(F.regexp_extract("tag", r'name="([^"]*)"', 1)), F.regexp_extract("tag", r'src="([^"]*)"', 1)
+    name, src = F.lower(F.regexp_extract("tag", r"(?i)name=[\"']?([^\"'\s>]*)", 1)), F.regexp_extract("tag", r"(?i)src=[\"']?([^\"'\s>]*)", 1)
     rank = F.when(name.isin(*preferred), 0).when(src.rlike(r"\d"), 1).otherwise(2)
-    best = frames.select("url", src.alias("to"), F.row_number().over(Window.partitionBy("url").orderBy(rank, "at")).alias("_r")).filter("_r = 1").drop("_r")
-    known = pages.select(F.col("url").alias("there")).distinct()
-    out = pages.select("url", F.col("url").alias("content_url"))
-    for _ in range(depth):
-        step = best.select(F.col("url").alias("content_url"), "to")
-        out = out.join(step, "content_url", "left").select("url", F.coalesce("to", "content_url").alias("content_url"))
-    final = out.join(known, out.content_url == known.there, "left").join(best.select(F.col("url").alias("loop")), F.col("content_url") == F.col("loop"), "left")
-    return final.select("url", F.when(F.col("there").isNotNull() & F.col("loop").isNull(), F.col("content_url")).alias("content_url"))
+    best = frames.filter(src != "").select("url", beside(F.col("url"), src).alias("to"), F.row_number().over(Window.partitionBy("url").orderBy(rank, "at")).alias("_r")).filter("_r = 1").drop("_r")
+    step = written(best.join(pages.select(F.col("url").alias("to")).distinct(), "to", "left_semi").select(F.col("url").alias("content_url"), "to"))
+    out = written(pages.select("url", F.col("url").alias("content_url"), F.array("url").alias("passed")))
+    for _ in range(most):
+        on = F.col("to").isNotNull() & ~F.array_contains("passed", F.col("to"))
+        moved = out.join(step, "content_url", "left").select("url", F.when(on, F.col("to")).otherwise(F.col("content_url")).alias("content_url"), F.when(on, F.concat("passed", F.array("to"))).otherwise(F.col("passed")).alias("passed"), on.alias("moved"))
+        out = written(moved)
+        if out.filter("moved").isEmpty():
+            return out.select("url", "content_url")
+        out = out.drop("moved")
+    raise RuntimeError(f"framesets lie more than {most} levels deep")
 
 
 def explode_blocks(pages: DataFrame, mark: str, first_only: bool = False) -> DataFrame:

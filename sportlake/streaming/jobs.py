@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,23 +23,24 @@ def answer_stream(a: Archive, delay: str = "30 days") -> DataFrame:
     return answers.withWatermark("submitted_at", delay)
 
 
-def run_once(stream: DataFrame, a: Archive, mode: str) -> DataFrame:
-    """Drive a stream over all that is there: its output as a table."""
-    spark, name = a.spark, f"out_{uuid.uuid4().hex}"
-    if mode == "complete":
-        query = stream.writeStream.outputMode("complete").format("memory").queryName(name)
-        query = query.option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.table(name)
-    path = shared_folder(spark)
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("seen", F.lit(n)).write.mode("append").parquet(path))
+def run_once(stream: DataFrame, a: Archive, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Drive a stream over all that is there: its output as a table.
+
+    Every batch is written under its number and replaces what an earlier try of it left. Of mode update the newest row of each of the keys
+    counts, of mode complete the last batch.
+    """
+    spark, path = a.spark, shared_folder(a.spark)
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/seen={n}"))
     query.option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    if mode == "complete":
+        return out.join(out.agg(F.max("seen").alias("seen")), "seen", "left_semi").drop("seen")
+    return latest(out, keys, "seen").drop("seen") if keys else out.drop("seen")
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).filter("_r = 1").drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).filter("_r = 1").drop("_r")
 
 
 def player_stats(answers: DataFrame) -> DataFrame:
@@ -102,11 +102,11 @@ def refreshed(stream: DataFrame, make: Callable[[DataFrame], DataFrame], a: Arch
 
     def refresh(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{rows}/batch={n}")
-        make(a.spark.read.parquet(rows)).write.mode("overwrite").parquet(f"{out}/{n}")
-        refreshed.last = f"{out}/{n}"
+        make(a.spark.read.parquet(rows).drop("batch")).write.mode("overwrite").parquet(f"{out}/seen={n}")
 
     stream.writeStream.foreachBatch(refresh).option("checkpointLocation", shared_folder(a.spark)).trigger(availableNow=True).start().awaitTermination()
-    return a.spark.read.parquet(refreshed.last)
+    made = a.spark.read.parquet(out)
+    return made.join(made.agg(F.max("seen").alias("seen")), "seen", "left_semi").drop("seen")
 
 
 def late_batch(answers: DataFrame, delay: str, buckets: int = 1024) -> DataFrame:

@@ -18,9 +18,19 @@ def test_names(spark):
     assert values(spark, ["Trainer: Baas", "Liebers an Klopp", "12", "-", "A", "x" * 101, "", None, "Meier"], tx.player_name_error) == ["trainer", "assist_text", "not_a_letter", "placeholder", "too_short", "too_long", "empty", "empty", None]
 
 
+def test_name_rules(spark):
+    assert values(spark, ["Čech", "Qəbələ", "Şahin Ő", "e\u0301", "Łódź", "Großer"], tx.strip_accents) == ["Cech", "Qəbələ", "Sahin O", "e", "Łodz", "Großer"]
+    names = ["?", "? -", "WDH. fe, Meier", "Baas (FSV-Trainer)", "Trainerin Meier", "Coach: X", "Referee: Y", "Schiedsrichterin: Z", "Tore 3", "Torsten Tor", "70. 3:1 Meier", "Liebers AN Klopp", "FE, -", " \n ", "'Meier", "Jo"]
+    want = ["empty", "placeholder", None, "trainer", None, "trainer", "referee", "referee", "goal_text", None, "goal_text", "assist_text", "empty", "empty", "not_a_letter", None]
+    assert values(spark, names, tx.player_name_error) == want
+    assert values(spark, ["?  Meier", "wdh.Meier", "WDH. he, Meier", "? wdh. ET, A  B"], tx.clean_player_name) == ["Meier", "Meier", "Meier", "A  B"]
+    names = ["Cotrainer X", "Referee", "Tore 3", "7. 1:0 X", "Meier, Klopp", "12", "ABC", "ABCD", "A" * 101, "Meier, Hans", "", None]
+    assert values(spark, names, tx.error_category) == ["trainer_name", "referee_name", "goal_text", "goal_text", "error_text", "invalid_pattern", "invalid_pattern", None, "too_long", "contains_comma", None, None]
+
+
 def test_numbers_in_texts(spark):
     assert values(spark, ["12.000", "1,5", "x", "", None], tx.parse_int) == [12000, 15, None, None, None]
-    assert [tuple(x) for x in values(spark, ["45+2.", "7.", "x."], tx.parse_minute)] == [(45, 2), (7, None), (None, None)]
+    assert [tuple(x) for x in values(spark, ["45+2.", "  7.", "x."], tx.parse_minute)] == [(45, 2), (7, None), (None, None)]
     assert [tuple(x) for x in values(spark, ["A - B 2:1 (1:0)", "A - B -:-", "none"], tx.parse_header_score)] == [("A", "B", 2, 1, 1, 0), ("A", "B", None, None, None, None), (None,) * 6]
 
 
@@ -43,7 +53,9 @@ def test_goal_and_substitution_texts(spark):
 
 def test_leagues(spark):
     names = ["Bundesliga", "2. Bundesliga Süd", "Regionalliga Südwest", "Amateur-Oberliga", "Bezirksliga", "DFB-Pokal", "Europapokal", "Test"]
-    assert values(spark, names, prj.league_level) == ["first_division", "second_division", "third_division", "amateur", "historical", "cup", "international", "other"]
+    assert values(spark, names, prj.league_level) == ["first_division", "second_division", "third_division", "amateur", "historical", "cup", "cup", "other"]
+    more = ["Bundesliga Süd", "2.Bundesliga", "Oberliga", "Gauliga Südwest", "Kreisklasse", "1. Klasse", "Champions League", "UEFA-Cup", "Europa League"]
+    assert values(spark, more, prj.league_level) == ["other", "second_division", "amateur", "historical", "historical", "historical", "international", "international", "international"]
 
 
 def test_ratio_rounds_half_up(spark):

@@ -75,7 +75,7 @@ def test_vectors(spark):
     base = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {r["vec_id"]: r["score"] for r in vec.cosine_top_k(base, base.filter("vec_id = 0"), 10).collect()}
     assert got == {0: 1.0, 1: 1.0, 2: -1.0, 3: 0.0, 4: -1.0}
-    assert vec.with_queries(base, base, most=2).count() == vec.with_queries(base, base).count() == 25
+    assert sorted(map(tuple, vec.cosine_top_k(base, base, 3, most=2).collect())) == sorted(map(tuple, vec.cosine_top_k(base, base, 3).collect()))
 
 
 def test_approximate_search_recall(spark, small):
@@ -88,7 +88,11 @@ def test_approximate_search_recall(spark, small):
 
 def test_frames(spark):
     pages = spark.createDataFrame([("a", '<frameset><frame name="x" src="n"><frame name="main" src="c"></frameset>'), ("c", "text"), ("loop", '<frameset><frame name="main" src="loop"></frameset>'), ("gone", '<frameset><frame name="q" src="p1"></frameset>')], "url string, html string")
-    assert {r["url"]: r["content_url"] for r in pg.resolve_frames(pages).collect()} == {"a": "c", "c": "c", "loop": None, "gone": None}
+    assert {r["url"]: r["content_url"] for r in pg.resolve_frames(pages).collect()} == {"a": "c", "c": "c", "loop": "loop", "gone": "gone"}
+    frame = lambda src, name="inhalt": f'<FRAMESET><frame name="{name}" src="{src}"></FRAMESET>'
+    pages = [("s/1/index.htm", frame("../2/mid.htm")), ("s/2/mid.htm", frame("low.htm", "content")), ("s/2/low.htm", frame("./deep/x.htm")), ("s/2/deep/x.htm", frame("/s/end.htm", "table")), ("s/end.htm", "text"), ("s/p.htm", frame("q.htm")), ("s/q.htm", frame("p.htm"))]
+    got = {r["url"]: r["content_url"] for r in pg.resolve_frames(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert all(got[u] == "s/end.htm" for u, _ in pages[:5]) and got["s/p.htm"] == "s/q.htm" and got["s/q.htm"] == "s/p.htm"
 
 
 def test_guard(spark):
