@@ -207,7 +207,7 @@ def _bodies(length: int, gram: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_removed, n_spans, digest, n_bytes = [], [], [], []
+        n_removed, n_spans, digest, n_bytes, left = [], [], [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             data = text_bytes(text.as_py())
             depth = np.zeros(len(data) + 1, np.int64)
@@ -218,8 +218,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_bytes.append(len(data))
             n_removed.append(int(gone.sum()))
             n_spans.append(len(_spans(gone)[0]))
-            digest.append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kept = data[~gone].tobytes()
+            digest.append(hashlib.sha256(kept).hexdigest())
+            left.append(kept.decode("utf-8", "ignore"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -274,14 +276,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Every document without its repeated bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Every document without its repeated bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
+
+    text is what is left; a character of which a cut leaves only some bytes is not in it (kept_sha256 is of all bytes that are left).
+    """
     docs = identified(docs)
     spans = written(repeated_spans(docs, length), "spans")
     touched = among(spans.select("uid"))("uid")
     by = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     marked = docs.withColumn("touched", touched)
-    whole = marked.filter(~F.col("touched")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    cut = mapped(marked.filter("touched").select("doc_id", "uid", "text").join(by, "uid", "left").select("doc_id", "text", "spans"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = marked.filter(~F.col("touched")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), "text")
+    cut = mapped(marked.filter("touched").select("doc_id", "uid", "text").join(by, "uid", "left").select("doc_id", "text", "spans"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     return whole.unionByName(cut)
 
 

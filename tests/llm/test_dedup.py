@@ -54,7 +54,8 @@ def cut(docs, length):
             if times[b[k : k + length]] > 1:
                 gone[k : k + length] = [True] * length
         runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
-        yield d, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        yield d, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
 
 @pytest.mark.parametrize(("seed", "length", "segments"), [(0, 12, 2), (1, 40, 20_000), (2, 400, 20_000)])
