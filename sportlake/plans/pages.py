@@ -32,7 +32,7 @@ QUERIES = {
     "joi20_match_coaches": (lambda a: joi.token_join(a.players().select("player_id", F.concat(F.lit("Trainer: "), "name").alias("title")), "title", a.players().select(F.col("player_id").alias("coach_id"), F.element_at(F.split("name", " "), -1).alias("last")), "last").select("player_id", "coach_id"), "SELECT DISTINCT p.player_id, c.player_id AS coach_id FROM (SELECT player_id, unnest(string_split('trainer: ' || name, ' ')) AS token FROM players) p JOIN players c ON token = (c.player_id - 1)::VARCHAR"),
     "fun28_standings_row": (lambda a: pg.standings_rows(standing_pages(a), "Team 1"), "SELECT season_competition_id, competition_id AS position, season_id % 7 AS goals_for, competition_id AS goals_against, season_id % 5 AS points FROM season_competitions"),
     "fun41_row_id": (lambda a: a.messages().select("session_id", "turn", F.sha2(F.concat_ws("/", "session_id", "turn"), 256).alias("row_id")), "SELECT session_id, turn, sha256(session_id || '/' || turn) AS row_id FROM messages"),
-    "fun43_mention_of": (lambda a: vec.mentions(a.raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("key"), "text"), "key", a.raw("region").select(F.col("r_regionkey").alias("entity_id"), F.lit("the que").alias("name"))).groupBy("entity_id").agg(F.count("*").alias("n")), f"SELECT r_regionkey AS entity_id, count(*) AS n FROM region, (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, unnest(string_split(lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^A-Za-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))), ' ')) AS t FROM conversations) WHERE t IN ('the', 'que')) GROUP BY 1"),
+    "fun43_mention_of": (lambda a: vec.mentions(a.raw("conversations").select(F.concat_ws("/", "conv_id", "turn").alias("key"), "text"), "key", a.raw("region").select(F.col("r_regionkey").alias("entity_id"), F.lit("the que").alias("name"))), f"SELECT conv_id || '/' || turn AS key, r_regionkey AS entity_id FROM region, (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, unnest(string_split(lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^A-Za-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))), ' ')) AS t FROM conversations) WHERE t IN ('the', 'que'))"),
     "fun49_match_conditions": (lambda a: a.matches().select("match_id", tx.match_conditions(F.concat(F.date_format("match_date", "d.M.yyyy"), F.lit(", 15.30 Uhr, "), "attendance", F.lit(" Zuschauer, Regen, "), F.col("matchday") % 30, F.lit(" Grad"))).alias("x")).select("match_id", "x.match_date", "x.crowd.attendance", "x.weather", "x.temperature"), "SELECT match_id, match_date, attendance, 'Regen' AS weather, matchday % 30 AS temperature FROM matches"),
     "fun50_reserve_players": (lambda a: pg.reserve_players(a.lineups().groupBy("match_id").agg(F.concat(F.lit("<td>Reserve: "), F.concat_ws(", ", F.collect_list(F.concat(F.lit("P"), "player_id"))), F.lit("</td>")).alias("html"))), "SELECT match_id, 'P' || player_id AS name FROM lineups"),
     "fun51_team_block": (lambda a: pg.team_block(a.lineup_rows().select("match_id", F.col("line").alias("at"), F.concat(F.when(F.col("line") > 2, F.concat("shirt_number", F.lit(" "))).otherwise(""), F.lit('<a href="p'), "player_id", F.lit('">P'), "player_id", F.lit("</a>")).alias("cell")).distinct()).select("match_id", "name", "profile_url", "is_starter"), "SELECT DISTINCT match_id, 'P' || player_id AS name, 'p' || player_id AS profile_url, true AS is_starter FROM lineup_rows"),

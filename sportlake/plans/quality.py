@@ -27,8 +27,9 @@ def id_map(df, key: str, every: int, shift: int):  # noqa: ANN001, ANN201
 
 QUERIES = {
     "dq01_valid_minute": (lambda a: a.goals().groupBy(dq.valid_minute(F.col("minute") + 30, F.col("stoppage")).alias("ok")).agg(F.count("*").alias("n")), "SELECT minute + 30 <= 120 AND coalesce(stoppage, 0) <= 20 AS ok, count(*) AS n FROM goals GROUP BY 1"),
-    "dq02_valid_refs": (lambda a: dq.valid_refs(a.goals(), {"match_id": (a.matches(), "match_id"), "player_id": (a.players().filter("height_cm >= 165"), "player_id"), "assist_player_id": (a.players().filter("height_cm < 195"), "player_id")}).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) THEN 'unknown player_id' WHEN assist_player_id NOT IN (SELECT player_id FROM players WHERE height_cm < 195) THEN 'unknown assist_player_id' END AS reason, count(*) AS n FROM goals GROUP BY 1"),
+    "dq02_valid_refs": (lambda a: dq.valid_refs(a.goals(), {"match_id": (a.matches(), "match_id"), "player_id": (a.players().filter("height_cm >= 165"), "player_id"), "assist_player_id": (a.players().filter("height_cm < 195"), "player_id")}).select("goal_id", "reason"), "SELECT goal_id, CASE WHEN player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) THEN 'unknown player_id' WHEN assist_player_id NOT IN (SELECT player_id FROM players WHERE height_cm < 195) THEN 'unknown assist_player_id' END AS reason FROM goals"),
     "dq03_ingest_events": (lambda a: dq.ingest_events(a.cards(), ["match_id", "player_id", "minute", "card_type"], "card_id", {"player_id": (a.players().filter("height_cm >= 165"), "player_id")})[1], "SELECT 'unknown player_id' AS reason, count(*) AS rows FROM cards WHERE player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) UNION ALL SELECT 'duplicate', sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM cards WHERE player_id IN (SELECT player_id FROM players WHERE height_cm >= 165) GROUP BY match_id, player_id, minute, card_type)"),
+    "dq03_ingested_rows": (lambda a: dq.ingest_events(a.cards(), ["match_id", "player_id", "minute", "card_type"], "card_id", {"player_id": (a.players().filter("height_cm >= 165"), "player_id")})[0].select("card_id", "match_id", "minute"), "SELECT min(card_id) AS card_id, match_id, minute FROM cards WHERE player_id IN (SELECT player_id FROM players WHERE height_cm >= 165) GROUP BY match_id, player_id, minute, card_type"),
     "dq04_sparse_seasons": (lambda a: dq.sparse_seasons(a.seasons(), a.matches(), 2500), "SELECT season_id, label, count(match_id) AS matches, count(DISTINCT competition_id) AS competitions, CASE WHEN count(match_id) = 0 THEN 'empty' ELSE 'sparse' END AS kind FROM seasons LEFT JOIN matches USING (season_id) GROUP BY 1, 2 HAVING count(match_id) < 2500"),
     "dq05_bad_player_names": (lambda a: dq.bad_player_names(names(a).select(F.col("doc_id").alias("player_id"), "name")).select("player_id", "reason"), NAMES + f"SELECT doc_id AS player_id, {REASON} AS reason FROM n WHERE {REASON} IS NOT NULL"),
     "dq06_record_adds_up": (lambda a: dq.record_adds_up(prj.result_wdl(a.matches()), "season_id"), "SELECT season_id, count(*) AS matches, count(*) FILTER (result IS NULL) AS open FROM f GROUP BY 1 HAVING count(*) FILTER (result IS NULL) <> 0"),
@@ -55,7 +56,7 @@ QUERIES = {
     "agg43_error_breakdown": (lambda a: dq.error_breakdown(dq.high_scores(a.matches(), 5, 9).select("level", "source_file"), ["level", "source_file"]), "x AS (SELECT CASE WHEN home_score + away_score >= 9 THEN 'warn' ELSE 'info' END AS level, source_file FROM matches WHERE greatest(home_score, away_score) >= 5)\n--\nSELECT level AS value, count(*) AS n, 'level' AS \"by\" FROM x GROUP BY 1 UNION ALL SELECT source_file, count(*), 'source_file' FROM x GROUP BY 1"),
     "win11_examples_per_category": (lambda a: win.first_n(dq.high_scores(a.matches(), 5, 9).select("match_id", "level"), "level", ["match_id"], 10), "SELECT match_id, level FROM (SELECT match_id, level, row_number() OVER (PARTITION BY level ORDER BY match_id) AS r FROM (SELECT match_id, CASE WHEN home_score + away_score >= 9 THEN 'warn' ELSE 'info' END AS level FROM matches WHERE greatest(home_score, away_score) >= 5)) WHERE r <= 10"),
     "joi13_backfill_fk": (lambda a: joi.backfill_fk(a.raw("nation").select("n_nationkey", F.concat(F.lit(" TEAM "), F.col("n_nationkey") + 1, F.lit(" ")).alias("team_name")), "team_name", a.teams(), "team_id").select("n_nationkey", "team_id"), "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN (n_nationkey + 1)::INT END AS team_id FROM nation"),
-    "joi14_map_ids": (lambda a: joi.map_ids(a.players(), a.players().select((F.col("player_id") + 1000).alias("player_id"), F.when(F.col("player_id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("x"), "name")).alias("name"), F.col("name").alias("normalized_name")), "player_id").groupBy("found_by").agg(F.count("*").alias("n"), F.sum("target_id").alias("s")), "SELECT CASE WHEN player_id % 2 = 0 THEN 'name' END AS found_by, count(*) AS n, sum(CASE WHEN player_id % 2 = 0 THEN player_id + 1000 END)::BIGINT AS s FROM players GROUP BY 1"),
+    "joi14_map_ids": (lambda a: joi.map_ids(a.players(), a.players().select((F.col("player_id") + 1000).alias("player_id"), F.when(F.col("player_id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("x"), "name")).alias("name"), F.col("name").alias("normalized_name")), "player_id"), "SELECT player_id AS source_id, CASE WHEN player_id % 2 = 0 THEN player_id + 1000 END AS target_id, CASE WHEN player_id % 2 = 0 THEN 'name' END AS found_by FROM players"),
     "joi15_map_matches": (lambda a: joi.map_matches(joi.role_teams(a.matches(), a.teams()), joi.role_teams(a.matches(), a.teams())), "SELECT match_id AS source_id, min(match_id) OVER (PARTITION BY match_date, home_team_id, away_team_id) AS target_id FROM matches"),
     "joi16_remap_events": (lambda a: joi.remap_events(a.goals().select("goal_id", "match_id", "player_id", "assist_player_id"), {"match_id": id_map(a.matches(), "match_id", 9, 100), "player_id": id_map(a.players(), "player_id", 10, 5)}, {"assist_player_id": id_map(a.players(), "player_id", 4, 7)}), "SELECT goal_id, match_id + 100 AS match_id, player_id + 5 AS player_id, CASE WHEN assist_player_id % 4 <> 0 THEN assist_player_id + 7 END AS assist_player_id FROM goals WHERE match_id % 9 <> 0 AND player_id % 10 <> 0"),
     "joi17_match_surname": (lambda a: joi.match_surname(a.raw("part").select(F.col("p_partkey").cast("string").alias("name")), a.players()).select("name", "player_id"), "SELECT (player_id - 1)::VARCHAR AS name, player_id FROM players"),
@@ -77,8 +78,8 @@ QUERIES = {
     "cor13_assign_ids": (lambda a: cor.assign_ids(a.raw("part").select(F.col("p_name").alias("normalized_name")), a.players().filter("normalized_name LIKE '%ring%'").select("normalized_name", "player_id"), "player_id").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("ids"), F.max("player_id").alias("top")), "SELECT count(DISTINCT p_name) AS n, count(DISTINCT p_name) AS ids, (SELECT max(player_id) FROM players WHERE normalized_name LIKE '%ring%') + count(DISTINCT p_name) FILTER (p_name NOT LIKE '%ring%') AS top FROM part"),
     "cor14_set_standings": (lambda a: cor.set_standings(a.matches()), "x AS (SELECT season_competition_id, home_team_id AS team_id, home_score AS g, away_score AS c FROM matches WHERE home_score IS NOT NULL UNION ALL SELECT season_competition_id, away_team_id, away_score, home_score FROM matches WHERE home_score IS NOT NULL)\n--\nSELECT *, row_number() OVER (PARTITION BY season_competition_id ORDER BY points DESC, goal_difference DESC, goals_for DESC, team_id)::INT AS place FROM (SELECT season_competition_id, team_id, sum(CASE WHEN g > c THEN 3 WHEN g = c THEN 1 ELSE 0 END)::BIGINT AS points, sum(g)::BIGINT AS goals_for, sum(c)::BIGINT AS goals_against, sum(g - c)::BIGINT AS goal_difference FROM x GROUP BY 1, 2)"),
     "cor15_rename_if_free": (lambda a: cor.rename_if_free(a.players().select("player_id", "name"), a.players().select("player_id", F.when(F.col("player_id") % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("Dr. "), "name")).alias("full_name")), "player_id"), "SELECT player_id, CASE WHEN player_id % 4 <> 0 THEN 'Dr. ' || name ELSE name END AS name FROM players"),
-    "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("source_file = 'liga'"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[1], "SELECT count(*) FILTER (home_team_id % 6 <> 0 AND home_score IS NOT NULL) AS copied, count(*) FILTER (home_team_id % 6 = 0 OR home_score IS NULL) AS skipped FROM matches WHERE source_file <> 'liga'"),
-    "cor17_reload_events": (lambda a: cor.reload_events(a.goals(), a.goals().filter("minute > 45"), a.matches().filter("season_id = 1998")).groupBy("match_id").agg(F.count("*").alias("n")), "SELECT match_id, count(*) AS n FROM goals JOIN matches USING (match_id) WHERE season_id <> 1998 OR minute > 45 GROUP BY 1"),
+    "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("source_file = 'liga'"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[0].select("match_id", "home_team_id", "home_score"), "SELECT match_id, home_team_id, home_score FROM matches WHERE source_file <> 'liga' AND home_team_id % 6 <> 0 AND home_score IS NOT NULL"),
+    "cor17_reload_events": (lambda a: cor.reload_events(a.goals(), a.goals().filter("minute > 45"), a.matches().filter("season_id = 1998")).select("goal_id", "match_id", "minute"), "SELECT goal_id, match_id, minute FROM goals JOIN matches USING (match_id) WHERE season_id <> 1998 OR minute > 45"),
     "src10_upsert_latest": (lambda a: cor.upsert_latest(a.answers().filter("is_correct").select("player", "round_id", F.lit("old").alias("v")).distinct(), a.answers().filter("time_ms > 5000").select("player", "round_id", F.lit("new").alias("v")).distinct(), ["player", "round_id"]), "SELECT player, round_id, CASE WHEN bool_or(time_ms > 5000) THEN 'new' ELSE 'old' END AS v FROM answers WHERE is_correct OR time_ms > 5000 GROUP BY 1, 2"),
     "src11_insert_ignore": (lambda a: cor.insert_ignore(a.matches().filter("source_file = 'liga'").select("match_id", F.lit("old").alias("v")), a.matches().filter("competition_id >= 3").select("match_id", F.lit("new").alias("v")), ["match_id"]), "SELECT match_id, CASE WHEN source_file = 'liga' THEN 'old' ELSE 'new' END AS v FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
     "src12_upsert_merge": (lambda a: cor.upsert_merge(a.matches().filter("source_file = 'liga'").select("match_id", "attendance", "referee_id", F.lit(False).alias("seen")), a.matches().filter("competition_id >= 3").select("match_id", F.lit(10000).alias("attendance"), F.lit(None).cast("int").alias("referee_id"), F.lit(True).alias("seen")), ["match_id"], {"attendance": "greatest", "referee_id": "fill", "seen": "either"}), "SELECT match_id, CASE WHEN competition_id < 3 THEN attendance WHEN source_file <> 'liga' THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN source_file = 'liga' THEN referee_id END AS referee_id, competition_id >= 3 AS seen FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),

@@ -58,10 +58,10 @@ QUERIES = {
     "str03_question_stats": (lambda a: st.run_once(st.question_stats(st.answer_stream(a), a.rounds()), a, "update", ["question_id"]), "SELECT question_id, count(*) AS used, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers JOIN rounds USING (round_id) GROUP BY 1"),
     "str04_chat_sessions": (lambda a: st.run_once(st.sessions(st.answer_stream(a)), a, "complete"), SESSIONS),
     "str04_sessions_batch": (lambda a: st.sessions_batch(a.answers()), SESSIONS),
-    "str05_one_answer_per_round": (lambda a: st.run_once(st.first_answers(st.answer_stream(a)), a, "append").groupBy("player").agg(F.count("*").alias("n")), "SELECT player, count(DISTINCT round_id) AS n FROM answers GROUP BY 1"),
+    "str05_one_answer_per_round": (lambda a: st.run_once(st.first_answers(st.answer_stream(a)), a, "append").select("player", "round_id"), "SELECT DISTINCT player, round_id FROM answers"),
     "str06_refresh": (lambda a: st.refreshed(st.answer_stream(a), lambda df: df.groupBy("round_id").agg(F.count("*").alias("n")), a), "SELECT round_id, count(*) AS n FROM answers GROUP BY 1"),
     "str07_leaderboard": (lambda a: st.run_once(st.leaderboard(st.answer_stream(a)), a, "update", ["player"]), POINTS + "SELECT player, sum(points)::BIGINT AS points, count(*) AS questions FROM ap GROUP BY 1"),
-    "str08_dedupe_events": (lambda a: st.run_once(st.deduped(st.answer_stream(a), ["player", "round_id", "answer"]), a, "append").groupBy("answer").agg(F.count("*").alias("n")), "SELECT answer, count(*) AS n FROM (SELECT DISTINCT player, round_id, answer FROM answers) GROUP BY 1"),
+    "str08_dedupe_events": (lambda a: st.run_once(st.deduped(st.answer_stream(a), ["player", "round_id", "answer"]), a, "append").select("player", "round_id", "answer"), "SELECT DISTINCT player, round_id, answer FROM answers"),
     "str09_late_answers": (lambda a: st.late_batch(a.answers(), "2 minutes").groupBy("late").agg(F.count("*").alias("n")), "SELECT submitted_at < m - INTERVAL 2 MINUTE AS late, count(*) AS n FROM (SELECT submitted_at, max(submitted_at) OVER (ORDER BY answer_id ROWS UNBOUNDED PRECEDING) AS m FROM answers) GROUP BY 1"),
     "vec01_cosine_top_k": (lambda a: vec.cosine_top_k(base(a), asked(a), 10).select("q_id", "vec_id", "rank"), f"SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) WHERE r <= 10"),
     "vec02_inner_product_top_k": (lambda a: vec.inner_product_top_k(base(a), asked(a), 5).select("q_id", "vec_id", "rank"), "SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0 AND b.label = q.label) WHERE r <= 5"),
@@ -83,13 +83,13 @@ QUERIES = {
     "src18_write_by_decade": (lambda a: io.by_decade(a.matches().select("match_id", "match_date"), "match_date").groupBy("decade").agg(F.count("*").alias("n")), "SELECT (year(match_date) // 10 * 10)::INT AS decade, count(*) AS n FROM matches GROUP BY 1"),
     "src20_guarded_sql": (lambda a: io.guarded_sql(a.spark, "SELECT match_id FROM {m} WHERE season_id = 1998 ORDER BY match_id; DROP TABLE m", 200, m=a.matches()), "SELECT match_id FROM matches WHERE season_id = 1998 ORDER BY match_id LIMIT 200"),
     "src02_resolve_frames": (lambda a: pg.resolve_frames(pg.framed(a.raw("pages"))).select("url", "content_url"), "SELECT 'frame/' || url AS url, url AS content_url FROM pages UNION ALL SELECT url, url FROM pages"),
-    "src03_explode_blocks": (lambda a: pg.explode_blocks(a.raw("pages"), "<p>").groupBy("page_id").agg(F.count("*").alias("blocks")), "SELECT page_id, len(string_split(html, '<p>')) - 1 AS blocks FROM pages WHERE contains(html, '<p>')"),
-    "src04_overview_links": (lambda a: pg.links(a.raw("pages")).groupBy("page_id").agg(F.count("*").alias("links")), r"""SELECT page_id, len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"')) AS links FROM pages WHERE len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"')) > 0"""),
-    "src05_fallback_fixtures": (lambda a: pg.fixtures(pg.fixture_pages(a.matches(), a.teams()), "Team 1").groupBy("own_score", "opponent_score").agg(F.count("*").alias("n")), "SELECT own_score, opponent_score, count(*) AS n FROM f WHERE home_score IS NOT NULL GROUP BY 1, 2"),
-    "src22_extract_archive": (lambda a: pg.extract_goals(pg.match_pages(a.matches(), a.goals())).groupBy("match_id").agg(F.count("*").alias("goals"), F.sum("minute").alias("minutes")), "SELECT match_id, count(*) AS goals, sum(minute)::BIGINT AS minutes FROM goals GROUP BY 1"),
-    "fun24_profile_facts": (lambda a: pg.profiles(a.players()), "SELECT player_id, make_date(1950 + (player_id % 50)::INT, 1, 1) AS birth_date, height_cm, 'Mitte' AS position FROM players"),
-    "fun26_key_value_facts": (lambda a: pg.key_values(a.players()).select("player_id", F.col("facts").getItem("Position").alias("position"), F.size("facts").alias("n")), "SELECT player_id, primary_position AS position, 2 AS n FROM players"),
-    "fun27_squad_entries": (lambda a: pg.squad(a.players()).groupBy("position_group").agg(F.count("*").alias("n")), "SELECT 'TOR' AS position_group, count(*) AS n FROM players UNION ALL SELECT 'ABWEHR', count(*) FROM players"),
-    "fun44_apply_substitutions": (lambda a: pg.applied(a.lineups(), a.substitutions()).groupBy("is_starter").agg(F.count("*").alias("n"), F.sum("minute_on").alias("on"), F.sum("minute_off").alias("off")), "x AS (SELECT match_id, player_id, bool_or(s) AS s, min(o) AS o, min(w) AS w FROM (SELECT match_id, player_id, is_starter AS s, NULL AS o, NULL AS w, 0 AS k FROM lineups UNION ALL SELECT match_id, player_on_id, NULL, minute, NULL, 1 FROM substitutions UNION ALL SELECT match_id, player_off_id, NULL, NULL, minute, 2 FROM substitutions) GROUP BY 1, 2)\n--\nSELECT CASE WHEN o IS NOT NULL THEN false ELSE coalesce(s, true) END AS is_starter, count(*) AS n, sum(o)::BIGINT AS \"on\", sum(w)::BIGINT AS off FROM x GROUP BY 1"),
-    "fun45_collect_cards": (lambda a: pg.collected_cards(a.cards(), a.substitutions()).groupBy("card_type").agg(F.count("*").alias("n"), F.count("minute").alias("with_minute")), "SELECT card_type, count(*) AS n, count(minute) AS with_minute FROM (SELECT card_type, NULL AS minute FROM cards WHERE minute IS NULL UNION ALL SELECT 'yellow', minute FROM substitutions WHERE minute % 2 = 0) GROUP BY 1"),
+    "src03_explode_blocks": (lambda a: pg.explode_blocks(a.raw("pages"), "<p>"), "SELECT page_id, i::INT AS block, p[i + 2] AS html FROM (SELECT page_id, string_split(html, '<p>') AS p FROM pages) x, unnest(range(len(x.p) - 1)) AS r(i)"),
+    "src04_overview_links": (lambda a: pg.links(a.raw("pages")), r"""SELECT page_id, i::INT AS position, h[i + 1] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages) x, unnest(range(len(x.h))) AS r(i)"""),
+    "src05_fallback_fixtures": (lambda a: pg.fixtures(pg.fixture_pages(a.matches(), a.teams()), "Team 1"), "SELECT season_competition_id, matchday, 'Team ' || opponent_id AS opponent, own_score, opponent_score FROM f WHERE home_score IS NOT NULL"),
+    "src22_extract_archive": (lambda a: pg.extract_goals(pg.match_pages(a.matches(), a.goals())), "SELECT match_id, minute, stoppage, score_home, score_away, 'P' || player_id AS scorer, assist_player_id::VARCHAR AS assist FROM goals"),
+    "fun24_profile_facts": (lambda a: pg.profiles(pg.profile_pages(a.players())), "SELECT player_id, make_date(1950 + (player_id % 50)::INT, 1, 1) AS birth_date, CASE WHEN player_id % 3 <> 0 THEN 'Mainz' END AS birth_place, CASE WHEN player_id % 5 <> 0 THEN height_cm END AS height_cm, (player_id % 30 + 60)::INT AS weight_kg, regexp_extract(primary_position, '^[A-Za-z]+') AS position, regexp_extract(nationality, '^[A-Za-z]+') AS nationality FROM players"),
+    "fun26_key_value_facts": (lambda a: pg.key_values(pg.fact_pages(a.players())).select("page_id", *[F.col("facts")[k].alias(c) for k, c in (("Position", "position"), ("Land", "country"), ("Größe", "height"))], F.size("facts").alias("n")), "SELECT player_id AS page_id, primary_position AS position, nationality AS country, height_cm::VARCHAR AS height, 3 AS n FROM players"),
+    "fun27_squad_entries": (lambda a: pg.squad(pg.squad_pages(a.lineups())), "SELECT match_id AS page_id, CASE WHEN line = 1 THEN 'TOR' WHEN line <= 3 THEN 'ABWEHR' WHEN line <= 5 THEN 'MITTELFELD' ELSE 'ANGRIFF' END AS position_group, shirt_number, 'P' || player_id AS name FROM lineups"),
+    "fun44_apply_substitutions": (lambda a: pg.applied(a.lineups(), a.substitutions()), "x AS (SELECT match_id, player_id, bool_or(s) AS s, min(o) AS o, min(w) AS w FROM (SELECT match_id, player_id, is_starter AS s, NULL AS o, NULL AS w, 0 AS k FROM lineups UNION ALL SELECT match_id, player_on_id, NULL, minute, NULL, 1 FROM substitutions UNION ALL SELECT match_id, player_off_id, NULL, NULL, minute, 2 FROM substitutions) GROUP BY 1, 2)\n--\nSELECT match_id, player_id, CASE WHEN o IS NOT NULL THEN false ELSE coalesce(s, true) END AS is_starter, o AS minute_on, w AS minute_off FROM x"),
+    "fun45_collect_cards": (lambda a: pg.collected_cards(*pg.card_cells(a.cards())).groupBy("match_id", "player_id", "minute", "card_type").agg(F.count("*").alias("n")), "SELECT match_id, player_id, minute, card_type, CASE card_type WHEN 'yellow' THEN count(*) ELSE 1 END AS n FROM cards GROUP BY 1, 2, 3, 4"),
 }

@@ -106,7 +106,7 @@ def fixtures(pages: DataFrame, focal: str) -> DataFrame:
 
 def match_pages(m: DataFrame, goals: DataFrame) -> DataFrame:
     """Detail pages made from goals: a table of goal texts per match."""
-    line = F.concat(F.lit("<tr><td>"), "minute", F.lit(". "), "score_home", F.lit(":"), "score_away", F.lit(" P"), "player_id", F.lit(" ("), F.coalesce(F.col("assist_player_id").cast("string"), F.lit("-")), F.lit(")</td></tr>"))
+    line = F.concat(F.lit("<tr><td>"), "minute", F.coalesce(F.concat(F.lit("+"), "stoppage"), F.lit("")), F.lit(". "), "score_home", F.lit(":"), "score_away", F.lit(" P"), "player_id", F.lit(" ("), F.coalesce(F.col("assist_player_id").cast("string"), F.lit("-")), F.lit(")</td></tr>"))
     return goals.groupBy("match_id").agg(F.concat(F.lit("<b>Tore</b>"), F.concat_ws("", F.collect_list(line))).alias("html")).join(m.select("match_id"), "match_id")
 
 
@@ -116,28 +116,57 @@ def extract_goals(pages: DataFrame) -> DataFrame:
     return pages.select("match_id", line).select("match_id", tx.goal_text(F.col("line")).alias("g")).select("match_id", "g.*")
 
 
-def profiles(players: DataFrame) -> DataFrame:
-    """Facts read from profile texts made from the players."""
-    page = F.concat(F.lit("P * 01.01."), F.col("player_id") % 50 + 1950, F.lit(" in Mainz, "), "height_cm", F.lit(" cm, 75 kg Position: Mitte Nationalität: DE"))
-    return players.select("player_id", tx.profile_facts(page).alias("x")).select("player_id", "x.birth_date", "x.height_cm", "x.position")
+def profile_pages(players: DataFrame) -> DataFrame:
+    """Profile pages made from the players; some lack the place, some the height."""
+    place = F.when(F.col("player_id") % 3 == 0, "").otherwise(" in Mainz")
+    height = F.when(F.col("player_id") % 5 == 0, "").otherwise(F.concat(F.lit(", "), "height_cm", F.lit(" cm")))
+    page = F.concat(F.lit("P * 01.01."), F.col("player_id") % 50 + 1950, place, height, F.lit(", "), F.col("player_id") % 30 + 60, F.lit(" kg Position: "), "primary_position", F.lit(" Nationalität: "), "nationality")
+    return players.select("player_id", page.alias("html"))
 
 
-def key_values(players: DataFrame) -> DataFrame:
-    """Two-cell table rows as a map."""
-    page = F.concat(F.lit("<tr><td>Position</td><td>"), "primary_position", F.lit("</td></tr><tr><td>Land</td><td>"), "nationality", F.lit("</td></tr>"))
-    rows = F.regexp_extract_all(page, F.lit(r"<tr>(.*?)</tr>"), F.lit(1))
-    pair = lambda r: F.struct(F.regexp_extract(r, r"<td>(.*?)</td>", 1), F.regexp_extract(r, r"</td><td>(.*?)</td>", 1))
-    return players.select("player_id", F.map_from_entries(F.transform(rows, pair)).alias("facts"))
+def profiles(pages: DataFrame) -> DataFrame:
+    """Facts read from profile pages (player_id, html); what a page does not say is NULL."""
+    text = tx.normalize_whitespace(F.regexp_replace("html", "<[^>]*>", " "))
+    return pages.select("player_id", tx.profile_facts(text).alias("x")).select("player_id", "x.*")
 
 
-def squad(players: DataFrame) -> DataFrame:
-    """Entries of squad pages under their position header; what follows TRAINER is left out."""
-    page = F.concat(F.lit("TOR\n1 "), "name", F.lit("\nABWEHR\n2 "), "name", F.lit("\nTRAINER\nX"))
-    lines = players.select("player_id", F.posexplode(F.split(page, "\n")).alias("at", "line"))
-    header = F.when(F.col("line").isin("TOR", "ABWEHR", "MITTELFELD", "ANGRIFF", "TRAINER"), F.col("line"))
-    so_far = Window.partitionBy("player_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+def fact_pages(players: DataFrame) -> DataFrame:
+    """Pages with a table of facts, made from the players; one of its rows has a single cell."""
+    row = lambda name, value: F.concat(F.lit(f"<tr><td>{name}</td><td>"), value, F.lit("</td></tr>"))
+    page = F.concat(F.lit("<table><tr><td>Steckbrief</td></tr>"), row("Position", F.col("primary_position")), row("Land", F.col("nationality")), row("Größe", F.col("height_cm")), F.lit("</table>"))
+    return players.select(F.col("player_id").alias("page_id"), page.alias("html"))
+
+
+def key_values(pages: DataFrame) -> DataFrame:
+    """Rows of exactly two cells of pages (page_id, html) as a map; of a repeated key the last row counts."""
+    cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
+    plain = lambda cell: tx.normalize_whitespace(F.regexp_replace(cell, "<[^>]*>", " "))
+    rows = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells), lambda x: F.size(x) == 2)
+    add = lambda done, x: F.map_concat(F.map_filter(done, lambda k, _: k != plain(x[0])), F.create_map(plain(x[0]), plain(x[1])))
+    return pages.select("page_id", F.aggregate(rows, F.create_map().cast("map<string,string>"), add).alias("facts"))
+
+
+#: Headers of squad pages (fixed values).
+POSITIONS = ("TOR", "ABWEHR", "MITTELFELD", "ANGRIFF")
+
+
+def squad_pages(lineups: DataFrame) -> DataFrame:
+    """Squad pages made from line-ups, a page for each match: players by line under their header, then the coach."""
+    bounds = dict(zip(POSITIONS, ((1, 1), (2, 3), (4, 5), (6, 99)), strict=True))
+    entry = lambda x: F.concat(x["shirt_number"], F.lit(" P"), x["player_id"])
+    part = lambda head, low, high: F.concat(F.array(F.lit(head)), F.transform(F.filter("e", lambda x: x["line"].between(low, high)), entry))
+    pages = lineups.groupBy(F.col("match_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("line", "shirt_number", "player_id"))).alias("e"))
+    return pages.select("page_id", F.concat_ws("\n", *[part(h, *b) for h, b in bounds.items()], F.array(F.lit("TRAINER"), F.lit("1 Coach"))).alias("html"))
+
+
+def squad(pages: DataFrame) -> DataFrame:
+    """Entries 'number name' of squad pages (page_id, html) under their position header; what follows TRAINER is left out."""
+    lines = pages.select("page_id", F.posexplode(F.split("html", "\n")).alias("at", "line"))
+    header = F.when(F.col("line").isin(*POSITIONS, "TRAINER"), F.col("line"))
+    so_far = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     out = lines.withColumn("h", header).withColumn("position_group", F.last("h", ignorenulls=True).over(so_far))
-    return out.filter("h IS NULL AND position_group <> 'TRAINER'").select("player_id", "position_group", F.regexp_extract("line", r"^(\d+)", 1).cast("int").alias("shirt_number"))
+    entry = r"^(\d+)\s+(.+?)\s*$"
+    return out.filter("h IS NULL AND position_group <> 'TRAINER'").select("page_id", "position_group", tx.some(F.col("line"), entry, 1).cast("int").alias("shirt_number"), tx.some(F.col("line"), entry, 2).alias("name"))
 
 
 def applied(lineups: DataFrame, substitutions: DataFrame) -> DataFrame:
@@ -149,11 +178,19 @@ def applied(lineups: DataFrame, substitutions: DataFrame) -> DataFrame:
     return out.withColumn("is_starter", F.when(F.col("minute_on").isNotNull(), False).otherwise(F.coalesce("is_starter", F.lit(True))))
 
 
-def collected_cards(cards: DataFrame, substitutions: DataFrame) -> DataFrame:
-    """Cards from line-up icons (no minute) and from substitution entries (with minute; here every even one)."""
-    icons = cards.filter("minute IS NULL").select("match_id", "player_id", "card_type", F.lit(None).cast("int").alias("minute"))
-    shown = substitutions.filter("minute % 2 = 0").select("match_id", F.col("player_off_id").alias("player_id"), F.lit("yellow").alias("card_type"), "minute")
-    return icons.unionByName(shown)
+def card_cells(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Line-up cells and substitution entries made from cards: icons without a minute stand in the first, the others in the second."""
+    icon = F.concat(F.lit('<img src="../'), F.when(F.col("card_type") == "yellow", "gelbekarte").when(F.col("card_type") == "red", "rotekarte").otherwise("gelbrot"), F.lit('.bmp">'))
+    cells = cards.groupBy("match_id", "player_id", "minute").agg(F.concat(F.lit("P "), F.concat_ws("", F.collect_list(icon))).alias("cell"))
+    return cells.filter("minute IS NULL").drop("minute"), cells.filter("minute IS NOT NULL")
+
+
+def collected_cards(cells: DataFrame, entries: DataFrame) -> DataFrame:
+    """Cards shown in line-up cells (match_id, player_id, cell; no minute) and in substitution entries (with minute), a row for each card."""
+    both = cells.select("match_id", "player_id", "cell", F.lit(None).cast("int").alias("minute")).unionByName(entries.select("match_id", "player_id", "cell", "minute"))
+    marks = tx.lineup_marks(F.col("cell"))
+    shown = F.concat(F.array_repeat(F.lit("yellow"), marks["yellow"]), F.array_repeat(F.lit("second_yellow"), marks["second_yellow"].cast("int")), F.array_repeat(F.lit("red"), marks["red"].cast("int")))
+    return both.select("match_id", "player_id", F.explode(shown).alias("card_type"), "minute")
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:

@@ -144,3 +144,23 @@ def test_lastname_pairs_do_not_grow_with_rows(spark):
     assert len(got) == 301 and got[300] == (2000, 7)
     assert {got[k] for k in range(0, 300, 3)} == {(801, 199)} and {got[k] for k in range(1, 300, 3)} == {(801, 199)} and {got[k] for k in range(2, 300, 3)} == {(801, 199)}
     assert most <= 301
+
+
+def test_pages_by_hand(spark):
+    from sportlake.sources import pages as pg
+
+    page = "TOR\n1 Ann Ek\n22  Bo\nABWEHR\nreport\nTRAINER\n9 Coach\n"
+    got = pg.squad(spark.createDataFrame([(1, page), (2, None), (3, "7 before any header")], "page_id int, html string")).collect()
+    assert {tuple(r) for r in got} == {(1, "TOR", 1, "Ann Ek"), (1, "TOR", 22, "Bo"), (1, "ABWEHR", None, None)}
+    table = "<table><tr><td>Only</td></tr><TR><TD class='x'><b>Land</b></TD><TD>Mali &amp;</TD></TR><tr><td>a</td><td>b</td><td>c</td></tr><tr><td>Land</td><td> Peru </td></tr></table>"
+    got = {r["page_id"]: r["facts"] for r in pg.key_values(spark.createDataFrame([(1, table), (2, ""), (3, None)], "page_id int, html string")).collect()}
+    assert got == {1: {"Land": "Peru"}, 2: {}, 3: None}
+    profile = "<h1>Jan Roe</h1><p>* 3.4.1981 in Bad Ems,\n184 cm, 79 kg<br>Position: Sturm<br>Nationalität: Ghana</p>"
+    got = pg.profiles(spark.createDataFrame([(1, profile), (2, "nothing"), (3, None)], "player_id int, html string")).orderBy("player_id").collect()
+    assert [str(x) for x in got[0]][1:] == ["1981-04-03", "Bad Ems", "184", "79", "Sturm", "Ghana"]
+    assert all(x is None for r in got[1:] for x in tuple(r)[1:])
+    icon = lambda *names: "P " + "".join(f'<img src="../{n}.bmp">' for n in names)
+    cells = spark.createDataFrame([(1, 7, icon("gelbekarte", "gelbrot")), (1, 8, icon()), (1, 9, None)], "match_id int, player_id int, cell string")
+    entries = spark.createDataFrame([(1, 5, icon("rotekarte"), 71), (1, 7, icon("gelbekarte", "gelbekarte"), 80)], "match_id int, player_id int, cell string, minute int")
+    got = sorted(map(str, map(tuple, pg.collected_cards(cells, entries).collect())))
+    assert got == sorted(map(str, [(1, 7, "yellow", None), (1, 7, "second_yellow", None), (1, 5, "red", 71), (1, 7, "yellow", 80), (1, 7, "yellow", 80)]))
