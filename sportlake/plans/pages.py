@@ -38,4 +38,7 @@ QUERIES = {
     "fun51_team_block": (lambda a: pg.team_block(a.lineup_rows().select("match_id", F.col("line").alias("at"), F.concat(F.when(F.col("line") > 2, F.concat("shirt_number", F.lit(" "))).otherwise(""), F.lit('<a href="p'), "player_id", F.lit('">P'), "player_id", F.lit("</a>")).alias("cell")).distinct()).select("match_id", "name", "profile_url", "is_starter"), "SELECT DISTINCT match_id, 'P' || player_id AS name, 'p' || player_id AS profile_url, true AS is_starter FROM lineup_rows"),
     "fun52_friendly_block": (lambda a: pg.friendly_blocks(a.matches().filter("home_score IS NOT NULL").groupBy(F.col("season_competition_id").alias("page_id")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<hr>"), F.when(F.col("match_id") % 2 == 0, F.date_format("match_date", "d.M.yyyy")).otherwise(F.concat(F.lit("ca. Oktober "), F.year("match_date"))), F.lit(" A - B "), "home_score", F.lit(":"), "away_score"))).alias("html"))).groupBy("page_id", "match_date", "home_score", "away_score").agg(F.count("*").alias("n")), "SELECT season_competition_id AS page_id, CASE WHEN match_id % 2 = 0 THEN match_date ELSE make_date(year(match_date), 10, 1) END AS match_date, home_score, away_score, count(*) AS n FROM matches WHERE home_score IS NOT NULL GROUP BY 1, 2, 3, 4"),
     "dq26_validate_findings": (lambda a: dq.validate_findings(a.players().select("player_id", "name", F.col("player_id").alias("url")), a.players().select(F.col("player_id").alias("url"), F.when(F.col("player_id") % 3 == 0, F.concat(F.lit("Schiedsrichterin: "), F.upper("name"))).when(F.col("player_id") % 3 == 1, F.lit("X")).otherwise(F.lit(None)).alias("page_name"))).groupBy("differs").agg(F.count("*").alias("n")), "SELECT CASE player_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS differs, count(*) AS n FROM players GROUP BY 1"),
+    "src04_overview_rows": (lambda a: pg.overview_rows(pg.overview_pages(a.matches(), a.teams(), 1)), "SELECT CASE WHEN match_id // 100 % 2 = 0 THEN 'liga' ELSE 'pokal' END || match_id // 100 || '.html' AS url, 'profiliga' || match_id || '.html' AS detail_file, 'Team ' || opponent_id AS opponent, coalesce(home_score || ':' || away_score, '-:-') AS score, round_name AS stage, CASE WHEN match_id // 100 % 2 = 0 THEN row_number() OVER (PARTITION BY match_id // 100 ORDER BY match_id) END::INT AS matchday FROM f WHERE opponent_id <> 1"),
+    "src22_team_sheets": (lambda a: pg.team_sheets(pg.detail_pages(a.matches(), a.lineups()))[0], "SELECT match_id, CASE WHEN at_home THEN 'home' ELSE 'away' END AS side, 'P' || player_id AS name, shirt_number AS number, 'p' || player_id || '.html' AS profile_url, true AS is_starter FROM lineups"),
+    "src22_officials": (lambda a: pg.officials(pg.detail_pages(a.matches(), a.lineups())), "SELECT match_id, 'R' || referee_id AS referee, 'r' || referee_id || '.html' AS referee_link, 'C1' AS focal_coach, 't1.html' AS focal_coach_link, 'C' || away_team_id AS other_coach, NULL::VARCHAR AS other_coach_link FROM matches SEMI JOIN lineups USING (match_id)"),
 }

@@ -86,6 +86,96 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("position", "href"))
 
 
+#: The target of a link, in quotes of either kind or in none.
+HREF = r"(?i)href=[\"']?([^\"'\s>]*)"
+
+
+def plain(html: Column) -> Column:
+    """Text without tags, white space made even."""
+    return tx.normalize_whitespace(F.regexp_replace(html, "<[^>]*>", " "))
+
+
+def parts(html: Column, tag: str) -> Column:
+    """Contents of all elements of a tag, in order."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+
+
+def overview_pages(m: DataFrame, teams: DataFrame, focal: int, matches: int = 100) -> DataFrame:
+    """Overviews of the focal team's matches made from the match table, a league and a cup page in turn for so many ids; one row is a headline."""
+    played = m.filter((F.col("home_team_id") == focal) != (F.col("away_team_id") == focal))
+    other = F.when(F.col("home_team_id") == focal, F.col("away_team_id")).otherwise(F.col("home_team_id"))
+    rows = played.withColumn("team_id", other).join(teams.select("team_id", F.col("name").alias("opponent")), "team_id")
+    score = F.coalesce(F.concat("home_score", F.lit(":"), "away_score"), F.lit("-:-"))
+    line = F.concat(F.lit("<tr><td>"), F.date_format("match_date", "d.M.yyyy"), F.lit('</td><td><a href="gegner'), "team_id", F.lit('.html">'), "opponent", F.lit("</a></td><td>("), "round_name", F.lit(')</td><td><a href="profiliga'), "match_id", F.lit('.html"><b>'), score, F.lit("</b></a></td></tr>"))
+    number = F.floor(F.col("match_id") / matches)
+    lines = rows.groupBy(number.alias("k")).agg(F.array_sort(F.collect_list(F.struct("match_id", line.alias("line")))).alias("x"))
+    return lines.select(F.concat(F.when(F.col("k") % 2 == 0, "liga").otherwise("pokal"), "k", F.lit(".html")).alias("url"), F.concat(F.lit("<table><tr><td>Alle Spiele</td></tr>"), F.concat_ws("", "x.line"), F.lit("</table>")).alias("html"))
+
+
+def overview_rows(pages: DataFrame) -> DataFrame:
+    """Matches of overview pages (url, html): link to the match page, opponent, score, stage, and on league pages the running matchday.
+
+    A row of four cells or more with a link to a match page and one to an opponent counts; anything else, null pages too, gives no row.
+    """
+    link = lambda part: rf"(?is)<a\s[^>]*href=[\"']?([^\"'\s>]*{part}[^\"'\s>]*)[^>]*>(.*?)</a>"
+    match, opponent = link(r"profi[a-z]*\d+\.html"), link("gegner")
+    rows = pages.select("url", F.posexplode(parts(F.col("html"), "tr")).alias("at", "row")).withColumn("cells", F.transform(parts(F.col("row"), "td"), plain))
+    rows = rows.filter((F.size("cells") >= 4) & F.col("row").rlike(match) & F.col("row").rlike(opponent))
+    stage = F.regexp_replace(F.get(F.filter("cells", lambda x: x.rlike(r"^\(.*\)$")), F.lit(0)), r"^\(+|\)+$", "")
+    day = F.row_number().over(Window.partitionBy("url").orderBy("at"))
+    league = F.lower(F.regexp_extract("url", r"([^/]*)\z", 1)).contains("liga")
+    return rows.select("url", tx.some(F.col("row"), match).alias("detail_file"), plain(F.regexp_extract("row", opponent, 2)).alias("opponent"), plain(F.regexp_extract("row", match, 2)).alias("score"), stage.alias("stage"), F.when(league, day).alias("matchday"))
+
+
+#: Heights of team tables, the first found twice counts (fixed values).
+HEIGHTS = (30, 28, 27)
+
+
+def detail_pages(m: DataFrame, lineups: DataFrame) -> DataFrame:
+    """Match pages made from matches and line-ups: two team tables in each of the four layouts, referee and coaches."""
+    side = lambda home: F.concat_ws("", F.transform(F.filter("cells", lambda x: x["at_home"] == F.lit(home)), lambda x: x["cell"]))
+    cell = F.concat(F.lit("<tr><td>"), "shirt_number", F.lit(' <a href="p'), "player_id", F.lit('.html">P'), "player_id", F.lit("</a></td></tr>"))
+    cells = lineups.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("line", "at_home", cell.alias("cell")))).alias("cells"))
+    layout = F.col("match_id") % 4
+    tag = F.when(layout == 3, "<table>").otherwise(F.concat(F.lit('<table width="100%" height="'), F.element_at(F.array(*map(F.lit, HEIGHTS)), F.pmod(layout, F.lit(3)).cast("int") + 1), F.lit('%">')))
+    bench = F.when(layout == 3, "<tr><td></td></tr><tr><th>Reserve</th></tr>").otherwise("")
+    team = lambda home: F.concat(tag, side(home), bench, F.lit("</table>"))
+    staff = F.concat(F.lit("<table><tr><td><b>Schiedsrichter:</b> "), F.coalesce(F.concat(F.lit('<a href="r'), "referee_id", F.lit('.html">R'), "referee_id", F.lit("</a>")), F.lit("")), F.lit('</td><td>FSV-Trainer: <a href="t1.html">C1</a></td><td>Trainer: C'), "away_team_id", F.lit("</td></tr></table>"))
+    return cells.join(m.select("match_id", "referee_id", "away_team_id"), "match_id").select("match_id", F.concat(team(True), staff, team(False)).alias("html"))
+
+
+def tables_of(html: Column) -> Column:
+    """Tables of a page that hold no further table, whole."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)(<table(?:\s[^>]*)?>(?:(?!<table).)*?</table>)"), F.lit(1))
+
+
+def team_tables(pages: DataFrame) -> DataFrame:
+    """match_id, side, html of the two team tables of a match page (match_id, html): the first two of full width and one of the
+    heights, tried in turn, else the first two that name a reserve. A page with neither, or null, gives no row."""
+    wide = lambda h: lambda x: x.rlike(rf"(?is)^<table[^>]*height=[\"']?{h}%") & x.rlike(r"(?is)^<table[^>]*width=[\"']?100%")
+    found = [F.filter("t", wide(h)) for h in HEIGHTS] + [F.filter("t", lambda x: plain(x).contains("Reserve"))]
+    two = F.coalesce(*[F.when(F.size(x) >= 2, F.slice(x, 1, 2)) for x in found])
+    return pages.select("match_id", tables_of(F.col("html")).alias("t")).select("match_id", F.posexplode(two).alias("k", "html")).select("match_id", F.when(F.col("k") == 0, "home").otherwise("away").alias("side"), "html")
+
+
+def team_sheets(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Players and substitutions of match pages by side: (match_id, side, name, number, profile_url, is_starter) and (match_id, side, minute, player_on, number_on, player_off, number_off)."""
+    cells = team_tables(pages).select("match_id", "side", F.posexplode(parts(F.col("html"), "td")).alias("at", "cell")).withColumn("swap", tx.substitution_text(plain(F.col("cell"))))
+    change = F.col("swap.minute").isNotNull()
+    players = team_block(cells.filter(~change & (plain(F.col("cell")) != "")), ("match_id", "side"))
+    return players, cells.filter(change).select("match_id", "side", "swap.*")
+
+
+def officials(pages: DataFrame) -> DataFrame:
+    """Referee, coach of the focal team and of the other, and their links, from the table that names the referee in bold; NULL where none is named."""
+    table = F.get(F.filter(tables_of(F.col("html")), lambda x: x.rlike("(?is)<b>[^<]*schiedsrichter")), F.lit(0))
+    cell = lambda test: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter("cells", test)), -1)
+    chosen = {"referee": cell(lambda x: plain(x).contains("Schiedsrichter")), "focal_coach": cell(lambda x: plain(x).contains("FSV-Trainer")), "other_coach": cell(lambda x: plain(x).contains("Trainer") & ~plain(x).contains("FSV-Trainer"))}
+    name = lambda x: F.nullif(F.trim(F.regexp_replace(plain(x), r"^.*:", "")), F.lit(""))
+    rows = pages.select("match_id", F.coalesce(parts(table, "td"), F.array().cast("array<string>")).alias("cells"))
+    return rows.select("match_id", *[c for k, x in chosen.items() for c in (name(x).alias(k), tx.some(x, HREF).alias(f"{k}_link"))])
+
+
 def fixture_pages(m: DataFrame, teams: DataFrame) -> DataFrame:
     """Matchday pages made from matches: one table row per match."""
     name = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(side))
@@ -230,12 +320,12 @@ def reserve_players(pages: DataFrame) -> DataFrame:
     return pages.select("match_id", names).filter("name <> ''")
 
 
-def team_block(cells: DataFrame) -> DataFrame:
-    """Line-up cells to players: number, starter flag, profile link; later cells of a name complete earlier ones. cells: match_id, at, cell."""
+def team_block(cells: DataFrame, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """Line-up cells to players: number, starter flag, profile link; later cells of a name complete earlier ones. cells: keys, at, cell."""
     text = tx.normalize_whitespace(F.regexp_replace("cell", "<[^>]*>", " "))
-    rows = cells.select("match_id", "at", F.regexp_replace(text, r"^\d+\s+", "").alias("name"), tx.some(text, r"^(\d+)\s").cast("int").alias("number"), tx.some(F.col("cell"), r'href="([^"]*)"').alias("profile_url"), (~F.col("cell").contains("Reserve")).alias("starter"))
+    rows = cells.select(*keys, "at", F.regexp_replace(text, r"^\d+\s+", "").alias("name"), tx.some(text, r"^(\d+)\s").cast("int").alias("number"), tx.some(F.col("cell"), HREF).alias("profile_url"), (~F.col("cell").contains("Reserve")).alias("starter"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    return rows.groupBy("match_id", "name").agg(first("number"), first("profile_url"), F.bool_and("starter").alias("is_starter"))
+    return rows.groupBy(*keys, "name").agg(first("number"), first("profile_url"), F.bool_and("starter").alias("is_starter"))
 
 
 def friendly_blocks(pages: DataFrame, mark: str = "<hr>") -> DataFrame:

@@ -164,3 +164,31 @@ def test_pages_by_hand(spark):
     entries = spark.createDataFrame([(1, 5, icon("rotekarte"), 71), (1, 7, icon("gelbekarte", "gelbekarte"), 80)], "match_id int, player_id int, cell string, minute int")
     got = sorted(map(str, map(tuple, pg.collected_cards(cells, entries).collect())))
     assert got == sorted(map(str, [(1, 7, "yellow", None), (1, 7, "second_yellow", None), (1, 5, "red", 71), (1, 7, "yellow", 80), (1, 7, "yellow", 80)]))
+
+
+def test_match_pages_by_hand(spark):
+    from sportlake.sources import pages as pg
+
+    team = lambda tag, *cells: f"<table {tag}>" + "".join(f"<tr><td>{c}</td></tr>" for c in cells) + "</table>"
+    staff = "<table><tr><td><b>Schiedsrichter:</b> Ann Ek</td><td>Trainer: <a href='x'>Old</a></td><td>FSV-Trainer: Cy</td><td><a href=\"t.html\">Trainer: Di Do</a></td></tr></table>"
+    a, b = ('1 <a href="p1.html">Al</a>', "<b>2 Bo</b>", "46. 12 Cu für 2 Bo"), ("3 Ed", "Ed <a href='q'>x</a>")
+    layouts = {k: "<b>A - B 2:1</b>" + team(f'width="100%" height="{h}%"', *a) + staff + team(f"height='{h}%' width='100%'", *b) for k, h in ((1, 30), (2, 28), (3, 27))}
+    layouts[4] = team("", *a, "Reserve") + staff + team("", *b, "Reserve: Fi")
+    layouts |= {5: team('width="100%" height="30%"', *a), 6: "", 7: None, 8: team('width="100%" height="30%"', *a) + team("", "Reserve 1") + team("", "Reserve 2")}
+    pages = spark.createDataFrame(list(layouts.items()), "match_id int, html string")
+    players, changes = pg.team_sheets(pages)
+    got = {k: {(r["side"], r["name"], r["number"]) for r in players.collect() if r["match_id"] == k} for k in layouts}
+    assert got[1] == got[2] == got[3] == {("home", "Al", 1), ("home", "Bo", 2), ("away", "Ed", 3), ("away", "Ed x", None)}
+    assert got[4] >= got[1] and not got[5] and not got[6] and not got[7] and {r[0] for r in got[8]} == {"home", "away"}
+    assert {tuple(r) for r in changes.collect()} == {(k, "home", 46, "Cu", 12, "Bo", 2) for k in (1, 2, 3, 4)}
+    who = {r["match_id"]: tuple(r)[1:] for r in pg.officials(pages).collect()}
+    assert who[1] == ("Ann Ek", None, "Cy", None, "Di Do", "t.html") and who[6] == who[7] == (None,) * 6
+
+    link = '<a href="profiliga{0}.html">2:{0}</a>'.format
+    rows = ["<tr><td>1</td><td>2</td><td>3</td><td>4</td></tr>", f"<tr><td>1</td><td><a href='gegnerx.html'>single quotes</a></td><td></td><td>{link(1)}</td></tr>"]
+    rows += [f'<tr><td>(x) y</td><td>((Finale))</td><td><a href="../Gegner7.html"><i>SV</i>\n 7</a></td><td>{link(k)}</td></tr>' for k in (2, 3)]
+    pages = [(f"{f}/{n}.html", "<table>" + "".join(rows) + "</table>") for f, n in (("a", "profiliga"), ("liga", "pokal"))] + [("c", None), ("d", "")]
+    got = sorted(map(tuple, pg.overview_rows(spark.createDataFrame(pages, "url string, html string")).collect()), key=str)
+    want = [("a/profiliga.html", f"profiliga{k}.html", "SV 7", f"2:{k}", "Finale", k) for k in (2, 3)] + [("liga/pokal.html", f"profiliga{k}.html", "SV 7", f"2:{k}", "Finale", None) for k in (2, 3)]
+    want += [("a/profiliga.html", "profiliga1.html", "single quotes", "2:1", None, 1), ("liga/pokal.html", "profiliga1.html", "single quotes", "2:1", None, None)]
+    assert got == sorted(want, key=str)
