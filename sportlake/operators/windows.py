@@ -87,7 +87,7 @@ def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in the order of a seeded hash: random, and the same each time."""
-    return top_k(df, [F.xxhash64(key, F.lit(seed)), key], n)
+    return top_k(df, [F.md5(F.concat_ws(":", key, F.lit(seed))), key], n)
 
 
 def custom_order(df: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -96,8 +96,8 @@ def custom_order(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def shuffled_options(correct: Column, alternatives: Column, key: Column, seed: int) -> Column:
-    """All answers of a question in the order of a seeded hash."""
-    tagged = F.transform(F.concat(F.array(correct), alternatives), lambda x: F.struct(F.xxhash64(key, x, F.lit(seed)).alias("h"), x.alias("x")))
+    """All answers of a question in the order of a seeded hash; a NULL answer stays one."""
+    tagged = F.transform(F.concat(F.array(correct), alternatives), lambda x: F.struct(F.md5(F.concat_ws(":", key, x, F.lit(seed))).alias("h"), x.alias("x")))
     return F.transform(F.array_sort(tagged), lambda x: x.x)
 
 

@@ -12,6 +12,11 @@ from sportlake.operators import windows as win
 from sportlake.plans.base import RECORD
 from sportlake.sources.archive import COMPETITIONS
 
+#: Spark leaves NULL fields out of JSON objects; so does this.
+REPORT = """SELECT match_id, info, goals, lineup FROM
+  (SELECT match_id, '{' || concat_ws(',', '"match_date":"' || match_date || '"', '"home_team_id":' || home_team_id, '"away_team_id":' || away_team_id, '"home_score":' || home_score, '"away_score":' || away_score) || '}' AS info FROM matches)
+  LEFT JOIN (SELECT match_id, '[' || string_agg('{' || concat_ws(',', '"minute":' || minute, '"stoppage":' || stoppage, '"player_id":' || player_id) || '}', ',' ORDER BY minute NULLS FIRST, stoppage NULLS FIRST, player_id NULLS FIRST) || ']' AS goals FROM goals GROUP BY 1) USING (match_id)
+  LEFT JOIN (SELECT match_id, '[' || string_agg('{' || concat_ws(',', '"at_home":' || at_home, '"is_starter":' || is_starter, '"player_id":' || player_id) || '}', ',' ORDER BY at_home, is_starter, player_id) || ']' AS lineup FROM lineups GROUP BY 1) USING (match_id)"""
 LEVELS = "CASE competition_id WHEN 1 THEN 'first_division' WHEN 2 THEN 'second_division' WHEN 3 THEN 'third_division' ELSE 'cup' END"
 BUCKET = "CASE WHEN minute > 90 OR (minute = 90 AND coalesce(stoppage, 0) > 0) THEN '90+' WHEN minute <= 15 THEN '0-15' WHEN minute <= 30 THEN '16-30' WHEN minute <= 45 THEN '31-45' WHEN minute <= 60 THEN '46-60' WHEN minute <= 75 THEN '61-75' ELSE '76-90' END"
 
@@ -60,7 +65,7 @@ QUERIES = {
     "agg20_all_time_record": (lambda a: agg.record(prj.result_wdl(a.matches())), f"SELECT {RECORD} FROM f"),
     "agg21_season_table": (lambda a: agg.season_table(a.matches()), f"SELECT season_id, {RECORD}, 3 * wins + draws AS points, {sql_ratio('3 * wins + draws', 'matches', 2)} AS points_per_game FROM f WHERE result IS NOT NULL GROUP BY season_id"),
     "agg26_nested_events": (lambda a: agg.nested_events(a.matches(), a.goals(), a.cards()).select("match_id", agg.as_text("scorers").alias("scorers"), agg.as_text("cards").alias("cards")), "SELECT match_id, s.x AS scorers, c.x AS cards FROM matches LEFT JOIN (SELECT match_id, string_agg(coalesce(minute, -1) || '/' || player_id || '/' || coalesce(event_type, 'goal'), ';' ORDER BY coalesce(minute, -1), player_id, coalesce(event_type, 'goal')) AS x FROM goals GROUP BY 1) s USING (match_id) LEFT JOIN (SELECT match_id, string_agg(coalesce(minute, -1) || '/' || player_id || '/' || card_type, ';' ORDER BY coalesce(minute, -1), player_id, card_type) AS x FROM cards GROUP BY 1) c USING (match_id)"),
-    "agg27_match_report": (lambda a: agg.match_report(a.matches(), a.goals(), a.lineups()), None),
+    "agg27_match_report": (lambda a: agg.match_report(a.matches(), a.goals(), a.lineups()), REPORT),
     "agg29_rounds_per_competition": (lambda a: agg.rounds_per_competition(a.matches()), "SELECT season_id, competition_id, count(*) AS matches, count(DISTINCT match_date) AS dates, min(match_date) AS first_date, max(match_date) AS last_date, string_agg(DISTINCT round_name, ', ' ORDER BY round_name) AS round_names FROM matches GROUP BY ALL"),
     "agg30_source_provenance": (lambda a: agg.distinct_text(a.matches().withColumn("pair", F.concat_ws("-", "home_team_id", "away_team_id")), ["source_file", "season_id"], "pair", "pairs"), "SELECT source_file, season_id, count(*) AS matches, string_agg(DISTINCT home_team_id || '-' || away_team_id, ', ' ORDER BY home_team_id || '-' || away_team_id) AS pairs FROM matches GROUP BY ALL"),
     "agg31_duplicate_groups": (lambda a: agg.duplicate_groups(a.matches()), "SELECT match_date, least(home_team_id, away_team_id) AS team_a, greatest(home_team_id, away_team_id) AS team_b, least(home_score, away_score) AS score_a, greatest(home_score, away_score) AS score_b, count(*) AS n, string_agg(match_id, ',' ORDER BY source_file <> 'liga', match_id) AS match_ids FROM matches GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1"),

@@ -50,9 +50,9 @@ QUERIES = {
     "win02_current_streak": (lambda a: win.current_streak(a.answers()), STREAK),
     "win03_best_streak": (lambda a: win.best_streak(a.answers()), BEST),
     "win10_last_n_messages": (lambda a: win.last_n(a.messages(), 3).select("session_id", "turn", "position"), "SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY turn)::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM messages) WHERE r <= 3"),
-    "ord04_sample_questions": (lambda a: win.sample_rows(questions(a).filter("topic = 'PROMO'"), "question_id", 10, 7).select("question_id"), None),
+    "ord04_sample_questions": (lambda a: win.sample_rows(questions(a).filter("topic = 'PROMO'"), "question_id", 10, 7).select("question_id"), "SELECT p_partkey AS question_id FROM part WHERE p_type = 'PROMO' ORDER BY md5(p_partkey || ':7'), 1 LIMIT 10"),
     "ord05_least_used": (lambda a: win.top_k(questions(a).filter("topic = 'ECONOMY'").select("question_id", "times_used"), ["times_used", "question_id"], 100), "SELECT p_partkey AS question_id, p_size % 7 AS times_used FROM part WHERE p_type = 'ECONOMY' ORDER BY 2, 1 LIMIT 100"),
-    "ord10_shuffle_options": (lambda a: questions(a).select("question_id", F.array_join(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3), "|").alias("options"), F.size(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3)).alias("n")), None),
+    "ord10_shuffle_options": (lambda a: questions(a).select("question_id", F.array_join(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3), "|").alias("options"), F.size(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3)).alias("n")), "SELECT p_partkey AS question_id, array_to_string(list_transform(list_sort(list_transform([p_name, p_brand, p_type, 'x'], lambda x: {'h': md5(p_partkey || ':' || x || ':3'), 'x': x})), lambda y: y.x), '|') AS options, 4 AS n FROM part"),
     "str01_player_stats": (lambda a: st.run_once(st.player_stats(st.answer_stream(a)), a, "update", ["player"]), "SELECT player, count(*) AS questions, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers GROUP BY 1"),
     "str02_streaks": (lambda a: st.run_once(st.streaks(st.answer_stream(a)), a, "update", ["player"]).select("player", "current_streak", "best_streak"), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
     "str03_question_stats": (lambda a: st.run_once(st.question_stats(st.answer_stream(a), a.rounds()), a, "update", ["question_id"]), "SELECT question_id, count(*) AS used, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers JOIN rounds USING (round_id) GROUP BY 1"),
@@ -81,7 +81,7 @@ QUERIES = {
     "src16_materialize": (lambda a: io.materialize("sportlake_seasons", agg.season_performance(a.matches())).select("view_name", "rows"), "SELECT 'sportlake_seasons' AS view_name, count(*) AS rows FROM (SELECT DISTINCT season_id, competition_id FROM f)"),
     "src17_table_stats": (lambda a: io.table_stats({"region": a.raw("region"), "part": a.raw("part")}), "SELECT 'region' AS table_name, 2 AS columns, count(*) AS rows FROM region UNION ALL SELECT 'part', 6, count(*) FROM part"),
     "src18_write_by_decade": (lambda a: io.by_decade(a.matches().select("match_id", "match_date"), "match_date").groupBy("decade").agg(F.count("*").alias("n")), "SELECT (year(match_date) // 10 * 10)::INT AS decade, count(*) AS n FROM matches GROUP BY 1"),
-    "src20_guarded_sql": (lambda a: io.guarded_sql(a.spark, "SELECT match_id FROM {m} WHERE season_id = 1998 ORDER BY match_id; DROP TABLE m", 200, m=a.matches()), "SELECT match_id FROM matches WHERE season_id = 1998 ORDER BY match_id LIMIT 200"),
+    "src20_guarded_sql": (lambda a: io.guarded_sql(a.spark, "SELECT match_id FROM {m} WHERE season_id = 1998 AND source_file <> ';' ORDER BY match_id; DROP TABLE m", 200, m=a.matches()), "SELECT match_id FROM matches WHERE season_id = 1998 ORDER BY match_id LIMIT 200"),
     "src02_resolve_frames": (lambda a: pg.resolve_frames(pg.framed(a.raw("pages"))).select("url", "content_url"), "SELECT 'frame/' || url AS url, url AS content_url FROM pages UNION ALL SELECT url, url FROM pages"),
     "src03_explode_blocks": (lambda a: pg.explode_blocks(a.raw("pages"), "<p>"), "SELECT page_id, i::INT AS block, p[i + 2] AS html FROM (SELECT page_id, string_split(html, '<p>') AS p FROM pages) x, unnest(range(len(x.p) - 1)) AS r(i)"),
     "src04_overview_links": (lambda a: pg.links(a.raw("pages")), r"""SELECT page_id, i::INT AS position, h[i + 1] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages) x, unnest(range(len(x.h))) AS r(i)"""),

@@ -1,7 +1,6 @@
 """Operators on hand-written rows: NULLs, ties, idempotence."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from sportlake.operators import corrections as cor
 from sportlake.operators import joins as joi
@@ -41,7 +40,7 @@ def test_remap_drops_unmapped_required_and_nulls_optional(spark):
     events = spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 1, 2)], "match_id int, player_id int, assist_player_id int")
     ids = spark.createDataFrame([(1, 10), (2, None)], "source_id int, target_id int")
     out = joi.remap_events(events, {"player_id": ids}, {"assist_player_id": ids}).collect()
-    assert sorted((r["match_id"], r["player_id"], r["assist_player_id"]) for r in out) == [(1, 10, 10), (3, 10, None)] or {r["match_id"] for r in out} == {1, 3}
+    assert sorted((r["match_id"], r["player_id"], r["assist_player_id"]) for r in out) == [(1, 10, 10), (3, 10, None)]
 
 
 def test_upserts(spark):
@@ -78,9 +77,10 @@ def test_vectors(spark):
     assert sorted(map(tuple, vec.cosine_top_k(base, base, 3, most=2).collect())) == sorted(map(tuple, vec.cosine_top_k(base, base, 3).collect()))
 
 
-def test_approximate_search_recall(spark, small):
-    base = spark.read.parquet(f"{small}/embeddings.parquet")
-    asked = base.filter("vec_id < 20")
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_approximate_search_recall(spark, folder):
+    base = spark.read.parquet(f"{folder}/embeddings.parquet")
+    asked = base.filter("vec_id % 20 = 0")
     exact = vec.cosine_top_k(base, asked, 10).select("q_id", "vec_id")
     near = vec.approx_top_k(base, asked, 10).select("q_id", "vec_id")
     assert near.join(exact, ["q_id", "vec_id"]).count() >= 0.9 * exact.count()
@@ -98,6 +98,8 @@ def test_frames(spark):
 def test_guard(spark):
     df = spark.range(5)
     assert io.guarded_sql(spark, "select * from {t}; drop table x", 3, t=df).count() == 3
+    for text in ("select ';' as c, \"a;b\" as d from {t}; drop table x", "select 1 as c -- not; the end\n, 2 as d from {t}", "select 1 /* ; */ as c, 2 as d from {t}"):
+        assert io.guarded_sql(spark, text, 3, t=df).columns == ["c", "d"]
     with pytest.raises(ValueError, match="SELECT"):
         io.guarded_sql(spark, "DELETE FROM x")
 
@@ -121,7 +123,6 @@ def test_timeline_puts_missing_minutes_last(spark):
     cards = spark.createDataFrame([(1, None, 6)], "match_id int, minute int, player_id int")
     subs = spark.createDataFrame([(1, 46, 7)], "match_id int, minute int, player_on_id int")
     assert [r["kind"] for r in win.match_timeline(goals, cards, subs).orderBy("position").collect()] == ["substitution", "goal", "card"]
-    assert F is not None
 
 
 def test_lastname_pairs_do_not_grow_with_rows(spark):
