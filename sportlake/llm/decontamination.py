@@ -13,7 +13,7 @@ Document frequencies and the mean length are taken over all items. The index of
 broadcast at a time; more items are split by a hash, each part with its own pass, which changes no score.
 
 Words are runs of letters and digits. Nulls, ties and odd rows: null and empty texts or items match nothing; an item of fewer than five
-words is one shingle. A null or blank answer is none; an item whose answer is of marks only cannot be verified and is not reported.
+words is one shingle, found wherever it stands whole. A null or blank answer is none; an item whose answer is of marks only cannot be verified and is not reported.
 Repeated items are found each, repeated rows get rows each. Empty tables give no rows. Further columns, whatever their names, are ignored
 by leaks() and kept by clean_documents().
 """
@@ -53,11 +53,11 @@ def word_starts(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, span_hash(prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of five words in a row; of all words if there are fewer."""
+def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of so many words in a row; of all words if there are fewer."""
     if not len(words):
         return words
-    n = min(SHINGLE, len(words))
+    n = min(width, len(words))
     h = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)]
@@ -83,7 +83,7 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str | None], answers: list[str | None] | None = None, known: Items | None = None):
         self.ids, known = ids, known or Items.of(texts)
         words = [word_starts(t)[2] for t in texts]
-        self.question = [np.unique(shingles(w)) for w in words]
+        self.question, self.width = [np.unique(shingles(w)) for w in words], [min(SHINGLE, len(w)) for w in words]
         self.answer = [word_starts(a)[2] for a in answers] if answers else [np.zeros(0, np.uint64)] * len(ids)
         self.unverified = [bool((a or "").strip()) and not len(w) for a, w in zip(answers or [None] * len(ids), self.answer, strict=True)]
         self.longest = max((len(w) for w in words), default=0)
@@ -187,9 +187,8 @@ class Index:
 
     def overlap(self, k: int, passage: np.ndarray, text: np.ndarray) -> float:
         """Share of the question's shingles in the passage; 0 if its answer does not stand in the text or cannot be looked for."""
-        wanted, answer = self.question[k], self.answer[k]
-        n = min(SHINGLE, int(len(passage)))
-        share = float(np.isin(wanted, shingles(passage)).mean()) if len(wanted) and n else 0.0
+        wanted, answer, n = self.question[k], self.answer[k], self.width[k]
+        share = float(np.isin(wanted, shingles(passage, n)).mean()) if n and len(passage) >= n else 0.0
         if self.unverified[k]:
             return 0.0
         if len(answer) and share:

@@ -197,10 +197,10 @@ def test_licenses_before_an_exact_copy(spark):
 
 
 def test_leaks_of_numbers(spark):
-    items = [(1, "What is 17 plus 25", "42"), (2, "What is 31 plus 64", "95"), (3, "3 7 12 19 28 + 5", None), (4, "Which mark ends a question", "?"), (5, "Which word opens the gate", " ")]
-    docs = [(1, "a what is 17 plus 25 b 42"), (2, "a what is 17 plus 25 b 43"), (3, "see 3, 7, 12, 19, 28, 5 there"), (4, "which mark ends a question ?"), (5, "which word opens the gate"), (6, "what is plus")]
+    items = [(1, "What is 17 plus 25", "42"), (2, "What is 31 plus 64", "95"), (3, "3 7 12 19 28 + 5", None), (4, "Which mark ends a question", "?"), (5, "Which word opens the gate", " "), (7, "ivory and horn", None), (8, "sesame", "seed")]
+    docs = [(1, "a what is 17 plus 25 b 42"), (2, "a what is 17 plus 25 b 43"), (3, "see 3, 7, 12, 19, 28, 5 there"), (4, "which mark ends a question ?"), (5, "which word opens the gate"), (6, "what is plus"), (7, "gates of Ivory and horn, again"), (8, "of ivory, of horn; open sesame"), (9, "one sesame seed")]
     got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string")).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 3), (5, 5)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 3), (5, 5), (7, 7), (9, 8)]
 
 
 def fewest(block, wanted):
