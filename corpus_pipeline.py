@@ -1,15 +1,22 @@
 """From raw documents to token files: five stages, each on what the one before kept.
 
 Every stage takes null, empty and very long texts, null and repeated ids, repeated rows, empty tables, and further columns of any name,
-which all stages but the last keep.
+which all stages but the last keep. The tables of the stages and the token files stay in the shared folder; what
+operators write on the way is deleted after each stage.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sportlake.llm import decontamination, jaccard_join, mixing, quality, tokens
-from sportlake.llm.common import documents, labels, written
+from sportlake.llm.common import documents, labels, scratch, shared_dir
+
+
+def kept(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending doc_id order, read back: doc_id, start, n_tokens, ids_crc32 of each document."""
-    return tokens.read_tokens(tokens.write_tokens(docs))
+    return tokens.read_tokens(tokens.write_tokens(docs, path=kept(spark, "token-files")))
 
 
 STAGES = [("quality", good), ("near-duplicates", distinct), ("decontamination", clean), ("mix", mix), ("tokens", tokenize)]
@@ -46,5 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = kept(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs
