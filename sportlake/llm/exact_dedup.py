@@ -26,6 +26,8 @@ RUN = "slot int, digest binary, second long, n_bytes long, keep_id long, group_s
 ENTRY = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("second", pa.int64()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 #: Rows whose digests one partition of a round holds on the average.
 SLOT_ROWS, LEAST_SLOTS = 2_000_000, 64
+#: A group of more than one part in so many of all rows is joined by broadcast; there are fewer such groups than that.
+HOT_PARTS = 20_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -79,14 +81,18 @@ def merged_runs(keyed: DataFrame, slots: int = 64, radix: int = 8) -> DataFrame:
     return runs.select("digest", "second", "n_bytes", F.nullif("keep_id", F.lit(LAST)).alias("keep_id"), "group_size")
 
 
-def exact_dedup(docs: DataFrame, slots: int | None = None, radix: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, slots: int | None = None, radix: int = 8, hot_parts: int = HOT_PARTS) -> DataFrame:
     """Every row of docs with the row that stays for its text: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Without a number of slots there is one for every SLOT_ROWS rows, LEAST_SLOTS at least.
+    Without a number of slots there is one for every SLOT_ROWS rows, LEAST_SLOTS at least. Rows of large groups find their group in a
+    broadcast and are not shuffled, so no task gets all rows of one.
     """
     keyed = written(digests(docs), "digests")
-    runs = merged_runs(keyed, slots or max(LEAST_SLOTS, -(-keyed.count() // SLOT_ROWS)), radix)
-    return keyed.join(runs, ["digest", "second", "n_bytes"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    text, n = ["digest", "second", "n_bytes"], keyed.count()
+    groups = written(merged_runs(keyed, slots or max(LEAST_SLOTS, -(-n // SLOT_ROWS)), radix), "groups")
+    hot = F.broadcast(groups.filter(F.col("group_size") * hot_parts > n))
+    rows = keyed.join(hot, text).unionByName(keyed.join(hot.select(*text), text, "left_anti").join(groups, text))
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

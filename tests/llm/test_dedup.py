@@ -20,10 +20,11 @@ def frame(spark, docs, parts=3):
     return spark.createDataFrame(rows, "doc_id long, text string, n int, bucket string").repartition(parts)
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("hot_parts", [1, 4, 20_000])
+def test_exact_dedup(spark, hot_parts):
     docs = [(1, "a  b"), (2, "a\tb"), (3, "a b c"), (4, None), (5, ""), (6, "a b"), (6, "a b"), (9, "é" * 50_000), (None, "a b")]
     docs += [(k, "same") for k in range(100, 400)] + [(k, f"w {k % 40}") for k in range(1000, 1300)]
-    got = ed.exact_dedup(frame(spark, docs), slots=9, radix=3).collect()
+    got = ed.exact_dedup(frame(spark, docs), slots=9, radix=3, hot_parts=hot_parts).collect()
     groups = defaultdict(list)
     for d, t in docs:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(d)

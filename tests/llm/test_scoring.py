@@ -247,3 +247,29 @@ def test_licenses_of_odd_rows(spark):
     assert {r["license"] for r in got if r["doc_id"] == 4} == {"MIT-full"}
     assert {r["license"] for r in got if r["doc_id"] == 5} == set(t)
     assert licenses.license_notices(docs.filter("false")).count() == 0
+
+
+def test_language_scores_against_plain_kernels():
+    r = random.Random(6)
+    tongues = {"aa": ["kalo", "mira", "tesu", "oni"], "bb": ["brst", "gruk", "vlod", "krim"], "cc": ["ééla", "õnu", "kalo", "üri"]}
+    train = [(k, " ".join(r.choice(tongues[k]) for _ in range(r.randint(1, 12)))) for k in r.choices("aa bb cc".split(), [5, 3, 2], k=90)]
+    texts = [" ".join(r.choice(sum(tongues.values(), [])) for _ in range(8)) for _ in range(20)]
+    held = lambda t: set(language.places(t).tolist())
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    sets, langs = [held(t) for _, t in train], [k for k, _ in train]
+    model = language.fitted([np.array(sorted(s)) for s in sets], langs)
+
+    marks = [s for k in sorted(tongues) for s in [s for s, lang in zip(sets, langs, strict=True) if lang == k][: language.LANDMARKS // 3]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = values > 1e-6 * values[-1]
+    phi = lambda rows: np.array([[kernel(s, m) for m in marks] for s in rows]) @ vectors[:, keep] / np.sqrt(values[keep])
+    w = np.diag([len(langs) / 3 / langs.count(k) for k in langs])
+    y = np.array([[1.0 if k == n else -1.0 for n in sorted(tongues)] for k in langs])
+    x = phi(sets)
+    f = phi([held(t) for t in texts]) @ np.linalg.solve(x.T @ w @ x + 1e-2 * len(langs) / 3 * np.eye(x.shape[1]), x.T @ w @ y)
+    want = np.exp(4 * f) / np.exp(4 * f).sum(axis=1, keepdims=True)
+
+    rows = np.zeros((len(texts), language.PLACES), np.float32)
+    for k, t in enumerate(texts):
+        rows[k, list(held(t))] = 1
+    assert np.allclose(model.scores(rows), want, atol=2e-3)
