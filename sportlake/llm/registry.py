@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sportlake.llm import decontamination, exact_dedup, jaccard_join, language, licenses, mixing, quality, suffix_dedup, tokens, toxicity, whitening
+from sportlake.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, mixing, quality, suffix_dedup, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language": language.query,
+    "op12_filter_audit": filter_audit.query,
     "op13_whitening": whitening.query,
 }
 
 SQL = {
     "op2_mix_sources": mixing.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
