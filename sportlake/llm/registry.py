@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sportlake.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, mixing, quality, suffix_dedup, tokens, toxicity, whitening
+from sportlake.llm import chat, decontamination, exact_dedup, filter_audit, jaccard_join, language, licenses, mixing, quality, suffix_dedup, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language": language.query,
+    "op11_chat": chat.query,
     "op12_filter_audit": filter_audit.query,
     "op13_whitening": whitening.query,
 }
