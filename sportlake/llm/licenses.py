@@ -1,6 +1,7 @@
 """Licence scan by conditional compression.
 
-Blocks of words around telling words of licence notices are the candidates. Each is compressed alone and with every template as a
+Blocks of words around telling words of licence notices are the candidates; they reach as far as the longest template on both sides, so a notice with a
+telling word lies whole in its block (one whose telling words are all changed is no candidate). Each is compressed alone and with every template as a
 zstandard raw dictionary; what a template saves ranks the templates, and for each that saves some share of what it
 takes itself, and for each short one, the exact wording differences decide: the fewest words of the template that are missing and words added inside, by an
 alignment of the whole template. Of templates in one place the one stays that has most words the same, less those that differ. Templates may leave words open (a year, a name). So few differences as are allowed leave a run of
@@ -47,11 +48,11 @@ TEMPLATES = {
     "copyright": "Copyright (c) <>",
     "all-rights-reserved": "All rights reserved.",
 }
-TELLING = r"(?i)licen[cs]e|copyright|permission|redistribution|rights\s+reserved|free\s+software|public\s+license"
+TELLING = r"(?i)licen[cs]e|copyright|permission|redistribut|rights\s+reserved|free\s+software|warrant(?:y|ies)|liable|misrepresented"
 _TELLING = re.compile(TELLING)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-#: Words before and after a telling word that belong to its block.
-MARGIN = 60
+#: Words of a block that are compressed at once; a longer block goes in stretches that overlap by the reach of the templates.
+STRETCH = 4096
 LEAST_GAIN = 0.05
 #: So few words may save nothing beside what the rest of a long block saves already; such templates are always held against the wording.
 SHORT = 16
@@ -122,14 +123,23 @@ class Templates:
             d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             wanted = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
             self.items.append((name, wanted, zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False), max(1, len(self.alone.compress(body)))))
+        #: Words that a copy of any template takes at most, so that it lies whole within so many words of each of its own.
+        self.reach = max((len(w) + int(DIFFERENT * len(w)) for _, w, _, _ in self.items), default=0)
+
+    def saved(self, plain: list[str]) -> list[int]:
+        """Bytes that each template saves, at most, in a stretch of the words."""
+        best = [-(1 << 62)] * len(self.items)
+        for a in range(0, max(1, len(plain) - self.reach), STRETCH):
+            body = " ".join(plain[a : a + STRETCH + self.reach]).encode("utf-8", "surrogatepass")
+            size = len(self.alone.compress(body))
+            best = [max(b, size - len(c.compress(body))) for b, (_, _, c, _) in zip(best, self.items, strict=True)]
+        return best
 
     def found(self, words: list[tuple[str, int, int]]) -> list[tuple]:
         """name, start, end, gain, missing, added of each confirmed template in a block."""
         plain = [w for w, _, _ in words]
-        body = " ".join(plain).encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(body))
         numbers = np.array([self.numbers.get(w, 0) for w in plain], np.int64)
-        saved = [(size - len(c.compress(body)), own, name, wanted) for name, wanted, c, own in self.items]
+        saved = [(gain, own, name, wanted) for gain, (name, wanted, _, own) in zip(self.saved(plain), self.items, strict=True)]
         held = []
         for gain, own, name, wanted in sorted(saved, key=lambda g: (-g[0], g[2])):
             if gain >= LEAST_GAIN * own or len(wanted) <= SHORT:
@@ -144,8 +154,8 @@ class Templates:
         return out
 
 
-def blocks(words: list[tuple[str, int, int]], text: str) -> list[tuple[int, int]]:
-    """Ranges of words around telling words; those that touch are one."""
+def blocks(words: list[tuple[str, int, int]], text: str, reach: int) -> list[tuple[int, int]]:
+    """Ranges of so many words before and after telling words; those that touch are one."""
     places = [m.start() for m in _TELLING.finditer(text)]
     if not places:
         return []
@@ -154,7 +164,7 @@ def blocks(words: list[tuple[str, int, int]], text: str) -> list[tuple[int, int]
     for p in places:
         while k < len(words) and words[k][2] <= p:
             k += 1
-        a, b = max(0, k - MARGIN), min(len(words), k + MARGIN + 1)
+        a, b = max(0, k - reach), min(len(words), k + reach + 1)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -172,7 +182,7 @@ def _scan(templates: dict[str, str]):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                for k, (a, b) in enumerate(blocks(words, text)):
+                for k, (a, b) in enumerate(blocks(words, text, known.reach)):
                     rows += [(doc_id, k, *x) for x in known.found(words[a:b])]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
 

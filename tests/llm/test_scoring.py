@@ -249,6 +249,33 @@ def test_licenses_of_odd_rows(spark):
     assert licenses.license_notices(docs.filter("false")).count() == 0
 
 
+def test_every_license_alone(spark):
+    """Each template exactly, alone, at the ends and in the middle of prose, after another, changed in places, and far down a long text."""
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice(["river", "stone", "walks", "under", "early", "light", "so", "that"]) for _ in range(n))
+    rows, want = [], set()
+    for k, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        text = text.replace(" <>", "")
+        words = text.split()
+        differ = int(licenses.DIFFERENT * len(licenses.words_of(text)))
+        changed = list(words)
+        if differ >= 2:
+            telling = [j for j, w in enumerate(words) if licenses._TELLING.search(w)]
+            for j in r.sample([j for j in range(1, len(words) - 1) if j not in telling[1:] and words[j].isalpha()], differ // 2):
+                changed[j] = "other"
+        for j, (doc, missing) in enumerate([(text, 0), (f"{text} {prose(400)}", 0), (f"{prose(400)} {text}", 0), (f"{prose(700)}\n{text}\n{prose(700)}", 0), (f"{prose(9000)} license {prose(9000)}\n{text} {prose(300)}", 0), (f"{prose(50)} {' '.join(changed)} {prose(50)}", differ // 2 if differ >= 2 else 0), ("\n".join([text, prose(900), text.upper()]), 0)]):
+            rows.append((100 * k + j, doc))
+            want.add((100 * k + j, name, missing, missing))
+    got = licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {(x["doc_id"], x["license"], x["n_missing"], x["n_added"]) for x in got} == want
+    assert len(got) == len(rows) + len(licenses.TEMPLATES)
+    texts = dict(rows)
+    for x in got:  # the span is the notice, from its first word to its last
+        if x["n_missing"] == 0:
+            whole = [w for w, _, _ in licenses.words_of(licenses.TEMPLATES[x["license"]].replace(" <>", ""))]
+            assert [w for w, _, _ in licenses.words_of(texts[x["doc_id"]][x["start"] : x["end"]])] == whole
+
+
 def test_language_scores_against_plain_kernels():
     r = random.Random(6)
     tongues = {"aa": ["kalo", "mira", "tesu", "oni"], "bb": ["brst", "gruk", "vlod", "krim"], "cc": ["ééla", "õnu", "kalo", "üri"]}
