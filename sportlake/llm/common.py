@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: A word is a run of characters other than space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,6 +118,17 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def comparable(df: DataFrame) -> list[Column]:
+    """The columns of df as hashing and ordering take them: those that hold a map or a variant, which have no order, as JSON."""
+
+    def unordered(kind: DataType) -> bool:
+        if isinstance(kind, StructType):
+            return any(unordered(f.dataType) for f in kind)
+        return unordered(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, MapType | VariantType)
+
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))).alias(f.name) if unordered(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
+
+
 def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -13,7 +13,7 @@ Document frequencies and the mean length are taken over all items. The index of
 broadcast at a time; more items are split by a hash, each part with its own pass, which changes no score.
 
 Words are runs of letters and digits. Nulls, ties and odd rows: null and empty texts or items match nothing; an item of fewer than five
-words is one shingle, found wherever it stands whole. A null or blank answer is none; an item whose answer is of marks only cannot be verified and is not reported.
+words is one shingle, found wherever it stands whole. A null or blank answer is none; one longer than the text does not stand in it; an item whose answer is of marks only cannot be verified and is not reported.
 Repeated items are found each, repeated rows get rows each. Empty tables give no rows. Further columns, whatever their names, are ignored
 by leaks() and kept by clean_documents().
 """
@@ -192,7 +192,7 @@ class Index:
         if self.unverified[k]:
             return 0.0
         if len(answer) and share:
-            places = np.flatnonzero(text[: len(text) - len(answer) + 1] == answer[0])
+            places = np.flatnonzero(text[: max(0, len(text) - len(answer) + 1)] == answer[0])
             share *= any((text[p : p + len(answer)] == answer).all() for p in places)
         return share
 

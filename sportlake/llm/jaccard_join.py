@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import arrow_batches, documents, keeps_columns, mapped, mix64, text_bytes, word_hashes, written
+from sportlake.llm.common import arrow_batches, comparable, documents, keeps_columns, mapped, mix64, text_bytes, word_hashes, written
 from sportlake.llm.components import components
 from sportlake.llm.suffix_dedup import bits_of, holds
 
@@ -591,7 +591,7 @@ def near_distinct(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_uid"))
     out, repeated = docs.join(marked.drop("gone"), same, "left_anti"), marked.filter("NOT gone").drop("gone")
     if not repeated.isEmpty():
-        first = docs.join(repeated, same).groupBy("_id", "_uid").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        first = docs.join(repeated, same).groupBy("_id", "_uid").agg(F.min_by(F.struct(*docs.columns), F.struct(*comparable(docs))).alias("_row"))
         out = out.unionByName(first.select("_row.*"))
     return out
 

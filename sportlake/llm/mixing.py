@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sportlake.llm.common import WORD, documents, keeps_columns, text_of, written
+from sportlake.llm.common import WORD, comparable, documents, keeps_columns, text_of, written
 
 SHARES = (3, 1, 2)
 TOTAL = 1.5
@@ -132,7 +132,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 17) -> Data
 
     Every row is taken for itself, whatever its id; wholly equal rows give together the copies that they take together.
     """
-    keyed = docs.withColumn("own", F.xxhash64(*docs.columns))
+    keyed = docs.withColumn("own", F.xxhash64(*comparable(docs)))
     pieces = _pieces(keyed, block, seed, "own")[0]
     takes = pieces.groupBy("own", "pass").agg(F.max("size").alias("size"), F.min(F.struct("slot", "skip")).alias("first"), F.sum("words").alias("taken"), F.countDistinct("at").alias("rows"))
     takes = written(takes.select("own", "size", "first.slot", "first.skip", "taken", "rows"), "takes")

@@ -101,6 +101,16 @@ def test_stages_keep_clashing_columns(spark):
         assert stage(docs.filter("false")).count() == 0
 
 
+def test_stages_keep_columns_of_maps(spark):
+    rows = [(k % 18, f"w{k % 18} b c d e f g h", "xy"[k % 2], {"a": str(k % 18)}, [({"b": k % 18},)]) for k in range(20)]  # the last two rows repeat the first two
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,string>, deep array<struct<x:map<string,int>>>")
+    items = spark.createDataFrame([(1, "zz yy xx vv uu tt")], "item_id long, text string")
+    assert jaccard_join.near_distinct(docs).count() == 18 and decontamination.clean_documents(docs, items).count() == 20
+    for stage in (jaccard_join.near_distinct, lambda d: decontamination.clean_documents(d, items), mixing.mixed_documents):
+        got = stage(docs).collect()
+        assert got and all(r["more"] == {"a": str(r["doc_id"])} and r["deep"][0]["x"] == {"b": r["doc_id"]} for r in got)
+
+
 def test_pieces_equal_the_library(library):
     own, r = tokens.pieces("word_bpe_49k.json"), random.Random(1)
     parts = [*"abcDE ,.,. \n\t'sé'ßÉçñí́ΣσŒœ12!?-中ſŉİıµª·  \x1c\x0b", "'re", "<|endoftext|>", " <|startoftext|>", "the,", "on.\n", "a, b", "..", "THE END."]

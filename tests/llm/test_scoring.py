@@ -203,6 +203,20 @@ def test_leaks_of_numbers(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 3), (5, 5), (7, 7), (9, 8)]
 
 
+def test_leaks_with_answers_of_any_length(spark):
+    question, road = "what is the long way around", "back home to rome"
+    items = [(1, question, f"{question} and {road}"), (2, question, road), (3, question, "rome"), (4, question, "rome " * 50), (5, question, question), (6, question, None)]
+    fill = " ".join(f"w{k}" for k in range(30_000))
+    docs = [(1, f"{question} rome"), (2, f"{question} and {road}"), (3, f"so {question} {road}"), (4, question), (5, f"{fill} {question} {fill} {road}"), (6, f"{road} {question}"), (6, f"{road} {question}"), (None, f"{question} rome"), (7, "rome"), (8, "rome " * 60 + question)]
+    df = spark.createDataFrame([(*d, 1, 2.0, {"k": "v"}) for d in docs], "doc_id long, text string, item_id int, score double, more map<string,string>")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in dc.leaks(df, spark.createDataFrame(items, "item_id long, text string, answer string")).collect()), key=str)
+    want = []
+    for k, text in docs:  # whole words in a row: the question, and the answer somewhere in the same text
+        want += [(k, i) for i, q, a in items if f" {q} " in f" {text} " and (a is None or f" {a.strip()} " in f" {text} ")]
+    assert got == sorted(want, key=str)
+    assert [r["doc_id"] for r in dc.clean_documents(df, spark.createDataFrame(items[:5], "item_id long, text string, answer string")).collect()] == [7]
+
+
 def fewest(block, wanted):
     """Fewest missing and added words by plain edit distance over every stretch of the block."""
     best = len(wanted)
