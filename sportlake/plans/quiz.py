@@ -10,6 +10,7 @@ from sportlake.operators import perspective as prj
 from sportlake.operators import vectors as vec
 from sportlake.operators import windows as win
 from sportlake.sources import io
+from sportlake.plans import page_makers as made
 from sportlake.sources import pages as pg
 from sportlake.streaming import jobs as st
 
@@ -82,14 +83,14 @@ QUERIES = {
     "src17_table_stats": (lambda a: io.table_stats({"region": a.raw("region"), "part": a.raw("part")}), "SELECT 'region' AS table_name, 2 AS columns, count(*) AS rows FROM region UNION ALL SELECT 'part', 6, count(*) FROM part"),
     "src18_write_by_decade": (lambda a: io.by_decade(a.matches().select("match_id", "match_date"), "match_date").groupBy("decade").agg(F.count("*").alias("n")), "SELECT (year(match_date) // 10 * 10)::INT AS decade, count(*) AS n FROM matches GROUP BY 1"),
     "src20_guarded_sql": (lambda a: io.guarded_sql(a.spark, "SELECT match_id FROM {m} WHERE season_id = 1998 AND source_file <> ';' ORDER BY match_id; DROP TABLE m", 200, m=a.matches()), "SELECT match_id FROM matches WHERE season_id = 1998 ORDER BY match_id LIMIT 200"),
-    "src02_resolve_frames": (lambda a: pg.resolve_frames(pg.framed(a.raw("pages"))).select("url", "content_url"), "SELECT 'frame/' || url AS url, url AS content_url FROM pages UNION ALL SELECT url, url FROM pages"),
+    "src02_resolve_frames": (lambda a: pg.resolve_frames(made.framed(a.raw("pages"))).select("url", "content_url"), "SELECT 'frame/' || url AS url, url AS content_url FROM pages UNION ALL SELECT url, url FROM pages"),
     "src03_explode_blocks": (lambda a: pg.explode_blocks(a.raw("pages"), "<p>"), "SELECT page_id, i::INT AS block, p[i + 2] AS html FROM (SELECT page_id, string_split(html, '<p>') AS p FROM pages) x, unnest(range(len(x.p) - 1)) AS r(i)"),
     "src04_overview_links": (lambda a: pg.links(a.raw("pages")), r"""SELECT page_id, i::INT AS position, h[i + 1] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS h FROM pages) x, unnest(range(len(x.h))) AS r(i)"""),
-    "src05_fallback_fixtures": (lambda a: pg.fixtures(pg.fixture_pages(a.matches(), a.teams()), "Team 1"), "SELECT season_competition_id, matchday, 'Team ' || opponent_id AS opponent, own_score, opponent_score FROM f WHERE home_score IS NOT NULL"),
-    "src22_extract_archive": (lambda a: pg.extract_goals(pg.match_pages(a.matches(), a.goals())), "SELECT match_id, minute, stoppage, score_home, score_away, 'P' || player_id AS scorer, assist_player_id::VARCHAR AS assist FROM goals"),
-    "fun24_profile_facts": (lambda a: pg.profiles(pg.profile_pages(a.players())), "SELECT player_id, make_date(1950 + (player_id % 50)::INT, 1, 1) AS birth_date, CASE WHEN player_id % 3 <> 0 THEN 'Mainz' END AS birth_place, CASE WHEN player_id % 5 <> 0 THEN height_cm END AS height_cm, (player_id % 30 + 60)::INT AS weight_kg, regexp_extract(primary_position, '^[A-Za-z]+') AS position, regexp_extract(nationality, '^[A-Za-z]+') AS nationality FROM players"),
-    "fun26_key_value_facts": (lambda a: pg.key_values(pg.fact_pages(a.players())).select("page_id", *[F.col("facts")[k].alias(c) for k, c in (("Position", "position"), ("Land", "country"), ("Größe", "height"))], F.size("facts").alias("n")), "SELECT player_id AS page_id, primary_position AS position, nationality AS country, height_cm::VARCHAR AS height, 3 AS n FROM players"),
-    "fun27_squad_entries": (lambda a: pg.squad(pg.squad_pages(a.lineups())), "SELECT match_id AS page_id, CASE WHEN line = 1 THEN 'TOR' WHEN line <= 3 THEN 'ABWEHR' WHEN line <= 5 THEN 'MITTELFELD' ELSE 'ANGRIFF' END AS position_group, shirt_number, 'P' || player_id AS name FROM lineups"),
-    "fun44_apply_substitutions": (lambda a: pg.applied(a.lineups(), a.substitutions()), "x AS (SELECT match_id, player_id, bool_or(s) AS s, min(o) AS o, min(w) AS w FROM (SELECT match_id, player_id, is_starter AS s, NULL AS o, NULL AS w, 0 AS k FROM lineups UNION ALL SELECT match_id, player_on_id, NULL, minute, NULL, 1 FROM substitutions UNION ALL SELECT match_id, player_off_id, NULL, NULL, minute, 2 FROM substitutions) GROUP BY 1, 2)\n--\nSELECT match_id, player_id, CASE WHEN o IS NOT NULL THEN false ELSE coalesce(s, true) END AS is_starter, o AS minute_on, w AS minute_off FROM x"),
-    "fun45_collect_cards": (lambda a: pg.collected_cards(*pg.card_cells(a.cards())).groupBy("match_id", "player_id", "minute", "card_type").agg(F.count("*").alias("n")), "SELECT match_id, player_id, minute, card_type, CASE card_type WHEN 'yellow' THEN count(*) ELSE 1 END AS n FROM cards GROUP BY 1, 2, 3, 4"),
+    "src05_fallback_fixtures": (lambda a: pg.fixtures(made.fixture_pages(a.matches(), a.teams()), "Team 1"), "SELECT season_competition_id, matchday, 'Team ' || opponent_id AS opponent, own_score, opponent_score FROM f WHERE home_score IS NOT NULL"),
+    "src22_extract_archive": (lambda a: pg.extract_goals(made.match_pages(a.matches(), a.goals())), "SELECT match_id, minute, stoppage, score_home, score_away, 'P' || player_id AS scorer, assist_player_id::VARCHAR AS assist FROM goals"),
+    "fun24_profile_facts": (lambda a: pg.profiles(made.profile_pages(a.players())), "SELECT player_id, make_date(1950 + (player_id % 50)::INT, 1, 1) AS birth_date, CASE WHEN player_id % 3 <> 0 THEN 'Mainz' END AS birth_place, CASE WHEN player_id % 5 <> 0 THEN height_cm END AS height_cm, (player_id % 30 + 60)::INT AS weight_kg, regexp_extract(primary_position, '^[A-Za-z]+') AS position, regexp_extract(nationality, '^[A-Za-z]+') AS nationality FROM players"),
+    "fun26_key_value_facts": (lambda a: pg.key_values(made.fact_pages(a.players())).select("page_id", *[F.col("facts")[k].alias(c) for k, c in (("Position", "position"), ("Land", "country"), ("Größe", "height"))], F.size("facts").alias("n")), "SELECT player_id AS page_id, primary_position AS position, nationality AS country, height_cm::VARCHAR AS height, 3 AS n FROM players"),
+    "fun27_squad_entries": (lambda a: pg.squad(made.squad_pages(a.lineups())), "SELECT match_id AS page_id, CASE WHEN line = 1 THEN 'TOR' WHEN line <= 3 THEN 'ABWEHR' WHEN line <= 5 THEN 'MITTELFELD' ELSE 'ANGRIFF' END AS position_group, shirt_number, 'P' || player_id AS name FROM lineups"),
+    "fun44_apply_substitutions": (lambda a: pg.applied(a.lineups(), a.substitutions()), "x AS (SELECT match_id, player_id, bool_or(s) AS s, arg_max(o, k * 1000 + o) FILTER (o IS NOT NULL) AS o, arg_max(w, k * 1000 + w) FILTER (w IS NOT NULL) AS w FROM (SELECT match_id, player_id, is_starter AS s, NULL::INT AS o, NULL::INT AS w, 0 AS k FROM lineups UNION ALL SELECT match_id, player_on_id, NULL, minute, NULL, substitution_id FROM substitutions UNION ALL SELECT match_id, player_off_id, NULL, NULL, minute, substitution_id FROM substitutions) GROUP BY 1, 2)\n--\nSELECT match_id, player_id, CASE WHEN o IS NOT NULL THEN false ELSE coalesce(s, true) END AS is_starter, o AS minute_on, w AS minute_off FROM x"),
+    "fun45_collect_cards": (lambda a: pg.collected_cards(*made.card_cells(a.cards())).groupBy("match_id", "player_id", "minute", "card_type").agg(F.count("*").alias("n")), "SELECT match_id, player_id, minute, card_type, CASE card_type WHEN 'yellow' THEN count(*) ELSE 1 END AS n FROM cards GROUP BY 1, 2, 3, 4"),
 }

@@ -16,32 +16,9 @@ def scan_pages(spark: SparkSession, path: str, seasons: list[str] | None = None)
     return files.select(F.col("path").alias("url"), tx.some(F.col("path"), r"/(\d{4}-\d{2})/").alias("season"), F.decode("content", "ISO-8859-1").alias("html"))
 
 
-def write_season_files(pages: DataFrame, path: str) -> None:
-    """Pages (season, name, html) as one HTML file each under the folder of their season, on the file system of path. Names are unique in a season."""
-
-    def write(rows):  # noqa: ANN001, ANN202
-        import pyarrow.fs
-
-        from pyspark import TaskContext
-
-        files, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-        number = TaskContext.get().attemptNumber()
-        for batch in rows:
-            for season, name, html in zip(*(batch.column(c).to_pylist() for c in ("season", "name", "html")), strict=True):
-                files.create_dir(f"{root}/{season}", recursive=True)
-                part = f"{root}/{season}/.{name}.{number}"  # a repeated task replaces the file as a whole
-                with files.open_output_stream(part) as out:
-                    out.write((html or "").encode())
-                files.move(part, f"{root}/{season}/{name}.html")
-            yield batch.slice(0, 0).select(["name"])
-
-    pages.select("season", "name", "html").mapInArrow(write, "name string").count()
-
-
-def framed(pages: DataFrame) -> DataFrame:
-    """Each page, and a frameset in front of it."""
-    frames = pages.select(F.concat(F.lit("frame/"), "url").alias("url"), F.concat(F.lit('<frameset><frame name="top" src="top"><frame name="main" src="'), "url", F.lit('"></frameset>')).alias("html"))
-    return pages.select("url", "html").unionByName(frames)
+#: Names of the frame that holds the content, and of pages that are linked from overviews (fixed values).
+FRAMES = ("tabelle", "table", "main", "inhalt", "content")
+MATCH_LINK, OPPONENT_LINK = r"profi[a-z]*\d+\.html", "gegner"
 
 
 def beside(base: Column, href: Column) -> Column:
@@ -52,7 +29,7 @@ def beside(base: Column, href: Column) -> Column:
     return F.when(href.rlike(r"^[A-Za-z]+://"), href).otherwise(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/"))
 
 
-def resolve_frames(pages: DataFrame, preferred: tuple[str, ...] = ("tabelle", "table", "main", "inhalt", "content"), most: int = 32) -> DataFrame:
+def resolve_frames(pages: DataFrame, preferred: tuple[str, ...] = FRAMES, most: int = 32) -> DataFrame:
     """url, content_url: framesets followed to the content frame - the first with a preferred name, else the first whose source has a digit, else the first.
 
     Sources are relative to the page that names them. Where a frame's page is missing, or has been passed already, the last page counts.
@@ -100,25 +77,13 @@ def parts(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
 
 
-def overview_pages(m: DataFrame, teams: DataFrame, focal: int, matches: int = 100) -> DataFrame:
-    """Overviews of the focal team's matches made from the match table, a league and a cup page in turn for so many ids; one row is a headline."""
-    played = m.filter((F.col("home_team_id") == focal) != (F.col("away_team_id") == focal))
-    other = F.when(F.col("home_team_id") == focal, F.col("away_team_id")).otherwise(F.col("home_team_id"))
-    rows = played.withColumn("team_id", other).join(teams.select("team_id", F.col("name").alias("opponent")), "team_id")
-    score = F.coalesce(F.concat("home_score", F.lit(":"), "away_score"), F.lit("-:-"))
-    line = F.concat(F.lit("<tr><td>"), F.date_format("match_date", "d.M.yyyy"), F.lit('</td><td><a href="gegner'), "team_id", F.lit('.html">'), "opponent", F.lit("</a></td><td>("), "round_name", F.lit(')</td><td><a href="profiliga'), "match_id", F.lit('.html"><b>'), score, F.lit("</b></a></td></tr>"))
-    number = F.floor(F.col("match_id") / matches)
-    lines = rows.groupBy(number.alias("k")).agg(F.array_sort(F.collect_list(F.struct("match_id", line.alias("line")))).alias("x"))
-    return lines.select(F.concat(F.when(F.col("k") % 2 == 0, "liga").otherwise("pokal"), "k", F.lit(".html")).alias("url"), F.concat(F.lit("<table><tr><td>Alle Spiele</td></tr>"), F.concat_ws("", "x.line"), F.lit("</table>")).alias("html"))
-
-
 def overview_rows(pages: DataFrame) -> DataFrame:
     """Matches of overview pages (url, html): link to the match page, opponent, score, stage, and on league pages the running matchday.
 
     A row of four cells or more with a link to a match page and one to an opponent counts; anything else, null pages too, gives no row.
     """
     link = lambda part: rf"(?is)<a\s[^>]*href=[\"']?([^\"'\s>]*{part}[^\"'\s>]*)[^>]*>(.*?)</a>"
-    match, opponent = link(r"profi[a-z]*\d+\.html"), link("gegner")
+    match, opponent = link(MATCH_LINK), link(OPPONENT_LINK)
     rows = pages.select("url", F.posexplode(parts(F.col("html"), "tr")).alias("at", "row")).withColumn("cells", F.transform(parts(F.col("row"), "td"), plain))
     rows = rows.filter((F.size("cells") >= 4) & F.col("row").rlike(match) & F.col("row").rlike(opponent))
     stage = F.regexp_replace(F.get(F.filter("cells", lambda x: x.rlike(r"^\(.*\)$")), F.lit(0)), r"^\(+|\)+$", "")
@@ -127,63 +92,6 @@ def overview_rows(pages: DataFrame) -> DataFrame:
     return rows.select("url", tx.some(F.col("row"), match).alias("detail_file"), plain(F.regexp_extract("row", opponent, 2)).alias("opponent"), plain(F.regexp_extract("row", match, 2)).alias("score"), stage.alias("stage"), F.when(league, day).alias("matchday"))
 
 
-#: Heights of team tables, the first found twice counts (fixed values).
-HEIGHTS = (30, 28, 27)
-
-
-def detail_pages(m: DataFrame, lineups: DataFrame) -> DataFrame:
-    """Match pages made from matches and line-ups: two team tables in each of the four layouts, referee and coaches."""
-    side = lambda home: F.concat_ws("", F.transform(F.filter("cells", lambda x: x["at_home"] == F.lit(home)), lambda x: x["cell"]))
-    cell = F.concat(F.lit("<tr><td>"), "shirt_number", F.lit(' <a href="p'), "player_id", F.lit('.html">P'), "player_id", F.lit("</a></td></tr>"))
-    cells = lineups.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("line", "at_home", cell.alias("cell")))).alias("cells"))
-    layout = F.col("match_id") % 4
-    tag = F.when(layout == 3, "<table>").otherwise(F.concat(F.lit('<table width="100%" height="'), F.element_at(F.array(*map(F.lit, HEIGHTS)), F.pmod(layout, F.lit(3)).cast("int") + 1), F.lit('%">')))
-    bench = F.when(layout == 3, "<tr><td></td></tr><tr><th>Reserve</th></tr>").otherwise("")
-    team = lambda home: F.concat(tag, side(home), bench, F.lit("</table>"))
-    staff = F.concat(F.lit("<table><tr><td><b>Schiedsrichter:</b> "), F.coalesce(F.concat(F.lit('<a href="r'), "referee_id", F.lit('.html">R'), "referee_id", F.lit("</a>")), F.lit("")), F.lit('</td><td>FSV-Trainer: <a href="t1.html">C1</a></td><td>Trainer: C'), "away_team_id", F.lit("</td></tr></table>"))
-    return cells.join(m.select("match_id", "referee_id", "away_team_id"), "match_id").select("match_id", F.concat(team(True), staff, team(False)).alias("html"))
-
-
-def tables_of(html: Column) -> Column:
-    """Tables of a page that hold no further table, whole."""
-    return F.regexp_extract_all(html, F.lit(r"(?is)(<table(?:\s[^>]*)?>(?:(?!<table).)*?</table>)"), F.lit(1))
-
-
-def team_tables(pages: DataFrame) -> DataFrame:
-    """match_id, side, html of the two team tables of a match page (match_id, html): the first two of full width and one of the
-    heights, tried in turn, else the first two that name a reserve. A page with neither, or null, gives no row."""
-    wide = lambda h: lambda x: x.rlike(rf"(?is)^<table[^>]*height=[\"']?{h}%") & x.rlike(r"(?is)^<table[^>]*width=[\"']?100%")
-    found = [F.filter("t", wide(h)) for h in HEIGHTS] + [F.filter("t", lambda x: plain(x).contains("Reserve"))]
-    two = F.coalesce(*[F.when(F.size(x) >= 2, F.slice(x, 1, 2)) for x in found])
-    return pages.select("match_id", tables_of(F.col("html")).alias("t")).select("match_id", F.posexplode(two).alias("k", "html")).select("match_id", F.when(F.col("k") == 0, "home").otherwise("away").alias("side"), "html")
-
-
-def team_sheets(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Players and substitutions of match pages by side: (match_id, side, name, number, profile_url, is_starter) and (match_id, side, minute, player_on, number_on, player_off, number_off)."""
-    cells = team_tables(pages).select("match_id", "side", F.posexplode(parts(F.col("html"), "td")).alias("at", "cell")).withColumn("swap", tx.substitution_text(plain(F.col("cell"))))
-    change = F.col("swap.minute").isNotNull()
-    players = team_block(cells.filter(~change & (plain(F.col("cell")) != "")), ("match_id", "side"))
-    return players, cells.filter(change).select("match_id", "side", "swap.*")
-
-
-def officials(pages: DataFrame) -> DataFrame:
-    """Referee, coach of the focal team and of the other, and their links, from the table that names the referee in bold; NULL where none is named."""
-    table = F.get(F.filter(tables_of(F.col("html")), lambda x: x.rlike("(?is)<b>[^<]*schiedsrichter")), F.lit(0))
-    cell = lambda test: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter("cells", test)), -1)
-    chosen = {"referee": cell(lambda x: plain(x).contains("Schiedsrichter")), "focal_coach": cell(lambda x: plain(x).contains("FSV-Trainer")), "other_coach": cell(lambda x: plain(x).contains("Trainer") & ~plain(x).contains("FSV-Trainer"))}
-    name = lambda x: F.nullif(F.trim(F.regexp_replace(plain(x), r"^.*:", "")), F.lit(""))
-    rows = pages.select("match_id", F.coalesce(parts(table, "td"), F.array().cast("array<string>")).alias("cells"))
-    return rows.select("match_id", *[c for k, x in chosen.items() for c in (name(x).alias(k), tx.some(x, HREF).alias(f"{k}_link"))])
-
-
-def fixture_pages(m: DataFrame, teams: DataFrame) -> DataFrame:
-    """Matchday pages made from matches: one table row per match."""
-    name = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(side))
-    rows = m.filter("home_score IS NOT NULL").join(name("home"), "home_team_id").join(name("away"), "away_team_id")
-    line = F.concat(F.lit("<tr><td>"), "home", F.lit("</td><td>"), "away", F.lit("</td><td>"), "home_score", F.when(F.col("match_id") % 2 == 0, ":").otherwise("-"), "away_score", F.lit("</td></tr>"))
-    return rows.groupBy("season_competition_id", "matchday").agg(F.concat_ws("", F.collect_list(line)).alias("html"))
-
-
 def fixtures(pages: DataFrame, focal: str) -> DataFrame:
     """Rows of matchday tables where exactly one side is the focal team, seen from its side; scores are a:b or a-b."""
     row = F.explode(F.regexp_extract_all("html", F.lit(r"<tr>(.*?)</tr>"), F.lit(1))).alias("row")
@@ -194,39 +102,18 @@ def fixtures(pages: DataFrame, focal: str) -> DataFrame:
     return rows.filter(at_home != at_away).select("season_competition_id", "matchday", F.when(at_home, F.col("away")).otherwise(F.col("home")).alias("opponent"), F.when(at_home, a).otherwise(b).alias("own_score"), F.when(at_home, b).otherwise(a).alias("opponent_score"))
 
 
-def match_pages(m: DataFrame, goals: DataFrame) -> DataFrame:
-    """Detail pages made from goals: a table of goal texts per match."""
-    line = F.concat(F.lit("<tr><td>"), "minute", F.coalesce(F.concat(F.lit("+"), "stoppage"), F.lit("")), F.lit(". "), "score_home", F.lit(":"), "score_away", F.lit(" P"), "player_id", F.lit(" ("), F.coalesce(F.col("assist_player_id").cast("string"), F.lit("-")), F.lit(")</td></tr>"))
-    return goals.groupBy("match_id").agg(F.concat(F.lit("<b>Tore</b>"), F.concat_ws("", F.collect_list(line))).alias("html")).join(m.select("match_id"), "match_id")
-
-
 def extract_goals(pages: DataFrame) -> DataFrame:
     """Goals of detail pages; a text that is no goal gives a row with NULLs."""
     line = F.explode(F.regexp_extract_all("html", F.lit(r"<td>(.*?)</td>"), F.lit(1))).alias("line")
     return pages.select("match_id", line).select("match_id", tx.goal_text(F.col("line")).alias("g")).select("match_id", "g.*")
 
 
-def profile_pages(players: DataFrame) -> DataFrame:
-    """Profile pages made from the players; some lack the place, some the height."""
-    place = F.when(F.col("player_id") % 3 == 0, "").otherwise(" in Mainz")
-    height = F.when(F.col("player_id") % 5 == 0, "").otherwise(F.concat(F.lit(", "), "height_cm", F.lit(" cm")))
-    page = F.concat(F.lit("P * 01.01."), F.col("player_id") % 50 + 1950, place, height, F.lit(", "), F.col("player_id") % 30 + 60, F.lit(" kg Position: "), "primary_position", F.lit(" Nationalität: "), "nationality")
-    return players.select("player_id", page.alias("html"))
-
-
 def profiles(pages: DataFrame) -> DataFrame:
     """Facts read from profile pages (player_id, html); what a page does not say is NULL."""
     text = tx.normalize_whitespace(F.regexp_replace("html", "<[^>]*>", " "))
     return pages.select("player_id", tx.profile_facts(text).alias("x")).select("player_id", "x.*")
 
 
-def fact_pages(players: DataFrame) -> DataFrame:
-    """Pages with a table of facts, made from the players; one of its rows has a single cell."""
-    row = lambda name, value: F.concat(F.lit(f"<tr><td>{name}</td><td>"), value, F.lit("</td></tr>"))
-    page = F.concat(F.lit("<table><tr><td>Steckbrief</td></tr>"), row("Position", F.col("primary_position")), row("Land", F.col("nationality")), row("Größe", F.col("height_cm")), F.lit("</table>"))
-    return players.select(F.col("player_id").alias("page_id"), page.alias("html"))
-
-
 def key_values(pages: DataFrame) -> DataFrame:
     """Rows of exactly two cells of pages (page_id, html) as a map; of a repeated key the last row counts."""
     cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
@@ -240,15 +127,6 @@ def key_values(pages: DataFrame) -> DataFrame:
 POSITIONS = ("TOR", "ABWEHR", "MITTELFELD", "ANGRIFF")
 
 
-def squad_pages(lineups: DataFrame) -> DataFrame:
-    """Squad pages made from line-ups, a page for each match: players by line under their header, then the coach."""
-    bounds = dict(zip(POSITIONS, ((1, 1), (2, 3), (4, 5), (6, 99)), strict=True))
-    entry = lambda x: F.concat(x["shirt_number"], F.lit(" P"), x["player_id"])
-    part = lambda head, low, high: F.concat(F.array(F.lit(head)), F.transform(F.filter("e", lambda x: x["line"].between(low, high)), entry))
-    pages = lineups.groupBy(F.col("match_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("line", "shirt_number", "player_id"))).alias("e"))
-    return pages.select("page_id", F.concat_ws("\n", *[part(h, *b) for h, b in bounds.items()], F.array(F.lit("TRAINER"), F.lit("1 Coach"))).alias("html"))
-
-
 def squad(pages: DataFrame) -> DataFrame:
     """Entries 'number name' of squad pages (page_id, html) under their position header; what follows TRAINER is left out."""
     lines = pages.select("page_id", F.posexplode(F.split("html", "\n")).alias("at", "line"))
@@ -259,22 +137,15 @@ def squad(pages: DataFrame) -> DataFrame:
     return out.filter("h IS NULL AND position_group <> 'TRAINER'").select("page_id", "position_group", tx.some(F.col("line"), entry, 1).cast("int").alias("shirt_number"), tx.some(F.col("line"), entry, 2).alias("name"))
 
 
-def applied(lineups: DataFrame, substitutions: DataFrame) -> DataFrame:
-    """Line-ups with minutes on and off; incoming players are no starters, and players missing in the line-up are added."""
-    on = substitutions.groupBy("match_id", F.col("player_on_id").alias("player_id")).agg(F.min("minute").alias("minute_on"))
-    off = substitutions.groupBy("match_id", F.col("player_off_id").alias("player_id")).agg(F.min("minute").alias("minute_off"))
+def applied(lineups: DataFrame, substitutions: DataFrame, order: str = "substitution_id") -> DataFrame:
+    """Line-ups with minutes on and off; incoming players are no starters, and players missing in the line-up are added. Of several entries of a player the last in order counts, as they stand on the page."""
+    last = lambda who, name: substitutions.groupBy("match_id", F.col(who).alias("player_id")).agg(F.max_by("minute", F.struct(order, "minute")).alias(name))
+    on, off = last("player_on_id", "minute_on"), last("player_off_id", "minute_off")
     keys = ["match_id", "player_id"]
     out = lineups.select(*keys, "is_starter").join(on, keys, "full").join(off, keys, "full")
     return out.withColumn("is_starter", F.when(F.col("minute_on").isNotNull(), False).otherwise(F.coalesce("is_starter", F.lit(True))))
 
 
-def card_cells(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Line-up cells and substitution entries made from cards: icons without a minute stand in the first, the others in the second."""
-    icon = F.concat(F.lit('<img src="../'), F.when(F.col("card_type") == "yellow", "gelbekarte").when(F.col("card_type") == "red", "rotekarte").otherwise("gelbrot"), F.lit('.bmp">'))
-    cells = cards.groupBy("match_id", "player_id", "minute").agg(F.concat(F.lit("P "), F.concat_ws("", F.collect_list(icon))).alias("cell"))
-    return cells.filter("minute IS NULL").drop("minute"), cells.filter("minute IS NOT NULL")
-
-
 def collected_cards(cells: DataFrame, entries: DataFrame) -> DataFrame:
     """Cards shown in line-up cells (match_id, player_id, cell; no minute) and in substitution entries (with minute), a row for each card."""
     both = cells.select("match_id", "player_id", "cell", F.lit(None).cast("int").alias("minute")).unionByName(entries.select("match_id", "player_id", "cell", "minute"))
@@ -283,11 +154,6 @@ def collected_cards(cells: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("match_id", "player_id", F.explode(shown).alias("card_type"), "minute")
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """Pages as season tables, one folder per season, for scan tests and exchange."""
-    pages.write.partitionBy("season").parquet(folder)
-
-
 def parsed_matches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Match headers and the pages that have none: a failed page goes to the second table and stops nothing. pages: match_id, html."""
     head = tx.parse_header_score(F.regexp_extract("html", r"<b>(.*?)</b>", 1))
@@ -295,14 +161,6 @@ def parsed_matches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.filter("home IS NOT NULL"), out.filter("home IS NULL").select("match_id", F.lit("no header").alias("error"))
 
 
-def header_pages(m: DataFrame, teams: DataFrame) -> DataFrame:
-    """Detail pages made from matches; those without scores have a broken header."""
-    name = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(side))
-    rows = m.join(name("home"), "home_team_id").join(name("away"), "away_team_id")
-    line = F.concat("home", F.lit(" - "), "away", F.lit(" "), "home_score", F.lit(":"), "away_score", F.lit(" ("), "halftime_home", F.lit(":"), "halftime_away", F.lit(")"))
-    return rows.select("match_id", F.concat(F.lit("<html><b>"), F.coalesce(line, F.lit("?")), F.lit("</b></html>")).alias("html"))
-
-
 def parse_statistics(good: DataFrame, failed: DataFrame) -> DataFrame:
     return good.agg(F.lit("ok").alias("status"), F.count("*").alias("n")).unionByName(failed.agg(F.lit("failed").alias("status"), F.count("*").alias("n")))
 
@@ -320,14 +178,6 @@ def reserve_players(pages: DataFrame) -> DataFrame:
     return pages.select("match_id", names).filter("name <> ''")
 
 
-def team_block(cells: DataFrame, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
-    """Line-up cells to players: number, starter flag, profile link; later cells of a name complete earlier ones. cells: keys, at, cell."""
-    text = tx.normalize_whitespace(F.regexp_replace("cell", "<[^>]*>", " "))
-    rows = cells.select(*keys, "at", F.regexp_replace(text, r"^\d+\s+", "").alias("name"), tx.some(text, r"^(\d+)\s").cast("int").alias("number"), tx.some(F.col("cell"), HREF).alias("profile_url"), (~F.col("cell").contains("Reserve")).alias("starter"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    return rows.groupBy(*keys, "name").agg(first("number"), first("profile_url"), F.bool_and("starter").alias("is_starter"))
-
-
 def friendly_blocks(pages: DataFrame, mark: str = "<hr>") -> DataFrame:
     """Simplified blocks of friendlies: date or month, score, opponent; every block of a page counts."""
     blocks = explode_blocks(pages, mark)

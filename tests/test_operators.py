@@ -168,6 +168,7 @@ def test_pages_by_hand(spark):
 
 
 def test_match_pages_by_hand(spark):
+    from sportlake.sources import match_job as job
     from sportlake.sources import pages as pg
 
     team = lambda tag, *cells: f"<table {tag}>" + "".join(f"<tr><td>{c}</td></tr>" for c in cells) + "</table>"
@@ -177,13 +178,14 @@ def test_match_pages_by_hand(spark):
     layouts[4] = team("", *a, "Reserve") + staff + team("", *b, "Reserve: Fi")
     layouts |= {5: team('width="100%" height="30%"', *a), 6: "", 7: None, 8: team('width="100%" height="30%"', *a) + team("", "Reserve 1") + team("", "Reserve 2")}
     pages = spark.createDataFrame(list(layouts.items()), "match_id int, html string")
-    players, changes = pg.team_sheets(pages)
-    got = {k: {(r["side"], r["name"], r["number"]) for r in players.collect() if r["match_id"] == k} for k in layouts}
+    found = job.cells(pages.withColumnRenamed("match_id", "page_id"))
+    players, changes = job.entries(found).collect(), job.substitutions(found).drop("at", "stoppage", "card_type")
+    got = {k: {(r["side"], r["name"], r["number"]) for r in players if r["page_id"] == k} for k in layouts}
     assert got[1] == got[2] == got[3] == {("home", "Al", 1), ("home", "Bo", 2), ("away", "Ed", 3), ("away", "Ed x", None)}
-    assert got[4] >= got[1] and not got[5] and not got[6] and not got[7] and {r[0] for r in got[8]} == {"home", "away"}
+    assert got[4] >= got[1] and not got[5] and not got[6] and not got[7] and not got[8]  # a cell that begins with Reserve names nobody
     assert {tuple(r) for r in changes.collect()} == {(k, "home", 46, "Cu", 12, "Bo", 2) for k in (1, 2, 3, 4)}
-    who = {r["match_id"]: tuple(r)[1:] for r in pg.officials(pages).collect()}
-    assert who[1] == ("Ann Ek", None, "Cy", None, "Di Do", "t.html") and who[6] == who[7] == (None,) * 6
+    who = sorted(tuple(r) for r in job.officials(found).collect())
+    assert [r[1:] for r in who if r[0] == 1] == [("focal_coach", "Cy", None), ("other_coach", "Di Do", "t.html"), ("referee", "Ann Ek", None)] and not [r for r in who if r[0] > 4]
 
     link = '<a href="profiliga{0}.html">2:{0}</a>'.format
     rows = ["<tr><td>1</td><td>2</td><td>3</td><td>4</td></tr>", f"<tr><td>1</td><td><a href='gegnerx.html'>single quotes</a></td><td></td><td>{link(1)}</td></tr>"]
@@ -193,3 +195,10 @@ def test_match_pages_by_hand(spark):
     want = [("a/profiliga.html", f"profiliga{k}.html", "SV 7", f"2:{k}", "Finale", k) for k in (2, 3)] + [("liga/pokal.html", f"profiliga{k}.html", "SV 7", f"2:{k}", "Finale", None) for k in (2, 3)]
     want += [("a/profiliga.html", "profiliga1.html", "single quotes", "2:1", None, 1), ("liga/pokal.html", "profiliga1.html", "single quotes", "2:1", None, None)]
     assert got == sorted(want, key=str)
+
+
+def test_last_substitution_counts(spark):
+    lineups = spark.createDataFrame([(1, 7, True), (1, 8, True)], "match_id int, player_id int, is_starter boolean")
+    swaps = spark.createDataFrame([(10, 1, 60, 9, 7), (11, 1, 70, 7, 8), (12, 1, 85, 9, 7), (13, 1, 50, 6, 8)], "substitution_id int, match_id int, minute int, player_on_id int, player_off_id int")
+    got = sorted(tuple(r) for r in pg.applied(lineups, swaps).select("player_id", "is_starter", "minute_on", "minute_off").collect())
+    assert got == [(6, False, 50, None), (7, False, 70, 85), (8, True, None, 50), (9, False, 85, None)]
