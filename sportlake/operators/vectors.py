@@ -1,4 +1,4 @@
-"""Similarity of embedding vectors by blocked matrix products; an LSH search for large bases."""
+"""Similarity of embedding vectors by blocked matrix products; an inverted file for large bases."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sportlake.functions.text import normalize_name
+from sportlake.operators import vector_index
 
 
 def norm(a: str) -> Column:
@@ -165,18 +166,9 @@ def missing_embeddings(base: DataFrame, embedded: DataFrame, key: str, batch: in
     return rows.crossJoin(F.broadcast(total)).withColumn("batch", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.greatest(F.lit(1).cast("long"), "_n"))).drop("_n")
 
 
-def approx_top_k(base: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, bucket: float = 0.6) -> DataFrame:
-    """Random-projection LSH on unit vectors: candidates share a bucket, the exact score ranks them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.greatest(norm("embedding"), F.lit(1e-12)))
-    known = base.filter("size(embedding) > 0").withColumn("v", array_to_vector(unit))
-    asked = queries.filter("size(embedding) > 0").withColumn("v", array_to_vector(unit))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5).fit(known)
-    near = model.approxSimilarityJoin(known, asked, 2.0, "distance")
-    pairs = near.select(F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetB.vec_id").alias("q_id"), (1 - F.col("distance") ** 2 / 2).alias("score"))
-    return top_k(pairs, k).select("q_id", "vec_id", "score", "rank")
+def approx_top_k(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The k best of each query by an inverted file with codes, built for this search; vector_index keeps one for many."""
+    return vector_index.search(vector_index.build(base), base, queries, k)
 
 
 def mentions(texts: DataFrame, key: str, entities: DataFrame) -> DataFrame:
