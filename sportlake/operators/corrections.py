@@ -124,19 +124,21 @@ def resolve_player_names(appearances: DataFrame, profiles: DataFrame) -> DataFra
 
 
 def assign_ids(names: DataFrame, existing: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """normalized_name and id: the existing one, else new ids from the largest on, in order of name.
+    """normalized_name and id: the existing one, else new ids from the largest on, in order of the names' MD5, so that they do not depend on how rows are dealt.
 
-    New names are numbered inside first-letter hash buckets that follow one another, so no task sees all of them.
+    New names are numbered inside ranges of the hash that follow one another, so no task sees all of them.
     """
     known = existing.groupBy("normalized_name").agg(F.min(key).alias(key))
-    fresh = names.select("normalized_name").filter("normalized_name IS NOT NULL").distinct().join(known, "normalized_name", "left_anti").withColumn("_b", F.pmod(F.xxhash64("normalized_name"), F.lit(buckets)))
+    fresh = names.select("normalized_name").filter("normalized_name IS NOT NULL").distinct().join(known, "normalized_name", "left_anti").withColumn("_h", F.md5("normalized_name"))
+    fresh = fresh.withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * buckets / 65536).withColumn("_b", F.floor("_b"))
     base = fresh.groupBy("_b").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_base")
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    order = Window.partitionBy("_b").orderBy("normalized_name")
+    order = Window.partitionBy("_b").orderBy("_h", "normalized_name")
     new = fresh.withColumn("_rn", F.row_number().over(order)).join(base, "_b").crossJoin(F.broadcast(top)).select("normalized_name", (F.col("_top") + F.col("_base") + F.col("_rn")).alias(key))
     return known.unionByName(new)
 
 
+
 def standings(m: DataFrame, side: str) -> DataFrame:
     """Points and goals of one side of played matches, per season-competition, matchday and team."""
     own, other = (f"{side}_score", "away_score" if side == "home" else "home_score")

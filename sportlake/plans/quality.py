@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from sportlake.functions import text as tx
 from sportlake.operators import corrections as cor
 from sportlake.operators import joins as joi
+from sportlake.operators import merges as mrg
 from sportlake.operators import perspective as prj
 from sportlake.operators import quality as dq
 from sportlake.operators import windows as win
 from sportlake.plans.texts import CATEGORY, NAMES, REASON, names
+from sportlake.sources import io
+from sportlake.sources import keyed as kt
 
 MAPPING = "mp(old_id, new_id) AS (VALUES (19, 1), (20, 1), (18, 2))\n--\n"
 
@@ -25,6 +28,23 @@ def id_map(df, key: str, every: int, shift: int):  # noqa: ANN001, ANN201
     return df.select(F.col(key).alias("source_id"), F.when(F.col(key) % every != 0, F.col(key) + shift).alias("target_id")).distinct()
 
 
+def chains(a):  # noqa: ANN001, ANN201
+    """Steps from team to team: 20 to 18 by way of 19, 17 to 1, a circle of three, and one to a team that is not there."""
+    steps = "(20, 19), (19, 18), (17, 1), (14, 15), (15, 16), (16, 14), (13, 99)"
+    return a.spark.sql(f"SELECT CAST(col1 AS INT) AS old_id, CAST(col2 AS INT) AS new_id FROM VALUES {steps}")
+
+
+CHAINS = "ok AS (SELECT * FROM (VALUES (20, 18), (19, 18), (17, 1)) v(old_id, new_id))\n--\n"
+
+
+def keyed(a, schema, keys, batches, rule):  # noqa: ANN001, ANN201
+    """Batches merged one after another into a stored table with keys; the last one comes twice."""
+    table = kt.KeyedTable(a.spark, io.shared_folder(a.spark), schema, keys, buckets=16)
+    for n, batch in [*enumerate(batches), (len(batches) - 1, batches[-1])]:
+        table.merge(batch.select(*table.schema.names), n, rule)
+    return table.read()
+
+
 QUERIES = {
     "dq01_valid_minute": (lambda a: a.goals().groupBy(dq.valid_minute(F.col("minute") + 30, F.col("stoppage")).alias("ok")).agg(F.count("*").alias("n")), "SELECT minute + 30 <= 120 AND coalesce(stoppage, 0) <= 20 AS ok, count(*) AS n FROM goals GROUP BY 1"),
     "dq02_valid_refs": (lambda a: dq.valid_refs(a.goals(), {"match_id": (a.matches(), "match_id"), "player_id": (a.players().filter("height_cm >= 165"), "player_id"), "assist_player_id": (a.players().filter("height_cm < 195"), "player_id")}).select("goal_id", "reason"), "SELECT goal_id, CASE WHEN player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) THEN 'unknown player_id' WHEN assist_player_id NOT IN (SELECT player_id FROM players WHERE height_cm < 195) THEN 'unknown assist_player_id' END AS reason FROM goals"),
@@ -62,6 +82,8 @@ QUERIES = {
     "joi17_match_surname": (lambda a: joi.match_surname(a.raw("part").select(F.col("p_partkey").cast("string").alias("name")), a.players()).select("name", "player_id"), "SELECT (player_id - 1)::VARCHAR AS name, player_id FROM players"),
     "joi18_enrich_by_lastname": (lambda a: joi.enrich_by_lastname(a.players().select("player_id", "normalized_name", F.col("normalized_name").alias("name"), "height_cm"), a.players().select("player_id", F.col("normalized_name").alias("name"), "height_cm"), ["height_cm"]).select("player_id", "donor_id"), "SELECT p.player_id, CASE WHEN any_value(n) = 1 THEN min(d.player_id) ELSE min(d.player_id) FILTER (contains(d.normalized_name, p.normalized_name) OR contains(p.normalized_name, d.normalized_name)) END AS donor_id FROM players p LEFT JOIN (SELECT player_id, normalized_name, count(*) OVER (PARTITION BY split_part(normalized_name, ' ', -1)) AS n FROM players) d ON split_part(d.normalized_name, ' ', -1) = split_part(p.normalized_name, ' ', -1) GROUP BY 1"),
     "cor01_merge_entities": (lambda a: cor.merge_entities(a.matches(), ["home_team_id", "away_team_id"], mapping(a)).select("match_id", "home_team_id", "away_team_id"), MAPPING + "SELECT match_id, coalesce(h.new_id, home_team_id) AS home_team_id, coalesce(w.new_id, away_team_id) AS away_team_id FROM matches LEFT JOIN mp h ON h.old_id = home_team_id LEFT JOIN mp w ON w.old_id = away_team_id"),
+    "cor01_merge_chains": (lambda a: mrg.merged({"matches": (a.matches(), ["home_team_id", "away_team_id"])}, a.teams(), "team_id", mrg.resolved(chains(a)))[0]["matches"].select("match_id", "home_team_id", "away_team_id"), CHAINS + "SELECT match_id, coalesce(h.new_id, home_team_id) AS home_team_id, coalesce(w.new_id, away_team_id) AS away_team_id FROM matches LEFT JOIN ok h ON h.old_id = home_team_id LEFT JOIN ok w ON w.old_id = away_team_id"),
+    "cor01_merge_plan": (lambda a: mrg.plan({"matches": (a.matches(), ["home_team_id", "away_team_id"])}, a.teams(), "team_id", mrg.resolved(chains(a))), CHAINS + "SELECT 'entities' AS table_name, 'team_id' AS column_name, count(*) AS rows FROM teams JOIN ok ON old_id = team_id UNION ALL SELECT 'problems', 'circle', 3 UNION ALL SELECT 'problems', 'ambiguous', 0 UNION ALL SELECT 'problems', 'no such entity', 1 UNION ALL SELECT 'matches', 'home_team_id', count(*) FROM matches JOIN ok ON old_id = home_team_id UNION ALL SELECT 'matches', 'away_team_id', count(*) FROM matches JOIN ok ON old_id = away_team_id"),
     "cor01_merge_counts": (lambda a: cor.merge_counts({"matches": (a.matches(), ["home_team_id", "away_team_id"])}, mapping(a)), "SELECT 'matches' AS table_name, 'home_team_id' AS column_name, count(*) AS rows FROM matches WHERE home_team_id >= 18 UNION ALL SELECT 'matches', 'away_team_id', count(*) FROM matches WHERE away_team_id >= 18"),
     "cor02_drop_duplicate_matches": (lambda a: cor.cascade(a.goals(), cor.drop_duplicate_matches(a.matches(), ["season_competition_id", "match_date", "home_team_id"])[1]).groupBy("match_id").agg(F.count("*").alias("goals")), "SELECT match_id, count(*) AS goals FROM goals WHERE match_id IN (SELECT min(match_id) FROM matches GROUP BY season_competition_id, match_date, home_team_id) GROUP BY 1"),
     "cor03_dedupe_events": (lambda a: cor.dedupe_events(a.cards(), ["match_id", "player_id", "minute", "card_type"], "card_id").select("card_id", "match_id"), "SELECT min(card_id) AS card_id, match_id FROM cards GROUP BY match_id, player_id, minute, card_type"),
@@ -75,7 +97,7 @@ QUERIES = {
     "cor10_enrich_profiles": (lambda a: cor.enrich_profiles(a.players(), a.raw("part").select((F.col("p_partkey") + 1).alias("player_id"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("height_cm"), F.lit(None).cast("string").alias("nationality")), "player_id", ["height_cm", "nationality"]).select("player_id", "height_cm", "nationality"), "SELECT player_id, CASE WHEN p_size > 25 THEN p_size ELSE height_cm END AS height_cm, nationality FROM players JOIN part ON p_partkey + 1 = player_id"),
     "cor11_rebuild_careers": (lambda a: cor.rebuild_careers(a.lineups().select("player_id", "match_id"), a.goals().filter("minute > 88").select("player_id", "match_id"), "player_id"), "SELECT player_id, match_id FROM lineups WHERE player_id NOT IN (SELECT player_id FROM goals WHERE minute > 88) UNION ALL SELECT player_id, match_id FROM goals WHERE minute > 88"),
     "cor12_resolve_player_names": (lambda a: cor.resolve_player_names(a.lineups().select("match_id", "player_id", F.col("player_id").cast("string").alias("profile_url"), F.lit("?").alias("name")), a.players().filter("height_cm >= 180").select(F.col("player_id").cast("string").alias("profile_url"), F.col("name").alias("full_name"))).select("match_id", "player_id", "name"), "SELECT match_id, player_id, CASE WHEN height_cm >= 180 THEN name ELSE '?' END AS name FROM lineups JOIN players USING (player_id)"),
-    "cor13_assign_ids": (lambda a: cor.assign_ids(a.raw("part").select(F.col("p_name").alias("normalized_name")), a.players().filter("normalized_name LIKE '%ring%'").select("normalized_name", "player_id"), "player_id").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("ids"), F.max("player_id").alias("top")), "SELECT count(DISTINCT p_name) AS n, count(DISTINCT p_name) AS ids, (SELECT max(player_id) FROM players WHERE normalized_name LIKE '%ring%') + count(DISTINCT p_name) FILTER (p_name NOT LIKE '%ring%') AS top FROM part"),
+    "cor13_assign_ids": (lambda a: cor.assign_ids(a.raw("part").select(F.col("p_name").alias("normalized_name")), a.players().filter("normalized_name LIKE '%ring%'").select("normalized_name", "player_id"), "player_id"), "k AS (SELECT normalized_name, min(player_id) AS player_id FROM players WHERE normalized_name LIKE '%ring%' GROUP BY 1), t AS (SELECT max(player_id) AS top FROM players WHERE normalized_name LIKE '%ring%')\n--\nSELECT * FROM k UNION ALL SELECT p_name, top + row_number() OVER (ORDER BY md5(p_name), p_name) FROM (SELECT DISTINCT p_name FROM part WHERE p_name NOT LIKE '%ring%'), t"),
     "cor14_set_standings": (lambda a: cor.set_standings(a.matches()), "x AS (SELECT season_competition_id, home_team_id AS team_id, home_score AS g, away_score AS c FROM matches WHERE home_score IS NOT NULL UNION ALL SELECT season_competition_id, away_team_id, away_score, home_score FROM matches WHERE home_score IS NOT NULL)\n--\nSELECT *, row_number() OVER (PARTITION BY season_competition_id ORDER BY points DESC, goal_difference DESC, goals_for DESC, team_id)::INT AS place FROM (SELECT season_competition_id, team_id, sum(CASE WHEN g > c THEN 3 WHEN g = c THEN 1 ELSE 0 END)::BIGINT AS points, sum(g)::BIGINT AS goals_for, sum(c)::BIGINT AS goals_against, sum(g - c)::BIGINT AS goal_difference FROM x GROUP BY 1, 2)"),
     "cor15_rename_if_free": (lambda a: cor.rename_if_free(a.players().select("player_id", "name"), a.players().select("player_id", F.when(F.col("player_id") % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("Dr. "), "name")).alias("full_name")), "player_id"), "SELECT player_id, CASE WHEN player_id % 4 <> 0 THEN 'Dr. ' || name ELSE name END AS name FROM players"),
     "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("source_file = 'liga'"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[0].select("match_id", "home_team_id", "home_score"), "SELECT match_id, home_team_id, home_score FROM matches WHERE source_file <> 'liga' AND home_team_id % 6 <> 0 AND home_score IS NOT NULL"),
@@ -83,6 +105,9 @@ QUERIES = {
     "src10_upsert_latest": (lambda a: cor.upsert_latest(a.answers().filter("is_correct").select("player", "round_id", F.lit("old").alias("v")).distinct(), a.answers().filter("time_ms > 5000").select("player", "round_id", F.lit("new").alias("v")).distinct(), ["player", "round_id"]), "SELECT player, round_id, CASE WHEN bool_or(time_ms > 5000) THEN 'new' ELSE 'old' END AS v FROM answers WHERE is_correct OR time_ms > 5000 GROUP BY 1, 2"),
     "src11_insert_ignore": (lambda a: cor.insert_ignore(a.matches().filter("source_file = 'liga'").select("match_id", F.lit("old").alias("v")), a.matches().filter("competition_id >= 3").select("match_id", F.lit("new").alias("v")), ["match_id"]), "SELECT match_id, CASE WHEN source_file = 'liga' THEN 'old' ELSE 'new' END AS v FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
     "src12_upsert_merge": (lambda a: cor.upsert_merge(a.matches().filter("source_file = 'liga'").select("match_id", "attendance", "referee_id", F.lit(False).alias("seen")), a.matches().filter("competition_id >= 3").select("match_id", F.lit(10000).alias("attendance"), F.lit(None).cast("int").alias("referee_id"), F.lit(True).alias("seen")), ["match_id"], {"attendance": "greatest", "referee_id": "fill", "seen": "either"}), "SELECT match_id, CASE WHEN competition_id < 3 THEN attendance WHEN source_file <> 'liga' THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN source_file = 'liga' THEN referee_id END AS referee_id, competition_id >= 3 AS seen FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
+    "src10_keyed_latest": (lambda a: keyed(a, "player long, round_id int, answer_id long", ["player", "round_id"], [a.answers().filter("is_correct"), a.answers().filter("time_ms > 5000")], kt.newest("answer_id")), "SELECT player, round_id, max(answer_id) AS answer_id FROM answers WHERE is_correct OR time_ms > 5000 GROUP BY 1, 2"),
+    "src11_keyed_ignore": (lambda a: keyed(a, "match_id long, v string", ["match_id"], [a.matches().filter("source_file = 'liga'").withColumn("v", F.lit("old")), a.matches().filter("competition_id >= 3").withColumn("v", F.lit("new"))], kt.earliest()), "SELECT match_id, CASE WHEN source_file = 'liga' THEN 'old' ELSE 'new' END AS v FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
+    "src12_keyed_merge": (lambda a: keyed(a, "match_id long, attendance int, referee_id int", ["match_id"], [a.matches().filter("source_file = 'liga'"), a.matches().filter("competition_id >= 3").withColumns({"attendance": F.lit(10000), "referee_id": F.lit(None).cast("int")})], kt.merged({"attendance": "greatest"})), "SELECT match_id, CASE WHEN competition_id < 3 THEN attendance WHEN source_file <> 'liga' THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN source_file = 'liga' THEN referee_id END AS referee_id FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
     "src19_append_missing": (lambda a: cor.append_missing(a.matches().filter("season_id < 1998"), a.matches(), "match_id", ["home_score", "referee_id"])[1], "SELECT count(*) FILTER (home_score IS NOT NULL AND referee_id IS NOT NULL) AS copied, count(*) FILTER (home_score IS NULL OR referee_id IS NULL) AS skipped FROM matches WHERE season_id >= 1998"),
     "src21_classify_files": (lambda a: a.matches().groupBy(tx.classify_file(F.concat(F.lit("/x/"), "source_file", F.lit("/profi"), "source_file", F.col("match_id") % 3, F.lit(".html"))).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE source_file WHEN 'liga' THEN 'league_overview' ELSE 'match' END AS kind, count(*) AS n FROM matches GROUP BY 1"),
 }

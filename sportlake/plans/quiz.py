@@ -12,6 +12,7 @@ from sportlake.operators import windows as win
 from sportlake.sources import io
 from sportlake.plans import page_makers as made
 from sportlake.sources import pages as pg
+from sportlake.streaming import incremental as inc
 from sportlake.streaming import jobs as st
 
 POINTS = "ap AS (SELECT *, CASE WHEN is_correct THEN greatest(10, 100 - time_ms * 2 // 1000) ELSE 0 END::BIGINT AS points FROM answers)\n--\n"
@@ -39,6 +40,17 @@ def asked(a):  # noqa: ANN001, ANN201
     return a.raw("embeddings").filter("vec_id % 20 = 0")
 
 
+def driven(kept, a):  # noqa: ANN001, ANN201
+    """What an incremental job keeps of the whole stream of answers."""
+    inc.drive(st.answer_stream(a), kept.step)
+    return kept.read()
+
+
+def late_counts(kept, late):  # noqa: ANN001, ANN201
+    """Answers of both sides by player: together they are all."""
+    return kept.unionByName(late).groupBy("player").agg(F.count("*").alias("answers"))
+
+
 QUERIES = {
     "joi22_round_question": (lambda a: answers(a).join(a.rounds(), "round_id").groupBy("game_id", "question_id").agg(F.count("*").alias("n")), "SELECT game_id, question_id, count(*) AS n FROM answers JOIN rounds USING (round_id) GROUP BY 1, 2"),
     "prj23_active_sessions": (lambda a: prj.active_sessions(a.answers().groupBy("player").agg((F.max("submitted_at") + F.expr("INTERVAL 1 HOUR")).alias("expires_at")), "2024-01-20 12:00:00").select("player", "active"), "SELECT player, max(submitted_at) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-20 12:00:00' AS active FROM answers GROUP BY 1"),
@@ -55,14 +67,17 @@ QUERIES = {
     "ord05_least_used": (lambda a: win.top_k(questions(a).filter("topic = 'ECONOMY'").select("question_id", "times_used"), ["times_used", "question_id"], 100), "SELECT p_partkey AS question_id, p_size % 7 AS times_used FROM part WHERE p_type = 'ECONOMY' ORDER BY 2, 1 LIMIT 100"),
     "ord10_shuffle_options": (lambda a: questions(a).select("question_id", F.array_join(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3), "|").alias("options"), F.size(win.shuffled_options(F.col("correct"), F.col("alternatives"), F.col("question_id"), 3)).alias("n")), "SELECT p_partkey AS question_id, array_to_string(list_transform(list_sort(list_transform([p_name, p_brand, p_type, 'x'], lambda x: {'h': md5(p_partkey || ':' || x || ':3'), 'x': x})), lambda y: y.x), '|') AS options, 4 AS n FROM part"),
     "str01_player_stats": (lambda a: st.run_once(st.player_stats(st.answer_stream(a)), a, "update", ["player"]), "SELECT player, count(*) AS questions, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers GROUP BY 1"),
-    "str02_streaks": (lambda a: st.run_once(st.streaks(st.answer_stream(a)), a, "update", ["player"]).select("player", "current_streak", "best_streak"), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
+    "str02_streaks": (lambda a: driven(inc.Streaks(a.spark), a), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
+    "str02_streaks_batch": (lambda a: inc.streaks_of(inc.block_runs(a.answers().withColumn("submitted_at", F.col("submitted_at").cast("timestamp")))), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
     "str03_question_stats": (lambda a: st.run_once(st.question_stats(st.answer_stream(a), a.rounds()), a, "update", ["question_id"]), "SELECT question_id, count(*) AS used, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers JOIN rounds USING (round_id) GROUP BY 1"),
     "str04_chat_sessions": (lambda a: st.run_once(st.sessions(st.answer_stream(a)), a, "complete"), SESSIONS),
     "str04_sessions_batch": (lambda a: st.sessions_batch(a.answers()), SESSIONS),
-    "str05_one_answer_per_round": (lambda a: st.run_once(st.first_answers(st.answer_stream(a)), a, "append").select("player", "round_id"), "SELECT DISTINCT player, round_id FROM answers"),
-    "str06_refresh": (lambda a: st.refreshed(st.answer_stream(a), lambda df: df.groupBy("round_id").agg(F.count("*").alias("n")), a), "SELECT round_id, count(*) AS n FROM answers GROUP BY 1"),
+    "str05_one_answer_per_round": (lambda a: inc.one_of_each(st.answer_stream(a).select("player", "round_id", "submitted_at", "answer_id"), ["player", "round_id"], ["submitted_at", "answer_id"]).select("player", "round_id", "answer_id"), "SELECT player, round_id, first(answer_id ORDER BY submitted_at, answer_id) AS answer_id FROM answers GROUP BY 1, 2"),
+    "str05_last_answer_per_round": (lambda a: inc.one_of_each(st.answer_stream(a).select("player", "round_id", "submitted_at", "answer_id"), ["player", "round_id"], ["submitted_at", "answer_id"], last=True).select("player", "round_id", "answer_id"), "SELECT player, round_id, last(answer_id ORDER BY submitted_at, answer_id) AS answer_id FROM answers GROUP BY 1, 2"),
+    "str06_refresh": (lambda a: driven(inc.Totals(a.spark, "answer_id long, round_id int, is_correct boolean, time_ms long", ["answer_id"], ["round_id"], {"correct": F.col("is_correct").cast("int"), "time_ms": F.col("time_ms")}), a), "SELECT round_id, count(*) AS n, sum(is_correct::INT)::BIGINT AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers GROUP BY 1"),
     "str07_leaderboard": (lambda a: st.run_once(st.leaderboard(st.answer_stream(a)), a, "update", ["player"]), POINTS + "SELECT player, sum(points)::BIGINT AS points, count(*) AS questions FROM ap GROUP BY 1"),
     "str08_dedupe_events": (lambda a: st.run_once(st.deduped(st.answer_stream(a), ["player", "round_id", "answer"]), a, "append").select("player", "round_id", "answer"), "SELECT DISTINCT player, round_id, answer FROM answers"),
+    "str09_late_stream": (lambda a: late_counts(*inc.late_split(st.answer_stream(a), "submitted_at", "2 minutes")), "SELECT player, count(*) AS answers FROM answers GROUP BY 1"),
     "str09_late_answers": (lambda a: st.late_batch(a.answers(), "2 minutes").groupBy("late").agg(F.count("*").alias("n")), "SELECT submitted_at < m - INTERVAL 2 MINUTE AS late, count(*) AS n FROM (SELECT submitted_at, max(submitted_at) OVER (ORDER BY answer_id ROWS UNBOUNDED PRECEDING) AS m FROM answers) GROUP BY 1"),
     "vec01_cosine_top_k": (lambda a: vec.cosine_top_k(base(a), asked(a), 10).select("q_id", "vec_id", "rank"), f"SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0) WHERE r <= 10"),
     "vec02_inner_product_top_k": (lambda a: vec.inner_product_top_k(base(a), asked(a), 5).select("q_id", "vec_id", "rank"), "SELECT q_id, vec_id, r::INT AS rank FROM (SELECT q.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS r FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0 AND b.label = q.label) WHERE r <= 5"),

@@ -1,11 +1,7 @@
-"""Streams of quiz answers: running statistics, streaks, sessions, one answer per round, refreshes."""
+"""Streams of quiz answers: running statistics, sessions, deduplication; those that keep results in tables are in incremental.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +52,6 @@ def leaderboard(answers: DataFrame) -> DataFrame:
     return answers.groupBy("player").agg(F.sum(points_time(F.col("is_correct"), F.col("time_ms"))).alias("points"), F.count("*").alias("questions"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Current and best streak of one player; each batch is folded in order of time."""
-    current, best, _ = state.get if state.exists else (0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["submitted_at", "answer_id"])
-    for right in rows["is_correct"]:
-        current = current + 1 if right else 0
-        best = max(best, current)
-    state.update((current, best, int(rows["answer_id"].iloc[-1])))
-    yield pd.DataFrame({"player": [key[0]], "current_streak": [current], "best_streak": [best]})
-
-
-def streaks(answers: DataFrame) -> DataFrame:
-    """Running streaks per player. Answers later than a batch that was already folded count where they arrive."""
-    rows = answers.select("player", "submitted_at", "answer_id", "is_correct")
-    return rows.groupBy("player").applyInPandasWithState(_fold, "player long, current_streak long, best_streak long", "current long, best long, last long", "update", "NoTimeout")
-
-
 def sessions(answers: DataFrame, gap: str = "1 hour") -> DataFrame:
     """A player's session lasts until so long has passed without an answer."""
     out = answers.groupBy("player", F.session_window("submitted_at", gap).alias("w")).agg(F.max("submitted_at").alias("last_seen"), F.count("*").alias("messages"))
@@ -87,28 +66,10 @@ def sessions_batch(answers: DataFrame, hours: int = 1) -> DataFrame:
     return rows.groupBy("player", "island").agg(F.min("submitted_at").alias("started"), F.max("submitted_at").alias("last_seen"), F.count("*").alias("messages")).drop("island")
 
 
-def first_answers(answers: DataFrame) -> DataFrame:
-    """The first answer of each player and round."""
-    return answers.dropDuplicatesWithinWatermark(["player", "round_id"])
-
-
 def deduped(answers: DataFrame, keys: list[str]) -> DataFrame:
     return answers.dropDuplicatesWithinWatermark(keys)
 
 
-def refreshed(stream: DataFrame, make: Callable[[DataFrame], DataFrame], a: Archive) -> DataFrame:
-    """A derived table made anew from all rows so far after each batch; the last one."""
-    rows, out = shared_folder(a.spark), shared_folder(a.spark)
-
-    def refresh(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{rows}/batch={n}")
-        make(a.spark.read.parquet(rows).drop("batch")).write.mode("overwrite").parquet(f"{out}/seen={n}")
-
-    stream.writeStream.foreachBatch(refresh).option("checkpointLocation", shared_folder(a.spark)).trigger(availableNow=True).start().awaitTermination()
-    made = a.spark.read.parquet(out)
-    return made.join(made.agg(F.max("seen").alias("seen")), "seen", "left_semi").drop("seen")
-
-
 def late_batch(answers: DataFrame, delay: str, buckets: int = 1024) -> DataFrame:
     """Marks answers that arrive (by id) after the newest so far by more than the delay.
 
