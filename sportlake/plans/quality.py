@@ -10,6 +10,7 @@ from sportlake.operators import joins as joi
 from sportlake.operators import merges as mrg
 from sportlake.operators import perspective as prj
 from sportlake.operators import quality as dq
+from sportlake.operators import sync
 from sportlake.operators import windows as win
 from sportlake.plans.texts import CATEGORY, NAMES, REASON, names
 from sportlake.sources import io
@@ -45,6 +46,36 @@ def keyed(a, schema, keys, batches, rule):  # noqa: ANN001, ANN201
     return table.read()
 
 
+#: Of the matches that the sync brings in, one of each day and pairing that the target lacks.
+SYNC = """has AS (SELECT * FROM matches WHERE source_file = 'liga' AND home_team_id <= 12 AND away_team_id <= 12 AND competition_id <= 3 AND season_id <= 1999),
+every AS (SELECT * FROM has UNION ALL SELECT * FROM matches ANTI JOIN has USING (match_date, home_team_id, away_team_id) QUALIFY row_number() OVER (PARTITION BY match_date, home_team_id, away_team_id ORDER BY match_id) = 1)
+--
+"""
+
+
+def synced(a, *events):  # noqa: ANN001, ANN201
+    """An archive with part of the teams, players, seasons and matches takes in the whole one, whose ids are others: the target, and the report."""
+    more = lambda df, *columns: df.withColumns({c: F.col(c) + 500 for c in columns})
+    part = a.matches().filter("source_file = 'liga' AND home_team_id <= 12 AND away_team_id <= 12 AND competition_id <= 3 AND season_id <= 1999")
+    seasons = a.seasons().select("season_id", "label")
+    have = {"teams": a.teams().filter("team_id <= 12"), "players": a.players().filter("player_id % 3 = 0"), "competitions": a.competitions().filter("competition_id <= 3"), "seasons": seasons.filter("season_id <= 1999"), "matches": part, "lineups": a.lineups().limit(0)}
+    source = {"teams": more(a.teams(), "team_id"), "players": more(a.players(), "player_id"), "competitions": more(a.competitions(), "competition_id"), "seasons": more(seasons, "season_id"), "matches": more(a.matches(), "match_id", "season_id", "competition_id", "home_team_id", "away_team_id")}
+    if "lineups" in events:
+        source["lineups"] = more(a.lineups(), "match_id", "player_id")
+    target = sync.Snapshot.of(a.spark, have)
+    return target, sync.full_sync(source, target)
+
+
+def sync_rows(a, name):  # noqa: ANN001, ANN201
+    """Rows of a table after the sync; matches and line-ups with day and teams in place of ids."""
+    target = synced(a, name)[0]
+    teams = lambda side: target.read("teams").select(F.col("team_id").alias(f"{side}_team_id"), F.col("normalized_name").alias(side))
+    named = target.read("matches").join(teams("home"), "home_team_id").join(teams("away"), "away_team_id")
+    if name == "matches":
+        return named
+    return target.read(name).join(named.select("match_id", "match_date", "home", "away"), "match_id").join(target.read("players").select("player_id", "normalized_name"), "player_id")
+
+
 QUERIES = {
     "dq01_valid_minute": (lambda a: a.goals().groupBy(dq.valid_minute(F.col("minute") + 30, F.col("stoppage")).alias("ok")).agg(F.count("*").alias("n")), "SELECT minute + 30 <= 120 AND coalesce(stoppage, 0) <= 20 AS ok, count(*) AS n FROM goals GROUP BY 1"),
     "dq02_valid_refs": (lambda a: dq.valid_refs(a.goals(), {"match_id": (a.matches(), "match_id"), "player_id": (a.players().filter("height_cm >= 165"), "player_id"), "assist_player_id": (a.players().filter("height_cm < 195"), "player_id")}).select("goal_id", "reason"), "SELECT goal_id, CASE WHEN player_id NOT IN (SELECT player_id FROM players WHERE height_cm >= 165) THEN 'unknown player_id' WHEN assist_player_id NOT IN (SELECT player_id FROM players WHERE height_cm < 195) THEN 'unknown assist_player_id' END AS reason FROM goals"),
@@ -102,6 +133,9 @@ QUERIES = {
     "cor15_rename_if_free": (lambda a: cor.rename_if_free(a.players().select("player_id", "name"), a.players().select("player_id", F.when(F.col("player_id") % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("Dr. "), "name")).alias("full_name")), "player_id"), "SELECT player_id, CASE WHEN player_id % 4 <> 0 THEN 'Dr. ' || name ELSE name END AS name FROM players"),
     "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("source_file = 'liga'"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[0].select("match_id", "home_team_id", "home_score"), "SELECT match_id, home_team_id, home_score FROM matches WHERE source_file <> 'liga' AND home_team_id % 6 <> 0 AND home_score IS NOT NULL"),
     "cor17_reload_events": (lambda a: cor.reload_events(a.goals(), a.goals().filter("minute > 45"), a.matches().filter("season_id = 1998")).select("goal_id", "match_id", "minute"), "SELECT goal_id, match_id, minute FROM goals JOIN matches USING (match_id) WHERE season_id <> 1998 OR minute > 45"),
+    "cor16_sync_matches": (lambda a: sync_rows(a, "matches").select("match_date", "home", "away", "home_score"), SYNC + "SELECT match_date, 'team ' || home_team_id AS home, 'team ' || away_team_id AS away, home_score FROM every"),
+    "cor16_sync_lineups": (lambda a: sync_rows(a, "lineups").select("match_date", "home", "away", "normalized_name", "line", "shirt_number"), SYNC + "SELECT DISTINCT match_date, 'team ' || home_team_id AS home, 'team ' || away_team_id AS away, normalized_name, line, shirt_number FROM lineups JOIN matches USING (match_id) JOIN players USING (player_id)"),
+    "cor16_sync_report": (lambda a: synced(a)[1].select("table_name", "created", "skipped"), SYNC + "SELECT 'teams' AS table_name, 8 AS created, 0 AS skipped UNION ALL SELECT 'players', (SELECT count(DISTINCT normalized_name) FROM players) - (SELECT count(DISTINCT normalized_name) FROM players WHERE player_id % 3 = 0), 0 UNION ALL SELECT 'competitions', 2, 0 UNION ALL SELECT 'seasons', count(*) FILTER (season_id > 1999), 0 FROM seasons UNION ALL SELECT 'matches', (SELECT count(*) FROM every) - (SELECT count(*) FROM has), 0"),
     "src10_upsert_latest": (lambda a: cor.upsert_latest(a.answers().filter("is_correct").select("player", "round_id", F.lit("old").alias("v")).distinct(), a.answers().filter("time_ms > 5000").select("player", "round_id", F.lit("new").alias("v")).distinct(), ["player", "round_id"]), "SELECT player, round_id, CASE WHEN bool_or(time_ms > 5000) THEN 'new' ELSE 'old' END AS v FROM answers WHERE is_correct OR time_ms > 5000 GROUP BY 1, 2"),
     "src11_insert_ignore": (lambda a: cor.insert_ignore(a.matches().filter("source_file = 'liga'").select("match_id", F.lit("old").alias("v")), a.matches().filter("competition_id >= 3").select("match_id", F.lit("new").alias("v")), ["match_id"]), "SELECT match_id, CASE WHEN source_file = 'liga' THEN 'old' ELSE 'new' END AS v FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
     "src12_upsert_merge": (lambda a: cor.upsert_merge(a.matches().filter("source_file = 'liga'").select("match_id", "attendance", "referee_id", F.lit(False).alias("seen")), a.matches().filter("competition_id >= 3").select("match_id", F.lit(10000).alias("attendance"), F.lit(None).cast("int").alias("referee_id"), F.lit(True).alias("seen")), ["match_id"], {"attendance": "greatest", "referee_id": "fill", "seen": "either"}), "SELECT match_id, CASE WHEN competition_id < 3 THEN attendance WHEN source_file <> 'liga' THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN source_file = 'liga' THEN referee_id END AS referee_id, competition_id >= 3 AS seen FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
