@@ -27,6 +27,51 @@ def test_quality_held_out(spark):
 def test_toxicity_held_out(spark):
     rows = joined(spark, "op8_toxicity", "toxic")
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.85
+    # of the toxic texts here, the others share no telling word with the 37 that can be learned from
+    toxic = [r for r in rows if r["toxic"] == 1 and r["lang"] == "en"]
+    assert len(toxic) >= 9 and np.mean([r["predicted"] == 1 for r in toxic]) >= 0.9
+    assert np.mean([r["predicted"] == 1 for r in rows if r["toxic"] == 0]) <= 0.05
+
+
+def test_toxicity_against_plain_computation(spark):
+    """Log-odds, the law of clean text, evidence and score of a small sample, each from its definition."""
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    calm, harsh = [f"w{chr(97 + k)}{chr(97 + k % 7)}x" for k in range(25)], ["vile", "nasty", "ugh"]
+    text = lambda bad: " ".join(r.choice(harsh) if bad and r.random() < 0.3 else r.choice(calm) for _ in range(r.randint(8, 30)))
+    sample = [(k, int(k % 4 == 0), text(k % 4 == 0)) for k in range(80)]
+    words, odds = toxicity.log_odds(spark.createDataFrame(sample, "doc_id long, toxic int, text string").repartition(3))
+    one = {}
+    for k, t, x in sample:  # of texts that count as copies of each other, the one with the smallest id
+        one.setdefault((t, toxicity.sketch(toxicity.word_starts(x)[2])), x)
+    counts = [Counter(w for (t, _), x in one.items() if t == side for w in set(x.split())) for side in (0, 1)]
+    n = [sum(c.values()) for c in counts]
+    want = {}
+    for w in set(counts[0]) | set(counts[1]):
+        c = [counts[0][w], counts[1][w]]
+        prior = toxicity.PRIOR * sum(c)
+        both = [math.log((c[k] + prior) / (n[k] + toxicity.PRIOR * sum(n) - c[k] - prior)) for k in (0, 1)]
+        z, e = both[1] - both[0], toxicity.SHRINK * math.sqrt(1 / (c[0] + prior) + 1 / (c[1] + prior))
+        if abs(z) > e:
+            want[int(toxicity.word_starts(w)[2][0])] = math.copysign(abs(z) - e, z)
+    assert set(words.tolist()) == set(want) and np.allclose(odds, [want[int(w)] for w in words])
+    assert {int(toxicity.word_starts(w)[2][0]) for w in harsh} <= {w for w, x in want.items() if x > 0}
+
+    model = toxicity.Model(words, odds)
+    clean = [model.word_scores(toxicity.word_starts(x)[2]) for _, t, x in sample if not t]
+    values, times = np.unique(np.concatenate(clean), return_counts=True)
+    best = np.array([max((s for _, _, s in toxicity.segments(c)), default=0.0) for c in clean])
+    decay, k = toxicity.law(np.append(values, 2.0), np.append(times, 1), np.sort(best), np.array([len(c) for c in clean])[np.argsort(best, kind="stable")])
+    share = np.append(times, 1) / (times.sum() + 1)
+    assert decay == 3.0 or abs((share * np.exp(decay * np.append(values, 2.0))).sum() - 1) < 1e-6
+    model.decay, model.k, model.slope, model.offset = decay, k, 1.3, -2.0
+    for _, _, x in sample:
+        scores = model.word_scores(toxicity.word_starts(x)[2]).tolist()
+        evidence = sum(e for e in (decay * s - math.log(k * len(scores)) for _, _, s in by_definition(scores)) if e > -math.log(toxicity.BOUND))
+        assert abs(model.evidence(x) - evidence) < 1e-9
+        assert abs(model.probability(evidence) - 1 / (1 + math.exp(-(1.3 * math.log1p(evidence) - 2.0)))) < 1e-12
 
 
 def test_language_held_out(spark):
