@@ -134,7 +134,7 @@ QUERIES = {
     "cor16_full_sync": (lambda a: cor.append_missing(a.matches().filter("source_file = 'liga'"), joi.remap_events(a.matches(), {}, {"home_team_id": id_map(a.teams(), "team_id", 6, 0)}), "match_id", ["home_team_id", "home_score"])[0].select("match_id", "home_team_id", "home_score"), "SELECT match_id, home_team_id, home_score FROM matches WHERE source_file <> 'liga' AND home_team_id % 6 <> 0 AND home_score IS NOT NULL"),
     "cor17_reload_events": (lambda a: cor.reload_events(a.goals(), a.goals().filter("minute > 45"), a.matches().filter("season_id = 1998")).select("goal_id", "match_id", "minute"), "SELECT goal_id, match_id, minute FROM goals JOIN matches USING (match_id) WHERE season_id <> 1998 OR minute > 45"),
     "cor16_sync_matches": (lambda a: sync_rows(a, "matches").select("match_date", "home", "away", "home_score"), SYNC + "SELECT match_date, 'team ' || home_team_id AS home, 'team ' || away_team_id AS away, home_score FROM every"),
-    "cor16_sync_lineups": (lambda a: sync_rows(a, "lineups").select("match_date", "home", "away", "normalized_name", "line", "shirt_number"), SYNC + "SELECT DISTINCT match_date, 'team ' || home_team_id AS home, 'team ' || away_team_id AS away, normalized_name, line, shirt_number FROM lineups JOIN matches USING (match_id) JOIN players USING (player_id)"),
+    "cor16_sync_lineups": (lambda a: sync_rows(a, "lineups").select("match_date", "home", "away", "normalized_name", "line", "is_starter", "shirt_number"), SYNC + "SELECT DISTINCT match_date, 'team ' || home_team_id AS home, 'team ' || away_team_id AS away, normalized_name, line, is_starter, shirt_number FROM lineups JOIN matches USING (match_id) JOIN players USING (player_id)"),
     "cor16_sync_report": (lambda a: synced(a)[1].select("table_name", "created", "skipped"), SYNC + "SELECT 'teams' AS table_name, 8 AS created, 0 AS skipped UNION ALL SELECT 'players', (SELECT count(DISTINCT normalized_name) FROM players) - (SELECT count(DISTINCT normalized_name) FROM players WHERE player_id % 3 = 0), 0 UNION ALL SELECT 'competitions', 2, 0 UNION ALL SELECT 'seasons', count(*) FILTER (season_id > 1999), 0 FROM seasons UNION ALL SELECT 'matches', (SELECT count(*) FROM every) - (SELECT count(*) FROM has), 0"),
     "src10_upsert_latest": (lambda a: cor.upsert_latest(a.answers().filter("is_correct").select("player", "round_id", F.lit("old").alias("v")).distinct(), a.answers().filter("time_ms > 5000").select("player", "round_id", F.lit("new").alias("v")).distinct(), ["player", "round_id"]), "SELECT player, round_id, CASE WHEN bool_or(time_ms > 5000) THEN 'new' ELSE 'old' END AS v FROM answers WHERE is_correct OR time_ms > 5000 GROUP BY 1, 2"),
     "src11_insert_ignore": (lambda a: cor.insert_ignore(a.matches().filter("source_file = 'liga'").select("match_id", F.lit("old").alias("v")), a.matches().filter("competition_id >= 3").select("match_id", F.lit("new").alias("v")), ["match_id"]), "SELECT match_id, CASE WHEN source_file = 'liga' THEN 'old' ELSE 'new' END AS v FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
