@@ -38,14 +38,15 @@ def tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
     itself); parent_at: for opening tags of tables, the table around it. cell_at: the cell of that table, by the place of its opening tag.
     """
     bare = F.regexp_replace("html", r"(?s)<!--.*?-->", " ")
-    rows = pages.select(key, F.posexplode_outer(F.split(bare, "<")).alias("at", "part"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pages are dealt out before they grow to tags, and few pages still to all cores
+    rows = pages.select(key, "html").repartition(parts, key).select(key, F.posexplode_outer(F.split(bare, "<")).alias("at", "part"))
     name = F.lower(F.regexp_extract("part", r"^/?([A-Za-z][A-Za-z0-9]*)", 1))
     is_tag = (F.col("at") > 0) & (name != "")
     rows = rows.select(
         key, F.coalesce("at", F.lit(0)).alias("at"), F.when(is_tag, name).alias("tag"), (is_tag & F.col("part").startswith("/")).alias("closing"),
         F.when(is_tag, F.regexp_extract("part", r"(?s)^([^>]*)", 1)).alias("attrs"),
         tx.normalize_whitespace(unescaped(F.when(is_tag, F.regexp_extract("part", r"(?s)^[^>]*>(.*)$", 1)).when(F.col("at") > 0, F.concat(F.lit("<"), "part")).otherwise(F.coalesce("part", F.lit(""))))).alias("text"),
-    )
+    ).filter("NOT coalesce(closing AND tag IN ('a', 'tr') AND text = '', false)")
     page = Window.partitionBy(key).orderBy("at")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
     table = F.col("tag") == "table"
@@ -54,8 +55,7 @@ def tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
     level = Window.partitionBy(key, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("table_at", F.when(F.col("depth") > 0, F.last(F.when(table & ~F.col("closing"), F.col("at")), ignorenulls=True).over(level)))
     mark = F.when((F.col("tag") == "td") & ~F.col("closing"), F.col("at")).when(F.col("tag").isin("td", "tr", "th") | (table & ~F.col("closing")), -1)
-    within = Window.partitionBy(key, "depth", "table_at").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cell_at", F.nullif(F.last(mark, ignorenulls=True).over(within), F.lit(-1)))
+    rows = rows.withColumn("cell_at", F.nullif(F.last(mark, ignorenulls=True).over(level), F.lit(-1)))  # a table begins without a cell
     rows = rows.withColumn("cell_at", F.when(F.col("table_at").isNotNull(), F.col("cell_at")))
     return rows.withColumn("parent_at", F.when(table & ~F.col("closing"), F.lag("table_at").over(page))).drop("sum")
 
@@ -68,8 +68,8 @@ def inside(rows: DataFrame, start: Column, key: str = "page_id") -> DataFrame:
     """Adds `part`: of the elements that begin at rows where start holds, the number, from 1 on, of the one that a row stands in. The elements are tables that hold none of each other."""
     so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("part", F.sum(F.when(start, 1).otherwise(0)).over(so_far)).withColumn("from", F.last(F.when(start, F.col("depth")), ignorenulls=True).over(so_far))
-    since = Window.partitionBy(key, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("part", F.when((F.col("part") > 0) & (F.min("depth").over(since) >= F.col("from")), F.col("part"))).drop("from")
+    ended = F.coalesce(F.max(F.when(F.col("depth") < F.col("from"), F.col("part"))).over(so_far), F.lit(0))
+    return rows.withColumn("ended", ended).withColumn("part", F.when(F.col("part") > F.col("ended"), F.col("part"))).drop("from", "ended")
 
 
 def joined_text(test: Column, over: WindowSpec | None = None) -> Column:

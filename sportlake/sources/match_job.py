@@ -45,13 +45,14 @@ def cells(pages: DataFrame) -> DataFrame:
     and the same for all rows of a page: header, crowd (the text that names spectators), n_blocks, several."""
     rows = el.tags(pages)
     page = Window.partitionBy("page_id")
-    after = page.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("page_id", "table_at")
     table = el.opens("table")
     full = table & (el.attribute(F.col("attrs"), "width") == "100%")
     high = lambda h: full & (el.attribute(F.col("attrs"), "height") == h)
     bold = el.opens("b")
-    rows = rows.withColumn("first_text", F.when(table, F.last(F.nullif("text", F.lit("")), ignorenulls=True).over(after)))
-    rows = rows.withColumn("is_reserve", table & F.coalesce(F.lower("first_text").startswith("reserve"), F.lit(False)))
+    first = F.min_by("text", F.when(F.col("text") != "", F.col("at"))).over(own)
+    rows = rows.withColumn("reserve", F.col("table_at").isNotNull() & F.coalesce(F.lower(first).startswith("reserve"), F.lit(False)))
+    rows = rows.withColumn("is_reserve", table & F.col("reserve"))
     least = lambda test, value="at": F.min(F.when(test, F.col(value))).over(page)
     rows = rows.withColumns({
         "counts": F.array(*(F.sum(F.when(high(h), 1).otherwise(0)).over(page) for h in HEIGHTS)),
@@ -64,13 +65,13 @@ def cells(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"bold_end": least((F.col("tag") == "b") & F.col("closing") & (F.col("at") > F.col("bold_at"))), "goals_at": least(table & (F.col("at") > F.col("goals_in")))})
     which = F.array_position(F.transform("counts", lambda n: n >= 2), F.lit(True))
     block = F.coalesce(F.when(which == 0, table & F.array_contains(F.when(F.size("wrappers") >= 2, F.col("wrappers")).otherwise(F.col("naming")), F.col("at"))).otherwise(F.coalesce(*(F.when(which == k + 1, high(h)) for k, h in enumerate(HEIGHTS)))), F.lit(False))
-    rows = rows.withColumn("n_blocks", F.sum(F.when(block, 1).otherwise(0)).over(page))
-    rows = el.inside(rows, block)
+    rows = rows.withColumn("block", block).withColumns({"n_blocks": F.sum(F.when(F.col("block"), 1).otherwise(0)).over(page), "blocks": F.collect_set(F.when(F.col("block"), F.col("at"))).over(page)})
+    rows = el.inside(rows, F.col("block"))
     # the tables of a block, if it holds any; else the block itself
-    inner = F.max(F.when(table & ~block, 1).otherwise(0)).over(Window.partitionBy("page_id", "part"))
-    own = Window.partitionBy("page_id", "table_at")
-    rows = rows.withColumn("reserve", F.max(F.when(F.col("at") == F.col("table_at"), F.col("is_reserve"))).over(own)).withColumn("is_block", F.max(F.when(F.col("at") == F.col("table_at"), block)).over(own))
-    rows = rows.withColumn("side", F.when(~(F.col("is_block") & (inner == 1)), F.when(F.col("part") == 1, "home").when(F.col("part") == 2, "away")))
+    inner = lambda k: F.max(F.when(table & ~F.col("block") & (F.col("part") == k), 1).otherwise(0)).over(page)
+    rows = rows.withColumns({"inner_1": inner(1), "inner_2": inner(2)})
+    own_cells = F.array_contains("blocks", F.col("table_at"))
+    rows = rows.withColumn("side", F.when((F.col("part") == 1) & ~(own_cells & (F.col("inner_1") == 1)), "home").when((F.col("part") == 2) & ~(own_cells & (F.col("inner_2") == 1)), "away"))
     anchors = F.transform(F.array_sort(F.collect_list(F.when(el.opens("a"), F.struct("at", el.attribute(F.col("attrs"), "href").alias("href"), "text")))), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text")))
     icons = F.transform(F.array_sort(F.collect_list(F.when(el.opens("img"), F.struct("at", el.attribute(F.col("attrs"), "src").alias("src"))))), lambda x: x["src"])
     head = (F.col("at") >= F.col("bold_at")) & ((F.col("at") < F.col("bold_end")) | F.col("bold_end").isNull())
