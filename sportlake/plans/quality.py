@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sportlake.functions import text as tx
+from sportlake.operators import compare
 from sportlake.operators import corrections as cor
 from sportlake.operators import joins as joi
 from sportlake.operators import merges as mrg
@@ -29,6 +30,13 @@ def id_map(df, key: str, every: int, shift: int):  # noqa: ANN001, ANN201
     return df.select(F.col(key).alias("source_id"), F.when(F.col(key) % every != 0, F.col(key) + shift).alias("target_id")).distinct()
 
 
+def versions(a):  # noqa: ANN001, ANN201
+    """Two versions of the matches: in the second the open ones are missing and some have no season."""
+    m = a.matches()
+    changed = F.when(F.col("match_id") % 1300 != 0, F.col("season_id"))
+    return m.select("match_id", "season_id", "round_name"), m.filter("home_score IS NOT NULL").select("match_id", changed.alias("season_id"), "round_name")
+
+
 def chains(a):  # noqa: ANN001, ANN201
     """Steps from team to team: 20 to 18 by way of 19, 17 to 1, a circle of three, and one to a team that is not there."""
     steps = "(20, 19), (19, 18), (17, 1), (14, 15), (15, 16), (16, 14), (13, 99)"
@@ -102,6 +110,8 @@ QUERIES = {
     "dq22_value_ranges": (lambda a: dq.value_ranges(a.matches(), {"season_id": (1900, 2030), "home_score": (0, 4), "attendance": (0, 20000)}), "SELECT 'season_id' AS column_name, min(season_id)::BIGINT AS low, max(season_id)::BIGINT AS high, count(*) FILTER (season_id NOT BETWEEN 1900 AND 2030) AS outside FROM matches UNION ALL SELECT 'home_score', min(home_score), max(home_score), count(*) FILTER (home_score NOT BETWEEN 0 AND 4) FROM matches UNION ALL SELECT 'attendance', min(attendance), max(attendance), count(*) FILTER (attendance NOT BETWEEN 0 AND 20000) FROM matches"),
     "dq22_domains": (lambda a: dq.domains(a.cards(), "card_type", ["yellow", "red"]), "SELECT card_type, count(*) AS n FROM cards WHERE card_type NOT IN ('yellow', 'red') GROUP BY 1"),
     "dq23_compare_tables": (lambda a: dq.compare_tables(a.matches().select("match_id", "season_id"), a.matches().filter("competition_id <> 4").select("match_id", (F.col("season_id") + F.when(F.col("match_id") % 13 == 0, 1).otherwise(0)).alias("season_id"))), "SELECT count(*) AS rows_a, count(*) FILTER (competition_id <> 4) AS rows_b, count(*) FILTER (competition_id = 4 OR match_id % 13 = 0) AS only_a, count(*) FILTER (competition_id <> 4 AND match_id % 13 = 0) AS only_b FROM matches"),
+    "dq23_compare_by_checksums": (lambda a: compare.summary(compare.Comparison(*versions(a), ["match_id"])), "SELECT count(*) AS rows_a, count(*) FILTER (home_score IS NOT NULL) AS rows_b, count(*) FILTER (home_score IS NULL OR match_id % 1300 = 0) AS only_a, count(*) FILTER (home_score IS NOT NULL AND match_id % 1300 = 0) AS only_b FROM matches"),
+    "dq23_different_rows": (lambda a: compare.Comparison(*versions(a), ["match_id"]).rows(), "SELECT match_id, season_id, round_name, 'a' AS side, 1 AS times FROM matches WHERE home_score IS NULL OR match_id % 1300 = 0 UNION ALL SELECT match_id, NULL, round_name, 'b', 1 FROM matches WHERE home_score IS NOT NULL AND match_id % 1300 = 0"),
     "dq24_compare_runs": (lambda a: dq.compare_runs(*[m.groupBy(F.col("competition_id").cast("string").alias("metric")).agg(F.count("*").alias("value")) for m in (a.matches().filter("season_id = 1995"), a.matches().filter("season_id = 1996"))]), "SELECT competition_id::VARCHAR AS metric, count(*) FILTER (season_id = 1995) AS before, count(*) FILTER (season_id = 1996) AS after, count(*) FILTER (season_id = 1996) - count(*) FILTER (season_id = 1995) AS change FROM matches GROUP BY 1"),
     "dq25_find_name_errors": (lambda a: dq.find_name_errors({"player": names(a).select(F.col("doc_id").alias("id"), "name"), "team": a.teams().select(F.col("team_id").alias("id"), F.concat(F.lit("Trainer "), "name").alias("name"))}).select("kind", "id", "category", "delete"), NAMES + f"SELECT kind, id::BIGINT AS id, category, category IN ('trainer_name', 'referee_name', 'goal_text', 'error_text') AS delete FROM (SELECT 'player' AS kind, doc_id AS id, {CATEGORY} AS category FROM n UNION ALL SELECT 'team', team_id, 'trainer_name' FROM teams) WHERE category IS NOT NULL"),
     "agg43_error_breakdown": (lambda a: dq.error_breakdown(dq.high_scores(a.matches(), 5, 9).select("level", "source_file"), ["level", "source_file"]), "x AS (SELECT CASE WHEN home_score + away_score >= 9 THEN 'warn' ELSE 'info' END AS level, source_file FROM matches WHERE greatest(home_score, away_score) >= 5)\n--\nSELECT level AS value, count(*) AS n, 'level' AS \"by\" FROM x GROUP BY 1 UNION ALL SELECT source_file, count(*), 'source_file' FROM x GROUP BY 1"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sportlake.functions.numbers import points_time, ratio, sql_ratio
 from sportlake.operators import aggregates as agg
+from sportlake.operators import mentions
 from sportlake.operators import perspective as prj
 from sportlake.operators import vectors as vec
 from sportlake.operators import windows as win
@@ -23,6 +24,22 @@ BEST = "SELECT player, max(n) AS best_streak FROM (SELECT player, island, count(
 SESSIONS = "SELECT player, min(submitted_at) AS started, max(submitted_at) AS last_seen, count(*) AS messages FROM (SELECT *, sum(g) OVER (PARTITION BY player ORDER BY submitted_at, answer_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN submitted_at - lag(submitted_at) OVER (PARTITION BY player ORDER BY submitted_at, answer_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM answers)) GROUP BY player, s"
 
 
+#: Names out of benchmark texts: their last two words, and their first two short ones.
+LAST, SHORT = r"([A-Za-z]+ [A-Za-z]+)[^A-Za-z]*$", r"(?:^|[^A-Za-z])([a-z][a-z]? [a-z][a-z]?)[^A-Za-z]"
+PLAIN = r"lower(trim(regexp_replace(regexp_replace(strip_accents({c}), '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')))"
+PHRASES = f"""ph AS (SELECT entity_id, {PLAIN.format(c="name")} AS name FROM (SELECT item_id * 2 AS entity_id, regexp_extract(text, '{LAST}', 1) AS name FROM benchmark UNION ALL SELECT item_id * 2 + 1, regexp_extract(text, '{SHORT}', 1) FROM benchmark)),
+pt AS (SELECT entity_id, name AS pattern FROM ph WHERE name <> '' UNION SELECT entity_id, t FROM (SELECT entity_id, unnest(string_split(name, ' ')) AS t FROM ph) WHERE length(t) >= 3)
+--
+"""
+NAMED = "SELECT DISTINCT {key}, entity_id FROM (SELECT *, " + PLAIN.format(c="text") + " AS plain FROM {table}) JOIN pt ON contains(plain, pattern)"
+
+
+def phrases(a):  # noqa: ANN001, ANN201
+    text, id_ = F.col("text"), F.col("item_id") * 2
+    every = F.array(F.struct(id_.alias("entity_id"), F.regexp_extract(text, LAST, 1).alias("name")), F.struct((id_ + 1).alias("entity_id"), F.regexp_extract(text, SHORT, 1).alias("name")))
+    return a.raw("benchmark").select(F.explode(every).alias("x")).select("x.*")
+
+
 def answers(a):  # noqa: ANN001, ANN201
     return a.answers().withColumn("points", points_time(F.col("is_correct"), F.col("time_ms")))
 
@@ -87,6 +104,8 @@ QUERIES = {
     "vec06_upsert_embeddings": (lambda a: st.upsert_vectors(base(a).select("vec_id", "label"), base(a).filter("label = 0").select("vec_id", F.lit(99).alias("label")), ["vec_id"]), "SELECT vec_id, CASE WHEN label = 0 THEN 99 ELSE label END::INT AS label FROM embeddings"),
     "vec07_approx_top_k": (lambda a: vec.approx_top_k(base(a), asked(a), 10), None),
     "vec08_resolve_mentions": (lambda a: vec.mentions(a.raw("documents").select("doc_id", "text"), "doc_id", a.raw("region").select(F.col("r_regionkey").alias("entity_id"), F.concat(F.substring(F.lit("the que und con les"), F.col("r_regionkey") * 4 + 1, F.lit(3)), F.lit(" of")).alias("name"))), "x AS (SELECT DISTINCT doc_id, unnest(string_split(lower(trim(regexp_replace(regexp_replace(strip_accents(text)" + r", '[^A-Za-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))), ' ')) AS token FROM documents)" + "\n--\nSELECT DISTINCT doc_id, r_regionkey AS entity_id FROM x JOIN region ON token = substr('the que und con les', r_regionkey * 4 + 1, 3)"),
+    "vec08_whole_names": (lambda a: mentions.resolve(a.raw("documents").select("doc_id", "text"), "doc_id", phrases(a)), PHRASES + NAMED.format(key="doc_id", table="documents")),
+    "fun43_whole_names": (lambda a: mentions.resolve(a.messages().select(F.concat_ws("/", "session_id", "turn").alias("key"), F.col("content").alias("text")), "key", phrases(a)), PHRASES + NAMED.format(key="session_id || '/' || turn AS key", table="(SELECT *, content AS text FROM messages)")),
     "src06_scan_table": (lambda a: io.scan_table(a.spark, a.folder, "supplier", ["s_suppkey", "s_name"]), "SELECT s_suppkey, s_name FROM supplier"),
     "src07_coerce_dates": (lambda a: io.coerce_dates(a.matches().select("match_id", F.when(F.col("match_id") % 3 == 0, F.date_format("match_date", "d.M.yyyy")).when(F.col("match_id") % 3 == 1, F.col("match_date").cast("string")).otherwise("31.09.1972").alias("d")), ["d"]), "SELECT match_id, CASE WHEN match_id % 3 < 2 THEN match_date END AS d FROM matches"),
     "src08_coerce_booleans": (lambda a: io.coerce_booleans(a.lineups().select("match_id", "player_id", F.col("is_starter").cast("int").alias("is_starter")), ["is_starter"]), "SELECT match_id, player_id, is_starter FROM lineups"),
