@@ -5,6 +5,8 @@ Facts are aggregated on their own keys before they meet, so joins never multiply
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +34,86 @@ def competition_statistics(m: DataFrame, focal: int = 1) -> DataFrame:
     return record(rows, "competition_id").join(span, "competition_id")
 
 
-def per_player(lineups: DataFrame, goals: DataFrame, cards: DataFrame) -> DataFrame:
-    """One row per player with line-ups: appearances, starts, goals by kind (no own goals), assists, cards by kind."""
-    apps = lineups.groupBy("player_id").agg(F.countDistinct("match_id").alias("appearances"), F.count_if("is_starter").alias("starts"), F.min("match_id").alias("first_match"), F.max("match_id").alias("last_match"))
-    own = F.coalesce(F.col("event_type") == "own_goal", F.lit(False))
-    scored = goals.filter(~own).groupBy("player_id").agg(F.count("*").alias("goals"), F.count_if(F.col("event_type") == "penalty").alias("penalties"))
-    assists = goals.filter(~own & F.col("assist_player_id").isNotNull()).groupBy(F.col("assist_player_id").alias("player_id")).agg(F.count("*").alias("assists"))
-    shown = cards.groupBy("player_id").agg(*[F.count_if(F.col("card_type") == k).alias(k) for k in ("yellow", "second_yellow", "red")])
-    out = apps
-    for part in (scored, assists, shown):
-        out = out.join(part, "player_id", "left")
-    return out.na.fill(0, ["goals", "penalties", "assists", "yellow", "second_yellow", "red"])
+#: What counts: the name of each number, and the kinds of event that it counts.
+COUNTED = {
+    "goals": ["goal", "penalty"], "penalties": ["penalty"], "own_goals": ["own_goal"], "assists": ["assist"], "own_goal_assists": ["own_goal_assist"],
+    "yellow": ["yellow"], "second_yellow": ["second_yellow"], "red": ["red"],
+}
+
+
+def goal_kind(event_type: Column) -> Column:
+    return F.when(event_type.isin("own_goal", "penalty"), event_type).otherwise("goal")
+
+
+def assist_kind(event_type: Column) -> Column:
+    return F.when(event_type == "own_goal", "own_goal_assist").otherwise("assist")
+
+
+def player_events(lineups: DataFrame, goals: DataFrame, cards: DataFrame) -> DataFrame:
+    """match_id, player_id, part (2 for a start, 1 for another place in the line-up, else 0), kind (NULL or an event) from three tables of facts.
+
+    A row may hold a part and an event of a player. Where one table has all the facts, its adapter gives these rows from one reading.
+    """
+    of = lambda df, player, part, kind: df.select("match_id", F.col(player).alias("player_id"), part.alias("part"), kind.alias("kind"))
+    none, event = F.lit(0), F.col("event_type")
+    parts = [of(lineups, "player_id", F.when(F.col("is_starter"), 2).otherwise(1), F.lit(None).cast("string")), of(goals, "player_id", none, goal_kind(event))]
+    parts += [of(goals.filter("assist_player_id IS NOT NULL"), "assist_player_id", none, assist_kind(event)), of(cards, "player_id", none, F.col("card_type"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_match(events: DataFrame, *keys: str) -> DataFrame:
+    """One row for each player and match: the part played, and the numbers of events. Repeats of a line-up count once."""
+    return events.groupBy("match_id", "player_id", *keys).agg(F.max("part").alias("part"), *[F.count_if(F.col("kind").isin(kinds)).alias(name) for name, kinds in COUNTED.items()])
+
+
+def _parts() -> list[Column]:
+    return [F.count_if(F.col("part") > 0).alias("appearances"), F.count_if(F.col("part") == 2).alias("starts")]
 
 
-def player_career_stats(players: DataFrame, lineups: DataFrame, goals: DataFrame, cards: DataFrame) -> DataFrame:
-    out = per_player(lineups, goals, cards).withColumns({"sub_appearances": F.col("appearances") - F.col("starts"), "goals_per_match": ratio("goals", "appearances", 2)})
-    return players.select("player_id", "name").join(out, "player_id").drop("first_match", "last_match")
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Numbers by the keys, where there was a line-up."""
+    seen = F.when(F.col("part") > 0, F.col("match_id"))
+    out = rows.groupBy(*keys).agg(*_parts(), *[F.sum(c).alias(c) for c in COUNTED], F.min(seen).alias("first_match"), F.max(seen).alias("last_match"))
+    return out.filter("appearances > 0")
 
 
-def top_scorers(players: DataFrame, lineups: DataFrame, goals: DataFrame, cards: DataFrame, least: int = 1) -> DataFrame:
-    out = per_player(lineups, goals, cards).filter(F.col("goals") >= least)
+def per_player(events: DataFrame) -> DataFrame:
+    """One row per player with line-ups: appearances, starts, goals by kind (own goals apart), assists (those of own goals apart), cards by kind, first and last match.
+
+    One reading and one shuffle of the events, by player and match, so that the events of one player are spread; the second step adds up sums.
+    """
+    return _summed(_by_match(events), "player_id")
+
+
+def player_career_stats(players: DataFrame, events: DataFrame) -> DataFrame:
+    out = per_player(events).withColumns({"sub_appearances": F.col("appearances") - F.col("starts"), "goals_per_match": ratio("goals", "appearances", 2)})
+    return players.select("player_id", "name").join(out, "player_id").drop("first_match", "last_match", "own_goals", "own_goal_assists")
+
+
+def top_scorers(players: DataFrame, events: DataFrame, least: int = 1) -> DataFrame:
+    out = per_player(events).filter(F.col("goals") >= least)
     return players.select("player_id", "name").join(out, "player_id").select("player_id", "name", "goals", "penalties", (F.col("goals") - F.col("penalties")).alias("regular_goals"), "appearances", ratio("goals", "appearances", 2).alias("goals_per_match"))
 
 
-def player_season_stats(m: DataFrame, lineups: DataFrame, goals: DataFrame, cards: DataFrame) -> DataFrame:
-    """Per player, season and competition."""
+def _with_season(m: DataFrame, events: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Events with columns of their match, a row for each player and match: the join leaves them by match, so that grouping needs no shuffle after a shuffled one."""
+    return _by_match(events.join(m.select("match_id", *keys), "match_id", how), *keys)
+
+
+def player_season_stats(m: DataFrame, events: DataFrame) -> DataFrame:
+    """Per player, season and competition; assists of own goals count here."""
     keys = ["player_id", "season_id", "competition_id"]
-    of = m.select("match_id", "season_id", "competition_id")
-    out = lineups.join(of, "match_id").groupBy(*keys).agg(F.count("*").alias("appearances"), F.count_if("is_starter").alias("starts"))
-    own = F.coalesce(F.col("event_type") == "own_goal", F.lit(False))
-    parts = [goals.filter(~own).join(of, "match_id").groupBy(*keys).agg(F.count("*").alias("goals"))]
-    parts.append(goals.filter("assist_player_id IS NOT NULL").select("match_id", F.col("assist_player_id").alias("player_id")).join(of, "match_id").groupBy(*keys).agg(F.count("*").alias("assists")))
-    parts.append(cards.join(of, "match_id").groupBy(*keys).agg(F.count_if(F.col("card_type") == "yellow").alias("yellow"), F.count_if(F.col("card_type") == "red").alias("red")))
-    for part in parts:
-        out = out.join(part, keys, "left")
-    return out.na.fill(0, ["goals", "assists", "yellow", "red"])
+    out = _summed(_with_season(m, events, "season_id", "competition_id"), *keys)
+    return out.select(*keys, "appearances", "starts", "goals", (F.col("assists") + F.col("own_goal_assists")).alias("assists"), "yellow", "red")
+
+
+def career_highlights(players: DataFrame, m: DataFrame, events: DataFrame) -> DataFrame:
+    """Appearances and goals of each player with line-ups, and the season with most goals (own goals count, the earliest of equals)."""
+    rows = _with_season(m, events, "season_id", how="left").withColumn("_all", F.col("goals") + F.col("own_goals"))
+    seasons = rows.groupBy("player_id", "season_id").agg(_parts()[0], F.sum("goals").alias("goals"), F.sum("_all").alias("_all"))
+    best = F.max(F.when(F.col("season_id").isNotNull() & (F.col("_all") > 0), F.struct("_all", (-F.col("season_id")).alias("_back"))))
+    out = seasons.groupBy("player_id").agg(F.sum("appearances").alias("appearances"), F.sum("goals").alias("goals"), best.alias("x")).filter("appearances > 0")
+    return players.select("player_id", "name").join(out, "player_id").select("player_id", "name", "appearances", "goals", (-F.col("x._back")).alias("best_season"), F.col("x._all").alias("best_goals"))
 
 
 def game_leaderboard(answers: DataFrame, rounds: DataFrame, game_id: int | None = None) -> DataFrame:
@@ -172,6 +219,16 @@ def name_variants(p: DataFrame) -> DataFrame:
     return p.groupBy("normalized_name").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "|").alias("names")).filter("n > 1")
 
 
+def spellings(p: DataFrame) -> DataFrame:
+    """A row for each spelling of a name that has several: normalized_name, name, n (rows with it), variants (spellings of the name).
+
+    Unlike name_variants, no cell holds a group: equal names are counted first, and the count of spellings is joined.
+    """
+    each = p.filter("normalized_name IS NOT NULL AND name IS NOT NULL").groupBy("normalized_name", "name").agg(F.count("*").alias("n"))
+    several = each.groupBy("normalized_name").agg(F.count("*").alias("variants")).filter("variants > 1")
+    return each.join(several, "normalized_name")
+
+
 def duplicate_counts(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """Rows less distinct keys (NULL is a value) per table."""
     out = None

@@ -55,7 +55,14 @@ def scoring_side(goals: DataFrame) -> DataFrame:
 
 
 def running_matchday(m: DataFrame) -> DataFrame:
-    return ranked(m, ["season_competition_id"], ["match_date", "match_id"], "running_matchday")
+    """Matches of a competition season numbered by date and id: inside months, plus the matches of the months before, so no task holds a season."""
+    month = F.date_trunc("month", "match_date")
+    inside = ranked(m.withColumn("_month", month), ["season_competition_id", "_month"], ["match_date", "match_id"], "_rn")
+    before = Window.partitionBy("season_competition_id").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    months = m.groupBy("season_competition_id", month.alias("_month")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    names = {"season_competition_id": "_sc", "_month": "_at"}  # a missing date or season is a group of its own, first in order
+    joined = inside.join(months.drop("_n").withColumnsRenamed(names), F.col("season_competition_id").eqNullSafe(F.col("_sc")) & F.col("_month").eqNullSafe(F.col("_at")))
+    return joined.withColumn("running_matchday", (F.col("_rn") + F.col("_before")).cast("int")).drop("_rn", "_before", "_month", *names.values())
 
 
 def last_n(messages: DataFrame, n: int) -> DataFrame:

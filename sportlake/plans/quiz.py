@@ -88,6 +88,7 @@ QUERIES = {
     "str02_streaks_batch": (lambda a: inc.streaks_of(inc.block_runs(a.answers().withColumn("submitted_at", F.col("submitted_at").cast("timestamp")))), f"SELECT player, current_streak, best_streak FROM ({STREAK}) JOIN ({BEST}) USING (player)"),
     "str03_question_stats": (lambda a: st.run_once(st.question_stats(st.answer_stream(a), a.rounds()), a, "update", ["question_id"]), "SELECT question_id, count(*) AS used, count(*) FILTER (is_correct) AS correct, sum(time_ms)::BIGINT AS time_ms FROM answers JOIN rounds USING (round_id) GROUP BY 1"),
     "str04_chat_sessions": (lambda a: st.run_once(st.sessions(st.answer_stream(a)), a, "complete"), SESSIONS),
+    "str04_ended_sessions": (lambda a: st.run_once(st.sessions(st.answer_stream(a, "2 days")), a, "append"), SESSIONS.replace("SELECT player, min", "SELECT * FROM (SELECT player, min", 1) + ") WHERE last_seen + INTERVAL 1 HOUR <= (SELECT max(submitted_at) - INTERVAL 2 DAY FROM answers)"),
     "str04_sessions_batch": (lambda a: st.sessions_batch(a.answers()), SESSIONS),
     "str05_one_answer_per_round": (lambda a: inc.one_of_each(st.answer_stream(a).select("player", "round_id", "submitted_at", "answer_id"), ["player", "round_id"], ["submitted_at", "answer_id"]).select("player", "round_id", "answer_id"), "SELECT player, round_id, first(answer_id ORDER BY submitted_at, answer_id) AS answer_id FROM answers GROUP BY 1, 2"),
     "str05_last_answer_per_round": (lambda a: inc.one_of_each(st.answer_stream(a).select("player", "round_id", "submitted_at", "answer_id"), ["player", "round_id"], ["submitted_at", "answer_id"], last=True).select("player", "round_id", "answer_id"), "SELECT player, round_id, last(answer_id ORDER BY submitted_at, answer_id) AS answer_id FROM answers GROUP BY 1, 2"),

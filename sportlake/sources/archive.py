@@ -44,11 +44,11 @@ class Archive:
             "CAST(match_id * 37 % 30000 AS INT) AS attendance", "CASE WHEN c % 10 <> 0 THEN CAST(c % 30 + 1 AS INT) END AS referee_id", "CAST(match_id % 34 + 1 AS INT) AS matchday", "concat(match_id % 34 + 1, '. ', CASE WHEN match_id % 3 = 0 THEN 'Runde' ELSE 'Spieltag' END) AS round_name", "source_file",
         )
 
-    def _lines(self, flag: str | None) -> DataFrame:
+    def _lines(self, flag: str | None, *more: str) -> DataFrame:
         lines = self.raw("lineitem")
         if flag:
             lines = lines.filter(F.col("l_returnflag") == flag)
-        return lines.selectExpr("l_orderkey AS match_id", "l_partkey + 1 AS player_id", "l_suppkey + 1 AS other_id", "l_linenumber AS line", "CAST(l_quantity AS INT) AS q", "l_linestatus AS status", "l_partkey AS p", "l_suppkey AS s")
+        return lines.selectExpr("l_orderkey AS match_id", "l_partkey + 1 AS player_id", "l_suppkey + 1 AS other_id", "l_linenumber AS line", "CAST(l_quantity AS INT) AS q", "l_linestatus AS status", "l_partkey AS p", "l_suppkey AS s", *more)
 
     def lineup_rows(self) -> DataFrame:
         """Repeats included."""
@@ -67,6 +67,15 @@ class Archive:
     def cards(self) -> DataFrame:
         return self._lines("R").selectExpr("match_id * 10000000 + p * 10 + line AS card_id", "match_id", "player_id", "CASE WHEN s % 10 = 0 THEN q + 10 END AS minute", "CASE CAST(s % 3 AS INT) WHEN 0 THEN 'yellow' WHEN 1 THEN 'second_yellow' ELSE 'red' END AS card_type")
 
+    def player_events(self) -> DataFrame:
+        """match_id, player_id, part, kind of all line-ups, goals, assists and cards from one reading of the lines; counted, these are aggregates.player_events."""
+        goal = "CASE WHEN p % 10 = 0 THEN 'own_goal' WHEN p % 10 = 1 THEN 'penalty' ELSE 'goal' END"
+        kind = f"CASE flag WHEN 'N' THEN {goal} WHEN 'R' THEN CASE s % 3 WHEN 0 THEN 'yellow' WHEN 1 THEN 'second_yellow' ELSE 'red' END END"
+        own = f"struct(player_id, IF(status = 'O', 2, 1) AS part, {kind} AS kind)"
+        assist = "struct(other_id AS player_id, 0 AS part, IF(p % 10 = 0, 'own_goal_assist', 'assist') AS kind)"
+        lines = self._lines(None, "l_returnflag AS flag")
+        return lines.selectExpr("match_id", f"inline(IF(flag = 'N' AND s % 3 <> 0, array({own}, {assist}), array({own})))")
+
     def substitutions(self) -> DataFrame:
         return self._lines("A").selectExpr("match_id * 10000000 + p * 10 + line AS substitution_id", "match_id", "q + 40 AS minute", "player_id AS player_on_id", "other_id AS player_off_id")
 

@@ -53,7 +53,10 @@ def leaderboard(answers: DataFrame) -> DataFrame:
 
 
 def sessions(answers: DataFrame, gap: str = "1 hour") -> DataFrame:
-    """A player's session lasts until so long has passed without an answer."""
+    """A player's session lasts until so long has passed without an answer.
+
+    In append mode a session is written once, when the watermark has passed its end, and leaves the state; those still open wait there for the next run.
+    """
     out = answers.groupBy("player", F.session_window("submitted_at", gap).alias("w")).agg(F.max("submitted_at").alias("last_seen"), F.count("*").alias("messages"))
     return out.select("player", F.col("w.start").alias("started"), "last_seen", "messages")
 

@@ -1,7 +1,9 @@
 """Operators on hand-written rows: NULLs, ties, idempotence."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from sportlake.operators import aggregates as agg
 from sportlake.operators import corrections as cor
 from sportlake.operators import joins as joi
 from sportlake.operators import perspective as prj
@@ -10,6 +12,7 @@ from sportlake.operators import vectors as vec
 from sportlake.operators import windows as win
 from sportlake.sources import io
 from sportlake.sources import pages as pg
+from sportlake.sources.archive import Archive
 from sportlake.streaming import jobs
 
 MATCH = "match_id long, home_team_id int, away_team_id int, home_score int, away_score int"
@@ -232,3 +235,33 @@ def test_last_substitution_counts(spark):
     swaps = spark.createDataFrame([(10, 1, 60, 9, 7), (11, 1, 70, 7, 8), (12, 1, 85, 9, 7), (13, 1, 50, 6, 8)], "substitution_id int, match_id int, minute int, player_on_id int, player_off_id int")
     got = sorted(tuple(r) for r in pg.applied(lineups, swaps).select("player_id", "is_starter", "minute_on", "minute_off").collect())
     assert got == [(6, False, 50, None), (7, False, 70, 85), (8, True, None, 50), (9, False, 85, None)]
+
+
+def test_events_of_players_from_three_tables_and_from_one_reading(spark, small):
+    """The adapter's single reading gives the numbers of three tables; repeats of a line-up, players without one and unknown matches too."""
+    a = Archive(spark, small)
+    one, three = agg.per_player(a.player_events()), agg.per_player(agg.player_events(a.lineups(), a.goals(), a.cards()))
+    assert one.exceptAll(three).count() == 0 and three.exceptAll(one).count() == 0 and one.count() > 0
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    lineups = spark.createDataFrame([(1, 7, True), (1, 7, False), (2, 7, False), (9, 7, True)], "match_id int, player_id int, is_starter boolean")
+    goals = spark.createDataFrame([(1, 7, None, 8), (1, 7, "penalty", None), (2, 7, "own_goal", 7), (2, 8, None, 7), (9, 7, "header", 7)], "match_id int, player_id int, event_type string, assist_player_id int")
+    cards = spark.createDataFrame([(1, 7, "red"), (2, 7, "yellow"), (2, 8, "red")], "match_id int, player_id int, card_type string")
+    events = agg.player_events(lineups, goals, cards)
+    row = agg.per_player(events).collect()
+    assert [r.asDict() for r in row] == [{"player_id": 7, "appearances": 3, "starts": 2, "goals": 3, "penalties": 1, "own_goals": 1, "assists": 2, "own_goal_assists": 1, "yellow": 1, "second_yellow": 0, "red": 1, "first_match": 1, "last_match": 9}]
+    m = spark.createDataFrame([(1, 2001, 1), (2, 2000, 1)], "match_id int, season_id int, competition_id int")
+    best = agg.career_highlights(spark.createDataFrame([(7, "P"), (8, "Q")], "player_id int, name string"), m, events).collect()
+    assert [tuple(r) for r in best] == [(7, "P", 3, 3, 2001, 2)]
+    assert sorted(map(tuple, agg.player_season_stats(m, events).collect())) == [(7, 2000, 1, 1, 0, 0, 2, 1, 0), (7, 2001, 1, 1, 1, 2, 0, 0, 1)]
+
+
+def test_matchdays_run_on_over_months_and_missing_dates(spark):
+    rows = [(4, 10, "2020-01-31"), (3, 10, "2020-02-01"), (2, 10, "2020-02-01"), (1, 10, "2020-05-09"), (5, 10, None), (6, None, "2020-01-01"), (7, 20, "2020-03-01")]
+    m = spark.createDataFrame(rows, "match_id int, season_competition_id int, match_date string").withColumn("match_date", F.col("match_date").cast("date"))
+    got = {r["match_id"]: r["running_matchday"] for r in win.running_matchday(m).collect()}
+    assert got == {5: 1, 4: 2, 2: 3, 3: 4, 1: 5, 6: 1, 7: 1}
+
+
+def test_spellings_of_a_name(spark):
+    p = spark.createDataFrame([("m", "Mü"), ("m", "Mu"), ("m", "Mu"), ("x", "X"), ("x", "X"), (None, "a"), (None, "b"), ("y", None), ("y", "Y")], "normalized_name string, name string")
+    assert sorted(map(tuple, agg.spellings(p).collect())) == [("m", "Mu", 2, 2), ("m", "Mü", 1, 2)]
