@@ -180,6 +180,20 @@ def classify_file(path: Column) -> Column:
     )
 
 
+#: Overview files of a season beside its league, with competition and level.
+OVERVIEWS = {
+    "profipokal": ("DFB-Pokal", "cup"), "profiuefa": ("Europapokal", "international"), "profiuec": ("Europapokal", "international"), "profiuecl": ("Europapokal", "international"),
+    "profiintertoto": ("Europapokal", "international"), "profiueclq": ("Europapokal", "international"), "profirest": ("Freundschaftsspiele", "friendly"),
+}
+
+
+def overview_competition(path: Column) -> Column:
+    """label and level of an overview file of a cup, of Europe or of friendly matches; NULL for other files."""
+    stem = F.lower(F.regexp_extract(path, r"([^/]+)\.html?$", 1))
+    part = lambda k: F.create_map(*[F.lit(x) for name, values in OVERVIEWS.items() for x in (name, values[k])])[stem]
+    return F.struct(part(0).alias("label"), part(1).alias("level"))
+
+
 def attendance_kickoff(c: Column) -> Column:
     """'date, 15.30 Uhr, 12.000 Zuschauer' to kick-off and attendance; 'keine' is NULL."""
     return F.struct(some(c, r"(\d{1,2}[.:]\d{2})\s*Uhr").alias("kickoff"), parse_int(some(c, r"([\d.,]+)\s*Zuschauer")).alias("attendance"))

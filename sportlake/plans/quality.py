@@ -29,6 +29,9 @@ def id_map(df, key: str, every: int, shift: int):  # noqa: ANN001, ANN201
     """source_id, target_id = id + shift; every so many ids have none."""
     return df.select(F.col(key).alias("source_id"), F.when(F.col(key) % every != 0, F.col(key) + shift).alias("target_id")).distinct()
 
+#: Names of overview files: cup, friendly, five of Europe, and two that are none.
+STUBS = ["profipokal", "profirest", "profiuefa", "profiuec", "profiuecl", "profiintertoto", "profiueclq", "profiliga", "profiliga7"]
+
 
 def versions(a):  # noqa: ANN001, ANN201
     """Two versions of the matches: in the second the open ones are missing and some have no season."""
@@ -154,4 +157,5 @@ QUERIES = {
     "src12_keyed_merge": (lambda a: keyed(a, "match_id long, attendance int, referee_id int", ["match_id"], [a.matches().filter("source_file = 'liga'"), a.matches().filter("competition_id >= 3").withColumns({"attendance": F.lit(10000), "referee_id": F.lit(None).cast("int")})], kt.merged({"attendance": "greatest"})), "SELECT match_id, CASE WHEN competition_id < 3 THEN attendance WHEN source_file <> 'liga' THEN 10000 ELSE greatest(attendance, 10000) END AS attendance, CASE WHEN source_file = 'liga' THEN referee_id END AS referee_id FROM matches WHERE source_file = 'liga' OR competition_id >= 3"),
     "src19_append_missing": (lambda a: cor.append_missing(a.matches().filter("season_id < 1998"), a.matches(), "match_id", ["home_score", "referee_id"])[1], "SELECT count(*) FILTER (home_score IS NOT NULL AND referee_id IS NOT NULL) AS copied, count(*) FILTER (home_score IS NULL OR referee_id IS NULL) AS skipped FROM matches WHERE season_id >= 1998"),
     "src21_classify_files": (lambda a: a.matches().groupBy(tx.classify_file(F.concat(F.lit("/x/"), "source_file", F.lit("/profi"), "source_file", F.col("match_id") % 3, F.lit(".html"))).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE source_file WHEN 'liga' THEN 'league_overview' ELSE 'match' END AS kind, count(*) AS n FROM matches GROUP BY 1"),
+    "src21_overview_competitions": (lambda a: a.matches().select("match_id", tx.overview_competition(F.concat(F.lit("1998-99/"), F.element_at(F.array(*map(F.lit, STUBS)), (F.col("match_id") % len(STUBS) + 1).cast("int")), F.lit(".html"))).alias("x")).select("match_id", "x.label", "x.level"), f"SELECT match_id, CASE WHEN k = 0 THEN 'DFB-Pokal' WHEN k = 1 THEN 'Freundschaftsspiele' WHEN k < 7 THEN 'Europapokal' END AS label, CASE WHEN k = 0 THEN 'cup' WHEN k = 1 THEN 'friendly' WHEN k < 7 THEN 'international' END AS level FROM (SELECT match_id, match_id % {len(STUBS)} AS k FROM matches)"),
 }

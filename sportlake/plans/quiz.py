@@ -34,6 +34,20 @@ pt AS (SELECT entity_id, name AS pattern FROM ph WHERE name <> '' UNION SELECT e
 NAMED = "SELECT DISTINCT {key}, entity_id FROM (SELECT *, " + PLAIN.format(c="text") + " AS plain FROM {table}) JOIN pt ON contains(plain, pattern)"
 
 
+#: Tables and what they refer to.
+PARENTS = {"nation": ["region"], "customer": ["nation"], "supplier": ["nation"], "orders": ["customer"], "lineitem": ["orders", "part", "supplier"], "labels": ["documents"]}
+IN_ORDER = "benchmark conversations documents embeddings events pages part region labels nation customer supplier orders lineitem".split()
+
+
+def everything(a, database):  # noqa: ANN001, ANN201
+    return io.load_in_order({t: a.raw(t) for t in IN_ORDER}, PARENTS, database)
+
+
+def listed(a, database):  # noqa: ANN001, ANN201
+    everything(a, database)
+    return io.catalogue(a.spark, database)
+
+
 def phrases(a):  # noqa: ANN001, ANN201
     text, id_ = F.col("text"), F.col("item_id") * 2
     every = F.array(F.struct(id_.alias("entity_id"), F.regexp_extract(text, LAST, 1).alias("name")), F.struct((id_ + 1).alias("entity_id"), F.regexp_extract(text, SHORT, 1).alias("name")))
@@ -116,6 +130,8 @@ QUERIES = {
     "src15_report": (lambda a: io.report_round_trip(a.matches().filter("home_score >= 5").select("match_id", "home_score")), "SELECT match_id, home_score FROM matches WHERE home_score >= 5"),
     "src16_materialize": (lambda a: io.materialize("sportlake_seasons", agg.season_performance(a.matches())).select("view_name", "rows"), "SELECT 'sportlake_seasons' AS view_name, count(*) AS rows FROM (SELECT DISTINCT season_id, competition_id FROM f)"),
     "src17_table_stats": (lambda a: io.table_stats({"region": a.raw("region"), "part": a.raw("part")}), "SELECT 'region' AS table_name, 2 AS columns, count(*) AS rows FROM region UNION ALL SELECT 'part', 6, count(*) FROM part"),
+    "src09_load_in_order": (lambda a: everything(a, "sportlake_all"), " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS place, count(*) AS rows FROM {t}" for k, t in enumerate(IN_ORDER, 1))),
+    "src17_catalogue": (lambda a: listed(a, "sportlake_listed").select("table_name", "column_name", "position", "rows"), " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, (row_number() OVER ())::INT AS position, (SELECT count(*) FROM {t}) AS rows FROM (DESCRIBE {t})" for t in IN_ORDER)),
     "src18_write_by_decade": (lambda a: io.by_decade(a.matches().select("match_id", "match_date"), "match_date").groupBy("decade").agg(F.count("*").alias("n")), "SELECT (year(match_date) // 10 * 10)::INT AS decade, count(*) AS n FROM matches GROUP BY 1"),
     "src20_guarded_sql": (lambda a: io.guarded_sql(a.spark, "SELECT match_id FROM {m} WHERE season_id = 1998 AND source_file <> ';' ORDER BY match_id; DROP TABLE m", 200, m=a.matches()), "SELECT match_id FROM matches WHERE season_id = 1998 ORDER BY match_id LIMIT 200"),
     "src02_resolve_frames": (lambda a: pg.resolve_frames(made.framed(a.raw("pages"))).select("url", "content_url"), "SELECT 'frame/' || url AS url, url AS content_url FROM pages UNION ALL SELECT url, url FROM pages"),

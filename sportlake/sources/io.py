@@ -6,6 +6,8 @@ import re
 import tempfile
 import time
 import uuid
+from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,29 @@ def load_tables(tables: dict[str, DataFrame], database: str) -> DataFrame:
     return out
 
 
+def load_in_order(tables: dict[str, DataFrame], parents: dict[str, list[str]], database: str) -> DataFrame:
+    """load_tables with every table after those that it refers to (parents by table): table_name, place, rows.
+
+    Tables without order among them go by name. A circle of references is an error before anything is written; a parent that is not loaded is no bar.
+    """
+    sorter, order = TopologicalSorter({t: [p for p in parents.get(t, []) if p in tables and p != t] for t in sorted(tables)}), []
+    sorter.prepare()
+    while ready := sorted(sorter.get_ready()):
+        order += ready
+        sorter.done(*ready)
+    loaded = load_tables({name: tables[name] for name in order}, database)
+    return loaded.withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("table_name")).cast("int"))
+
+
+def catalogue(spark: SparkSession, database: str) -> DataFrame:
+    """table_name, column_name, type, position of all tables of a database, with the rows of the table; views that are not stored are left out."""
+    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+    columns = [(t, c.name, c.dataType, k) for t in names for k, c in enumerate(spark.catalog.listColumns(f"{database}.{t}"), 1)]
+    listed = spark.createDataFrame(columns, "table_name string, column_name string, type string, position int")
+    counts = [spark.table(f"{database}.`{t}`").agg(F.lit(t).alias("table_name"), F.count("*").alias("rows")) for t in names]
+    return listed.join(reduce(DataFrame.unionByName, counts), "table_name") if counts else listed.withColumn("rows", F.lit(0).cast("long"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("nullValue", "").csv(path)
 

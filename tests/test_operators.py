@@ -265,3 +265,12 @@ def test_matchdays_run_on_over_months_and_missing_dates(spark):
 def test_spellings_of_a_name(spark):
     p = spark.createDataFrame([("m", "Mü"), ("m", "Mu"), ("m", "Mu"), ("x", "X"), ("x", "X"), (None, "a"), (None, "b"), ("y", None), ("y", "Y")], "normalized_name string, name string")
     assert sorted(map(tuple, agg.spellings(p).collect())) == [("m", "Mu", 2, 2), ("m", "Mü", 1, 2)]
+
+
+def test_tables_in_the_order_of_references_and_their_catalogue(spark):
+    one = spark.range(3)
+    loaded = io.load_in_order({"goals": one, "matches": one, "a_teams": one.limit(0)}, {"goals": ["matches"], "matches": ["a_teams", "elsewhere", "matches"]}, "order_test")
+    assert sorted((r["place"], r["table_name"], r["rows"]) for r in loaded.collect()) == [(1, "a_teams", 0), (2, "matches", 3), (3, "goals", 3)]
+    assert [tuple(r) for r in io.catalogue(spark, "order_test").orderBy("table_name").collect()] == [("a_teams", "id", "bigint", 1, 0), ("goals", "id", "bigint", 1, 3), ("matches", "id", "bigint", 1, 3)]
+    with pytest.raises(ValueError):
+        io.load_in_order({"x": one, "y": one}, {"x": ["y"], "y": ["x"]}, "order_test")
