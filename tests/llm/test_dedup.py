@@ -77,6 +77,26 @@ def test_suffix_dedup_of_nothing(spark):
     assert sd.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_passages(spark):
+    """Shared passages of over 50 words go where they have 400 bytes, shorter ones stay; n_bytes is the length before the cut either way."""
+    r = random.Random(3)
+
+    def words(count, letters):
+        return " ".join("".join(r.choices("abcdefghij", k=letters)) for _ in range(count))
+
+    long, short = words(60, 8), words(55, 5)
+    assert len(short) < 400 < len(long)
+    docs = [(k, f"{words(80, 6)} {passage} {words(80, 6)}") for k, passage in enumerate([long, long, short, short, words(60, 8)])]
+    got = {x.doc_id: x for x in sd.suffix_dedup(frame(spark, docs)).collect()}
+    for k, text in docs:
+        assert got[k].n_bytes == len(text)
+        if long in text:
+            assert got[k].n_removed >= len(long) and got[k].n_spans == 1
+            assert long not in got[k].text and len(got[k].text) == len(text) - got[k].n_removed
+        else:
+            assert (got[k].n_removed, got[k].n_spans, got[k].text) == (0, 0, text)
+
+
 def linked(docs, words, percent):
     sets = []
     for _, t in docs:
