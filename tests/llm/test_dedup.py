@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sportlake.llm import components as cc
 from sportlake.llm import exact_dedup as ed
@@ -97,6 +98,30 @@ def test_suffix_dedup_of_passages(spark):
             assert (got[k].n_removed, got[k].n_spans, got[k].text) == (0, 0, text)
 
 
+def test_suffix_dedup_of_a_common_text(spark, monkeypatch):
+    """Rows of one bucket or segment that very many documents share are not gathered in one task."""
+    r = random.Random(5)
+    text, near = ["".join(r.choices("abcdefghij", k=700)) for _ in range(2)]
+    docs = [(k, text) for k in range(400)] + [(k, f"{k} {near[:400]} {k}") for k in range(400, 800)] + [(k, "".join(r.choices("abc", k=500))) for k in range(800, 900)]
+    plans, mapped = [], sd.mapped
+
+    def watched(df, run, schema):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return mapped(df, run, schema)
+
+    monkeypatch.setattr(sd, "mapped", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(map(tuple, sd.suffix_dedup(frame(spark, docs, 8)).collect()), key=str) == sorted(cut(docs, 400), key=str)
+        spans = sd.repeated_spans(sd.identified(frame(spark, docs, 8))).withColumn("task", F.spark_partition_id())
+        found = spans.groupBy("start", "end").agg(F.countDistinct("task").alias("tasks"), F.count("*").alias("k")).filter("k = 400").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found and all(x.tasks > 1 for x in found)
+    assert not [p for p in plans if "SortMergeJoin [bucket#" in p]
+
+
 def linked(docs, words, percent):
     sets = []
     for _, t in docs:
