@@ -1,34 +1,120 @@
 """Pages as rows of tags, and the tables and cells that they stand in.
 
-A page is cut at its tags. The running number of open tables is a row's depth, and the table that it stands in is the last one opened at that depth, so
-tables inside tables fall apart without a parser: the parent of a table is the table of the row before it. The cells of a table are told by the
-last open cell tag at its depth; cells and rows that are never closed end where the next one begins, and a closing tag without an opening one is passed over.
-All steps are windows over one page, so pages are shuffled once.
+A page is cut at its tags and walked through once with a stack of the open tables and the cell of each that was opened last. Cells and rows that are
+never closed end where the next one begins, and a closing tag without an opening one is passed over. A page is one row and is read where it lies,
+so tags are neither shuffled nor sorted; only pages with the same id are brought together, and read as one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import accumulate, chain
 
-from sportlake.functions import text as tx
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Named characters of pages.
 NAMED = {"nbsp": " ", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}
-
-
-def unescaped(c: Column) -> Column:
-    """Named characters as what they stand for; blanks that do not break as blanks."""
-    out = c
-    for name, plain in NAMED.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(plain))
-    return F.translate(F.when(c.contains("&"), out).otherwise(c), "\u00a0", " ")
-
-
-def attribute(attrs: Column, name: str) -> Column:
-    """The value of an attribute in a tag, in quotes of either kind or in none; NULL without it."""
-    double, single, bare = (rf"(?is)\b{name}\s*=\s*{q}" for q in ('"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)"))
-    return F.coalesce(tx.some(attrs, double), tx.some(attrs, single), tx.some(attrs, bare))
+#: Pages that are read at a time, so that their rows stay few.
+PAGES = 500
+_COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
+_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9]*)")
+_BLANKS = re.compile(r"[ \t-\r]+")
+#: Texts of a page without any of these change at their ends alone.
+_ODD = re.compile("[&\t-\r\u00a0]|  ")
+_VALUES = {name: [re.compile(rf"\b{name}[ \t-\r]*=[ \t-\r]*{q}", re.IGNORECASE) for q in ('"([^"]*)"', r"'([^']*)'", r"([^ \t-\r\"'>]+)")] for name in ("width", "height", "href", "src")}
+
+
+def unescaped(text: str) -> str:
+    """Named characters as what they stand for; blanks that do not break as blanks; single blanks."""
+    if "&" in text:
+        for name, plain in NAMED.items():
+            text = text.replace(f"&{name};", plain)
+    return _BLANKS.sub(" ", text.replace("\u00a0", " ")).strip(" ")
+
+
+def attribute(attrs: str, name: str) -> str | None:
+    """The value of an attribute in a tag, in quotes of either kind or in none; None without it."""
+    return next((found[1] for found in (p.search(attrs) for p in _VALUES[name]) if found and found[1]), None)
+
+
+@lru_cache(maxsize=10_000)
+def tag_of(attrs: str) -> tuple[str | None, bool]:
+    """Of what stands after a bracket the tag and whether it closes; None if the bracket opens none."""
+    found = _NAME.match(attrs)
+    return (found[2].lower(), found[1] != "") if found else (None, False)
+
+
+def tree(html: str) -> list[tuple]:
+    """The rows of a page as tags() gives them; the first stands for what comes before any tag."""
+    if "<!--" in html:
+        html = _COMMENT.sub(" ", html)
+    odd = _ODD.search(html)
+    before, *parts = html.split("<")
+    rows, around, depth, table_at, cell_at = [(0, None, False, None, unescaped(before), 0, None, None, None)], [], 0, None, None
+    for at, part in enumerate(parts, 1):
+        attrs, _, text = part.partition(">")
+        tag, closing = tag_of(attrs)
+        if tag is None:
+            attrs, text = None, "<" + part
+        if text:
+            text = unescaped(text) if odd else text.strip(" ")
+        parent_at = None
+        if tag == "td" or tag == "tr" or tag == "th":
+            if closing and tag == "tr" and not text:
+                continue
+            if depth:
+                cell_at = at if tag == "td" and not closing else None
+        elif tag == "a":
+            if closing and not text:
+                continue
+        elif tag == "table":
+            if not closing:
+                around.append((table_at, cell_at))
+                parent_at, table_at, cell_at = table_at, at, None
+                depth += 1
+            elif depth:
+                table_at, cell_at = around.pop()
+                depth -= 1
+        rows.append((at, tag, closing, attrs, text, depth, table_at, parent_at, cell_at))
+    return rows
+
+
+def together(pages: DataFrame, key: str) -> DataFrame:
+    """key and html, as bytes, of each page; pages with the same key one after another as one, null as empty. What is dealt out by the key already is not shuffled again."""
+    page = Window.partitionBy(key)
+    rows = pages.select(key, F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(key, "row", F.min("row").over(page).alias("first"), F.collect_list("html").over(page).alias("all")).filter("row = first")
+    return rows.select(key, F.when(F.size("all") > 1, F.array_join(F.sort_array("all"), "")).otherwise(F.col("all")[0]).cast("binary").alias("html"))
+
+
+def arrow(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """values as an Arrow array; lists of tuples as lists of structs, field by field."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    fields = list(kind.value_type)
+    columns = list(zip(*chain.from_iterable(values), strict=True)) or [()] * len(fields)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.StructArray.from_arrays([arrow(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+
+
+def by_page(pages: DataFrame, key: str, read: Callable[[str], tuple], columns: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """key, and for each page what read makes of it. columns: name, and type for Spark and for Arrow. Bytes that are no text count as the sign for that."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES):
+                part = batch.slice(start, PAGES)
+                found = zip(*(read(html.decode(errors="replace")) for html in part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(arrow(x, kind) for x, (_, kind) in zip(found, columns.values(), strict=True))], [key, *columns])
+
+    rows = together(pages, key)
+    return rows.mapInArrow(some, ", ".join([f"`{key}` {rows.schema[key].dataType.simpleString()}", *(f"{name} {kind}" for name, (kind, _) in columns.items())]))
+
+
+ROWS = {"rows": ("array<struct<at:int,tag:string,closing:boolean,attrs:string,text:string,depth:int,table_at:int,parent_at:int,cell_at:int>>", pa.list_(pa.struct([("at", pa.int32()), ("tag", pa.string()), ("closing", pa.bool_()), ("attrs", pa.string()), ("text", pa.string()), *((x, pa.int32()) for x in ("depth", "table_at", "parent_at", "cell_at"))])))}
 
 
 def tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -37,43 +123,4 @@ def tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
     at: the tag's place in the page. table_at: the innermost table that the row stands in, by the place of its opening tag (of such a tag the table
     itself); parent_at: for opening tags of tables, the table around it. cell_at: the cell of that table, by the place of its opening tag.
     """
-    bare = F.regexp_replace("html", r"(?s)<!--.*?-->", " ")
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pages are dealt out before they grow to tags, and few pages still to all cores
-    rows = pages.select(key, "html").repartition(parts, key).select(key, F.posexplode_outer(F.split(bare, "<")).alias("at", "part"))
-    name = F.lower(F.regexp_extract("part", r"^/?([A-Za-z][A-Za-z0-9]*)", 1))
-    is_tag = (F.col("at") > 0) & (name != "")
-    rows = rows.select(
-        key, F.coalesce("at", F.lit(0)).alias("at"), F.when(is_tag, name).alias("tag"), (is_tag & F.col("part").startswith("/")).alias("closing"),
-        F.when(is_tag, F.regexp_extract("part", r"(?s)^([^>]*)", 1)).alias("attrs"),
-        tx.normalize_whitespace(unescaped(F.when(is_tag, F.regexp_extract("part", r"(?s)^[^>]*>(.*)$", 1)).when(F.col("at") > 0, F.concat(F.lit("<"), "part")).otherwise(F.coalesce("part", F.lit(""))))).alias("text"),
-    ).filter("NOT coalesce(closing AND tag IN ('a', 'tr') AND text = '', false)")
-    page = Window.partitionBy(key).orderBy("at")
-    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
-    table = F.col("tag") == "table"
-    rows = rows.withColumn("sum", F.sum(F.when(table & F.col("closing"), -1).when(table, 1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
-    level = Window.partitionBy(key, "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("table_at", F.when(F.col("depth") > 0, F.last(F.when(table & ~F.col("closing"), F.col("at")), ignorenulls=True).over(level)))
-    mark = F.when((F.col("tag") == "td") & ~F.col("closing"), F.col("at")).when(F.col("tag").isin("td", "tr", "th") | (table & ~F.col("closing")), -1)
-    rows = rows.withColumn("cell_at", F.nullif(F.last(mark, ignorenulls=True).over(level), F.lit(-1)))  # a table begins without a cell
-    rows = rows.withColumn("cell_at", F.when(F.col("table_at").isNotNull(), F.col("cell_at")))
-    return rows.withColumn("parent_at", F.when(table & ~F.col("closing"), F.lag("table_at").over(page))).drop("sum")
-
-
-def opens(tag: str) -> Column:
-    return (F.col("tag") == tag) & ~F.col("closing")
-
-
-def inside(rows: DataFrame, start: Column, key: str = "page_id") -> DataFrame:
-    """Adds `part`: of the elements that begin at rows where start holds, the number, from 1 on, of the one that a row stands in. The elements are tables that hold none of each other."""
-    so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("part", F.sum(F.when(start, 1).otherwise(0)).over(so_far)).withColumn("from", F.last(F.when(start, F.col("depth")), ignorenulls=True).over(so_far))
-    ended = F.coalesce(F.max(F.when(F.col("depth") < F.col("from"), F.col("part"))).over(so_far), F.lit(0))
-    return rows.withColumn("ended", ended).withColumn("part", F.when(F.col("part") > F.col("ended"), F.col("part"))).drop("from", "ended")
-
-
-def joined_text(test: Column, over: WindowSpec | None = None) -> Column:
-    """The texts of the rows of a group, or of a window, for which the test holds, in order, with one space between."""
-    found = F.collect_list(F.when(test & (F.col("text") != ""), F.struct("at", "text")))
-    found = found if over is None else found.over(over)
-    return F.array_join(F.transform(F.array_sort(found), lambda x: x["text"]), " ")
+    return by_page(pages, key, lambda html: (tree(html),), ROWS).select(key, F.inline("rows"))

@@ -1,6 +1,6 @@
 """Match pages to tables, as one job.
 
-The pages are read once: a row for each table cell, with what the page says as a whole beside it, is written, and every table comes from these
+The pages are read once: a row for each page, with what it says as a whole and its table cells in a list, is written, and every table comes from these
 rows. The result is one output, partitioned by table; pages that cannot be read stand in a table of errors with their reason, stop nothing, and can be
 tried again alone.
 
@@ -14,6 +14,9 @@ stands last on the page counts. Names are as the page has them. Further columns
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from sportlake.sources.io import shared_folder, written
 
 #: Heights of team tables, the first found twice counts; height of the blocks of a page of several matches (fixed values).
 HEIGHTS, SEVERAL = ("30%", "28%", "27%"), "45%"
+SIDES = ("home", "away")
 #: What marks cells of a team block that name no player (fixed values).
 STAFF = ("trainer:", "fsv-trainer", "coach:", "-trainer", "schiedsrichter:", "schiedsrichterin:", "referee:")
 #: Links of players (fixed value).
@@ -40,50 +44,99 @@ COLUMNS = {
 }
 
 
+def blocks_of(tables: dict[int, tuple], reserves: set[int], naming: set[int]) -> tuple[list[int], bool]:
+    """The places of the team blocks of a page, and whether it holds several matches. tables: parent and attributes by place; reserves: tables beginning with Reserve; naming: tables that name it themselves."""
+    full = {at: el.attribute(attrs, "height") for at, (_, attrs) in tables.items() if "100%" in attrs and el.attribute(attrs, "width") == "100%"}
+    high = {h: [at for at, x in full.items() if x == h] for h in (*HEIGHTS, SEVERAL)}
+    wrappers = {at if tables[at][0] is None else tables[at][0] for at in reserves}
+    named = wrappers if len(wrappers) >= 2 else naming
+    return next((high[h] for h in HEIGHTS if len(high[h]) >= 2), [at for at in tables if at in named]), len(high[SEVERAL]) >= 2
+
+
+def page_of(html: str) -> tuple:
+    """header, crowd, n_blocks, several and cells of a page, as in PAGE."""
+    tables, ends, opened, firsts, naming, groups, header = {}, {}, [], {}, set(), {}, []
+    crowd = bold_at = bold_end = goals_in = staff_at = None
+    judged = False
+    for at, tag, closing, attrs, text, _, table_at, parent_at, cell_at in el.tree(html):
+        if cell_at is not None:
+            group = groups.get(cell_at)
+            if group is None:
+                group = groups[cell_at] = table_at, [], [], [], []
+            if text:
+                group[1].append(text)
+            if closing:
+                if tag == "table":
+                    group[4].append(at)
+            elif tag == "a":
+                group[2].append((el.attribute(attrs, "href"), text))
+            elif tag == "img":
+                group[3].append(el.attribute(attrs, "src"))
+        if tag == "table":
+            if not closing:
+                tables[at] = parent_at, attrs
+                opened.append(at)
+            elif opened:
+                ends[opened.pop()] = at
+        elif tag == "b":
+            if not closing:
+                low, bold_at = text.lower(), at if bold_at is None else bold_at
+                if "tore" in low and table_at is not None:
+                    goals_in = table_at if goals_in is None else min(goals_in, table_at)
+                if "schiedsrichter" in low and not judged:
+                    staff_at, judged = table_at, True
+            elif bold_at is not None and bold_end is None:
+                bold_end = at
+        if text:
+            if bold_at is not None and bold_end is None:
+                header.append(text)
+            if crowd is None and "zuschau" in text.lower():
+                crowd = text
+            if table_at is not None:
+                if table_at not in firsts:
+                    firsts[table_at] = text
+                if "Reserve" in text:
+                    naming.add(table_at)
+    reserves = {at for at, text in firsts.items() if text.lower().startswith("reserve")}
+    blocks, several = blocks_of(tables, reserves, naming)
+    goals_at = goals_in and next((at for at in tables if at > goals_in), None)
+
+    def block(at: int) -> int:
+        """Of the blocks that begin before a place, the number of the last, if it has not ended there; else 0."""
+        k = bisect_right(blocks, at)
+        return k if k and at < ends.get(blocks[k - 1], at + 1) else 0
+
+    own = set(blocks)
+    holding = {block(at) for at in tables if at not in own}  # the tables of a block, if it holds any; else the block itself
+    cells = []
+    for at, (table_at, texts, anchors, icons, closed) in groups.items():
+        k = block(at)
+        side = SIDES[k - 1] if 1 <= k <= 2 and not (table_at in own and k in holding) else None
+        cells.append((at, " ".join(texts), anchors, icons, bool(closed), side, table_at in reserves, table_at == goals_at, table_at == staff_at))
+    return " ".join(header), crowd, len(blocks), several, cells
+
+
+CELL = {
+    "at": ("int", pa.int32()), "text": ("string", pa.string()), "anchors": ("array<struct<href:string,text:string>>", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))), "icons": ("array<string>", pa.list_(pa.string())),
+    "holds_table": ("boolean", pa.bool_()), "side": ("string", pa.string()), "reserve": ("boolean", pa.bool_()), "in_goals": ("boolean", pa.bool_()), "in_staff": ("boolean", pa.bool_()),
+}
+PAGE = {"header": ("string", pa.string()), "crowd": ("string", pa.string()), "n_blocks": ("bigint", pa.int64()), "several": ("boolean", pa.bool_()), "cells": (f"array<struct<{','.join(f'{k}:{x}' for k, (x, _) in CELL.items())}>>", pa.list_(pa.struct([(k, x) for k, (_, x) in CELL.items()])))}
+
+
+def read(pages: DataFrame) -> DataFrame:
+    """A row for each page (page_id, html): page_id, header, crowd (the text that names spectators), n_blocks, several, and its cells in a list."""
+    return el.by_page(pages, "page_id", page_of, PAGE)
+
+
+def cells_of(found: DataFrame, cells: str = "cells") -> DataFrame:
+    """A row for each cell of pages that were read, from one of their lists of cells, beside the other columns."""
+    own = [c for c in found.columns if c not in ("page_id", cells)]
+    return found.select("page_id", *own, F.inline(cells)).select("page_id", *CELL, *own)
+
+
 def cells(pages: DataFrame) -> DataFrame:
-    """A row for each cell of a page, and one for what stands in none: page_id, at, text, anchors (href, text), icons, holds_table, side, reserve, in_goals, in_staff,
-    and the same for all rows of a page: header, crowd (the text that names spectators), n_blocks, several."""
-    rows = el.tags(pages)
-    page = Window.partitionBy("page_id")
-    own = Window.partitionBy("page_id", "table_at")
-    table = el.opens("table")
-    full = table & (el.attribute(F.col("attrs"), "width") == "100%")
-    high = lambda h: full & (el.attribute(F.col("attrs"), "height") == h)
-    bold = el.opens("b")
-    first = F.min_by("text", F.when(F.col("text") != "", F.col("at"))).over(own)
-    rows = rows.withColumn("reserve", F.col("table_at").isNotNull() & F.coalesce(F.lower(first).startswith("reserve"), F.lit(False)))
-    rows = rows.withColumn("is_reserve", table & F.col("reserve"))
-    least = lambda test, value="at": F.min(F.when(test, F.col(value))).over(page)
-    rows = rows.withColumns({
-        "counts": F.array(*(F.sum(F.when(high(h), 1).otherwise(0)).over(page) for h in HEIGHTS)),
-        "several": F.sum(F.when(high(SEVERAL), 1).otherwise(0)).over(page) >= 2,
-        "wrappers": F.collect_set(F.when(F.col("is_reserve"), F.coalesce("parent_at", "at"))).over(page),
-        "naming": F.collect_set(F.when(F.col("text").contains("Reserve"), F.col("table_at"))).over(page),
-        "bold_at": least(bold), "goals_in": least(bold & F.col("text").rlike("(?i)tore"), "table_at"), "staff_at": F.min_by("table_at", F.when(bold & F.col("text").rlike("(?i)schiedsrichter"), F.col("at"))).over(page),
-        "crowd": F.min_by("text", F.when(F.col("text").rlike("(?i)zuschau"), F.col("at"))).over(page),
-    })
-    rows = rows.withColumns({"bold_end": least((F.col("tag") == "b") & F.col("closing") & (F.col("at") > F.col("bold_at"))), "goals_at": least(table & (F.col("at") > F.col("goals_in")))})
-    which = F.array_position(F.transform("counts", lambda n: n >= 2), F.lit(True))
-    block = F.coalesce(F.when(which == 0, table & F.array_contains(F.when(F.size("wrappers") >= 2, F.col("wrappers")).otherwise(F.col("naming")), F.col("at"))).otherwise(F.coalesce(*(F.when(which == k + 1, high(h)) for k, h in enumerate(HEIGHTS)))), F.lit(False))
-    rows = rows.withColumn("block", block).withColumns({"n_blocks": F.sum(F.when(F.col("block"), 1).otherwise(0)).over(page), "blocks": F.collect_set(F.when(F.col("block"), F.col("at"))).over(page)})
-    rows = el.inside(rows, F.col("block"))
-    # the tables of a block, if it holds any; else the block itself
-    inner = lambda k: F.max(F.when(table & ~F.col("block") & (F.col("part") == k), 1).otherwise(0)).over(page)
-    rows = rows.withColumns({"inner_1": inner(1), "inner_2": inner(2)})
-    own_cells = F.array_contains("blocks", F.col("table_at"))
-    rows = rows.withColumn("side", F.when((F.col("part") == 1) & ~(own_cells & (F.col("inner_1") == 1)), "home").when((F.col("part") == 2) & ~(own_cells & (F.col("inner_2") == 1)), "away"))
-    anchors = F.transform(F.array_sort(F.collect_list(F.when(el.opens("a"), F.struct("at", el.attribute(F.col("attrs"), "href").alias("href"), "text")))), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text")))
-    icons = F.transform(F.array_sort(F.collect_list(F.when(el.opens("img"), F.struct("at", el.attribute(F.col("attrs"), "src").alias("src"))))), lambda x: x["src"])
-    head = (F.col("at") >= F.col("bold_at")) & ((F.col("at") < F.col("bold_end")) | F.col("bold_end").isNull())
-    rows = rows.withColumn("header", el.joined_text(head, page))
-    made = rows.groupBy("page_id", "table_at", "cell_at").agg(
-        F.min("at").alias("at"), el.joined_text(F.lit(True)).alias("text"), anchors.alias("anchors"), icons.alias("icons"), F.bool_or((F.col("tag") == "table") & F.col("closing")).alias("holds_table"),
-        F.first("side").alias("side"), F.first("reserve").alias("reserve"), F.first(F.coalesce(F.col("table_at") == F.col("goals_at"), F.lit(False))).alias("in_goals"), F.first(F.coalesce(F.col("table_at") == F.col("staff_at"), F.lit(False))).alias("in_staff"),
-        *(F.first(c).alias(c) for c in ("header", "crowd", "n_blocks", "several")),
-    )
-    cell = F.col("cell_at").isNotNull()
-    none = lambda c: F.when(cell, F.col(c))
-    return made.select("page_id", F.coalesce("cell_at", "at").alias("at"), cell.alias("is_cell"), none("text").alias("text"), "anchors", "icons", "holds_table", none("side").alias("side"), F.coalesce("reserve", F.lit(False)).alias("reserve"), (cell & F.col("in_goals")).alias("in_goals"), (cell & F.col("in_staff")).alias("in_staff"), "header", "crowd", "n_blocks", "several")
+    """A row for each cell of a page: page_id, at, text, anchors (href, text), icons, holds_table, side, reserve, in_goals, in_staff, and the same for all rows of a page: header, crowd, n_blocks, several."""
+    return cells_of(read(pages))
 
 
 def without_marks(c: Column) -> Column:
@@ -103,11 +156,9 @@ def minutes() -> list[Column]:
     return [tx.some(F.col("text"), MINUTE, 1).cast("int").alias("minute"), tx.some(F.col("text"), MINUTE, 2).cast("int").alias("stoppage")]
 
 
-def errors(found: DataFrame) -> DataFrame:
-    """page_id and error of the pages that cannot be read, with the first reason that holds."""
-    pages = found.groupBy("page_id").agg(F.first("header").alias("header"), F.first("n_blocks").alias("n"), F.first("several").alias("several"))
-    reason = F.when(F.col("several"), "several matches").when(tx.parse_header_score(F.col("header"))["home"].isNull(), "no header").when(F.col("n") < 2, "no team tables")
-    return pages.select("page_id", reason.alias("error")).filter("error IS NOT NULL")
+def reason() -> Column:
+    """Why a page cannot be read, by the first reason that holds; NULL if it can."""
+    return F.when(F.col("several"), "several matches").when(tx.parse_header_score(F.col("header"))["home"].isNull(), "no header").when(F.col("n_blocks") < 2, "no team tables")
 
 
 def substitutions(found: DataFrame) -> DataFrame:
@@ -117,7 +168,7 @@ def substitutions(found: DataFrame) -> DataFrame:
     number = lambda k: numbered(F.regexp_replace(F.regexp_replace(F.trim(F.element_at(F.split(rest, " für ", 2), k)), r"(?i)^(FE|ET|HE),\s*", ""), r"(?i)^wdh\.\s*", ""))[0]
     strip = lambda c: numbered(c)[1]
     shown = F.get(F.filter(F.transform("icons", tx.card_kind), lambda x: x.isNotNull()), F.lit(0))
-    rows = found.filter("side IS NOT NULL AND is_cell AND NOT holds_table").filter(F.col("text").contains(" für ") & F.col("text").rlike(MINUTE) & rest.contains(" für "))
+    rows = found.filter("side IS NOT NULL AND NOT holds_table").filter(F.col("text").contains(" für ") & F.col("text").rlike(MINUTE) & rest.contains(" für "))
     return rows.select("page_id", "side", "at", *minutes(), strip(clean(1)).alias("player_on"), number(1).alias("number_on"), strip(clean(2)).alias("player_off"), number(2).alias("number_off"), shown.alias("card_type"))
 
 
@@ -126,7 +177,7 @@ def entries(found: DataFrame) -> DataFrame:
     low = F.lower("text")
     staff = low.rlike("|".join(rf"\Q{x}\E" for x in STAFF))
     goal = low.startswith("tore ") | F.col("text").rlike(r"^\d+\.\s*\d+:\d+")
-    rows = found.filter("side IS NOT NULL AND is_cell AND NOT holds_table AND text <> ''").filter(~low.startswith("reserve") & ~staff & ~goal & ~F.col("text").contains(" für "))
+    rows = found.filter("side IS NOT NULL AND NOT holds_table AND text <> ''").filter(~low.startswith("reserve") & ~staff & ~goal & ~F.col("text").contains(" für "))
     number, name = numbered(F.col("text"))
     url = F.get(F.filter(F.transform("anchors", lambda a: a["href"]), lambda h: h.rlike(PLAYER)), F.lit(0))
     rows = rows.select("page_id", "side", "at", name.alias("name"), number.alias("number"), F.replace(url, F.lit("../"), F.lit("")).alias("profile_url"), "reserve", "icons")
@@ -184,20 +235,20 @@ def officials(found: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    pages = found.groupBy("page_id").agg(F.first("header").alias("header"), F.first("crowd").alias("crowd"))
+    """Sides, scores, date, kick-off and attendance of pages that were read."""
     crowd = tx.attendance_kickoff(F.col("crowd"))
-    return pages.select("page_id", tx.parse_header_score(F.col("header")).alias("x"), tx.parse_german_date(F.col("crowd")).alias("match_date"), crowd["kickoff"].alias("kickoff"), crowd["attendance"].alias("attendance")).select("page_id", "x.*", "match_date", "kickoff", "attendance")
+    return found.select("page_id", tx.parse_header_score(F.col("header")).alias("x"), tx.parse_german_date(F.col("crowd")).alias("match_date"), crowd["kickoff"].alias("kickoff"), crowd["attendance"].alias("attendance")).select("page_id", "x.*", "match_date", "kickoff", "attendance")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """All tables of match pages (page_id, html) in one output: `table`, and the columns of all of them. pages are read once."""
-    found = written(cells(pages))
-    bad = written(errors(found))
-    good = found.join(bad, "page_id", "left_anti")
-    players, swaps = entries(good), substitutions(good)
+    found = written(read(pages).withColumn("error", reason()))
+    good = found.filter("error IS NULL")
+    rows = cells_of(good.select("page_id", "cells"))
+    players, swaps = entries(rows), substitutions(rows)
     both = lineups(players, swaps)
     linked = both.groupBy("name").agg(F.min("profile_url").alias("profile_url"))
-    tables = {"matches": matches(good), "officials": officials(good), "players": linked, "lineups": both, "substitutions": swaps, "goals": goals(good), "cards": cards(players, swaps), "errors": bad}
+    tables = {"matches": matches(good), "officials": officials(rows), "players": linked, "lineups": both, "substitutions": swaps, "goals": goals(rows), "cards": cards(players, swaps), "errors": found.filter("error IS NOT NULL")}
     out = None
     for name, df in tables.items():
         part = df.select(F.lit(name).alias("table"), *COLUMNS[name])

@@ -93,3 +93,22 @@ def test_team_table_of_its_own_cells(spark):
     html = HEAD + "".join(f'<table width="100%" height="30%"><tr><td>{n} A{n}</td></tr></table>' for n in (1, 2))
     got = job.entries(job.cells(spark.createDataFrame([(1, html)], "page_id int, html string"))).collect()
     assert sorted((r["side"], r["name"], r["number"]) for r in got) == [("away", "A2", 2), ("home", "A1", 1)]
+
+
+def test_pages_are_read_where_they_lie(spark):
+    """A page is one row until it has been read: the pages are shuffled by their id at most once, not at all if they lie by it already, and their tags never."""
+    pages = spark.createDataFrame(list(LAYOUTS.items()), "page_id int, html string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for made in (el.tags, job.cells):
+        assert plan(made(pages)).count("Exchange hash") == 1 and plan(made(pages)).count("Window [") == 1
+    joined = pages.hint("merge").join(pages.select("page_id").hint("merge"), "page_id")
+    assert plan(job.cells(joined)).count("Exchange hash") == plan(joined).count("Exchange hash") == 2
+
+
+def test_pages_with_one_id_are_read_one_after_another(spark):
+    halves = [(k, part) for k in range(50) for part in ("<b>A - B 1:0</b>" + "<p>x</p>" * k, "<table><tr><td>1 Al<td>2 Bo</table>")]
+    got = el.tags(spark.createDataFrame(halves, "page_id int, html string").repartition(3)).orderBy("page_id", "at").collect()
+    want = el.tags(spark.createDataFrame([(k, a + b) for (k, a), (_, b) in zip(halves[::2], halves[1::2], strict=True)], "page_id int, html string")).orderBy("page_id", "at").collect()
+    assert got == want and len(got) > 50
+    odd = spark.sql("SELECT 1 AS page_id, CAST(concat(CAST('<table><td>1 A' AS BINARY), X'FF') AS STRING) AS html")
+    assert [r["text"] for r in job.cells(odd).collect()] == ["1 A�"]
