@@ -75,9 +75,9 @@ QUERIES = {
     "fun52_friendly_block": (lambda a: pg.friendly_blocks(a.matches().filter("home_score IS NOT NULL").groupBy(F.col("season_competition_id").alias("page_id")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<hr>"), F.when(F.col("match_id") % 2 == 0, F.date_format("match_date", "d.M.yyyy")).otherwise(F.concat(F.lit("ca. Oktober "), F.year("match_date"))), F.lit(" A - B "), "home_score", F.lit(":"), "away_score"))).alias("html"))).groupBy("page_id", "match_date", "home_score", "away_score").agg(F.count("*").alias("n")), "SELECT season_competition_id AS page_id, CASE WHEN match_id % 2 = 0 THEN match_date ELSE make_date(year(match_date), 10, 1) END AS match_date, home_score, away_score, count(*) AS n FROM matches WHERE home_score IS NOT NULL GROUP BY 1, 2, 3, 4"),
     "dq26_validate_findings": (lambda a: dq.validate_findings(a.players().select("player_id", "name", F.col("player_id").alias("url")), a.players().select(F.col("player_id").alias("url"), F.when(F.col("player_id") % 3 == 0, F.concat(F.lit("Schiedsrichterin: "), F.upper("name"))).when(F.col("player_id") % 3 == 1, F.lit("X")).otherwise(F.lit(None)).alias("page_name"))).groupBy("differs").agg(F.count("*").alias("n")), "SELECT CASE player_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS differs, count(*) AS n FROM players GROUP BY 1"),
     "src04_overview_rows": (lambda a: pg.overview_rows(made.overview_pages(a.matches(), a.teams(), 1)), "SELECT CASE WHEN match_id // 100 % 2 = 0 THEN 'liga' ELSE 'pokal' END || match_id // 100 || '.html' AS url, 'profiliga' || match_id || '.html' AS detail_file, 'Team ' || opponent_id AS opponent, coalesce(home_score || ':' || away_score, '-:-') AS score, round_name AS stage, CASE WHEN match_id // 100 % 2 = 0 THEN row_number() OVER (PARTITION BY match_id // 100 ORDER BY match_id) END::INT AS matchday FROM f WHERE opponent_id <> 1"),
-    "fun51_team_block": (lambda a: job.entries(job.cells(nested(a))).select(F.col("page_id").alias("match_id"), "side", "name", "number", "profile_url", (~F.col("reserve")).alias("is_starter")), "SELECT match_id, CASE WHEN at_home THEN 'home' ELSE 'away' END AS side, 'P' || player_id AS name, shirt_number AS number, 'spieler/p' || player_id || '.html' AS profile_url, is_starter FROM lineups"),
+    "fun51_team_block": (lambda a: job.entries(job.cells(nested(a), "team")).select(F.col("page_id").alias("match_id"), "side", "name", "number", "profile_url", (~F.col("reserve")).alias("is_starter")), "SELECT match_id, CASE WHEN at_home THEN 'home' ELSE 'away' END AS side, 'P' || player_id AS name, shirt_number AS number, 'spieler/p' || player_id || '.html' AS profile_url, is_starter FROM lineups"),
     "src22_team_sheets": (lambda a: job.lineups(*team_sheets(a)).select(F.col("page_id").alias("match_id"), "side", "name", "number", "profile_url", "is_starter", "minute_on", "minute_off"), JOB.replace("good AS (SELECT * FROM played WHERE home_score IS NOT NULL)", "good AS (SELECT * FROM played)").strip() + "\nSELECT page_id AS match_id, side, name, number, profile_url, is_starter, minute_on, minute_off FROM lineup"),
-    "src22_officials": (lambda a: job.officials(job.cells(nested(a))).select(F.col("page_id").alias("match_id"), "role", "name", "profile_url"), JOB.replace("good AS (SELECT * FROM played WHERE home_score IS NOT NULL)", "good AS (SELECT * FROM played)").strip() + "\nSELECT page_id AS match_id, role, name, profile_url FROM staff"),
+    "src22_officials": (lambda a: job.officials(job.cells(nested(a), "staff")).select(F.col("page_id").alias("match_id"), "role", "name", "profile_url"), JOB.replace("good AS (SELECT * FROM played WHERE home_score IS NOT NULL)", "good AS (SELECT * FROM played)").strip() + "\nSELECT page_id AS match_id, role, name, profile_url FROM staff"),
     "src22_match_job": (lambda a: job.extracted(nested(a)), JOB.strip() + "\nSELECT * FROM everything"),
     "src22_match_counts": (lambda a: job.summary(a.spark, job.run(nested(a), io.shared_folder(a.spark))), JOB.strip() + "\nSELECT CASE WHEN \"table\" = 'errors' THEN 'error: ' || error ELSE \"table\" END AS table_name, count(*) AS n FROM everything GROUP BY 1"),
 }

@@ -24,7 +24,7 @@ _COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
 _NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9]*)")
 _BLANKS = re.compile(r"[ \t-\r]+")
 #: Texts of a page without any of these change at their ends alone.
-_ODD = re.compile("[&\t-\r\u00a0]|  ")
+_ODD = ("&", "\u00a0", "  ", *"\t\n\v\f\r")
 _VALUES = {name: [re.compile(rf"\b{name}[ \t-\r]*=[ \t-\r]*{q}", re.IGNORECASE) for q in ('"([^"]*)"', r"'([^']*)'", r"([^ \t-\r\"'>]+)")] for name in ("width", "height", "href", "src")}
 
 
@@ -36,6 +36,7 @@ def unescaped(text: str) -> str:
     return _BLANKS.sub(" ", text.replace("\u00a0", " ")).strip(" ")
 
 
+@lru_cache(maxsize=10_000)
 def attribute(attrs: str, name: str) -> str | None:
     """The value of an attribute in a tag, in quotes of either kind or in none; None without it."""
     return next((found[1] for found in (p.search(attrs) for p in _VALUES[name]) if found and found[1]), None)
@@ -48,11 +49,11 @@ def tag_of(attrs: str) -> tuple[str | None, bool]:
     return (found[2].lower(), found[1] != "") if found else (None, False)
 
 
-def tree(html: str) -> list[tuple]:
-    """The rows of a page as tags() gives them; the first stands for what comes before any tag."""
+def tree(html: str, every: bool = True) -> list[tuple]:
+    """The rows of a page as tags() gives them; the first stands for what comes before any tag. every: if not, rows without text go that open no cell, link or picture and are no table or bold."""
     if "<!--" in html:
         html = _COMMENT.sub(" ", html)
-    odd = _ODD.search(html)
+    odd = any(x in html for x in _ODD)
     before, *parts = html.split("<")
     rows, around, depth, table_at, cell_at = [(0, None, False, None, unescaped(before), 0, None, None, None)], [], 0, None, None
     for at, part in enumerate(parts, 1):
@@ -68,6 +69,8 @@ def tree(html: str) -> list[tuple]:
                 continue
             if depth:
                 cell_at = at if tag == "td" and not closing else None
+            if not (text or every or cell_at):
+                continue
         elif tag == "a":
             if closing and not text:
                 continue

@@ -14,7 +14,6 @@ stands last on the page counts. Names are as the page has them. Further columns
 
 from __future__ import annotations
 
-from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +26,8 @@ from sportlake.sources.io import shared_folder, written
 #: Heights of team tables, the first found twice counts; height of the blocks of a page of several matches (fixed values).
 HEIGHTS, SEVERAL = ("30%", "28%", "27%"), "45%"
 SIDES = ("home", "away")
+#: Beyond the places of any page.
+LAST = 2**31
 #: What marks cells of a team block that name no player (fixed values).
 STAFF = ("trainer:", "fsv-trainer", "coach:", "-trainer", "schiedsrichter:", "schiedsrichterin:", "referee:")
 #: Links of players (fixed value).
@@ -58,7 +59,7 @@ def page_of(html: str) -> tuple:
     tables, ends, opened, firsts, naming, groups, header = {}, {}, [], {}, set(), {}, []
     crowd = bold_at = bold_end = goals_in = staff_at = None
     judged = False
-    for at, tag, closing, attrs, text, _, table_at, parent_at, cell_at in el.tree(html):
+    for at, tag, closing, attrs, text, _, table_at, parent_at, cell_at in el.tree(html, every=False):
         if cell_at is not None:
             group = groups.get(cell_at)
             if group is None:
@@ -101,17 +102,16 @@ def page_of(html: str) -> tuple:
     blocks, several = blocks_of(tables, reserves, naming)
     goals_at = goals_in and next((at for at in tables if at > goals_in), None)
 
-    def block(at: int) -> int:
-        """Of the blocks that begin before a place, the number of the last, if it has not ended there; else 0."""
-        k = bisect_right(blocks, at)
-        return k if k and at < ends.get(blocks[k - 1], at + 1) else 0
-
-    own = set(blocks)
-    holding = {block(at) for at in tables if at not in own}  # the tables of a block, if it holds any; else the block itself
+    own, spans = set(blocks), []
+    for b, following in zip(blocks[:2], [*blocks[1:], None], strict=False):  # a place stands in the last block that begins before it, until that ends
+        end = min(x for x in (following, ends.get(b), LAST) if x is not None)
+        spans.append((b, end, any(b < at < end for at in tables if at not in own)))
     cells = []
     for at, (table_at, texts, anchors, icons, closed) in groups.items():
-        k = block(at)
-        side = SIDES[k - 1] if 1 <= k <= 2 and not (table_at in own and k in holding) else None
+        side = None
+        for name, (start, end, holds) in zip(SIDES, spans, strict=False):
+            if start <= at < end and not (holds and table_at in own):  # the tables of a block, if it holds any; else the block itself
+                side = name
         cells.append((at, " ".join(texts), anchors, icons, bool(closed), side, table_at in reserves, table_at == goals_at, table_at == staff_at))
     return " ".join(header), crowd, len(blocks), several, cells
 
@@ -134,9 +134,14 @@ def cells_of(found: DataFrame, cells: str = "cells") -> DataFrame:
     return found.select("page_id", *own, F.inline(cells)).select("page_id", *CELL, *own)
 
 
-def cells(pages: DataFrame) -> DataFrame:
-    """A row for each cell of a page: page_id, at, text, anchors (href, text), icons, holds_table, side, reserve, in_goals, in_staff, and the same for all rows of a page: header, crowd, n_blocks, several."""
-    return cells_of(read(pages))
+#: The cells that a table comes from.
+KINDS = {"team": lambda c: c["side"].isNotNull(), "scorers": lambda c: c["in_goals"], "staff": lambda c: c["in_staff"]}
+
+
+def cells(pages: DataFrame, kind: str | None = None) -> DataFrame:
+    """A row for each cell of a page, or for those of a kind: page_id, at, text, anchors (href, text), icons, holds_table, side, reserve, in_goals, in_staff, and the same for all rows of a page: header, crowd, n_blocks, several."""
+    found = read(pages)
+    return cells_of(found.withColumn("cells", F.filter("cells", KINDS[kind])) if kind else found)
 
 
 def without_marks(c: Column) -> Column:

@@ -112,3 +112,9 @@ def test_pages_with_one_id_are_read_one_after_another(spark):
     assert got == want and len(got) > 50
     odd = spark.sql("SELECT 1 AS page_id, CAST(concat(CAST('<table><td>1 A' AS BINARY), X'FF') AS STRING) AS html")
     assert [r["text"] for r in job.cells(odd).collect()] == ["1 A�"]
+
+
+def test_cells_of_a_kind(spark, output):
+    every = job.cells(output[0]).collect()
+    for kind, test in {"team": lambda r: r["side"], "scorers": lambda r: r["in_goals"], "staff": lambda r: r["in_staff"]}.items():
+        assert sorted(map(str, job.cells(output[0], kind).collect())) == sorted(str(r) for r in every if test(r)) != []
