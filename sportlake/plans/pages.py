@@ -57,7 +57,7 @@ everything AS (SELECT 'matches' AS "table", match_id AS page_id, 'Team ' || home
 """
 
 def team_sheets(a):  # noqa: ANN001, ANN201
-    found = io.written(job.cells(nested(a)))
+    found = io.written(job.cells(nested(a), "team").drop("header", "crowd", "n_blocks", "several"))
     return job.entries(found), job.substitutions(found)
 
 

@@ -193,9 +193,10 @@ def lineups(players: DataFrame, swaps: DataFrame) -> DataFrame:
     """Players of a side with the minutes at which they came and went: an entry that stands later on the page overwrites an earlier one. Who comes on is no starter; who is named in a substitution alone is added."""
     none = lambda kind: F.lit(None).cast(kind)
     seen = players.select("page_id", "side", F.struct(F.lit(0), "at").alias("at"), "name", "number", "profile_url", (~F.col("reserve")).alias("starts"), *(none("struct<minute:int,stoppage:int>").alias(c) for c in ("came", "went")))
-    when = F.struct("minute", "stoppage")
-    swap = lambda who, number, came: swaps.select("page_id", "side", F.struct(F.lit(1), "at").alias("at"), F.col(who).alias("name"), F.col(number).alias("number"), none("string").alias("profile_url"), none("boolean").alias("starts"), (when if came else none("struct<minute:int,stoppage:int>")).alias("came"), (none("struct<minute:int,stoppage:int>") if came else when).alias("went"))
-    rows = seen.unionByName(swap("player_on", "number_on", True)).unionByName(swap("player_off", "number_off", False)).filter("name <> ''")
+    time, when = "struct<minute:int,stoppage:int>", F.struct("minute", "stoppage")
+    part = lambda who, number, came, went: F.struct(F.col(who).alias("name"), F.col(number).alias("number"), none("string").alias("profile_url"), none("boolean").alias("starts"), came.alias("came"), went.alias("went"))
+    both = F.array(part("player_on", "number_on", when, none(time)), part("player_off", "number_off", none(time), when))
+    rows = seen.unionByName(swaps.select("page_id", "side", F.struct(F.lit(1), "at").alias("at"), F.inline(both))).filter("name <> ''")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     out = rows.groupBy("page_id", "side", "name").agg(first("number"), first("profile_url"), F.bool_and("starts").alias("starts"), last("came"), last("went"))

@@ -3,6 +3,7 @@
 import pytest
 
 from sportlake.sources import elements as el
+from sportlake.sources import io
 from sportlake.sources import match_job as job
 
 
@@ -118,3 +119,9 @@ def test_cells_of_a_kind(spark, output):
     every = job.cells(output[0]).collect()
     for kind, test in {"team": lambda r: r["side"], "scorers": lambda r: r["in_goals"], "staff": lambda r: r["in_staff"]}.items():
         assert sorted(map(str, job.cells(output[0], kind).collect())) == sorted(str(r) for r in every if test(r)) != []
+
+
+def test_substitutions_are_read_once(spark, output):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = io.written(job.cells(output[0]))
+    assert plan(job.lineups(job.entries(found), job.substitutions(found))).count("FileScan") == 2
