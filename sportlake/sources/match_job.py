@@ -14,6 +14,7 @@ stands last on the page counts. Names are as the page has them. Further columns
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -246,20 +247,25 @@ def matches(found: DataFrame) -> DataFrame:
     return found.select("page_id", tx.parse_header_score(F.col("header")).alias("x"), tx.parse_german_date(F.col("crowd")).alias("match_date"), crowd["kickoff"].alias("kickoff"), crowd["attendance"].alias("attendance")).select("page_id", "x.*", "match_date", "kickoff", "attendance")
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """All tables of match pages (page_id, html) in one output: `table`, and the columns of all of them. pages are read once."""
-    found = written(read(pages).withColumn("error", reason()))
+def tables(pages: DataFrame) -> dict[str, DataFrame]:
+    """The tables of match pages (page_id, html) by name, each with the columns of all of them. pages are read once; what several tables come from is written."""
+    pages = read(pages).withColumn("error", reason())
+    found = written(pages.select("page_id", "header", "crowd", "error", *(F.filter("cells", test).alias(name) for name, test in KINDS.items())))
     good = found.filter("error IS NULL")
-    rows = cells_of(good.select("page_id", "cells"))
-    players, swaps = entries(rows), substitutions(rows)
-    both = lineups(players, swaps)
-    linked = both.groupBy("name").agg(F.min("profile_url").alias("profile_url"))
-    tables = {"matches": matches(good), "officials": officials(rows), "players": linked, "lineups": both, "substitutions": swaps, "goals": goals(rows), "cards": cards(players, swaps), "errors": found.filter("error IS NOT NULL")}
-    out = None
-    for name, df in tables.items():
-        part = df.select(F.lit(name).alias("table"), *COLUMNS[name])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    cells_in = lambda name: cells_of(good.select("page_id", name), name)
+    players, swaps = written(entries(cells_in("team"))), written(substitutions(cells_in("team")))
+    both = written(lineups(players, swaps))
+    linked = both.select("name", "profile_url").distinct().groupBy("name").agg(F.min("profile_url").alias("profile_url"))
+    bad = found.filter("error IS NOT NULL")
+    made = {"matches": matches(good), "officials": officials(cells_in("staff")), "players": linked, "lineups": both, "substitutions": swaps, "goals": goals(cells_in("scorers")), "cards": cards(players, swaps), "errors": bad}
+    kinds = {f.name: f.dataType for df in made.values() for f in df.schema}
+    names = list(dict.fromkeys(c for columns in COLUMNS.values() for c in columns))
+    return {name: df.select(*(F.col(c) if c in COLUMNS[name] else F.lit(None).cast(kinds[c]).alias(c) for c in names)) for name, df in made.items()}
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """All tables of match pages (page_id, html) in one output: `table`, and the columns of all of them."""
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("table"), "*") for name, df in tables(pages).items()))
 
 
 def run(pages: DataFrame, folder: str) -> str:

@@ -125,3 +125,11 @@ def test_substitutions_are_read_once(spark, output):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     found = io.written(job.cells(output[0]))
     assert plan(job.lineups(job.entries(found), job.substitutions(found))).count("FileScan") == 2
+
+
+def test_each_table_is_computed_once(spark, output):
+    """Line-ups and what they come from are read back, not computed for each table that needs them."""
+    made = job.tables(output[0])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert {name: plan(df).count("FileScan") for name, df in made.items()} == {"matches": 1, "officials": 1, "players": 1, "lineups": 1, "substitutions": 1, "goals": 1, "cards": 2, "errors": 1}
+    assert [plan(made[name]).count("Generate") for name in ("players", "lineups", "substitutions")] == [0, 0, 0]
