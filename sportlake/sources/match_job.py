@@ -270,7 +270,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 def run(pages: DataFrame, folder: str) -> str:
     """Extract pages into folder, in partitions by table; the folder's path comes back. Run again, it replaces what is there."""
-    extracted(pages).write.mode("overwrite").partitionBy("table").parquet(folder)
+    for name, df in tables(pages).items():  # each into its partition, so that no rows are sorted for it
+        df.write.mode("overwrite").parquet(f"{folder}/table={name}")
     return folder
 
 

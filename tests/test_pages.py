@@ -133,3 +133,11 @@ def test_each_table_is_computed_once(spark, output):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert {name: plan(df).count("FileScan") for name, df in made.items()} == {"matches": 1, "officials": 1, "players": 1, "lineups": 1, "substitutions": 1, "goals": 1, "cards": 2, "errors": 1}
     assert [plan(made[name]).count("Generate") for name in ("players", "lineups", "substitutions")] == [0, 0, 0]
+
+
+def test_tables_of_no_pages(spark, output, tmp_path):
+    """A run over no pages replaces what is there by empty tables, which can be read."""
+    folder = job.run(output[0].filter("page_id = 1"), f"{tmp_path}/out")
+    assert len(rows(spark, folder, "matches")) == 1
+    job.run(output[0].filter("false"), folder)
+    assert job.summary(spark, folder).collect() == [] and all(job.table(spark, folder, name).count() == 0 for name in job.COLUMNS)
